@@ -1 +1,92 @@
-"""Queries (filled in progressively)."""
+"""ACT-* queries: acquisition over the v_scores ensemble and the v_pool table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from prefsight.operators import active as ac
+from prefsight.plans import sql_fn as S
+from prefsight.plans.registry import query
+from prefsight.plans.sql_views import linear_weights_sql
+from prefsight.sources import views as V
+
+_W1 = V.linear_weights(1)
+
+
+@query("act_uncertainty", "SELECT pair_id, var_pop(margin) AS score FROM v_scores GROUP BY pair_id",
+       rnd=["score"])
+def act_uncertainty(t):
+    """ACT-1: variance of the pair margin across the ensemble."""
+    return ac.uncertainty_scores(V.v_scores(t), ["pair_id"])
+
+
+@query("act_committee", """
+WITH v AS (SELECT pair_id, avg(CASE WHEN margin > 0 THEN 1.0e0 ELSE 0.0e0 END) AS p_a
+           FROM v_scores GROUP BY pair_id)
+SELECT pair_id, p_a, CASE WHEN p_a = 0 OR p_a = 1 THEN 0.0e0
+                          ELSE -(p_a * log2(p_a) + (1 - p_a) * log2(1 - p_a)) END AS score FROM v
+""", rnd=["p_a", "score"])
+def act_committee(t):
+    """ACT-2: query-by-committee vote entropy (bits)."""
+    return ac.committee_scores(V.v_scores(t), ["pair_id"])
+
+
+@query("act_model_change", f"""
+WITH m AS (SELECT pair_id, list_dot_product(d, {linear_weights_sql('1')}) AS margin,
+                  list_dot_product(d, d) AS d2 FROM v_pairs_feat)
+SELECT pair_id, {S.sigmoid('margin')} * (1 - {S.sigmoid('margin')}) * d2 AS score FROM m
+""", rnd=["score"])
+def act_model_change(t):
+    """ACT-3: expected model change p(1-p)|d|^2 for linear model 1."""
+    return ac.model_change_scores(V.v_pairs_feat(t), _W1)
+
+
+@query("act_entropy", f"""
+WITH p AS (SELECT pair_id, model_id, {S.sigmoid('margin')} AS p FROM v_scores)
+SELECT pair_id, model_id, CASE WHEN p <= 0 OR p >= 1 THEN 0.0e0
+                               ELSE -(p * ln(p) + (1 - p) * ln(1 - p)) END AS score FROM p
+""", rnd=["score"])
+def act_entropy(t):
+    """ACT-4: prediction entropy in nats per (pair, model)."""
+    return ac.entropy_scores(V.v_scores(t), ["pair_id", "model_id"])
+
+
+_K = 100
+
+
+@query("act_select", f"""
+WITH s AS (SELECT pair_id, round(var_pop(margin), 9) AS acquisition_score FROM v_scores GROUP BY pair_id)
+SELECT p.pair_id, p.prompt, p.response_a, p.response_b, s.acquisition_score
+FROM v_pool p JOIN s ON s.pair_id = p.pair_id
+ORDER BY s.acquisition_score DESC, p.pair_id LIMIT {_K}
+""", rnd=["acquisition_score"])
+def act_select(t):
+    """ACT-7: top-100 pool pairs by ensemble uncertainty (scores rounded to 1e-9
+    so float noise cannot reorder ties; earlier key wins)."""
+    sc = ac.uncertainty_scores(V.v_scores(t), ["pair_id"]) \
+        .withColumn("score", F.round("score", 9))
+    return ac.select_top_k(V.v_pool(t), sc, "pair_id", _K)
+
+
+@query("act_labeled", """
+SELECT p.pair_id, p.prompt,
+       CASE WHEN l.label = 1 THEN p.response_a ELSE p.response_b END AS chosen,
+       CASE WHEN l.label = 1 THEN p.response_b ELSE p.response_a END AS rejected
+FROM v_pool p JOIN v_pool_labels l ON l.pair_id = p.pair_id
+""")
+def act_labeled(t):
+    """ACT-8: apply labels to pool pairs -> preference pairs."""
+    return ac.apply_labels(V.v_pool(t), V.v_pool_labels(t))
+
+
+@query("act_loop")
+def act_loop(t):
+    """ACT-9: three rounds of uncertainty selection (k=100) with anti-join
+    removal; returns the per-round history."""
+    scores = ac.uncertainty_scores(V.v_scores(t), ["pair_id"])
+
+    def score_fn(pool):
+        return scores.join(pool.select("pair_id"), "pair_id", "left_semi")
+
+    _, hist = ac.active_loop(V.v_pool(t), score_fn, V.v_pool_labels(t), rounds=3, k=_K)
+    return hist

@@ -48,6 +48,8 @@ def oracle(body: str, rnd=(), extra_ctes=None) -> str:
     if rnd:
         repl = ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in rnd)
         sql = f"SELECT * REPLACE ({repl}) FROM (\n{body.strip()}\n) AS q"
+    elif body.strip().upper().startswith("WITH"):
+        sql = f"SELECT * FROM (\n{body.strip()}\n) AS q"
     else:
         sql = body
     return with_views(sql, extra_ctes)

@@ -41,7 +41,7 @@ FROM lineitem
 """, []),
     "v_candidates": ("""
 SELECT l_orderkey AS prompt_id, sample_idx, 'part ' || CAST(l_partkey AS VARCHAR) AS response,
-       l_extendedprice * (1 - l_discount) / 10000 AS reward, -l_quantity AS log_prob,
+       l_extendedprice * (1 - l_discount) / 100 AS reward, -l_quantity AS log_prob,
        -(l_quantity + 10 * l_tax) AS base_log_prob
 FROM v_cand_base
 """, ["v_cand_base"]),
@@ -115,11 +115,11 @@ SELECT o_orderkey AS pair_id, CAST(o_orderkey % 2 AS INTEGER) AS label FROM orde
 """, []),
     "v_runs": (f"""
 SELECT {_opt_case} AS optimizer, user_id % 3 AS seed,
-       avg(value) / 100.0 AS final_accuracy, avg(value) / 50.0 AS final_loss,
-       stddev_pop(value) / 100.0 AS calibration_ece, max(value) AS top_eigenvalue,
+       avg(value) / 59.0 AS final_accuracy, avg(value) / 97.0 AS final_loss,
+       stddev_pop(value) / 499.0 AS calibration_ece, max(value) AS top_eigenvalue,
        max(value) / min(value) AS condition_number, max(value) / sum(value) AS sharpness,
        1.0e0 / max(value) AS flatness, sum(value) AS hessian_trace,
-       CAST(count(*) AS DOUBLE) AS training_time, avg(value) / 200.0 AS readiness_score
+       CAST(count(*) AS DOUBLE) AS training_time, avg(value) / 97.0 AS readiness_score
 FROM events GROUP BY 1, 2
 """, []),
     "v_metric_log": (f"""
