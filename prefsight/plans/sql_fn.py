@@ -32,3 +32,19 @@ def dbl(x: float) -> str:
 
 def list_lit(values) -> str:
     return "[" + ", ".join(dbl(v) for v in values) + "]"
+
+
+# Python str.isspace() characters, spelled out for RE2 (whose \s is ASCII-only).
+_PY_WS = (r"\t\n\x0B\x0C\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+          r"\x{202F}\x{205F}\x{3000}")
+
+
+def py_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_PY_WS}]+|[{_PY_WS}]+$', '', 'g')"
+
+
+WS_SPLIT = r"[ \t\n\r\f\x0B]+"
+
+
+def tokens(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '{WS_SPLIT}'), lambda tk: length(tk) > 0)"
