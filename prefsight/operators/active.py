@@ -96,3 +96,84 @@ def active_loop(pool: DataFrame, score_fn: Callable[[DataFrame], DataFrame],
             retrain_fn(labelled)
     hist = spark.createDataFrame(history, "round int, selected long, labelled long, pool_remaining long")
     return labelled, hist
+
+
+def nearest_distance(items: DataFrame, key_col: str, vec_col: str,
+                     block_size: int = 2048) -> DataFrame:
+    """ACT-5: exact Euclidean distance from every item to its nearest other item.
+
+    Items are hashed into B balanced blocks of <= ``block_size``; every block
+    pair (a <= b) is one ``applyInPandas`` group holding at most two blocks,
+    which computes its distance block with numpy and emits only per-item
+    minima; a final partial-aggregated ``min`` per item combines the block
+    pairs.  No pair rows are emitted and no group grows with the data."""
+    import numpy as np
+    import pandas as pd
+
+    from prefsight.functions import hash_key
+
+    n = items.count()
+    B = max(1, math.ceil(n / block_size))
+    blocked = items.select(F.col(key_col).alias("key"), F.col(vec_col).alias("vec"),
+                           F.pmod(hash_key(7, key_col), F.lit(B)).cast("int").alias("blk"))
+    rep = blocked.select("key", "vec", "blk", F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("o"))
+    rep = rep.select("key", "vec", "blk", F.least("blk", "o").alias("ga"), F.greatest("blk", "o").alias("gb"))
+
+    def block_min(pdf: pd.DataFrame) -> pd.DataFrame:
+        ga = int(pdf["ga"].iloc[0])
+        gb = int(pdf["gb"].iloc[0])
+        A = pdf[pdf["blk"] == ga]
+        Bp = pdf[pdf["blk"] == gb] if gb != ga else A
+        XA = np.stack([np.asarray(v, dtype=np.float64) for v in A["vec"].to_numpy()])
+        XB = np.stack([np.asarray(v, dtype=np.float64) for v in Bp["vec"].to_numpy()])
+        d2 = ((XA * XA).sum(1)[:, None] + (XB * XB).sum(1)[None, :] - 2.0 * XA @ XB.T)
+        d2 = np.maximum(d2, 0.0)  # the expansion can dip below 0 by rounding
+        ka, kb = A["key"].to_numpy(), Bp["key"].to_numpy()
+        d2[ka[:, None] == kb[None, :]] = np.inf
+        out = [pd.DataFrame({"key": ka, "d2": d2.min(axis=1)})]
+        if gb != ga:
+            out.append(pd.DataFrame({"key": kb, "d2": d2.min(axis=0)}))
+        return pd.concat(out)
+
+    mins = rep.groupBy("ga", "gb").applyInPandas(block_min, "key long, d2 double")
+    best = mins.groupBy("key").agg(F.min("d2").alias("d2"))
+    return best.select(F.col("key").alias(key_col),
+                       F.when(F.col("d2") == float("inf"), F.lit(None))
+                       .otherwise(F.sqrt("d2")).alias("nn_distance"))
+
+
+def greedy_diverse(items: DataFrame, key_col: str, vec_col: str, score_col: str, k: int):
+    """ACT-6: greedy k-centre selection on score x distance-to-selected.
+
+    Round 0 takes the highest score; every later round takes the item that
+    maximises score * min distance to the selected set.  Each round is one pass
+    updating a ``min_dist`` column with the new centre (a literal vector);
+    the table is checkpointed every 5 rounds.  Only the chosen row reaches the
+    driver each round."""
+    from prefsight.functions import lit_vector
+    from prefsight.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(items.sparkSession)
+    cur = items.select(F.col(key_col).alias("key"), F.col(vec_col).alias("vec"),
+                       F.col(score_col).cast("double").alias("score"),
+                       F.lit(float("inf")).alias("min_dist"))
+    chosen = []
+    for r in range(k):
+        if r == 0:
+            crit = F.col("score")
+        else:
+            crit = F.col("score") * F.col("min_dist")
+        pick = cur.filter(F.col("min_dist") > 0).orderBy(crit.desc(), F.col("key")).select(
+            "key", "vec", "score", "min_dist").first()
+        if pick is None:
+            break
+        chosen.append((r, pick["key"], float(pick["score"]),
+                       None if math.isinf(pick["min_dist"]) else float(pick["min_dist"])))
+        c = lit_vector(pick["vec"])
+        dist = F.sqrt(F.aggregate(F.zip_with(F.col("vec"), c, lambda a, b: (a - b) * (a - b)),
+                                  F.lit(0.0), lambda acc, x: acc + x))
+        cur = cur.withColumn("min_dist", F.least(F.col("min_dist"), dist))
+        if (r + 1) % 5 == 0:
+            cur = cur.checkpoint(eager=True)
+    spark = items.sparkSession
+    return spark.createDataFrame(chosen, f"round int, {key_col} long, score double, min_dist double")

@@ -1 +1,107 @@
-"""Queries (filled in progressively)."""
+"""CMP-* queries: optimizer comparison over v_runs and trained grids."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from prefsight.operators import compare as cp
+from prefsight.operators import evaluate as ev
+from prefsight.operators import landscape as ls
+from prefsight.operators import readiness as rd
+from prefsight.operators import scoring as sc
+from prefsight.operators import train as tr
+from prefsight.operators import train_logs as tl
+from prefsight.plans.registry import query
+from prefsight.sources import views as V
+
+DIM = V.FEATURE_DIM
+OPTIMIZERS = ["adam", "adamw", "sgd", "muon", "lion"]
+SEEDS = [0, 1, 2]
+
+
+@query("cmp_grid")
+def cmp_grid(t):
+    """CMP-1: 5 optimizers x 3 seeds trained together (one pass per step for
+    all 15 runs); final loss / accuracy of each run."""
+    states = tr.fit_many(V.v_pairs_feat(t), [(o, s) for o in OPTIMIZERS for s in SEEDS], DIM,
+                         steps=20, lr=0.05, warmup=2)
+    rows = [(s.optimizer, s.seed, s.log[-1][1], s.log[-1][2], len(s.log)) for s in states]
+    return t.spark.createDataFrame(rows, "optimizer string, seed int, final_train_loss double, "
+                                         "final_train_accuracy double, steps int")
+
+
+@query("cmp_run")
+def cmp_run(t):
+    """CMP-2: train one run, evaluate it, measure its spectrum and readiness."""
+    pairs = V.v_pairs_feat(t)
+    st = tr.fit_bradley_terry(pairs, DIM, "adamw", seed=0, steps=20, lr=0.05, warmup=2)
+    margins = sc.pair_margins(pairs, sc.LinearModels({0: list(st.w)}))
+    evaluation = ev.calibration_report(margins, ["model_id"])
+    cur = ls.Curvature(pairs, st.w)
+    try:
+        eig = cur.eigenvalues_full()
+        trace = float(eig.sum())
+    finally:
+        cur.unpersist()
+    spec = ls.spectrum_summary(ls.spectrum_frame(t.spark, eig[:20], "adamw_0"))
+    row = evaluation.withColumn("_k", F.lit(0)).join(
+        spec.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    row = row.select(F.lit("adamw").alias("optimizer"), F.lit(0).alias("seed"),
+                     F.col("accuracy").alias("final_val_accuracy"), F.col("loss").alias("final_val_loss"),
+                     F.col("ece").alias("calibration_ece"), F.col("brier").alias("calibration_brier"),
+                     "top_eigenvalue", F.lit(trace).alias("trace_estimate"), "condition_number",
+                     "effective_rank", "sharpness_score", "flatness_index")
+    scored = rd.readiness(row, "final_val_accuracy", "calibration_ece", 1.0, "top_eigenvalue",
+                          messages=False)
+    return scored.drop("accuracy_score", "calibration_score", "stability_score", "landscape_score",
+                       "margin_penalty", "disagreement_penalty", "verdict", "issues") \
+        .withColumnRenamed("overall_score", "rl_readiness_score")
+
+
+@query("cmp_summary", """
+SELECT optimizer, count(*) AS runs, avg(final_val_accuracy) AS val_accuracy_mean,
+       stddev_pop(final_val_accuracy) AS val_accuracy_std, avg(top_eigenvalue) AS top_eigenvalue_mean,
+       stddev_pop(top_eigenvalue) AS top_eigenvalue_std, avg(condition_number) AS condition_number_mean,
+       avg(sharpness_score) AS sharpness_mean, avg(flatness_index) AS flatness_mean,
+       avg(training_time_seconds) AS training_time_mean
+FROM v_runs GROUP BY optimizer
+""", rnd=["val_accuracy_mean", "val_accuracy_std", "top_eigenvalue_mean", "top_eigenvalue_std",
+          "condition_number_mean", "sharpness_mean", "flatness_mean", "training_time_mean"])
+def cmp_summary(t):
+    """CMP-3: the per-optimizer summary report."""
+    return cp.summary_report(V.v_runs(t))
+
+
+@query("cmp_metric", """
+SELECT optimizer, avg(coalesce(rl_readiness_score, 0.0e0)) AS mean,
+       stddev_pop(coalesce(rl_readiness_score, 0.0e0)) AS std, count(*) AS points
+FROM v_runs GROUP BY optimizer
+""", rnd=["mean", "std"])
+def cmp_metric(t):
+    """CMP-4: one metric's mean / std per optimizer (missing counts as 0)."""
+    return cp.metric_by_optimizer(V.v_runs(t), "rl_readiness_score")
+
+
+_NAMES = [n for n, _ in V.METRIC_LOG_NAMES]
+_EPOCH_SQL = ("SELECT run_id, epoch, " + ", ".join(
+    f"avg(CASE WHEN name = '{n}' THEN value END) AS {n}" for n in _NAMES)
+    + " FROM v_metric_log GROUP BY run_id, epoch")
+
+
+@query("cmp_curves", f"""
+WITH e AS ({_EPOCH_SQL})
+SELECT run_id, CAST(dense_rank() OVER (PARTITION BY run_id ORDER BY epoch) AS INTEGER) AS epoch,
+       {", ".join(_NAMES)} FROM e
+""", rnd=_NAMES)
+def cmp_curves(t):
+    """CMP-5: training curves, one row per (run, epoch from 1), one column per metric."""
+    return cp.training_curves(tl.epoch_table(V.v_metric_log(t), _NAMES))
+
+
+@query("cmp_best", """
+SELECT optimizer, seed, final_val_accuracy AS value FROM v_runs
+ORDER BY final_val_accuracy DESC, optimizer, seed LIMIT 1
+""", rnd=["value"])
+def cmp_best(t):
+    """CMP-6: the best run by validation accuracy."""
+    return cp.best_run(V.v_runs(t), "final_val_accuracy")

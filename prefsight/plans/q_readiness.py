@@ -42,16 +42,16 @@ def _score_sql(a: str, e: str, v: str, lam: str, m: str, d: str) -> str:
 
 def _runs_inputs(t):
     r = V.v_runs(t)
-    return r.select("optimizer", "seed", F.col("final_accuracy").alias("accuracy"),
+    return r.select("optimizer", "seed", F.col("final_val_accuracy").alias("accuracy"),
                     F.col("calibration_ece").alias("ece"),
-                    (F.col("final_loss") * 4).alias("reward_variance"), "top_eigenvalue",
-                    (F.col("final_loss") * 8 - 1).alias("margin_mean"),
+                    (F.col("final_val_loss") * 4).alias("reward_variance"), "top_eigenvalue",
+                    (F.col("final_val_loss") * 8 - 1).alias("margin_mean"),
                     (F.col("calibration_ece") * 6).alias("ensemble_disagreement"))
 
 
 @query("rdy_score", f"""
-WITH i AS (SELECT optimizer, seed, final_accuracy AS accuracy, calibration_ece AS ece,
-                  final_loss * 4 AS reward_variance, top_eigenvalue, final_loss * 8 - 1 AS margin_mean,
+WITH i AS (SELECT optimizer, seed, final_val_accuracy AS accuracy, calibration_ece AS ece,
+                  final_val_loss * 4 AS reward_variance, top_eigenvalue, final_val_loss * 8 - 1 AS margin_mean,
                   calibration_ece * 6 AS ensemble_disagreement FROM v_runs)
 SELECT optimizer, seed, {_score_sql('accuracy', 'ece', 'reward_variance', 'top_eigenvalue',
                                     'margin_mean', 'ensemble_disagreement')} FROM i

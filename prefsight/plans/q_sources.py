@@ -142,4 +142,4 @@ def cmp_store(t):
     path = scratch_path(spark, "results")
     io.write_results(V.v_runs(t), path)
     return io.load_results(spark, path).groupBy("optimizer").agg(
-        F.count(F.lit(1)).alias("runs"), F.avg("final_accuracy").alias("mean_accuracy"))
+        F.count(F.lit(1)).alias("runs"), F.avg("final_val_accuracy").alias("mean_accuracy"))

@@ -1 +1,100 @@
-"""Queries (filled in progressively)."""
+"""TRN-* queries: fitting on v_pairs_feat, bookkeeping on v_metric_log."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from prefsight.operators import evaluate as ev
+from prefsight.operators import scoring as sc
+from prefsight.operators import train as tr
+from prefsight.operators import train_logs as tl
+from prefsight.plans.registry import query
+from prefsight.sources import views as V
+
+DIM = V.FEATURE_DIM
+_NAMES = [n for n, _ in V.METRIC_LOG_NAMES]
+
+
+@query("trn_fit_bt")
+def trn_fit_bt(t):
+    """TRN-1: 30 AdamW steps (warm-up + cosine, clip 1.0); returns the step log."""
+    st = tr.fit_bradley_terry(V.v_pairs_feat(t), DIM, "adamw", seed=42, steps=30, lr=0.05,
+                              warmup=3)
+    return tr.step_log_frame(t.spark, [st])
+
+
+@query("trn_fit_exact")
+def trn_fit_exact(t):
+    """TRN-2: exact optimum by logistic regression on mirrored rows, evaluated."""
+    pairs = V.v_pairs_feat(t)
+    w, _ = tr.fit_exact(pairs)
+    m = sc.pair_margins(pairs, sc.LinearModels({0: list(w)}))
+    return ev.calibration_report(m, ["model_id"]).select(
+        "n", "accuracy", "loss", "ece", F.lit(float((w ** 2).sum() ** 0.5)).alias("weight_norm"))
+
+
+@query("trn_item_strengths")
+def trn_item_strengths(t):
+    """TRN-3: supplier strengths from consecutive-line comparisons (the line
+    with the higher extended price wins), MM iteration."""
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    a = li.alias("a")
+    b = li.alias("b")
+    j = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey"))
+               & (F.col("b.l_linenumber") == F.col("a.l_linenumber") + 1)
+               & (F.col("a.l_suppkey") != F.col("b.l_suppkey")))
+    a_wins = F.col("a.l_extendedprice") >= F.col("b.l_extendedprice")
+    comps = j.select(F.when(a_wins, F.col("a.l_suppkey")).otherwise(F.col("b.l_suppkey")).alias("winner"),
+                     F.when(a_wins, F.col("b.l_suppkey")).otherwise(F.col("a.l_suppkey")).alias("loser"))
+    out, _ = tr.item_strengths(comps, iterations=10, tol=1e-6)
+    return out
+
+
+def _epochs(t):
+    return tl.epoch_table(V.v_metric_log(t), _NAMES)
+
+
+_EPOCH_SQL = ("SELECT run_id, epoch, " + ", ".join(
+    f"avg(CASE WHEN name = '{n}' THEN value END) AS {n}" for n in _NAMES)
+    + " FROM v_metric_log GROUP BY run_id, epoch")
+
+
+@query("trn_epoch_rollup", """
+SELECT run_id, epoch, name, avg(value) AS value, count(*) AS n_steps FROM v_metric_log
+GROUP BY run_id, epoch, name
+""", rnd=["value"])
+def trn_epoch_rollup(t):
+    """TRN-4: epoch means of step values (unweighted mean of batch means)."""
+    return tl.epoch_rollup(V.v_metric_log(t))
+
+
+@query("trn_topk_checkpoints", f"""
+WITH e AS ({_EPOCH_SQL}),
+r AS (SELECT run_id, epoch, val_accuracy AS value,
+             row_number() OVER (PARTITION BY run_id ORDER BY val_accuracy DESC, epoch) AS rank,
+             max(epoch) OVER (PARTITION BY run_id) AS last FROM e)
+SELECT run_id, epoch, value, CASE WHEN rank <= 3 THEN CAST(rank AS INTEGER) END AS rank,
+       epoch = last AS is_last
+FROM r WHERE rank <= 3 OR epoch = last
+""", rnd=["value"])
+def trn_topk_checkpoints(t):
+    """TRN-5: top-3 epochs by validation accuracy plus the last epoch."""
+    return tl.topk_checkpoints(_epochs(t), "val_accuracy").withColumn("rank", F.col("rank").cast("int"))
+
+
+@query("trn_early_stop", f"""
+WITH e AS ({_EPOCH_SQL}),
+a AS (SELECT run_id, epoch, val_accuracy AS v,
+             max(val_accuracy) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before,
+             row_number() OVER (PARTITION BY run_id ORDER BY epoch) AS pos FROM e),
+b AS (SELECT *, best_before IS NULL OR v > best_before AS improved FROM a),
+c AS (SELECT *, max(CASE WHEN improved THEN pos END) OVER (PARTITION BY run_id ORDER BY epoch
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_imp FROM b),
+c2 AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY v DESC, pos) AS best_rank FROM c)
+SELECT run_id, min(CASE WHEN pos - last_imp >= 3 THEN epoch END) AS stop_epoch,
+       max(CASE WHEN best_rank = 1 THEN epoch END) AS best_epoch, max(v) AS best_value
+FROM c2 GROUP BY run_id
+""", rnd=["best_value"])
+def trn_early_stop(t):
+    """TRN-6: early-stopping epoch (patience 3, mode max) and the best epoch."""
+    return tl.early_stop(_epochs(t), "val_accuracy")

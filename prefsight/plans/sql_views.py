@@ -115,11 +115,11 @@ SELECT o_orderkey AS pair_id, CAST(o_orderkey % 2 AS INTEGER) AS label FROM orde
 """, []),
     "v_runs": (f"""
 SELECT {_opt_case} AS optimizer, user_id % 3 AS seed,
-       avg(value) / 59.0 AS final_accuracy, avg(value) / 97.0 AS final_loss,
+       avg(value) / 59.0 AS final_val_accuracy, avg(value) / 97.0 AS final_val_loss,
        stddev_pop(value) / 499.0 AS calibration_ece, max(value) AS top_eigenvalue,
-       max(value) / min(value) AS condition_number, max(value) / sum(value) AS sharpness,
-       1.0e0 / max(value) AS flatness, sum(value) AS hessian_trace,
-       CAST(count(*) AS DOUBLE) AS training_time, avg(value) / 97.0 AS readiness_score
+       max(value) / min(value) AS condition_number, max(value) / sum(value) AS sharpness_score,
+       1.0e0 / max(value) AS flatness_index, sum(value) AS trace_estimate,
+       CAST(count(*) AS DOUBLE) AS training_time_seconds, avg(value) / 97.0 AS rl_readiness_score
 FROM events GROUP BY 1, 2
 """, []),
     "v_metric_log": (f"""

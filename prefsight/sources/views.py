@@ -194,20 +194,21 @@ def _optimizer_col(c: str):
 
 
 def v_runs(t: Tables) -> DataFrame:
+    """One row per (optimizer, seed) with the run-result fields of a comparison."""
     e = t.events.select(_optimizer_col("event_type").alias("optimizer"),
                         (F.col("user_id") % 3).alias("seed"), "value")
     v = F.col("value")
     return (e.groupBy("optimizer", "seed").agg(
-        (F.avg(v) / 59.0).alias("final_accuracy"),
-        (F.avg(v) / 97.0).alias("final_loss"),
+        (F.avg(v) / 59.0).alias("final_val_accuracy"),
+        (F.avg(v) / 97.0).alias("final_val_loss"),
         (F.stddev_pop(v) / 499.0).alias("calibration_ece"),
         F.max(v).alias("top_eigenvalue"),
         (F.max(v) / F.min(v)).alias("condition_number"),
-        (F.max(v) / F.sum(v)).alias("sharpness"),
-        (F.lit(1.0) / F.max(v)).alias("flatness"),
-        F.sum(v).alias("hessian_trace"),
-        F.count(F.lit(1)).cast("double").alias("training_time"),
-        (F.avg(v) / 97.0).alias("readiness_score")))
+        (F.max(v) / F.sum(v)).alias("sharpness_score"),
+        (F.lit(1.0) / F.max(v)).alias("flatness_index"),
+        F.sum(v).alias("trace_estimate"),
+        F.count(F.lit(1)).cast("double").alias("training_time_seconds"),
+        (F.avg(v) / 97.0).alias("rl_readiness_score")))
 
 
 def v_metric_log(t: Tables) -> DataFrame:
