@@ -90,3 +90,28 @@ def act_loop(t):
 
     _, hist = ac.active_loop(V.v_pool(t), score_fn, V.v_pool_labels(t), rounds=3, k=_K)
     return hist
+
+
+@query("act_diversity", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT a.vec_id, min(sqrt(list_sum(list_transform(range(1, len(a.v) + 1),
+                                                  lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))))
+       AS nn_distance
+FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY a.vec_id
+""", rnd=["nn_distance"])
+def act_diversity(t):
+    """ACT-5: distance of every embedding to its nearest other embedding
+    (exact, blocked; the oracle is the brute-force self join)."""
+    return ac.nearest_distance(t.embeddings, "vec_id", "embedding")
+
+
+@query("act_greedy_diverse")
+def act_greedy_diverse(t):
+    """ACT-6: 10 embeddings chosen greedily by ensemble std x distance to the
+    already chosen ones."""
+    from prefsight.operators import scoring as scm
+    from prefsight.plans.q_scoring import MODELS
+    scored = scm.score_all(t.embeddings, MODELS, "embedding", keep=["vec_id"])
+    unc = scored.groupBy("vec_id").agg(F.stddev_pop("reward").alias("score"))
+    items = t.embeddings.join(unc, "vec_id")
+    return ac.greedy_diverse(items, "vec_id", "embedding", "score", 10)
