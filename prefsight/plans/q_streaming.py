@@ -18,7 +18,7 @@ _WSTART = "strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d %H:%M:%S')"
 def margins_ts(t):
     """v_margins with event time (TIMESTAMP, session zone UTC)."""
     e = t.events.select(F.col("event_id").alias("pair_id"), F.col("event_type").alias("grp"),
-                        ((F.col("value") - 30.0) / 40.0).alias("margin"), "ts")
+                        ((F.col("value") - 30.0) / 41.0).alias("margin"), "ts")
     return mo.event_time(e)
 
 
@@ -28,7 +28,7 @@ def steps_ts(t):
     return mo.event_time(ml.select("run_id", "step", "name", "value", "ts"))
 
 
-_MARGINS_TS = "SELECT event_id AS pair_id, event_type AS grp, (value - 30.0) / 40.0 AS margin, ts FROM events"
+_MARGINS_TS = "SELECT event_id AS pair_id, event_type AS grp, (value - 30.0) / 41.0 AS margin, ts FROM events"
 _CAL_SQL = f"""
 WITH m AS ({_MARGINS_TS}),
 c AS (SELECT *, {S.sigmoid('margin')} AS p FROM m),

@@ -24,7 +24,7 @@ _div_case = ("CASE user_id % 4 " + " ".join(f"WHEN {i} THEN {d!r}e0" for i, (_,
 
 VIEWS: dict[str, tuple[str, list[str]]] = {
     "v_margins": ("""
-SELECT event_id AS pair_id, event_type AS grp, (value - 30.0) / 40.0 AS margin FROM events
+SELECT event_id AS pair_id, event_type AS grp, (value - 30.0) / 41.0 AS margin FROM events
 """, []),
     "v_scores": (f"""
 SELECT o.o_orderkey AS pair_id, m.model_id,

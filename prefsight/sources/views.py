@@ -42,7 +42,7 @@ def v_margins(t: Tables) -> DataFrame:
     return t.events.select(
         F.col("event_id").alias("pair_id"),
         F.col("event_type").alias("grp"),
-        ((F.col("value") - 30.0) / 40.0).alias("margin"))
+        ((F.col("value") - 30.0) / 41.0).alias("margin"))
 
 
 def v_scores(t: Tables) -> DataFrame:
