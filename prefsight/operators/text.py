@@ -8,7 +8,7 @@ token positions against that (size-bounded, broadcast) vocabulary.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefsight.functions import hash_key
@@ -59,8 +59,10 @@ def build_vocabulary(corpus: DataFrame, text_col="text", size: int = 5000) -> Da
     counts = corpus.select(F.explode(tokens(F.col(text_col))).alias("token")) \
         .groupBy("token").agg(F.count(F.lit(1)).alias("count"))
     top = counts.orderBy(F.col("count").desc(), F.col("token").asc()).limit(size)
-    ranked = global_index(top, [F.col("count").desc(), F.col("token").asc()], "_r", 1)
-    return ranked.select("token", (F.col("_r") + 2).cast("int").alias("token_id"), "count")
+    # numbering runs over at most ``size`` (<= MAX_VOCAB) rows, so a window
+    # without partitioning is bounded by the vocabulary, not by the corpus
+    w = Window.orderBy(F.col("count").desc(), F.col("token").asc())
+    return top.select("token", (F.row_number().over(w) + 1).cast("int").alias("token_id"), "count")
 
 
 def encode_positions(corpus: DataFrame, vocab: DataFrame, key_cols=("key", "field"),
