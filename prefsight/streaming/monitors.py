@@ -103,11 +103,23 @@ def windowed_margin_drift(df: DataFrame, group_cols=("grp",), margin_col="margin
 
 
 def stage_source(df: DataFrame, name: str, order_col: str, files: int = 8) -> tuple[str, object]:
-    """Write a table as ``files`` parquet files in ``order_col`` order into the
-    shared scratch area, to be replayed as a file stream (tests and queries)."""
+    """Write a table into the shared scratch area as ``files`` appends of
+    consecutive ``order_col`` ranges, one after another, so that the file
+    source (which replays files by modification time) sees event time move
+    forward the way a live feed would (tests and queries)."""
     spark = df.sparkSession
     path = scratch_path(spark, f"stream-src-{name}")
-    df.repartitionByRange(files, order_col).sortWithinPartitions(order_col).write.parquet(path)
+    bounds = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
+    lo, hi = bounds["lo"], bounds["hi"]
+    if lo is None:
+        df.limit(0).write.parquet(path)
+        return path, df.schema
+    width = (hi - lo) / files
+    for i in range(files):
+        start = lo + width * i
+        part = df.filter(F.col(order_col) >= start) if i == 0 else df.filter(F.col(order_col) > start)
+        part = part.filter(F.col(order_col) <= (lo + width * (i + 1) if i < files - 1 else hi))
+        part.coalesce(1).write.mode("append").parquet(path)
     return path, df.schema
 
 
