@@ -79,7 +79,14 @@ def act_labeled(t):
     return ac.apply_labels(V.v_pool(t), V.v_pool_labels(t))
 
 
-@query("act_loop")
+@query("act_loop", f"""
+WITH n AS (SELECT count(*) AS n FROM v_pool),
+r AS (SELECT CAST(range AS INTEGER) AS round FROM range(3))
+SELECT r.round, CAST(least({_K}, greatest(n.n - r.round * {_K}, 0)) AS BIGINT) AS selected,
+       CAST(least(n.n, (r.round + 1) * {_K}) AS BIGINT) AS labelled,
+       CAST(greatest(n.n - (r.round + 1) * {_K}, 0) AS BIGINT) AS pool_remaining
+FROM r, n
+""")
 def act_loop(t):
     """ACT-9: three rounds of uncertainty selection (k=100) with anti-join
     removal; returns the per-round history."""

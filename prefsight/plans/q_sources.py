@@ -86,7 +86,12 @@ def src_split(t):
     return io.split(V.v_pool(t), "pair_id").select("pair_id", "split")
 
 
-@query("src_write")
+@query("src_write", """
+SELECT f.file, f.format, CAST(least(count(*), 1000) AS BIGINT) AS rows
+FROM v_text_pairs, (VALUES ('text_pairs_train_1k.parquet', 'parquet'), ('text_pairs_train_1k.json', 'json'),
+                           ('text_pairs_train_1k.csv', 'csv')) f(file, format)
+GROUP BY f.file, f.format
+""")
 def src_write(t):
     """SRC-8 / SRC-12: write a 1000-row sample in three formats under the
     dataset naming rule and report what was read back."""
@@ -135,7 +140,9 @@ def src_demo(t):
     return io.demo_pairs(t.orders, "o_orderkey")
 
 
-@query("cmp_store")
+@query("cmp_store", """
+SELECT optimizer, count(*) AS runs, avg(final_val_accuracy) AS mean_accuracy FROM v_runs GROUP BY optimizer
+""", rnd=["mean_accuracy"])
 def cmp_store(t):
     """SRC-11: append run results partitioned by optimizer and read them back."""
     spark = t.spark

@@ -46,21 +46,24 @@ GROUP BY t.window_start, t.grp, t.n, t.accuracy, t.mean_margin, t.brier
 """
 
 
-@query("str_ingest")
-def str_ingest(t):
-    """STR-1: stream v_reject files through validation into valid / quarantine sinks."""
-    src, schema = mo.stage_source(V.v_reject(t), "reject", "pair_id")
-    return mo.ingest_stream(t.spark, src, schema)
-
-
-@query("str_ingest_batch", """
+_INGEST_SQL = """
 SELECT pair_id, CASE WHEN error IS NULL THEN 'valid' ELSE 'rejected' END AS status, error FROM (
 SELECT pair_id, CASE
   WHEN prompt IS NULL OR length(prompt) = 0 THEN 'prompt must be a non-empty string'
   WHEN chosen IS NULL OR length(chosen) = 0 THEN 'chosen must be a non-empty string'
   WHEN rejected IS NULL OR length(rejected) = 0 THEN 'rejected must be a non-empty string'
   END AS error FROM v_reject)
-""")
+"""
+
+
+@query("str_ingest", _INGEST_SQL)
+def str_ingest(t):
+    """STR-1: stream v_reject files through validation into valid / quarantine sinks."""
+    src, schema = mo.stage_source(V.v_reject(t), "reject", "pair_id")
+    return mo.ingest_stream(t.spark, src, schema)
+
+
+@query("str_ingest_batch", _INGEST_SQL)
 def str_ingest_batch(t):
     """STR-1 batch twin: the same validation over the static table."""
     from prefsight.sources import io
