@@ -65,13 +65,16 @@ def hash_key(seed, *cols) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
-def calibration_bin(p) -> Column:
+def calibration_bin(p, close_top: bool = False) -> Column:
     """Bin index 0..9 for probability p using [lo, hi) bins; NULL when p is in
-    no bin (p >= 1.0, p < 0 or NaN) -- such rows still count in the total."""
+    no bin (p >= 1.0, p < 0 or NaN) -- such rows still count in the total.
+    ``close_top=True`` makes the last bin [0.9, 1.0] so p == 1.0 is binned."""
     p = col_(p)
     expr = None
     for b in range(N_BINS):
-        cond = (p >= F.lit(BIN_EDGES[b])) & (p < F.lit(BIN_EDGES[b + 1]))
+        hi_ok = (p <= F.lit(BIN_EDGES[b + 1])) if (close_top and b == N_BINS - 1) \
+            else (p < F.lit(BIN_EDGES[b + 1]))
+        cond = (p >= F.lit(BIN_EDGES[b])) & hi_ok
         expr = F.when(cond, F.lit(b)) if expr is None else expr.when(cond, F.lit(b))
     return expr
 

@@ -27,11 +27,11 @@ def label_col(margin: Column, label_mode: str) -> Column:
 
 
 def with_probability(df: DataFrame, margin_col: str = "margin",
-                     label_mode: str = "chosen") -> DataFrame:
+                     label_mode: str = "chosen", close_top: bool = False) -> DataFrame:
     m = F.col(margin_col)
     return (df.withColumn("p", sigmoid(m))
             .withColumn("y", label_col(m, label_mode))
-            .withColumn("bin", calibration_bin(F.col("p"))))
+            .withColumn("bin", calibration_bin(F.col("p"), close_top)))
 
 
 def _bin_sums(p: Column, y: Column, b: Column):
@@ -57,14 +57,16 @@ def _ece_mce_from_sums(n: Column) -> tuple[Column, Column]:
 
 
 def calibration_report(df: DataFrame, group_cols=(), margin_col: str = "margin",
-                       label_mode: str = "chosen") -> DataFrame:
+                       label_mode: str = "chosen", close_top: bool = False) -> DataFrame:
     """One row per group: n, accuracy, ece, brier, mce, mean_margin, loss.
 
     accuracy = share of margin > 0 (zero margin is wrong); loss = mean of the
     Bradley-Terry loss -log sigmoid(margin).  Empty input -> zeros (no groups).
+    By default p == 1.0 falls in no bin but counts in n (the reference's
+    behaviour); ``close_top=True`` bins it.
     """
     group_cols = list(group_cols)
-    d = with_probability(df, margin_col, label_mode)
+    d = with_probability(df, margin_col, label_mode, close_top)
     p, y, b, m = F.col("p"), F.col("y"), F.col("bin"), F.col(margin_col)
     diffs, counts = _bin_sums(p, y, b)
     agg = d.groupBy(*group_cols).agg(

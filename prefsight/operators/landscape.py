@@ -192,7 +192,7 @@ def spectrum_frame(spark, eigenvalues, run_id="run") -> DataFrame:
 
 def spectrum_summary(spectrum: DataFrame, run_cols=("run_id",), value_col="eigenvalue",
                      trace: DataFrame | None = None, sigma2: float = 0.01,
-                     n_train: int = 100_000) -> DataFrame:
+                     n_train: int = 100_000, dim: int | None = None) -> DataFrame:
     """LND-6: condition number, effective rank, sharpness and flatness per run.
 
     condition = lambda_0 / |lambda_last| (the last of the k COMPUTED values,
@@ -201,7 +201,9 @@ def spectrum_summary(spectrum: DataFrame, run_cols=("run_id",), value_col="eigen
     1 / lambda_0 (inf when lambda_0 <= 0).  trace defaults to the sum of the
     listed eigenvalues.  Two doc quantities are added: the expected loss rise
     under weight noise (sigma^2 / 2) tr(H) and the PAC-Bayes term
-    sqrt(tr(H) / n)."""
+    sqrt(tr(H) / n).  ``is_full`` says whether all ``dim`` eigenvalues were
+    computed, i.e. whether the condition number uses the true lambda_min
+    (NULL when the dimension is not given)."""
     run_cols = list(run_cols)
     v = F.col(value_col)
     agg = spectrum.groupBy(*run_cols).agg(
@@ -221,7 +223,9 @@ def spectrum_summary(spectrum: DataFrame, run_cols=("run_id",), value_col="eigen
         F.when(tr > 0, lam0 / tr).otherwise(F.lit(0.0)).alias("sharpness_score"),
         F.when(lam0 > 0, F.lit(1.0) / lam0).otherwise(F.lit(float("inf"))).alias("flatness_index"),
         (F.lit(sigma2 / 2.0) * tr).alias("noise_sensitivity"),
-        F.sqrt(F.greatest(tr, F.lit(0.0)) / F.lit(float(n_train))).alias("pac_bayes_term"))
+        F.sqrt(F.greatest(tr, F.lit(0.0)) / F.lit(float(n_train))).alias("pac_bayes_term"),
+        ((F.col("n_eigenvalues") >= F.lit(dim)) if dim is not None
+         else F.lit(None).cast("boolean")).alias("is_full"))
 
 
 def explained_variance(spectrum: DataFrame, run_col="run_id", idx_col="idx",

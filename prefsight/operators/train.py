@@ -49,6 +49,7 @@ class RunState:
     m: np.ndarray | None = None
     v: np.ndarray | None = None
     log: list = field(default_factory=list)
+    failed: bool = False
 
 
 def _update(st: RunState, g: np.ndarray, lr: float) -> None:
@@ -127,12 +128,16 @@ def fit_many(pairs: DataFrame, runs, dim: int, diff_col: str = "d", steps: int =
                 return out
             sums = partial_sums(batch, "d", (M, dim + 3), fn)
             for i, st in enumerate(states):
+                if st.failed:
+                    continue
                 n = max(sums[i, dim + 2], 1.0)
                 g = _clip(sums[i, :dim] / n)
                 rate = lr_at(step, lr, warmup, steps)
                 st.log.append((step, float(sums[i, dim] / n), float(sums[i, dim + 1] / n), rate,
                                float(np.linalg.norm(g))))
                 _update(st, g, rate)
+                if not np.all(np.isfinite(st.w)):
+                    st.failed = True  # a diverged run is skipped, the others go on
         return states
     finally:
         df.unpersist()

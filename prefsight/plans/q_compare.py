@@ -25,7 +25,8 @@ def cmp_grid(t):
     all 15 runs); final loss / accuracy of each run."""
     states = tr.fit_many(V.v_pairs_feat(t), [(o, s) for o in OPTIMIZERS for s in SEEDS], DIM,
                          steps=20, lr=0.05, warmup=2)
-    rows = [(s.optimizer, s.seed, s.log[-1][1], s.log[-1][2], len(s.log)) for s in states]
+    rows = [(s.optimizer, s.seed, s.log[-1][1], s.log[-1][2], len(s.log))
+            for s in states if not s.failed]
     return t.spark.createDataFrame(rows, "optimizer string, seed int, final_train_loss double, "
                                          "final_train_accuracy double, steps int")
 

@@ -89,7 +89,8 @@ SELECT run_id, n_eigenvalues, top_eigenvalue, s AS trace,
        CASE WHEN sq > 0 THEN s * s / sq ELSE 1.0e0 END AS effective_rank,
        CASE WHEN s > 0 THEN top_eigenvalue / s ELSE 0.0e0 END AS sharpness_score,
        CASE WHEN top_eigenvalue > 0 THEN 1.0e0 / top_eigenvalue ELSE CAST('inf' AS DOUBLE) END AS flatness_index,
-       0.005e0 * s AS noise_sensitivity, sqrt(greatest(s, 0.0e0) / 100000.0e0) AS pac_bayes_term
+       0.005e0 * s AS noise_sensitivity, sqrt(greatest(s, 0.0e0) / 100000.0e0) AS pac_bayes_term,
+       CAST(NULL AS BOOLEAN) AS is_full
 FROM a
 """, rnd=["top_eigenvalue", "trace", "condition_number", "effective_rank", "sharpness_score",
           "flatness_index", "noise_sensitivity", "pac_bayes_term"])
@@ -140,7 +141,8 @@ SELECT run_id, epoch, n_eigenvalues, top_eigenvalue, s AS trace,
        CASE WHEN sq > 0 THEN s * s / sq ELSE 1.0e0 END AS effective_rank,
        CASE WHEN s > 0 THEN top_eigenvalue / s ELSE 0.0e0 END AS sharpness_score,
        CASE WHEN top_eigenvalue > 0 THEN 1.0e0 / top_eigenvalue ELSE CAST('inf' AS DOUBLE) END AS flatness_index,
-       0.005e0 * s AS noise_sensitivity, sqrt(greatest(s, 0.0e0) / 100000.0e0) AS pac_bayes_term
+       0.005e0 * s AS noise_sensitivity, sqrt(greatest(s, 0.0e0) / 100000.0e0) AS pac_bayes_term,
+       CAST(NULL AS BOOLEAN) AS is_full
 FROM a
 """, rnd=["top_eigenvalue", "trace", "condition_number", "effective_rank", "sharpness_score",
           "flatness_index", "noise_sensitivity", "pac_bayes_term"])

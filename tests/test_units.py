@@ -154,6 +154,20 @@ def test_probability_one_counts_but_in_no_bin(spark):
     assert r["ece"] == pytest.approx(0.25)
 
 
+def test_close_top_bins_probability_one(spark):
+    df = spark.createDataFrame([(0, 40.0), (1, 0.0)], "pair_id long, margin double")
+    assert ev.calibration_report(df, close_top=True).first()["ece"] == pytest.approx(0.25)
+    rel = ev.reliability_table(df).collect()
+    assert sum(r["n"] for r in rel) == 1  # p == 1.0 dropped from the table by default
+
+
+def test_spectrum_is_full(spark):
+    spec = ls.spectrum_frame(spark, [3.0, 2.0, 1.0], "r")
+    assert ls.spectrum_summary(spec, dim=3).first()["is_full"] is True
+    assert ls.spectrum_summary(spec, dim=10).first()["is_full"] is False
+    assert ls.spectrum_summary(spec).first()["is_full"] is None
+
+
 def test_one_pass_ece_equals_table_form(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(0, 2, 500)
