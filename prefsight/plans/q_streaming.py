@@ -12,7 +12,7 @@ from prefsight.streaming import monitors as mo
 
 WINDOW = "1 day"
 WATERMARK = "1 hour"
-_WSTART = "strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d %H:%M:%S')"
+_WSTART = "CAST(epoch(time_bucket(INTERVAL '1 day', ts)) AS BIGINT)"
 
 
 def margins_ts(t):

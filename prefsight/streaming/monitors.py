@@ -20,8 +20,12 @@ from prefsight.sources import io
 
 
 def event_time(df: DataFrame, ts_col: str = "ts") -> DataFrame:
-    """TIMESTAMP_NTZ cannot carry a watermark: cast to TIMESTAMP (session UTC)."""
-    return df.withColumn(ts_col, F.col(ts_col).cast("timestamp"))
+    """TIMESTAMP_NTZ cannot carry a watermark: turn the wall-clock value into
+    the TIMESTAMP of that UTC instant, whatever the session time zone is."""
+    t = F.col(ts_col)
+    utc = F.make_timestamp(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.minute(t),
+                           F.date_part(F.lit("SECOND"), t), F.lit("UTC"))
+    return df.withColumn(ts_col, utc)
 
 
 def _window_cols(window: str):
@@ -30,7 +34,8 @@ def _window_cols(window: str):
 
 
 def _window_out(cols=()):
-    return [F.date_format(F.col("w.start"), "yyyy-MM-dd HH:mm:ss").alias("window_start"), *cols]
+    # epoch seconds of the window start: independent of the session time zone
+    return [F.unix_seconds(F.col("w.start")).alias("window_start"), *cols]
 
 
 def windowed_calibration(df: DataFrame, group_cols=("grp",), margin_col="margin",
