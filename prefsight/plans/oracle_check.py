@@ -38,6 +38,22 @@ def _rows(cols, records):
     return sorted(rows, key=repr)
 
 
+_DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                  "BOOLEAN": "boolean", "FLOAT": "float", "SMALLINT": "smallint", "DATE": "date",
+                  "TIMESTAMP": "timestamp_ntz", "HUGEINT": "hugeint", "TINYINT": "tinyint"}
+
+
+def type_mismatches(sdf, rel) -> list:
+    """Columns whose Spark and DuckDB types differ (by name)."""
+    s_types = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+    bad = []
+    for name, t in zip(rel.columns, rel.types):
+        dt = _DUCK_TO_SPARK.get(str(t), str(t).lower())
+        if s_types.get(name) != dt:
+            bad.append((name, s_types.get(name), str(t)))
+    return bad
+
+
 def compare(spark, spec, sf_dir: str, con=None) -> dict:
     con = con or duck_connection(sf_dir)
     sdf = spec.run(spark, sf_dir)
@@ -48,6 +64,7 @@ def compare(spark, spec, sf_dir: str, con=None) -> dict:
         out["status"] = "rows-only"
         return out
     rel = con.sql(spec.sql)
+    out["type_mismatches"] = type_mismatches(sdf, rel)
     o_cols = rel.columns
     o_rows = rel.fetchall()
     out["oracle_rows"] = len(o_rows)

@@ -128,7 +128,7 @@ SELECT event_type AS run_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS
 FROM events
 """, []),
     "v_spectrum": ("""
-SELECT run_id, idx, eigenvalue FROM (
+SELECT run_id, CAST(idx AS INTEGER) AS idx, eigenvalue FROM (
   SELECT event_type AS run_id, value AS eigenvalue,
          row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) - 1 AS idx
   FROM events) WHERE idx < 20
