@@ -7,7 +7,7 @@ Every operator is a distributed pass over the (cached) pairs:
 * Gramian (full H, d <= 2048): one pass, d x d partial sums.
 * Hessian-vector products: one pass per product (matrix-free, any d).
 * Hutchinson trace: ONE pass for all probes.
-* Loss surface: grid explode + map-side partial aggregation.
+* Loss surface: one pass, numpy batch x grid losses summed per partition.
 
 Tabular operators (spectrum summary, explained variance, history) work on a
 long spectrum table (run, idx, eigenvalue).
@@ -262,17 +262,28 @@ def loss_surface(pairs: DataFrame, w, u1, u2, diff_col: str = "d", span: float =
                  points: int = 21) -> DataFrame:
     """LND-8: mean loss at w + alpha u1 + beta u2 over a points x points grid.
 
-    Per pair only (m0, a, b) = (w.d, u1.d, u2.d) are kept; the grid is a
-    literal generator and the mean is a map-side partial aggregate, so the
-    shuffle carries points^2 rows per partition."""
-    g = surface_grid(span, points)
-    grid = F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for a in g for b in g])
-    base = pairs.select(dot(lit_vector(w), diff_col).alias("m0"),
-                        dot(lit_vector(u1), diff_col).alias("a"),
-                        dot(lit_vector(u2), diff_col).alias("b"))
-    exp = base.select("m0", "a", "b", F.inline(grid))
-    loss = softplus_neg(F.col("m0") + F.col("alpha") * F.col("a") + F.col("beta") * F.col("b"))
-    return exp.groupBy("alpha", "beta").agg(F.avg(loss).alias("loss"))
+    One distributed pass: every Arrow batch computes (m0, a, b) = (w.d, u1.d,
+    u2.d) and the whole batch x grid loss matrix with numpy, keeping one
+    running sum per grid point; partitions are added by ``partial_sums``.
+    Only points^2 sums leave the tasks."""
+    from prefsight.operators.linalg import softplus_neg_np
+
+    g = np.asarray(surface_grid(span, points))
+    alpha = np.repeat(g, points)
+    beta = np.tile(g, points)
+    w, u1, u2 = (np.asarray(v, dtype=np.float64) for v in (w, u1, u2))
+
+    def fn(X, _):
+        m0, a, b = X @ w, X @ u1, X @ u2
+        M = m0[:, None] + alpha[None, :] * a[:, None] + beta[None, :] * b[:, None]
+        out = np.empty(alpha.size + 1)
+        out[:-1] = softplus_neg_np(M).sum(axis=0)
+        out[-1] = X.shape[0]
+        return out
+    sums = partial_sums(pairs.select(diff_col), diff_col, (alpha.size + 1,), fn)
+    n = max(sums[-1], 1.0)
+    rows = [(float(x), float(y), float(v / n)) for x, y, v in zip(alpha, beta, sums[:-1])]
+    return pairs.sparkSession.createDataFrame(rows, "alpha double, beta double, loss double")
 
 
 def surface_directions(w, seed_vector=None):
