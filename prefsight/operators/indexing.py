@@ -35,12 +35,12 @@ def global_index(df: DataFrame, order_cols, idx_col: str = "idx",
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     sort_cols = [_as_sort_col(c) for c in order_cols]
-    # shuffle.partitions, but no more than a few task waves of the cluster:
-    # a 200-partition default on a small session is mostly scheduling cost,
-    # while a cluster configured for 100 TB keeps its full count
-    n = num_partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                              4 * spark.sparkContext.defaultParallelism)
-    ordered = (df.repartitionByRange(n, *sort_cols)
+    # Without an explicit count the range shuffle has spark.sql.shuffle.partitions
+    # partitions and AQE may coalesce neighbouring ones by data size (order is
+    # kept); the checkpoint freezes whatever partitioning ran.
+    ranged = (df.repartitionByRange(num_partitions, *sort_cols) if num_partitions
+              else df.repartitionByRange(*sort_cols))
+    ordered = (ranged
                .sortWithinPartitions(*sort_cols)
                .withColumn("_pid", F.spark_partition_id())
                .withColumn("_mid", F.monotonically_increasing_id())

@@ -15,7 +15,7 @@ SHOW = {
     "act_select": "top-k as TakeOrderedAndProject",
     "mrg_stats": "exact quartiles from range-partitioned positions, joined back",
     "rwd_margin": "models inlined as a literal array: Generate, no join",
-    "lnd_surface": "grid generator with map-side partial aggregation",
+    "evl_temperature": "41 temperatures as conditional aggregates of ONE pass, then min_by",
     "txt_vocab": "token counts partial-aggregated, top-V TakeOrderedAndProject",
     "cnv_transcript": "pure projection over a join of two transcript aggregates",
     "str_calibration_batch": "the streaming monitor's batch twin: one aggregate per window",
