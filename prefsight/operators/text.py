@@ -40,13 +40,12 @@ def tokens(text: Column) -> Column:
 
 
 def texts_long(df: DataFrame, key_col="pair_id", fields=("prompt", "chosen", "rejected")):
-    """One row per (key, field, text) -- the corpus the vocabulary is built on."""
-    parts = [df.select(F.col(key_col).alias("key"), F.lit(f).alias("field"), F.col(f).alias("text"))
-             for f in fields]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """One row per (key, field, text) -- the corpus the vocabulary is built on.
+
+    A single scan emits the fields through one generator (a union of one
+    select per field would evaluate the input plan once per field)."""
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
+    return df.select(F.col(key_col).alias("key"), F.inline(rows))
 
 
 def build_vocabulary(corpus: DataFrame, text_col="text", size: int = 5000) -> DataFrame:
