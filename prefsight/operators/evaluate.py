@@ -143,10 +143,9 @@ def auc(df: DataFrame, chosen_col: str, rejected_col: str, key_col: str,
     group_cols = list(group_cols)
     keys = group_cols or ["_all"]
     base = df if group_cols else df.withColumn("_all", F.lit(0))
-    scores = (base.select(*keys, F.col(chosen_col).cast("double").alias("s"),
-                          F.lit(1).alias("lab"), F.col(key_col).alias("k"))
-              .unionByName(base.select(*keys, F.col(rejected_col).cast("double").alias("s"),
-                                       F.lit(0).alias("lab"), F.col(key_col).alias("k"))))
+    both = F.array(F.struct(F.col(chosen_col).cast("double").alias("s"), F.lit(1).alias("lab")),
+                   F.struct(F.col(rejected_col).cast("double").alias("s"), F.lit(0).alias("lab")))
+    scores = base.select(*keys, F.col(key_col).alias("k"), F.inline(both))  # one scan
     ranked = index_within_group(scores, keys, ["s", "lab", "k"], "pos")
     tie = ranked.groupBy(*keys, "s").agg(
         ((F.min("pos") + F.max("pos")) / 2.0 + 1.0).alias("avg_rank"))

@@ -46,9 +46,7 @@ FROM v_reject
 """)
 def src_validate(t):
     """SRC-3: validation with quarantine; error is NULL for accepted rows."""
-    valid, rejected = io.validate_pairs(V.v_reject(t))
-    return valid.select("pair_id", F.lit(None).cast("string").alias("error")) \
-        .unionByName(rejected.select("pair_id", "error"))
+    return io.tag_errors(V.v_reject(t)).select("pair_id", "error")
 
 
 @query("src_rename", """

@@ -67,9 +67,9 @@ def str_ingest(t):
 def str_ingest_batch(t):
     """STR-1 batch twin: the same validation over the static table."""
     from prefsight.sources import io
-    valid, rejected = io.validate_pairs(V.v_reject(t))
-    return valid.select("pair_id", F.lit("valid").alias("status"), F.lit(None).cast("string").alias("error")) \
-        .unionByName(rejected.select("pair_id", F.lit("rejected").alias("status"), "error"))
+    tagged = io.tag_errors(V.v_reject(t))
+    return tagged.select("pair_id", F.when(F.col("error").isNull(), F.lit("valid"))
+                         .otherwise(F.lit("rejected")).alias("status"), "error")
 
 
 @query("str_calibration")

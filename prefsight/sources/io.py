@@ -70,8 +70,8 @@ def _bad_text(c: str):
     return F.col(c).isNull() | (F.length(F.col(c)) == 0)
 
 
-def validate_pairs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """SRC-3: split into (valid, rejected-with-reason).
+def tag_errors(df: DataFrame) -> DataFrame:
+    """SRC-3: add ``error`` (NULL for a valid pair, else the first reason).
 
     NULL or empty texts are rejected (whitespace-only is accepted, as in the
     reference); a margin that is present but not numeric is rejected."""
@@ -80,7 +80,13 @@ def validate_pairs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         m = F.col("margin")
         numeric = m.try_cast("double") if hasattr(m, "try_cast") else F.expr("try_cast(margin AS double)")
         reasons.append(F.when(m.isNotNull() & numeric.isNull(), F.lit("margin must be numeric")))
-    tagged = df.withColumn("error", F.coalesce(*reasons))
+    return df.withColumn("error", F.coalesce(*reasons))
+
+
+def validate_pairs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SRC-3: split into (valid, rejected-with-reason) -- two filters of one
+    tagged frame (write both from ``foreachBatch`` or cache when reused)."""
+    tagged = tag_errors(df)
     valid = tagged.filter(F.col("error").isNull()).drop("error")
     if "margin" in df.columns:
         valid = valid.withColumn("margin", F.col("margin").cast("double"))

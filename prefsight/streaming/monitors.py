@@ -155,12 +155,17 @@ def ingest_stream(spark: SparkSession, source: str, schema, name: str = "ingest"
     ckpt = scratch_path(spark, f"{name}-ckpt")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # one folder per micro-batch, overwritten on retry: exactly-once output
-        valid, rejected = io.validate_pairs(batch)
-        valid.select("pair_id", render(F.col("prompt"), F.col("chosen")).alias("chosen_text"),
-                     render(F.col("prompt"), F.col("rejected")).alias("rejected_text")) \
-            .write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
-        rejected.select("pair_id", "error").write.mode("overwrite").parquet(f"{bad}/batch={batch_id}")
+        # one folder per micro-batch, overwritten on retry: exactly-once output;
+        # the micro-batch (bounded by maxFilesPerTrigger) is cached for its two sinks
+        batch.persist()
+        try:
+            valid, rejected = io.validate_pairs(batch)
+            valid.select("pair_id", render(F.col("prompt"), F.col("chosen")).alias("chosen_text"),
+                         render(F.col("prompt"), F.col("rejected")).alias("rejected_text")) \
+                .write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
+            rejected.select("pair_id", "error").write.mode("overwrite").parquet(f"{bad}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
     q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", ckpt)
