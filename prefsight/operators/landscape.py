@@ -22,7 +22,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefsight.functions import dot, lit_vector, softplus_neg
+from prefsight.functions import dot, lit_vector
 from prefsight.operators.linalg import partial_sums, sigmoid_np
 
 MAX_DIM_FULL = 2048
@@ -121,7 +121,6 @@ class Curvature:
     def top_eigenvalues_svd(self, k: int) -> list[float]:
         """LND-4: eigenvalues as squared singular values of rows sqrt(p(1-p)/n) d
         via the distributed RowMatrix SVD (ARPACK for large d)."""
-        from pyspark.ml.functions import vector_to_array  # noqa: F401  (ensures ml loaded)
         from pyspark.mllib.linalg import Vectors
         from pyspark.mllib.linalg.distributed import RowMatrix
         w, n = self.w, max(self.n, 1)
