@@ -209,3 +209,63 @@ def fit_temperature(df: DataFrame, group_cols=(), margin_col="margin", label_mod
                                 F.struct("loss", "temperature")).alias("b"))
         out = b.select(F.col("b.temperature").alias("temperature"), F.col("b.loss").alias("loss"))
     return out
+
+
+def _neighbours(lo, hi, k, points):
+    """Grid points k-1 and k+1 (clamped) of linspace(lo, hi, points)."""
+    step = lambda i: lo + (hi - lo) * i / F.lit(points - 1)
+    return step(F.greatest(k - 1, F.lit(0))), step(F.least(k + 1, F.lit(points - 1)))
+
+
+def refine_temperature(df: DataFrame, bounds: DataFrame, group_cols, margin_col="margin",
+                       label_mode="chosen", points: int = 21) -> DataFrame:
+    """One refinement round: ``points`` temperatures spaced evenly on each
+    group's [lo, hi], all scored in ONE pass as conditional aggregates; returns
+    the best (temperature, loss) and the next round's [lo, hi] per group.
+
+    ``bounds`` has one row per group (AQE broadcasts it when small)."""
+    group_cols = list(group_cols)
+    m = F.col(margin_col)
+    y = label_col(m, label_mode)
+    j = df.join(bounds.select(*group_cols, "lo", "hi"), group_cols)
+    lo, hi = F.col("lo"), F.col("hi")
+
+    def t_at(k):
+        return lo + (hi - lo) * F.lit(k) / F.lit(points - 1)
+    aggs = []
+    for k in range(points):
+        z = m / t_at(k)
+        aggs.append(F.avg(y * softplus_neg(z) + (F.lit(1.0) - y) * softplus_neg(-z)).alias(f"_l{k}"))
+    wide = j.groupBy(*group_cols, "lo", "hi").agg(*aggs)
+    long = F.array(*[F.struct(F.lit(k).alias("k"), t_at(k).alias("temperature"),
+                              F.col(f"_l{k}").alias("loss")) for k in range(points)])
+    rows = wide.select(*group_cols, "lo", "hi", F.inline(long))
+    best = rows.groupBy(*group_cols).agg(
+        F.min_by(F.struct("k", "temperature", "loss", "lo", "hi"), F.struct("loss", "k")).alias("b"))
+    nlo, nhi = _neighbours(F.col("b.lo"), F.col("b.hi"), F.col("b.k"), points)
+    return best.select(*group_cols, F.col("b.temperature").alias("temperature"),
+                       F.col("b.loss").alias("loss"), nlo.alias("lo"), nhi.alias("hi"))
+
+
+def fit_temperature_refined(df: DataFrame, group_cols=(), margin_col="margin",
+                            label_mode="chosen", grid=None, rounds: int = 2,
+                            points: int = 21) -> DataFrame:
+    """EVL-8: coarse bounded grid, then ``rounds`` refinements between the
+    neighbours of the current best, per group; every round is one pass."""
+    group_cols = list(group_cols)
+    keys = group_cols or ["_all"]
+    base = df if group_cols else df.withColumn("_all", F.lit(0))
+    grid = list(grid or temperature_grid())
+    losses = temperature_losses(base, grid, keys, margin_col, label_mode)
+    idx = F.create_map(*[x for i, t in enumerate(grid) for x in (F.lit(float(t)), F.lit(i))])
+    gl = F.array(*[F.lit(float(t)) for t in grid])
+    best = losses.withColumn("k", F.element_at(idx, F.col("temperature"))).groupBy(*keys).agg(
+        F.min_by(F.col("k"), F.struct("loss", "k")).alias("k"))
+    bounds = best.select(*keys,
+                         F.element_at(gl, F.greatest(F.col("k") - 1, F.lit(0)) + 1).alias("lo"),
+                         F.element_at(gl, F.least(F.col("k") + 1, F.lit(len(grid) - 1)) + 1).alias("hi"))
+    out = None
+    for _ in range(rounds):
+        out = refine_temperature(base, bounds, keys, margin_col, label_mode, points)
+        bounds = out.select(*keys, "lo", "hi")
+    return out.select(*group_cols, "temperature", "loss")

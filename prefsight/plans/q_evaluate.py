@@ -135,3 +135,33 @@ SELECT grp, arg_min(temperature, loss) AS temperature, min(loss) AS loss FROM l
 def evl_temperature(t):
     """EVL-8: temperature scaling by a bounded grid search in one pass."""
     return ev.fit_temperature(V.v_margins(t), ["grp"], grid=_GRID)
+
+
+def _refine_sql(prev: str, name: str) -> str:
+    """One refinement round in SQL: 21 points on [lo, hi] per group."""
+    return f"""
+{name}_pts AS (SELECT b.grp, b.lo, b.hi, k.range AS k, b.lo + (b.hi - b.lo) * k.range / 20 AS t
+               FROM {prev} b, range(21) k),
+{name}_l AS (SELECT p.grp, p.lo, p.hi, p.k, p.t, avg({S.softplus_neg('m.margin / p.t')}) AS loss
+             FROM v_margins m JOIN {name}_pts p ON p.grp = m.grp GROUP BY p.grp, p.lo, p.hi, p.k, p.t),
+{name} AS (SELECT grp, arg_min(t, (loss, k)) AS temperature, min(loss) AS loss,
+                  arg_min(lo + (hi - lo) * greatest(k - 1, 0) / 20, (loss, k)) AS lo,
+                  arg_min(lo + (hi - lo) * least(k + 1, 20) / 20, (loss, k)) AS hi
+           FROM {name}_l GROUP BY grp)"""
+
+
+@query("evl_temperature_refined", f"""
+WITH g AS (SELECT unnest({S.list_lit(_GRID)}) AS temperature,
+                  generate_subscripts({S.list_lit(_GRID)}, 1) - 1 AS k),
+c AS (SELECT m.grp, g.k, avg({S.softplus_neg('m.margin / g.temperature')}) AS loss
+      FROM v_margins m, g GROUP BY m.grp, g.k),
+cb AS (SELECT grp, arg_min(k, (loss, k)) AS k FROM c GROUP BY grp),
+b0 AS (SELECT grp, {S.list_lit(_GRID)}[greatest(k - 1, 0) + 1] AS lo,
+              {S.list_lit(_GRID)}[least(k + 1, {len(_GRID) - 1}) + 1] AS hi FROM cb),
+{_refine_sql('b0', 'r1').strip()},
+{_refine_sql('r1', 'r2').strip()}
+SELECT grp, temperature, loss FROM r2
+""", rnd=["temperature", "loss"])
+def evl_temperature_refined(t):
+    """EVL-8 with two refinement rounds per group (three passes in all)."""
+    return ev.fit_temperature_refined(V.v_margins(t), ["grp"], grid=_GRID, rounds=2)
