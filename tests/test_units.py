@@ -300,3 +300,14 @@ def test_active_loop_conserves_rows(spark):
     h = hist.orderBy("round").collect()
     assert [r["selected"] for r in h] == [100, 100, 50]
     assert h[-1]["pool_remaining"] == 0 and lab.count() == 250
+
+
+def test_read_preferences_json_document(spark, tmp_path):
+    import json
+    path = tmp_path / "pairs.json"
+    path.write_text(json.dumps([{"question": "q1", "good": "a", "bad": "b", "score": 0.5},
+                                {"question": "q2", "good": "c\n\"quoted\"", "bad": "d", "score": 0.25}]))
+    df = io.read_preferences(spark, str(path), prompt_col="question", chosen_col="good",
+                             rejected_col="bad", margin_col="score", multi_line=True)
+    got = sorted((r["prompt"], r["chosen"], r["rejected"], r["margin"]) for r in df.collect())
+    assert got == [("q1", "a", "b", 0.5), ("q2", "c\n\"quoted\"", "d", 0.25)]
