@@ -98,6 +98,10 @@ def word_hashes(texts: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, offsets)
 
 
+#: Independent odd multipliers of the places of a run of words.
+_PLACE = mix(np.arange(0x5EED, 0x5EED + 64, dtype=np.uint64)) | np.uint64(1)
+
+
 def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` consecutive hashes; empty if there are fewer."""
     n = len(hashes) - size + 1
@@ -105,7 +109,7 @@ def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     total = np.full(n, size, np.uint64)
     for j in range(size):
-        total += hashes[j:j + n] * np.uint64((0xC2B2AE3D27D4EB4F * (2 * j + 1)) & _M64 | 1)
+        total += hashes[j:j + n] * _PLACE[j]
     return mix(total)
 
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prefsight.llm.op8_decontaminate import decontaminate
+from prefsight.llm.op10_ngram_join import ngram_components
 from prefsight.session import ensure_checkpoint_dir
 
 
@@ -23,8 +24,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_decontaminate,)
+    f.__name__: f for f in (op8_decontaminate, op10_ngram_join)
 }
 
 #: Words of operator 8 of a text column, as SQL.
@@ -61,6 +66,30 @@ FROM docs d LEFT JOIN words h ON d.doc_id = h.doc_id LEFT JOIN found f ON d.doc_
 }
 
 
+SQL["op10_ngram_join"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, list_slice(w, s, s + least(len(w), 5) - 1) AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - least(len(w), 5) + 1)) AS s
+        FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach AS (
+  SELECT doc_id AS x, doc_id AS root FROM docs
+  UNION SELECT l.y, r.root FROM reach r JOIN links l ON l.x = r.x WHERE r.root < l.y)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles,
+       (SELECT min(root) FROM reach r WHERE r.x = d.doc_id) AS component_id
+FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     return QUERIES[name](spark, sf_dir)
