@@ -75,11 +75,12 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return made
 
 
-def word_hashes(texts: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and each text's bounds in that array.
+def word_spans(texts: list[bytes], kind: str, prefixes: tuple[int, ...] = ()):
+    """Words of all texts: ``(hashes, starts, sizes, prefix_hashes, buffer, offsets)``.
 
-    Returns ``(hashes, bounds)``; the words of text i are
-    ``hashes[bounds[i]:bounds[i + 1]]``.
+    ``buffer`` holds the texts, each followed by a line break, from ``offsets``;
+    ``prefix_hashes[k]`` are the words of more than k bytes and the hashes of
+    their first k bytes.
     """
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     n = len(buf)
@@ -95,6 +96,21 @@ def word_hashes(texts: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])
+    sizes = ends - starts
+    beginnings = {}
+    for k in prefixes:
+        at = np.flatnonzero(sizes > k)
+        beginnings[k] = at, mix((sums[starts[at] + k] - sums[starts[at]]) * inverse[starts[at]])
+    return hashes, starts, sizes, beginnings, buf, offsets
+
+
+def word_hashes(texts: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, and each text's bounds in that array.
+
+    Returns ``(hashes, bounds)``; the words of text i are
+    ``hashes[bounds[i]:bounds[i + 1]]``.
+    """
+    hashes, starts, _, _, _, offsets = word_spans(texts, kind)
     return hashes, np.searchsorted(starts, offsets)
 
 

@@ -10,7 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from prefsight.llm.op2_lm_score import lm_scores
+from prefsight.llm.op5_toxicity import score_toxicity, train_toxicity
 from prefsight.llm.op8_decontaminate import decontaminate
 from prefsight.llm.op10_ngram_join import ngram_components
 from prefsight.session import ensure_checkpoint_dir
@@ -20,6 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # crc32 of a null id is null: such a row is scored as held out, never learnt from.
+    fold = F.crc32(F.col("doc_id").cast("string")) % 7
+    docs = docs.withColumn("held_out", F.coalesce(fold == 2, F.lit(True)))
+    return lm_scores(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
+
+
+def toxicity_held_out():
+    """Fold whose labels are never learnt; a null id counts as held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", toxicity_held_out())
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"), ~F.col("held_out"))
+    return score_toxicity(docs, model, keep=["doc_id", "held_out"])
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
@@ -29,7 +51,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_decontaminate, op10_ngram_join)
+    f.__name__: f for f in (op2_lm_score, op5_toxicity, op8_decontaminate, op10_ngram_join)
 }
 
 #: Words of operator 8 of a text column, as SQL.
