@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefsight.llm.op2_lm_score import lm_scores
+from prefsight.llm.op3_redirect_filter import filter_urls
 from prefsight.llm.op5_toxicity import score_toxicity, train_toxicity
+from prefsight.llm.op6_merge_dropout import encode_pieces
+from prefsight.llm.op7_length_histogram import length_counts, suffix_sums
 from prefsight.llm.op8_decontaminate import decontaminate
 from prefsight.llm.op10_ngram_join import ngram_components
 from prefsight.session import ensure_checkpoint_dir
@@ -31,6 +34,10 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
 
 
+def op3_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def toxicity_held_out():
     """Fold whose labels are never learnt; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True))
@@ -42,6 +49,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model, keep=["doc_id", "held_out"])
 
 
+def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op7_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_sums(length_counts(table(spark, sf_dir, "documents")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
@@ -51,7 +66,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_lm_score, op5_toxicity, op8_decontaminate, op10_ngram_join)
+    f.__name__: f for f in (op2_lm_score, op3_redirect_filter, op5_toxicity, op6_merge_dropout, op7_length_histogram,
+                                    op8_decontaminate, op10_ngram_join)
 }
 
 #: Words of operator 8 of a text column, as SQL.
@@ -88,6 +104,66 @@ FROM docs d LEFT JOIN words h ON d.doc_id = h.doc_id LEFT JOIN found f ON d.doc_
 }
 
 
+def _host(url: str) -> str:
+    return (f"coalesce(translate(regexp_extract({url}, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+            "'abcdefghijklmnopqrstuvwxyz'), '')")
+
+
+def _path(url: str) -> str:
+    return f"coalesce(regexp_extract({url}, '://[^/?#]*([^?#]*)', 1), '')"
+
+
+def _target(tag: str, attribute: str) -> str:
+    value = f"""regexp_extract({tag}, '(?is)\\b{attribute}\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>]+)', 1)"""
+    return f"""replace(trim(regexp_replace({value}, '^["'']|["'']$', '', 'g')), '&amp;', '&')"""
+
+
+SQL["op3_redirect_filter"] = f"""
+WITH RECURSIVE rules(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+  ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+found AS (
+  SELECT url AS src, {_target('t', 'href')} AS t FROM (
+    SELECT url, unnest(regexp_extract_all(html, '(?is)<link\\b[^>]*>')) AS t FROM pages WHERE url IS NOT NULL)
+  WHERE regexp_matches(t, '(?is)\\brel\\s*=\\s*["'']?\\s*canonical\\b')
+  UNION ALL
+  SELECT url, replace(regexp_extract(t, '(?is)\\burl\\s*=\\s*[''"]?([^"''>\\s]+)', 1), '&amp;', '&') FROM (
+    SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\\b[^>]*>')) AS t FROM pages WHERE url IS NOT NULL)
+  WHERE regexp_matches(t, '(?is)\\bhttp-equiv\\s*=\\s*["'']?\\s*refresh\\b')),
+linked AS (
+  SELECT src, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+    WHEN starts_with(t, '//') THEN regexp_extract(src, '^([^?#]*?:)//', 1) || t
+    WHEN starts_with(t, '/') THEN regexp_extract(src, '^([^?#]*?://[^/?#]*)', 1) || t
+    WHEN regexp_extract(src, '^([^?#]*?://[^?#]*/)', 1) = ''
+      THEN regexp_extract(src, '^([^?#]*?://[^/?#]*)', 1) || '/' || t
+    ELSE regexp_extract(src, '^([^?#]*?://[^?#]*/)', 1) || t END AS dst
+  FROM found WHERE t <> ''),
+urls AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT src FROM linked UNION SELECT dst FROM linked),
+forms AS (
+  SELECT url AS src, 'canonical ' || regexp_replace(regexp_replace({_host('url')}, '^www[.]', ''), ':(80|443)$', '')
+    || regexp_replace({_path('url')}, '(/index[.]html?)?/*$', '')
+    || CASE WHEN q = '' THEN '' ELSE '?' || q END AS dst
+  FROM (SELECT url, regexp_replace(regexp_replace(regexp_extract(url, '://[^?#]*[?]([^#]*)', 1),
+          '(^|&)(utm_[^=&]*|ref|gclid|fbclid)(=[^&]*)?', '', 'g'), '^&+', '') AS q FROM urls)
+  WHERE contains(url, '://')),
+edges AS (SELECT src, dst FROM linked UNION SELECT src, dst FROM forms),
+both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+reach AS (
+  SELECT DISTINCT x, x AS root FROM (SELECT url AS x FROM urls UNION SELECT dst FROM edges)
+  UNION SELECT e.dst, r.root FROM reach r JOIN both_ways e ON e.src = r.x WHERE r.root < e.dst),
+groups AS (SELECT x, min(root) AS g FROM reach GROUP BY x),
+fitted AS (
+  SELECT u.url, arg_max(r.host || r.path, length(r.host || r.path) * 2 + (r.verdict = 'allow')::INT) AS rule,
+         arg_max(r.verdict, length(r.host || r.path) * 2 + (r.verdict = 'allow')::INT) AS verdict
+  FROM urls u JOIN rules r ON ({_host('u.url')} = r.host OR ends_with({_host('u.url')}, '.' || r.host))
+    AND starts_with({_path('u.url')}, r.path) GROUP BY u.url),
+decided AS (
+  SELECT g.g, max(CASE f.verdict WHEN 'allow' THEN 1 WHEN 'block' THEN 0 END) AS decision
+  FROM groups g JOIN fitted f ON f.url = g.x GROUP BY g.g)
+SELECT p.page_id, {_host('p.url')} AS host, {_path('p.url')} AS path, f.rule,
+       coalesce(f.verdict, CASE d.decision WHEN 0 THEN 'block' ELSE 'allow' END) AS verdict, g.g AS alias_group
+FROM pages p LEFT JOIN fitted f ON f.url = p.url LEFT JOIN groups g ON g.x = p.url LEFT JOIN decided d ON d.g = g.g
+"""
+
 SQL["op10_ngram_join"] = r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
