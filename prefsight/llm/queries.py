@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from prefsight.llm.op2_lm_score import lm_scores
 from prefsight.llm.op3_redirect_filter import filter_urls
+from prefsight.llm.op4_rotation_codes import vector_links
 from prefsight.llm.op5_toxicity import score_toxicity, train_toxicity
 from prefsight.llm.op6_merge_dropout import encode_pieces
 from prefsight.llm.op7_length_histogram import length_counts, suffix_sums
 from prefsight.llm.op8_decontaminate import decontaminate
+from prefsight.llm.op9_tag_path import extract_pages
 from prefsight.llm.op10_ngram_join import ngram_components
 from prefsight.session import ensure_checkpoint_dir
 
@@ -38,6 +40,10 @@ def op3_redirect_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links(table(spark, sf_dir, "embeddings"))
+
+
 def toxicity_held_out():
     """Fold whose labels are never learnt; a null id counts as held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True))
@@ -61,13 +67,18 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op9_tag_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_lm_score, op3_redirect_filter, op5_toxicity, op6_merge_dropout, op7_length_histogram,
-                                    op8_decontaminate, op10_ngram_join)
+    f.__name__: f for f in (op2_lm_score, op3_redirect_filter, op4_rotation_codes, op5_toxicity, op6_merge_dropout, op7_length_histogram,
+                                    op8_decontaminate, op9_tag_path,
+                                    op10_ngram_join)
 }
 
 #: Words of operator 8 of a text column, as SQL.
@@ -118,6 +129,25 @@ def _target(tag: str, attribute: str) -> str:
     return f"""replace(trim(regexp_replace({value}, '^["'']|["'']$', '', 'g')), '&amp;', '&')"""
 
 
+SQL["op4_rotation_codes"] = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a
+  JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (
+  SELECT vec_id AS x, vec_id AS root FROM embeddings
+  UNION SELECT l.y, r.root FROM reach r JOIN links l ON l.x = r.x WHERE r.root < l.y),
+comps AS (SELECT x, min(root) AS c FROM reach GROUP BY x)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.x = e.vec_id) AS n_links, c.c AS component_id,
+       e.vec_id = c.c AS kept
+FROM embeddings e JOIN comps c ON c.x = e.vec_id
+"""
+
 SQL["op3_redirect_filter"] = f"""
 WITH RECURSIVE rules(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
   ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
