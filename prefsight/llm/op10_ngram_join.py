@@ -39,7 +39,7 @@ BANDS = 6
 ROWS = 3
 SKETCH_BITS = 20
 BLOCK = 256
-#: Most rows (a few numbers each) broadcast to select texts; beyond, the join shuffles.
+#: Most rows (a few numbers each) broadcast to a scan; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
 _MULTIPLIERS = K.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -190,11 +190,10 @@ def _verify_pairs(batches: Iterator[pa.RecordBatch], size: int, percent: int):
         yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1)], names=["src", "dst"])
 
 
-def _texts_of(docs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Slim ``rows`` with the text of ``key``; few rows are broadcast to the scan."""
-    rows = rows.checkpoint()
-    small = rows.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(rows) if small else rows, docs["id"] == rows[key]).drop(docs["id"])
+def _picked(rows: DataFrame, ids: DataFrame, on) -> DataFrame:
+    """``rows`` joined with slim ``ids``, which are broadcast if they are few."""
+    ids = ids.checkpoint()
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on)
 
 
 def _block_edges(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
@@ -208,7 +207,7 @@ def _block_edges(docs: DataFrame, members: DataFrame, size: int, percent: int) -
              .withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
              .select("band", "key", F.least("b", "other").alias("lo"), F.greatest("b", "other").alias("hi"), "node"))
-    rows = _texts_of(docs, dealt, "node").select("band", "key", "lo", "hi", F.col("node").alias("id"), "text")
+    rows = _picked(docs, dealt.withColumnRenamed("node", "id"), "id").select("band", "key", "lo", "hi", "id", "text")
     return (rows.groupBy("band", "key", "lo", "hi")
             .applyInArrow(lambda t: _verify_group(t, size, percent), "src bigint, dst bigint"))
 
@@ -232,12 +231,10 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
         lambda it: _signature_rows(it, levels.value, size, percent),
         "id bigint, n bigint, sig binary, bands array<bigint>, prefix array<bigint>, n_light int").checkpoint()
 
-    reps = sets.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("rep"))
-    own = reps.select(F.col("sig").alias("own_sig"), "rep")
-    nodes = (sets.join(own, (F.col("sig") == F.col("own_sig")) & (F.col("id") == F.col("rep")), "left_semi")
-             .dropDuplicates(["sig"]))
-    # One row per distinct set, with its group keys and its prefix.
-    nodes = nodes.select(F.col("id").alias("node"), "n", "bands", "prefix", "n_light").checkpoint()
+    # One row per distinct set; its least id stands for all its copies.
+    reps = sets.where("sig is not null and id is not null").groupBy("sig").agg(
+        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")).checkpoint()
+    nodes = reps.select(F.col("rep").alias("node"), "sig", "n", "bands")
     clean = texts.where("id is not null")
 
     def groups(first: int, last: int) -> DataFrame:
@@ -262,32 +259,37 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     # Whole prefixes under the order by rarity.  A token of level 0 has a bounded
     # number of rows; others are aggregated before they are joined.
     marked = labelled(nodes, edges).checkpoint()
-    entries = marked.select(F.posexplode("prefix").alias("pos", "token"), "node", "comp", "n_light").select(
-        "token", "node", "comp", (F.col("pos") < F.col("n_light")).alias("light"))
+    whole = _picked(sets.select("id", "sig", "prefix", "n_light"),
+                    marked.select("sig", F.col("node").alias("id"), "comp"), ["sig", "id"])
+    entries = whole.select(F.posexplode("prefix").alias("pos", "token"), F.col("id").alias("node"), "comp", "n_light")
     w = Window.partitionBy("token")
-    light = (entries.where("light").withColumn("a", F.min("comp").over(w)).withColumn("b", F.max("comp").over(w))
-             .where("a < b").select("token", "node"))
-    heavy = entries.where("not light")
+    light = (entries.where("pos < n_light").withColumn("a", F.min("comp").over(w))
+             .withColumn("b", F.max("comp").over(w)).where("a < b").select("token", "pos", "node"))
+    heavy = entries.where("pos >= n_light")
     heavy = heavy.join(heavy.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
-                       .where("a < b"), "token", "left_semi").select("token", "node")
+                       .where("a < b"), "token", "left_semi").select("token", "pos", "node")
     alive = light.union(heavy).join(marked.select("node", "n", "comp", "bands"), "node")
     x, y = alive.alias("x"), alive.alias("y")
+    # Of the common tokens of a linked pair, the first leaves room in both sets for
+    # an intersection of percent / (100 + percent) of both sizes.
+    both_sizes = F.lit(percent) * (F.col("x.n") + F.col("y.n"))
+    fits = ((F.lit(100 + percent) * (F.col("x.n") - F.col("x.pos")) >= both_sizes)
+            & (F.lit(100 + percent) * (F.col("y.n") - F.col("y.pos")) >= both_sizes))
     apart = F.lit(True)
     for k in range(BANDS):
         apart = apart & (F.col("x.bands")[k] != F.col("y.bands")[k])
-    near = (F.lit(100) * F.least("x.n", "y.n") >= F.lit(percent) * F.greatest("x.n", "y.n"))
     pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node"))
-                    & (F.col("x.comp") != F.col("y.comp")) & near & apart)
-             .select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")).distinct())
-    pairs = pairs.checkpoint()
-    ends = pairs.select(F.col("src").alias("end")).union(pairs.select("dst")).distinct()
-    have = _texts_of(clean, ends, "end").checkpoint()
-    both = (pairs.join(have.select(F.col("end").alias("src"), F.col("text").alias("a")), "src")
-            .join(have.select(F.col("end").alias("dst"), F.col("text").alias("b")), "dst"))
-    rest = both.select("src", "dst", "a", "b").mapInArrow(lambda it: _verify_pairs(it, size, percent), "src bigint, dst bigint")
+                    & (F.col("x.comp") != F.col("y.comp")) & fits & apart)
+             .select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")).distinct().checkpoint())
+    ends = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
+    have = _picked(clean, ends, "id").checkpoint()
+    both = (pairs.join(have.select(F.col("id").alias("src"), F.col("text").alias("a")), "src")
+            .join(have.select(F.col("id").alias("dst"), F.col("text").alias("b")), "dst"))
+    rest = both.select("src", "dst", "a", "b").mapInArrow(
+        lambda it: _verify_pairs(it, size, percent), "src bigint, dst bigint")
     comps = connected_components(edges.union(rest))
 
-    out = sets.select("id", "n", "sig").join(reps, "sig", "left")
+    out = sets.select("id", "n", "sig").join(reps.select("sig", "rep"), "sig", "left")
     out = out.join(comps, out["rep"] == comps["node"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"))

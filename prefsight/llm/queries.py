@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prefsight.llm.op1_tool_calls import TOOLS, conversation_calls, link_tool_calls
 from prefsight.llm.op2_lm_score import lm_scores
 from prefsight.llm.op3_redirect_filter import filter_urls
 from prefsight.llm.op4_rotation_codes import vector_links
@@ -28,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = conversation_calls(table(spark, sf_dir, "conversations"))
+    return link_tool_calls(calls, results, spark.createDataFrame(list(TOOLS.items()), "name string, schema string"))
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # crc32 of a null id is null: such a row is scored as held out, never learnt from.
@@ -76,7 +82,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_lm_score, op3_redirect_filter, op4_rotation_codes, op5_toxicity, op6_merge_dropout, op7_length_histogram,
+    f.__name__: f for f in (op1_tool_calls, op2_lm_score, op3_redirect_filter, op4_rotation_codes, op5_toxicity, op6_merge_dropout, op7_length_histogram,
                                     op8_decontaminate, op9_tag_path,
                                     op10_ngram_join)
 }
