@@ -1,8 +1,80 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread."""
+"""The corpus pipeline: four stages over ``documents``.
 
-STAGES = []
+1. ``toxicity``: documents that the multiple-instance model rejects go.
+2. ``ngram_join``: one document of each group of near copies stays, the one with
+   the least id; rows that repeat an id count as copies.
+3. ``decontaminate``: documents that hold a window of a benchmark item go.
+4. ``merge_dropout``: the rest is encoded, with its piece ids.
+
+Each stage gets what its predecessor kept, written as Parquet and reread, and all
+but the last return the columns of ``documents``.  A null or empty text is not
+toxic, has no copies and no windows, and stays with no pieces; a null id is no
+copy of anything.  An empty table gives an empty one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prefsight.llm.op5_toxicity import score_toxicity, train_toxicity
+from prefsight.llm.op6_merge_dropout import encode_pieces
+from prefsight.llm.op8_decontaminate import decontaminate
+from prefsight.llm.op10_ngram_join import BROADCAST_ROWS, ngram_components
+from prefsight.llm.queries import table, toxicity_held_out
+from prefsight.session import ensure_checkpoint_dir, scratch_path
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold of rejection."""
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"), ~toxicity_held_out())
+    return score_toxicity(docs, model, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of Jaccard 0.8 or more connect."""
+    ensure_checkpoint_dir(spark)
+    found = ngram_components(docs).where("doc_id is not null").groupBy("doc_id").agg(
+        F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")).checkpoint()
+
+    def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+        small = ids.count() <= BROADCAST_ROWS
+        return rows.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti")
+    kept = without(docs, found.where("component_id <> doc_id").select("doc_id"))
+    repeated = found.where("component_id = doc_id and n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    # Rows that repeat an id: the first in the order of their columns.
+    again = kept.join(repeated, "doc_id", "left_semi")
+    order = F.struct(*(F.col(c) for c in docs.columns))
+    one = again.groupBy("doc_id").agg(F.min(order).alias("r")).select("r.*")
+    return without(kept, repeated).union(one.select(*docs.columns))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    rows = docs.withColumn("__body", F.col("text"))
+    checked = decontaminate(rows, table(spark, sf_dir, "benchmark"), keep=[c for c in rows.columns if c != "text"])
+    return checked.where("not contaminated").withColumnRenamed("__body", "text").select(*docs.columns)
+
+
+def merge_dropout(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All columns with the pieces of the text."""
+    return encode_pieces(docs, keep=docs.columns)
+
+
+STAGES = [("toxicity", toxicity), ("ngram_join", ngram_join), ("decontaminate", decontamination),
+          ("merge_dropout", merge_dropout)]
+
+#: A trained classifier and a keyed dropout are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
