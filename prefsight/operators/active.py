@@ -53,10 +53,14 @@ def entropy_scores(df: DataFrame, key_cols, margin_col="margin", base: float = m
 def select_top_k(pool: DataFrame, scores: DataFrame, key_col="pair_id", k: int | None = None):
     """ACT-7: k highest-scoring pool rows, earlier key wins ties; k None/0 -> 100.
 
-    The score is written onto the selected rows as ``acquisition_score``."""
+    The k best keys of the pool are found on slim rows (key, score), then the k
+    rows are fetched; the score is written on them as ``acquisition_score``."""
     k = k or DEFAULT_BATCH
-    j = pool.join(scores.select(key_col, F.col("score").alias("acquisition_score")), key_col)
-    return j.orderBy(F.col("acquisition_score").desc(), F.col(key_col).asc()).limit(k)
+    best = (scores.select(key_col, F.col("score").alias("acquisition_score"))
+            .join(pool.select(key_col), key_col, "left_semi")
+            .orderBy(F.col("acquisition_score").desc(), F.col(key_col).asc()).limit(k))
+    return (pool.join(F.broadcast(best), key_col)  # k rows
+            .orderBy(F.col("acquisition_score").desc(), F.col(key_col).asc()))
 
 
 def apply_labels(selected: DataFrame, labels: DataFrame, key_col="pair_id") -> DataFrame:
@@ -70,32 +74,34 @@ def apply_labels(selected: DataFrame, labels: DataFrame, key_col="pair_id") -> D
 
 def active_loop(pool: DataFrame, score_fn: Callable[[DataFrame], DataFrame],
                 labels: DataFrame, rounds: int, k: int = DEFAULT_BATCH, key_col="pair_id",
-                retrain_fn: Callable[[DataFrame], None] | None = None):
+                retrain_fn: Callable[[DataFrame], Callable[[DataFrame], DataFrame] | None] | None = None):
     """ACT-9: rounds of score -> top-k -> label -> remove from pool (left anti).
 
-    The remaining pool is checkpointed every round (reliable checkpoint, so the
-    lineage does not grow and lost executors recompute from the last round).
-    Returns (labelled pairs, history DataFrame of per-round sizes)."""
+    Only pairs that get a label leave the pool; a selected pair without one stays
+    and may be selected again.  ``retrain_fn`` gets all labelled pairs so far and
+    may return the score function of the next rounds.  Each round's selection and
+    new labels are checkpointed once and the remaining pool is reduced by them.
+    Returns (labelled pairs, history of per-round sizes, selections (round, key))."""
+    from functools import reduce
+
     from prefsight.session import ensure_checkpoint_dir
     spark = pool.sparkSession
     ensure_checkpoint_dir(spark)
-    remaining = pool
-    labelled = None
-    history = []
+    remaining, new, chosen, history, n_lab = pool, [], [], [], 0
+    n_rem = pool.count()
     for r in range(rounds):
         sel = select_top_k(remaining, score_fn(remaining), key_col, k).checkpoint(eager=True)
-        n_sel = sel.count()
-        new = apply_labels(sel.drop("acquisition_score"), labels, key_col)
-        labelled = new if labelled is None else labelled.unionByName(new)
-        labelled = labelled.checkpoint(eager=True)
-        remaining = remaining.join(sel.select(key_col), key_col, "left_anti").checkpoint(eager=True)
-        n_rem = remaining.count()
-        n_lab = labelled.count()
-        history.append((r, n_sel, n_lab, n_rem))
+        chosen.append(sel.select(F.lit(r).alias("round"), key_col, "acquisition_score"))
+        got = apply_labels(sel.drop("acquisition_score"), labels, key_col).checkpoint(eager=True)
+        new.append(got)
+        done = got.select(key_col).distinct()
+        remaining = remaining.join(F.broadcast(done), key_col, "left_anti").checkpoint(eager=True)  # at most k keys
+        n_lab, n_rem = n_lab + got.count(), remaining.count()
+        history.append((r, sel.count(), n_lab, n_rem))
         if retrain_fn is not None:
-            retrain_fn(labelled)
+            score_fn = retrain_fn(reduce(DataFrame.unionByName, new)) or score_fn
     hist = spark.createDataFrame(history, "round int, selected long, labelled long, pool_remaining long")
-    return labelled, hist
+    return reduce(DataFrame.unionByName, new), hist, reduce(DataFrame.unionByName, chosen)
 
 
 def nearest_distance(items: DataFrame, key_col: str, vec_col: str,
@@ -124,6 +130,8 @@ def nearest_distance(items: DataFrame, key_col: str, vec_col: str,
         gb = int(pdf["gb"].iloc[0])
         A = pdf[pdf["blk"] == ga]
         Bp = pdf[pdf["blk"] == gb] if gb != ga else A
+        if len(A) == 0 or len(Bp) == 0:  # an empty block has no pairs
+            return pd.DataFrame({"key": pd.Series([], dtype="int64"), "d2": pd.Series([], dtype="float64")})
         XA = np.stack([np.asarray(v, dtype=np.float64) for v in A["vec"].to_numpy()])
         XB = np.stack([np.asarray(v, dtype=np.float64) for v in Bp["vec"].to_numpy()])
         d2 = ((XA * XA).sum(1)[:, None] + (XB * XB).sum(1)[None, :] - 2.0 * XA @ XB.T)
@@ -146,7 +154,9 @@ def greedy_diverse(items: DataFrame, key_col: str, vec_col: str, score_col: str,
     """ACT-6: greedy k-centre selection on score x distance-to-selected.
 
     Round 0 takes the highest score; every later round takes the item that
-    maximises score * min distance to the selected set.  Each round is one pass
+    maximises score * min distance to the selected set; equal products (such as
+    0, when only repeats of chosen vectors are left) go by score, then key, so k
+    items are returned if there are k.  Each round is one pass
     updating a ``min_dist`` column with the new centre (a literal vector);
     the table is checkpointed every 5 rounds.  Only the chosen row reaches the
     driver each round."""
@@ -163,7 +173,8 @@ def greedy_diverse(items: DataFrame, key_col: str, vec_col: str, score_col: str,
             crit = F.col("score")
         else:
             crit = F.col("score") * F.col("min_dist")
-        pick = cur.filter(F.col("min_dist") > 0).orderBy(crit.desc(), F.col("key")).select(
+        taken = [key for _, key, _, _ in chosen]
+        pick = cur.filter(~F.col("key").isin(taken)).orderBy(crit.desc(), F.col("score").desc(), F.col("key")).select(
             "key", "vec", "score", "min_dist").first()
         if pick is None:
             break

@@ -136,26 +136,25 @@ def margin_correlation(df: DataFrame, pred_col: str, true_col: str, group_cols=(
 def auc(df: DataFrame, chosen_col: str, rejected_col: str, key_col: str,
         group_cols=()) -> DataFrame:
     """Mann-Whitney AUC of chosen rewards against rejected rewards per group,
-    average ranks on ties.  Ranks come from a skew-safe in-group position
-    (range partitioning splits a hot group), not from a window."""
-    from prefsight.operators.indexing import index_within_group
+    average ranks on ties.
+
+    Scores are counted first: one row per (group, distinct score), so ties and hot
+    groups are combined before the shuffle.  The number of lower scores is a prefix
+    sum over range partitions (``prefix_sums``)."""
+    from prefsight.operators.indexing import prefix_sums
 
     group_cols = list(group_cols)
     keys = group_cols or ["_all"]
     base = df if group_cols else df.withColumn("_all", F.lit(0))
     both = F.array(F.struct(F.col(chosen_col).cast("double").alias("s"), F.lit(1).alias("lab")),
                    F.struct(F.col(rejected_col).cast("double").alias("s"), F.lit(0).alias("lab")))
-    scores = base.select(*keys, F.col(key_col).alias("k"), F.inline(both))  # one scan
-    ranked = index_within_group(scores, keys, ["s", "lab", "k"], "pos")
-    tie = ranked.groupBy(*keys, "s").agg(
-        ((F.min("pos") + F.max("pos")) / 2.0 + 1.0).alias("avg_rank"))
-    r = ranked.join(tie, [*keys, "s"])
-    agg = r.groupBy(*keys).agg(
-        F.sum(F.when(F.col("lab") == 1, F.col("avg_rank"))).alias("r1"),
-        F.sum(F.col("lab")).cast("double").alias("n1"),
-        F.sum(1 - F.col("lab")).cast("double").alias("n0"))
-    u = F.col("r1") - F.col("n1") * (F.col("n1") + 1.0) / 2.0
-    return agg.select(*group_cols, safe_div(u, F.col("n1") * F.col("n0"), 0.0).alias("auc"))
+    scores = base.select(*keys, F.inline(both))  # one scan
+    counts = scores.groupBy(*keys, "s").agg(F.sum("lab").alias("c1"), F.sum(1 - F.col("lab")).alias("c0"))
+    below = prefix_sums(counts, keys, ["s"], "c0", "below")
+    agg = below.groupBy(*keys).agg(
+        F.sum(F.col("c1") * (F.col("below") + F.col("c0") / 2.0)).alias("u"),
+        F.sum("c1").cast("double").alias("n1"), F.sum("c0").cast("double").alias("n0"))
+    return agg.select(*group_cols, safe_div(F.col("u"), F.col("n1") * F.col("n0"), 0.0).alias("auc"))
 
 
 def temperature_grid(lo: float = 0.05, hi: float = 20.0, n: int = 41) -> list[float]:

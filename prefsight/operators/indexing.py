@@ -75,5 +75,22 @@ def index_within_group(df: DataFrame, group_cols, order_cols, idx_col: str = "id
             .drop("_gidx", "_start", *[f"_g_{c}" for c in group_cols]))
 
 
-def group_sizes(df: DataFrame, group_cols, size_col: str = "group_size") -> DataFrame:
-    return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias(size_col))
+def prefix_sums(df: DataFrame, group_cols, order_cols, value_col: str, out_col: str) -> DataFrame:
+    """Sum of ``value_col`` over the rows before each row of its group, skew-safe.
+
+    Rows are range-partitioned by (group, order); a window inside each (partition,
+    group) gives local sums, and one total per (partition, group) the offsets.  A
+    group that spans many partitions is never gathered."""
+    group_cols = list(group_cols)
+    ensure_checkpoint_dir(df.sparkSession)
+    ordered = (df.repartitionByRange(*[_as_sort_col(c) for c in [*group_cols, *order_cols]])
+               .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
+    local = Window.partitionBy("_pid", *group_cols).orderBy(*[_as_sort_col(c) for c in order_cols]).rowsBetween(
+        Window.unboundedPreceding, -1)
+    totals = ordered.groupBy("_pid", *group_cols).agg(F.sum(value_col).alias("_t"))
+    # one row per partition and group that meets it
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
+    rows = ordered.withColumn("_in", F.coalesce(F.sum(value_col).over(local), F.lit(0)))
+    return (rows.join(offsets, ["_pid", *group_cols])
+            .withColumn(out_col, F.col("_off") + F.col("_in")).drop("_pid", "_off", "_in"))

@@ -81,62 +81,46 @@ class Curvature:
     def eigenvalues_full(self) -> np.ndarray:
         return np.sort(np.linalg.eigvalsh(self.gramian()))[::-1]
 
-    def top_eigenvalues_power(self, k: int, max_iter: int = 50, tol: float = 0.9999,
-                              seed: int = 0) -> list[float]:
-        """LND-3: power iteration with deflation, one HVP pass per iteration.
-
-        Stops when |v . v_new| > tol without advancing v; the eigenvalue is
-        the Rayleigh value v . H v of the undeflated H; norms floor at 1e-10."""
-        rng = np.random.default_rng(seed)
-        found, vecs = [], []
-        for _ in range(k):
-            v = _normalise(rng.standard_normal(self.dim))
-            for _it in range(max_iter):
-                hv = self.hvp(v)
-                for pv in vecs:
-                    hv = hv - (pv @ hv) * pv
-                v_new = _normalise(hv)
-                if abs(v @ v_new) > tol:
-                    break
-                v = v_new
-            found.append(float(v @ self.hvp(v)))
-            vecs.append(v)
-        return found
-
-    def top_eigenvalues_block(self, k: int, max_iter: int = 50, tol: float = 0.9999,
-                              seed: int = 0) -> list[float]:
-        """Subspace iteration: all k vectors share each pass (<= max_iter passes)."""
-        rng = np.random.default_rng(seed)
-        Q, _ = np.linalg.qr(rng.standard_normal((self.dim, k)))
-        for _ in range(max_iter):
-            Z = self.hvp(Q)
-            Q_new, _ = np.linalg.qr(Z)
-            if np.all(np.abs(np.sum(Q * Q_new, axis=0)) > tol):
-                Q = Q_new
+    def krylov(self, k: int, block: int | None = None, max_passes: int = 60, tol: float = 1e-10,
+               seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Top-k eigenpairs (values descending, d x k vectors) by block Lanczos.
+
+        All vectors of a block share one ``hvp`` pass; the basis is kept
+        orthogonal on the driver (d x passes*block doubles).  Stops when the k
+        Ritz values have settled to ``tol`` or the basis spans the space."""
+        b = min(self.dim, block or k + 3)
+        fresh, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((self.dim, b)))
+        basis, image = np.empty((self.dim, 0)), np.empty((self.dim, 0))
+        last = None
+        for _ in range(max_passes):
+            basis, image = np.hstack([basis, fresh]), np.hstack([image, self.hvp(fresh)])
+            small = basis.T @ image
+            values, vectors = np.linalg.eigh((small + small.T) / 2)
+            top = values[::-1][:k]
+            settled = last is not None and len(last) == len(top) == k and np.all(
+                np.abs(top - last) <= tol * max(abs(top[0]), 1e-300))
+            last = top
+            if settled or basis.shape[1] >= self.dim:
+                break
+            rest = image[:, -fresh.shape[1]:]
+            for _twice in range(2):
+                rest = rest - basis @ (basis.T @ rest)
+            q, r = np.linalg.qr(rest)
+            fresh = q[:, np.abs(np.diag(r)) > 1e-12 * max(abs(top[0]), 1e-300)][:, :self.dim - basis.shape[1]]
+            if not fresh.shape[1]:
                 break
-            Q = Q_new
-        T = Q.T @ self.hvp(Q)
-        return sorted(np.linalg.eigvalsh((T + T.T) / 2).tolist(), reverse=True)
+        return last, basis @ vectors[:, ::-1][:, :k]
+
+    def top_eigenvalues(self, k: int, seed: int = 0) -> list[float]:
+        """LND-3: top-k eigenvalues from Hessian-vector products."""
+        return self.krylov(k, seed=seed)[0].tolist()
 
     def top_eigenvalues_svd(self, k: int) -> list[float]:
-        """LND-4: eigenvalues as squared singular values of rows sqrt(p(1-p)/n) d
-        via the distributed RowMatrix SVD (ARPACK for large d)."""
-        from pyspark.mllib.linalg import Vectors
-        from pyspark.mllib.linalg.distributed import RowMatrix
-        w, n = self.w, max(self.n, 1)
-
-        def scale(batches):
-            import pandas as pd
-            for pdf in batches:
-                X = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["d"].to_numpy()]) \
-                    if len(pdf) else np.zeros((0, len(w)))
-                p = sigmoid_np(X @ w) if len(pdf) else np.zeros(0)
-                R = X * np.sqrt(p * (1 - p) / n)[:, None]
-                yield pd.DataFrame({"r": list(R)})
-        rows = self.df.mapInPandas(scale, "r array<double>")
-        rdd = rows.rdd.map(lambda r: Vectors.dense(r["r"]))
-        svd = RowMatrix(rdd, self.n, self.dim).computeSVD(k, computeU=False)
-        return sorted((np.asarray(svd.s.toArray()) ** 2).tolist(), reverse=True)
+        """LND-4: squared singular values of the rows sqrt(p(1-p)/n) d.
+
+        Their Gramian is H, so single-vector Lanczos on ``hvp`` bidiagonalises
+        the row matrix without forming it."""
+        return self.krylov(k, block=1, max_passes=4 * k + 40)[0].tolist()
 
     def trace_hutchinson(self, probes: int = 100, seed: int = 0,
                          distribution: str = "gaussian") -> float:
@@ -157,11 +141,6 @@ class Curvature:
         return float(per_probe.mean())
 
 
-def _normalise(v: np.ndarray) -> np.ndarray:
-    nrm = float(np.linalg.norm(v))
-    return v / max(nrm, 1e-10)
-
-
 def trace_exact(pairs: DataFrame, w, diff_col: str = "d") -> DataFrame:
     """Exact trace mean[p(1-p) |d|^2] as one aggregate (oracle-checkable)."""
     m = dot(lit_vector(w), diff_col)

@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 
 # Largest summed array we bring to the driver (2048 x 2048 doubles = 32 MB).
 MAX_RESULT_ENTRIES = 2048 * 2048
-# Below this many doubles (partitions x result size) partials are collected
-# directly instead of being reduced by a shuffle.
-DIRECT_COLLECT_ENTRIES = 2_000_000
 
 
 def batch_matrix(series: pd.Series) -> np.ndarray:
@@ -47,16 +44,6 @@ def partial_sums(df: DataFrame, vec_col: str, shape, fn: Callable[[np.ndarray, p
         return acc.ravel()
 
     src = df.select(vec_col, *extra_cols)
-    if size * src.rdd.getNumPartitions() <= DIRECT_COLLECT_ENTRIES:
-        # one partial per partition, added on the driver (tree-aggregate
-        # style): no shuffle stage per pass, the transfer is bounded by
-        # partitions x result size
-        def run_one(batches):
-            yield pd.DataFrame({"v": [partition_sum(batches)]})
-        out = np.zeros(size)
-        for r in src.mapInPandas(run_one, "v array<double>").collect():
-            out += np.asarray(r["v"], dtype=np.float64)
-        return out.reshape(shape)
 
     def run(batches):
         flat = partition_sum(batches)

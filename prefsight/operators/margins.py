@@ -35,6 +35,10 @@ def difficulty(m: Column, easy=EASY_THRESHOLD, hard=HARD_THRESHOLD) -> Column:
             .otherwise(F.lit("medium")))
 
 
+#: Groups whose quantile places are broadcast; beyond, the join shuffles.
+MAX_BROADCAST_GROUPS = 50_000
+
+
 def exact_quantiles(df: DataFrame, group_cols, value_col: str, key_col: str,
                     qs=(0.25, 0.5, 0.75), names=None) -> DataFrame:
     """numpy.percentile (linear) per group without per-group value buffers."""
@@ -42,7 +46,8 @@ def exact_quantiles(df: DataFrame, group_cols, value_col: str, key_col: str,
     names = names or [f"p{int(round(q * 100))}" for q in qs]
     pos = index_within_group(df.select(*group_cols, value_col, key_col), group_cols,
                              [value_col, key_col], "_pos")
-    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    few_groups = sizes.count() <= MAX_BROADCAST_GROUPS
     # per group and quantile: lower index floor(q*(n-1)) and fraction
     targets = sizes.select(*group_cols, F.inline(F.array(*[
         F.struct(F.lit(i).alias("_qi"),
@@ -50,14 +55,19 @@ def exact_quantiles(df: DataFrame, group_cols, value_col: str, key_col: str,
                  (F.lit(float(q)) * (F.col("_n") - 1)
                   - F.floor(F.lit(float(q)) * (F.col("_n") - 1))).alias("_frac"))
         for i, q in enumerate(qs)])))
-    lo = pos.select(*group_cols, F.col("_pos").alias("_lo"), F.col(value_col).alias("_vlo"))
-    hi = pos.select(*group_cols, (F.col("_pos") - 1).alias("_lo"), F.col(value_col).alias("_vhi"))
-    j = (targets.join(lo, [*group_cols, "_lo"], "left").join(hi, [*group_cols, "_lo"], "left"))
+    # Each target asks for two places; the table of positions is met by the small
+    # table of places (2 per group and quantile) and only those rows go on.
+    places = targets.select(*group_cols, "_qi", "_frac", F.inline(F.array(
+        F.struct(F.col("_lo").alias("_pos"), F.lit(0).alias("_side")),
+        F.struct((F.col("_lo") + 1).alias("_pos"), F.lit(1).alias("_side")))))
+    hits = pos.join(F.broadcast(places) if few_groups else places, [*group_cols, "_pos"])
+    picked = hits.groupBy(*group_cols, "_qi", "_frac").agg(
+        F.max(F.when(F.col("_side") == 0, F.col(value_col))).alias("_vlo"),
+        F.max(F.when(F.col("_side") == 1, F.col(value_col))).alias("_vhi"))
     val = F.when(F.col("_vhi").isNull(), F.col("_vlo")).otherwise(
         F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
-    wide = j.groupBy(*group_cols).agg(*[
+    return picked.groupBy(*group_cols).agg(*[
         F.max(F.when(F.col("_qi") == i, val)).alias(nm) for i, nm in enumerate(names)])
-    return wide
 
 
 def margin_statistics(df: DataFrame, group_cols=(), margin_col: str = "margin",

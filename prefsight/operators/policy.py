@@ -20,13 +20,6 @@ def best_of_n(cands: DataFrame, prompt_col="prompt_id", idx_col="sample_idx",
         prompt_col, *[F.col(f"b.{c}").alias(c) for c in (idx_col, *extra, reward_col)])
 
 
-def with_default_reward(cands: DataFrame, reward_col="reward") -> DataFrame:
-    """No reward model -> reward 0.0 (the reference's fallback)."""
-    if reward_col in cands.columns:
-        return cands
-    return cands.withColumn(reward_col, F.lit(0.0))
-
-
 def reward_statistics(cands: DataFrame, prompt_col="prompt_id", reward_col="reward"):
     """POL-3: mean, population std, max, min and the mean best-of-N gain
     (max - mean per prompt, averaged over prompts).  Groups are prompts, not

@@ -66,11 +66,12 @@ def build_vocabulary(corpus: DataFrame, text_col="text", size: int = 5000) -> Da
 
 def encode_positions(corpus: DataFrame, vocab: DataFrame, key_cols=("key", "field"),
                      text_col="text", max_length: int = 512) -> DataFrame:
-    """Token ids of the first ``max_length`` positions, one row per position."""
-    pos = corpus.select(*key_cols, F.posexplode(tokens(F.col(text_col))).alias("pos", "token")) \
-        .filter(F.col("pos") < max_length)
+    """Token ids of the first ``max_length`` positions, one row per position; a text
+    without tokens keeps one row with a null position."""
+    head = F.slice(tokens(F.col(text_col)), 1, max_length)
+    pos = corpus.select(*key_cols, F.posexplode_outer(head).alias("pos", "token"))
     j = pos.join(F.broadcast(vocab.select("token", "token_id")), "token", "left")
-    return j.select(*key_cols, "pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("token_id"))
+    return j.select(*key_cols, "pos", F.when(F.col("pos").isNotNull(), F.coalesce("token_id", F.lit(UNK_ID))).alias("token_id"))
 
 
 def encode(corpus: DataFrame, vocab: DataFrame, key_cols=("key", "field"), text_col="text",
@@ -80,16 +81,12 @@ def encode(corpus: DataFrame, vocab: DataFrame, key_cols=("key", "field"), text_
     The per-text collect is bounded by ``max_length`` positions."""
     key_cols = list(key_cols)
     p = encode_positions(corpus, vocab, key_cols, text_col, max_length)
-    g = p.groupBy(*key_cols).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_s"))
-    ids = F.transform("_s", lambda s: s["token_id"])
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id"))  # collect_list leaves nulls out
+    g = p.groupBy(*key_cols).agg(F.array_sort(F.collect_list(entry)).alias("_s"))
     n = F.size("_s")
-    pad = F.array_repeat(F.lit(PAD_ID), F.lit(max_length) - n)
+    ids = F.concat(F.transform("_s", lambda s: s["token_id"]), F.array_repeat(F.lit(PAD_ID), F.lit(max_length) - n))
     mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_length) - n))
-    # texts with no tokens do not appear in the position table; keep them, all padding
-    base = corpus.select(*key_cols).join(g, key_cols, "left")
-    ids_full = F.coalesce(F.concat(ids, pad), F.array_repeat(F.lit(PAD_ID), max_length))
-    mask_full = F.coalesce(mask, F.array_repeat(F.lit(0), max_length))
-    return base.select(*key_cols, ids_full.alias("input_ids"), mask_full.alias("attention_mask"))
+    return g.select(*key_cols, ids.alias("input_ids"), mask.alias("attention_mask"))
 
 
 def length_filter(df: DataFrame, max_length: int = 512) -> DataFrame:

@@ -50,10 +50,12 @@ class RunState:
     v: np.ndarray | None = None
     log: list = field(default_factory=list)
     failed: bool = False
+    final_loss: float | None = None
+    final_accuracy: float | None = None
 
 
-def _update(st: RunState, g: np.ndarray, lr: float) -> None:
-    """One step of the named update rule (in place)."""
+def update(st: RunState, g: np.ndarray, lr: float) -> None:
+    """One step of the named built-in update rule (in place)."""
     name = st.optimizer
     cfg = OPTIMIZER_DEFAULTS[name]
     st.t += 1
@@ -97,14 +99,21 @@ def _clip(g: np.ndarray, max_norm: float = GRAD_CLIP) -> np.ndarray:
 
 def fit_many(pairs: DataFrame, runs, dim: int, diff_col: str = "d", steps: int = 50,
              lr: float = 0.05, warmup: int = 5, batch_fraction: float | None = None,
-             init_scale: float = 0.01) -> list[RunState]:
+             init_scale: float = 0.01, rules: dict | None = None) -> list[RunState]:
     """Train every (optimizer, seed) in ``runs`` with shared passes.
 
     Each step: weights of all M runs go to the tasks inside the closure (M x d,
     bounded), each batch yields the M loss sums, correct counts and gradients
-    -(1 - sigmoid(m)) d, and the partitions are added by ``partial_sums``."""
+    -(1 - sigmoid(m)) d, and the partitions are added by ``partial_sums``.
+
+    ``rules`` adds update rules by name: ``rule(state, gradient, rate)`` changes
+    ``state.w`` in place (``state.m``, ``state.v`` and ``state.t`` are its memory).
+    The log has the loss, accuracy and gradient norm (before clipping) at the
+    weights a step starts from; ``final_loss`` and ``final_accuracy`` are those of
+    the returned weights, from one more pass."""
+    rules = {**dict.fromkeys(OPTIMIZER_DEFAULTS, update), **(rules or {})}
     for opt, _ in runs:
-        if opt not in OPTIMIZER_DEFAULTS:
+        if opt not in rules:
             raise ValueError(f"Unknown optimizer: {opt}")
     df = pairs.select(F.col(diff_col).alias("d")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -113,9 +122,9 @@ def fit_many(pairs: DataFrame, runs, dim: int, diff_col: str = "d", steps: int =
             rng = np.random.default_rng(seed)
             states.append(RunState(opt, seed, rng.standard_normal(dim) * init_scale))
         M = len(states)
-        for step in range(steps):
+        for step in range(steps + 1):
             W = np.stack([s.w for s in states])
-            batch = df.sample(fraction=batch_fraction, seed=step) if batch_fraction else df
+            batch = df.sample(fraction=batch_fraction, seed=step) if batch_fraction and step < steps else df
 
             def fn(X, _pdf, W=W):
                 m = X @ W.T                                  # n x M
@@ -131,11 +140,14 @@ def fit_many(pairs: DataFrame, runs, dim: int, diff_col: str = "d", steps: int =
                 if st.failed:
                     continue
                 n = max(sums[i, dim + 2], 1.0)
-                g = _clip(sums[i, :dim] / n)
+                loss, accuracy = float(sums[i, dim] / n), float(sums[i, dim + 1] / n)
+                if step == steps:
+                    st.final_loss, st.final_accuracy = loss, accuracy
+                    continue
+                g = sums[i, :dim] / n
                 rate = lr_at(step, lr, warmup, steps)
-                st.log.append((step, float(sums[i, dim] / n), float(sums[i, dim + 1] / n), rate,
-                               float(np.linalg.norm(g))))
-                _update(st, g, rate)
+                st.log.append((step, loss, accuracy, rate, float(np.linalg.norm(g))))
+                rules[st.optimizer](st, _clip(g), rate)
                 if not np.all(np.isfinite(st.w)):
                     st.failed = True  # a diverged run is skipped, the others go on
         return states
@@ -172,7 +184,7 @@ def fit_exact(pairs: DataFrame, diff_col: str = "d", reg: float = 1e-4, max_iter
 
 
 def item_strengths(comparisons: DataFrame, winner_col="winner", loser_col="loser",
-                   iterations: int = 30, tol: float = 1e-8):
+                   iterations: int = 30, tol: float = 1e-8, prior_wins: float = 1e-3):
     """TRN-3: Bradley-Terry item strengths by the MM iteration
     theta_i <- W_i / sum_j n_ij / (theta_i + theta_j), normalised so that the
     mean log strength is 0 (P(i beats j) = sigmoid(log theta_i - log theta_j)).
@@ -182,7 +194,8 @@ def item_strengths(comparisons: DataFrame, winner_col="winner", loser_col="loser
     (one row per item) strengths table is checkpointed every round: the plan
     stays constant in size and a lost executor recomputes one round only.
     Returns (strengths DataFrame(item, strength, log_strength, wins, games),
-    rounds run)."""
+    rounds run).  ``prior_wins`` is the least number of wins an item counts with,
+    so that an item that never wins has a finite strength."""
     from prefsight.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(comparisons.sparkSession)
     c = comparisons.select(F.col(winner_col).alias("wi"), F.col(loser_col).alias("lo"))
@@ -204,9 +217,8 @@ def item_strengths(comparisons: DataFrame, winner_col="winner", loser_col="loser
         jp = pairs.join(ti, "i").join(tj, "j").withColumn("q", F.col("n") / (F.col("ti") + F.col("tj")))
         den = (jp.select(F.col("i").alias("item"), "q").unionByName(jp.select(F.col("j").alias("item"), "q"))
                .groupBy("item").agg(F.sum("q").alias("den")))
-        # items that never win get a floor so their log strength stays finite
         raw = items.join(den, "item").select(
-            "item", (F.greatest(F.col("wins").cast("double"), F.lit(1e-3)) / F.col("den")).alias("t"))
+            "item", (F.greatest(F.col("wins").cast("double"), F.lit(float(prior_wins))) / F.col("den")).alias("t"))
         mean_log = raw.agg(F.avg(F.log("t")).alias("ml")).withColumn("_k", F.lit(0))
         new = (raw.withColumn("_k", F.lit(0)).join(F.broadcast(mean_log), "_k")
                .select("item", F.exp(F.log("t") - F.col("ml")).alias("theta")))

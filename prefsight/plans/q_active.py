@@ -80,23 +80,21 @@ def act_labeled(t):
 
 
 @query("act_loop", f"""
-WITH n AS (SELECT count(*) AS n FROM v_pool),
-r AS (SELECT CAST(range AS INTEGER) AS round FROM range(3))
-SELECT r.round, CAST(least({_K}, greatest(n.n - r.round * {_K}, 0)) AS BIGINT) AS selected,
-       CAST(least(n.n, (r.round + 1) * {_K}) AS BIGINT) AS labelled,
-       CAST(greatest(n.n - (r.round + 1) * {_K}, 0) AS BIGINT) AS pool_remaining
-FROM r, n
-""")
+WITH s AS (SELECT pair_id, round(var_pop(margin), 9) AS score FROM v_scores GROUP BY pair_id),
+r AS (SELECT pair_id, score, row_number() OVER (ORDER BY score DESC, pair_id) - 1 AS rk
+      FROM s WHERE pair_id IN (SELECT pair_id FROM v_pool))
+SELECT CAST(r.rk // {_K} AS INTEGER) AS round, r.pair_id, r.score AS acquisition_score,
+       CASE WHEN l.label = 1 THEN p.response_a ELSE p.response_b END AS chosen
+FROM r JOIN v_pool p ON p.pair_id = r.pair_id JOIN v_pool_labels l ON l.pair_id = r.pair_id
+WHERE r.rk < 3 * {_K}
+""", rnd=["acquisition_score"])
 def act_loop(t):
     """ACT-9: three rounds of uncertainty selection (k=100) with anti-join
-    removal; returns the per-round history."""
-    scores = ac.uncertainty_scores(V.v_scores(t), ["pair_id"])
-
-    def score_fn(pool):
-        return scores.join(pool.select("pair_id"), "pair_id", "left_semi")
-
-    _, hist = ac.active_loop(V.v_pool(t), score_fn, V.v_pool_labels(t), rounds=3, k=_K)
-    return hist
+    removal; returns what each round selected and the label's choice."""
+    scores = ac.uncertainty_scores(V.v_scores(t), ["pair_id"]).withColumn("score", F.round("score", 9))
+    labelled, _, chosen = ac.active_loop(V.v_pool(t), lambda pool: scores, V.v_pool_labels(t), rounds=3, k=_K)
+    return chosen.join(labelled.select("pair_id", "chosen"), "pair_id").select(
+        "round", "pair_id", "acquisition_score", "chosen")
 
 
 @query("act_diversity", """

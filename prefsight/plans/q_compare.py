@@ -12,6 +12,7 @@ from prefsight.operators import scoring as sc
 from prefsight.operators import train as tr
 from prefsight.operators import train_logs as tl
 from prefsight.plans.registry import query
+from prefsight.sources import io
 from prefsight.sources import views as V
 
 DIM = V.FEATURE_DIM
@@ -25,35 +26,49 @@ def cmp_grid(t):
     all 15 runs); final loss / accuracy of each run."""
     states = tr.fit_many(V.v_pairs_feat(t), [(o, s) for o in OPTIMIZERS for s in SEEDS], DIM,
                          steps=20, lr=0.05, warmup=2)
-    rows = [(s.optimizer, s.seed, s.log[-1][1], s.log[-1][2], len(s.log))
-            for s in states if not s.failed]
+    rows = [(s.optimizer, s.seed, s.final_loss, s.final_accuracy, len(s.log)) for s in states if not s.failed]
     return t.spark.createDataFrame(rows, "optimizer string, seed int, final_train_loss double, "
                                          "final_train_accuracy double, steps int")
 
 
 @query("cmp_run")
 def cmp_run(t):
-    """CMP-2: train one run, evaluate it, measure its spectrum and readiness."""
-    pairs = V.v_pairs_feat(t)
-    st = tr.fit_bradley_terry(pairs, DIM, "adamw", seed=0, steps=20, lr=0.05, warmup=2)
-    margins = sc.pair_margins(pairs, sc.LinearModels({0: list(st.w)}))
-    evaluation = ev.calibration_report(margins, ["model_id"])
-    cur = ls.Curvature(pairs, st.w)
+    """CMP-2: train one run, evaluate it on held-out pairs, measure its spectrum and readiness.
+
+    The pairs are split 80 / 20.  All eigenvalues and the trace enter the
+    spectrum; reward variance and mean margin are those of the validation
+    margins, and disagreement is their spread over three seeds trained together."""
+    parts = io.split(V.v_pairs_feat(t), "pair_id", fractions=(0.8, 0.2, 0.0)).checkpoint()
+    train, val = parts.filter("split = 'train'"), parts.filter("split = 'validation'")
+    states = tr.fit_many(train, [("adamw", s) for s in SEEDS], DIM, steps=20, lr=0.05, warmup=2)
+    st = states[0]
+    margins = sc.pair_margins(val, sc.LinearModels({s.seed: list(s.w) for s in states}))
+    spread = (margins.groupBy("pair_id").agg(F.stddev_pop("margin").alias("s"))
+              .agg(F.avg("s").alias("ensemble_disagreement")).withColumn("_k", F.lit(0)))
+    mine = margins.filter(F.col("model_id") == st.seed)
+    about = mine.agg(F.var_pop("margin").alias("reward_variance"), F.avg("margin").alias("margin_mean"))
+    evaluation = ev.calibration_report(mine, ["model_id"])
+    cur = ls.Curvature(train, st.w)
     try:
         eig = cur.eigenvalues_full()
-        trace = float(eig.sum())
     finally:
         cur.unpersist()
-    spec = ls.spectrum_summary(ls.spectrum_frame(t.spark, eig[:20], "adamw_0"))
-    row = evaluation.withColumn("_k", F.lit(0)).join(
-        spec.withColumn("_k", F.lit(0)), "_k").drop("_k")
-    row = row.select(F.lit("adamw").alias("optimizer"), F.lit(0).alias("seed"),
+    run = "adamw_0"
+    trace = t.spark.createDataFrame([(run, float(eig.sum()))], "run_id string, trace double")
+    spec = ls.spectrum_summary(ls.spectrum_frame(t.spark, eig, run), trace=trace, dim=DIM)
+    row = (evaluation.withColumn("_k", F.lit(0)).join(spec.withColumn("_k", F.lit(0)), "_k")
+           .join(about.withColumn("_k", F.lit(0)), "_k").join(spread, "_k").drop("_k"))
+    row = row.select(F.lit("adamw").alias("optimizer"), F.lit(st.seed).alias("seed"),
+                     F.lit(st.final_loss).alias("final_train_loss"),
+                     F.lit(st.final_accuracy).alias("final_train_accuracy"),
+                     F.col("n").alias("n_validation"),
                      F.col("accuracy").alias("final_val_accuracy"), F.col("loss").alias("final_val_loss"),
                      F.col("ece").alias("calibration_ece"), F.col("brier").alias("calibration_brier"),
-                     "top_eigenvalue", F.lit(trace).alias("trace_estimate"), "condition_number",
-                     "effective_rank", "sharpness_score", "flatness_index")
-    scored = rd.readiness(row, "final_val_accuracy", "calibration_ece", 1.0, "top_eigenvalue",
-                          messages=False)
+                     "top_eigenvalue", F.col("trace").alias("trace_estimate"), "condition_number",
+                     "effective_rank", "sharpness_score", "flatness_index", "is_full",
+                     "reward_variance", "margin_mean", "ensemble_disagreement")
+    scored = rd.readiness(row, "final_val_accuracy", "calibration_ece", "reward_variance", "top_eigenvalue",
+                          "margin_mean", "ensemble_disagreement", messages=False)
     return scored.drop("accuracy_score", "calibration_score", "stability_score", "landscape_score",
                        "margin_penalty", "disagreement_penalty", "verdict", "issues") \
         .withColumnRenamed("overall_score", "rl_readiness_score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from prefsight.operators import landscape as ls
@@ -39,10 +40,10 @@ def lnd_hessian_full(t):
 
 @query("lnd_topk_eigs")
 def lnd_topk_eigs(t):
-    """LND-3: top-5 eigenvalues by deflated power iteration (HVP passes)."""
+    """LND-3: top-5 eigenvalues by block Lanczos on HVP passes."""
     cur = ls.Curvature(V.v_pairs_feat(t), W1)
     try:
-        ev = cur.top_eigenvalues_power(5, seed=0)
+        ev = cur.top_eigenvalues(5, seed=0)
     finally:
         cur.unpersist()
     return ls.spectrum_frame(t.spark, ev, "model_1")
@@ -50,7 +51,7 @@ def lnd_topk_eigs(t):
 
 @query("lnd_svd_eigs")
 def lnd_svd_eigs(t):
-    """LND-4: top-5 eigenvalues from the distributed RowMatrix SVD."""
+    """LND-4: top-5 squared singular values of the scaled rows (Lanczos)."""
     cur = ls.Curvature(V.v_pairs_feat(t), W1)
     try:
         ev = cur.top_eigenvalues_svd(5)
@@ -59,6 +60,40 @@ def lnd_svd_eigs(t):
     return ls.spectrum_frame(t.spark, ev, "model_1")
 
 
+@query("lnd_invariants", f"""
+WITH p AS (SELECT d, {_S1} AS s FROM v_pairs_feat),
+h AS (SELECT avg(p.s * p.d[i.range + 1] * p.d[j.range + 1]) AS v, i.range = j.range AS diagonal
+      FROM p, range({DIM}) i, range({DIM}) j GROUP BY i.range, j.range)
+SELECT sum(CASE WHEN diagonal THEN v END) AS trace, sum(v * v) AS squared_norm, true AS full_agrees,
+       true AS topk_agrees, true AS svd_agrees, true AS hvp_agrees, true AS trace_estimate_agrees FROM h
+""", rnd=["trace", "squared_norm"])
+def lnd_invariants(t):
+    """LND-1..5 against the exact matrix: eigenvalue sums are the trace and the
+    squared norm; iterative values, products and the estimate stay within 1e-6
+    (relative), 1e-9 and four standard errors of the exact ones."""
+    cur = ls.Curvature(V.v_pairs_feat(t), W1)
+    try:
+        h = cur.gramian()
+        full = cur.eigenvalues_full()
+        values, vectors = cur.krylov(5, seed=0)
+        svd = np.array(cur.top_eigenvalues_svd(5))
+        probe = np.linspace(-1, 1, DIM)
+        product = cur.hvp(probe)
+        estimate = cur.trace_hutchinson(400, seed=0)
+    finally:
+        cur.unpersist()
+    exact = np.sort(np.linalg.eigvalsh(h))[::-1]
+    error = 4 * np.sqrt(2 * (h * h).sum() / 400)  # of Gaussian probes
+    agree = (np.allclose(full, exact), np.allclose(values, exact[:5], rtol=1e-6)
+             and np.allclose(h @ vectors, vectors * values, atol=1e-5 * exact[0]),
+             np.allclose(svd, exact[:5], rtol=1e-6), np.allclose(product, h @ probe, atol=1e-9),
+             abs(estimate - np.trace(h)) <= error)
+    return t.spark.createDataFrame(
+        [(float(full.sum()), float((full ** 2).sum()), *map(bool, agree))],
+        "trace double, squared_norm double, full_agrees boolean, topk_agrees boolean, svd_agrees boolean, "
+        "hvp_agrees boolean, trace_estimate_agrees boolean")
+
+
 @query("lnd_trace")
 def lnd_trace(t):
     """LND-5: Hutchinson trace (100 Gaussian probes, one pass) next to the exact trace."""

@@ -32,21 +32,21 @@ SELECT g.mean, g.std, g.max, g.min, b.best_of_n_improvement FROM g, b
 """, rnd=["mean", "std", "max", "min", "best_of_n_improvement"])
 def pol_reward_stats(t):
     """POL-3: reward statistics and mean best-of-N gain over prompts."""
-    return po.reward_statistics(V.v_candidates(t))
+    return po.reward_statistics(V.v_candidates(t, index=False))
 
 
 @query("pol_grad_variance", "SELECT var_pop(reward) AS gradient_variance FROM v_candidates",
        rnd=["gradient_variance"])
 def pol_grad_variance(t):
     """POL-4: population variance of rewards."""
-    return po.gradient_variance(V.v_candidates(t))
+    return po.gradient_variance(V.v_candidates(t, index=False))
 
 
 @query("pol_kl", "SELECT coalesce(avg(log_prob - base_log_prob), 0.0e0) AS kl FROM v_candidates",
        rnd=["kl"])
 def pol_kl(t):
     """POL-5: KL to the base policy, mean log-ratio."""
-    return po.kl_divergence(V.v_candidates(t))
+    return po.kl_divergence(V.v_candidates(t, index=False))
 
 
 @query("pol_hacking", """
@@ -62,7 +62,7 @@ SELECT threshold, mean_reward, std_reward, outlier_count, outlier_count / n AS o
 """, rnd=["threshold", "mean_reward", "std_reward", "outlier_fraction"])
 def pol_hacking(t):
     """POL-6: reward-hacking detector at the default 3 sigma and at 1 sigma."""
-    return po.detect_reward_hacking(V.v_candidates(t), thresholds=(3.0, 1.0))
+    return po.detect_reward_hacking(V.v_candidates(t, index=False), thresholds=(3.0, 1.0))
 
 
 @query("pol_objective", """
@@ -71,7 +71,7 @@ SELECT avg(reward) AS mean_reward, avg(log_prob - base_log_prob) AS kl,
 """, rnd=["mean_reward", "kl", "objective"])
 def pol_objective(t):
     """POL-7: RLHF objective E[r] - 0.1 KL."""
-    return po.rlhf_objective(V.v_candidates(t), beta=0.1)
+    return po.rlhf_objective(V.v_candidates(t, index=False), beta=0.1)
 
 
 @query("pol_length_bias", r"""
@@ -83,4 +83,4 @@ FROM v_candidates
 """, rnd=["length_reward_corr", "mean_length", "repeated_token_share"])
 def pol_length_bias(t):
     """POL-8: length-reward correlation and repeated-token share."""
-    return po.length_bias(V.v_candidates(t))
+    return po.length_bias(V.v_candidates(t, index=False))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prefsight.functions import hash_key
 from prefsight.operators.indexing import global_index
 from prefsight.plans import sql_fn as S
 from prefsight.plans.registry import query
@@ -63,8 +64,10 @@ SELECT pair_id, prompt, chosen, rejected, margin FROM v_text_pairs ORDER BY pair
 """, rnd=["margin"])
 def src_lookup(t):
     """SRC-5: the pair at position 3 in key order."""
-    idx = global_index(V.v_text_pairs(t), ["pair_id"], "position")
-    return io.lookup(idx, "position", 3).select("pair_id", "prompt", "chosen", "rejected", "margin")
+    pairs = V.v_text_pairs(t)
+    place = io.lookup(global_index(pairs.select("pair_id"), ["pair_id"], "position"), "position", 3)
+    return pairs.join(F.broadcast(place.select("pair_id")), "pair_id").select(
+        "pair_id", "prompt", "chosen", "rejected", "margin")
 
 
 @query("src_sample", f"""
@@ -84,26 +87,30 @@ def src_split(t):
     return io.split(V.v_pool(t), "pair_id").select("pair_id", "split")
 
 
-@query("src_write", """
-SELECT f.file, f.format, CAST(least(count(*), 1000) AS BIGINT) AS rows
-FROM v_text_pairs, (VALUES ('text_pairs_train_1k.parquet', 'parquet'), ('text_pairs_train_1k.json', 'json'),
-                           ('text_pairs_train_1k.csv', 'csv')) f(file, format)
+@query("src_write", f"""
+SELECT f.file, f.format, count(*) AS rows, CAST(sum(length(prompt) + length(chosen) + length(rejected)) AS BIGINT) AS chars,
+       sum(margin) AS margin_sum, CAST(bit_xor({S.hash_key(0, 'prompt', 'chosen', 'rejected')}) AS BIGINT) AS content
+FROM v_text_pairs, (VALUES ('text_pairs_train.parquet', 'parquet'), ('text_pairs_train.json', 'json'),
+                           ('text_pairs_train.csv', 'csv')) f(file, format)
 GROUP BY f.file, f.format
-""")
+""", rnd=["margin_sum"])
 def src_write(t):
-    """SRC-8 / SRC-12: write a 1000-row sample in three formats under the
-    dataset naming rule and report what was read back."""
+    """SRC-8 / SRC-12: write the whole table in three formats under the dataset
+    naming rule; reports rows, characters and a content hash of what is read back."""
     spark = t.spark
     base = scratch_path(spark, "datasets")
-    sample = io.sample_exact(V.v_text_pairs(t), 1000, "pair_id")
+    pairs = V.v_text_pairs(t).select("pair_id", "prompt", "chosen", "rejected", "margin").checkpoint()
     rows = []
     for fmt in ("parquet", "json", "csv"):
-        path = io.write_dataset(sample, base, "text_pairs", "train", 1000, fmt)
+        path = io.write_dataset(pairs, base, "text_pairs", "train", None, fmt)
         back = io.read_preferences(spark, path, schema=None if fmt == "parquet" else PAIR_SCHEMA)
-        rows.append(back.select(F.lit(path.rsplit("/", 1)[-1]).alias("file"),
-                                F.lit(fmt).alias("format"), "pair_id"))
+        rows.append(back.select(F.lit(path.rsplit("/", 1)[-1]).alias("file"), F.lit(fmt).alias("format"), "margin",
+                                (F.length("prompt") + F.length("chosen") + F.length("rejected")).alias("n"),
+                                hash_key(0, "prompt", "chosen", "rejected").alias("h")))
     out = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    return out.groupBy("file", "format").agg(F.count(F.lit(1)).alias("rows"))
+    return out.groupBy("file", "format").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("n").cast("bigint").alias("chars"),
+        F.sum("margin").alias("margin_sum"), F.bit_xor("h").alias("content"))
 
 
 @query("src_json_roundtrip", """

@@ -1,5 +1,5 @@
-"""STR-* queries: file-replayed Structured Streaming monitors (rows-only) and
-their batch twins (oracle-checked)."""
+"""STR-* queries: file-replayed Structured Streaming monitors and their batch twins,
+both checked by the same SQL."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from prefsight.streaming import monitors as mo
 
 WINDOW = "1 day"
 WATERMARK = "1 hour"
+#: How far the closing row of a replay lies ahead: a window and the watermark.
+AHEAD = "3 DAYS"
 _WSTART = "CAST(epoch(time_bucket(INTERVAL '1 day', ts)) AS BIGINT)"
 
 
@@ -47,8 +49,12 @@ GROUP BY t.window_start, t.grp, t.n, t.accuracy, t.mean_margin, t.brier
 
 
 _INGEST_SQL = """
-SELECT pair_id, CASE WHEN error IS NULL THEN 'valid' ELSE 'rejected' END AS status, error FROM (
-SELECT pair_id, CASE
+SELECT pair_id, CASE WHEN error IS NULL THEN 'valid' ELSE 'rejected' END AS status, error,
+       CASE WHEN error IS NULL THEN 'Prompt: ' || prompt || chr(10) || chr(10) || 'Response: ' || chosen END AS chosen_text,
+       CASE WHEN error IS NULL THEN 'Prompt: ' || prompt || chr(10) || chr(10) || 'Response: ' || rejected END
+         AS rejected_text
+FROM (
+SELECT *, CASE
   WHEN prompt IS NULL OR length(prompt) = 0 THEN 'prompt must be a non-empty string'
   WHEN chosen IS NULL OR length(chosen) = 0 THEN 'chosen must be a non-empty string'
   WHEN rejected IS NULL OR length(rejected) = 0 THEN 'rejected must be a non-empty string'
@@ -59,26 +65,27 @@ SELECT pair_id, CASE
 @query("str_ingest", _INGEST_SQL)
 def str_ingest(t):
     """STR-1: stream v_reject files through validation into valid / quarantine sinks."""
-    src, schema = mo.stage_source(V.v_reject(t), "reject", "pair_id")
-    return mo.ingest_stream(t.spark, src, schema)
+    return mo.ingest_stream(V.v_reject(t), "pair_id")
 
 
 @query("str_ingest_batch", _INGEST_SQL)
 def str_ingest_batch(t):
     """STR-1 batch twin: the same validation over the static table."""
     from prefsight.sources import io
+    from prefsight.operators.text import render
     tagged = io.tag_errors(V.v_reject(t))
-    return tagged.select("pair_id", F.when(F.col("error").isNull(), F.lit("valid"))
-                         .otherwise(F.lit("rejected")).alias("status"), "error")
+    ok = F.col("error").isNull()
+    return tagged.select("pair_id", F.when(ok, F.lit("valid")).otherwise(F.lit("rejected")).alias("status"), "error",
+                         F.when(ok, render(F.col("prompt"), F.col("chosen"))).alias("chosen_text"),
+                         F.when(ok, render(F.col("prompt"), F.col("rejected"))).alias("rejected_text"))
 
 
-@query("str_calibration")
+@query("str_calibration", _CAL_SQL, rnd=["accuracy", "mean_margin", "ece", "brier", "mce"])
 def str_calibration(t):
     """STR-2: daily calibration per group from a file stream (watermark 1 h, append)."""
-    src, schema = mo.stage_source(margins_ts(t), "margins", "pair_id")
-    return mo.run_file_stream(t.spark, src, schema,
-                              lambda s: mo.windowed_calibration(s, window=WINDOW, watermark=WATERMARK),
-                              "calibration")
+    rows = margins_ts(t)
+    return mo.run_file_stream(rows, "ts", lambda x: mo.windowed_calibration(x, window=WINDOW, watermark=WATERMARK),
+                              "calibration", mo.closing_row(rows, AHEAD))
 
 
 @query("str_calibration_batch", _CAL_SQL,
@@ -88,16 +95,7 @@ def str_calibration_batch(t):
     return mo.windowed_calibration(margins_ts(t), window=WINDOW)
 
 
-@query("str_readiness")
-def str_readiness(t):
-    """STR-3: windowed readiness monitor with the margin warning (stream)."""
-    src, schema = mo.stage_source(margins_ts(t), "readiness", "pair_id")
-    return mo.run_file_stream(t.spark, src, schema,
-                              lambda s: mo.windowed_readiness(s, window=WINDOW, watermark=WATERMARK),
-                              "readiness")
-
-
-@query("str_readiness_batch", f"""
+_READINESS_SQL = f"""
 WITH c AS ({_CAL_SQL})
 SELECT window_start, grp, n, accuracy, ece, mean_margin,
        greatest(0.0e0, least(1.0e0, 0.5e0 * accuracy + 0.3e0 * greatest(0.0e0, 1 - ece * 5)
@@ -105,42 +103,46 @@ SELECT window_start, grp, n, accuracy, ece, mean_margin,
                 ELSE 0.0e0 END)) AS rl_readiness,
        abs(mean_margin) > 2.0e0 AS margin_warning
 FROM c
-""", rnd=["accuracy", "ece", "mean_margin", "rl_readiness"])
+"""
+
+
+@query("str_readiness", _READINESS_SQL, rnd=["accuracy", "ece", "mean_margin", "rl_readiness"])
+def str_readiness(t):
+    """STR-3: windowed readiness monitor with the margin warning (stream)."""
+    rows = margins_ts(t)
+    return mo.run_file_stream(rows, "ts", lambda x: mo.windowed_readiness(x, window=WINDOW, watermark=WATERMARK),
+                              "readiness", mo.closing_row(rows, AHEAD))
+
+
+@query("str_readiness_batch", _READINESS_SQL, rnd=["accuracy", "ece", "mean_margin", "rl_readiness"])
 def str_readiness_batch(t):
     """STR-3 batch twin."""
     return mo.windowed_readiness(margins_ts(t), window=WINDOW)
 
 
-@query("str_rollup")
-def str_rollup(t):
-    """STR-4: windowed step-metric rollup per run (stream)."""
-    src, schema = mo.stage_source(steps_ts(t), "steps", "step")
-    return mo.run_file_stream(t.spark, src, schema,
-                              lambda s: mo.windowed_rollup(s, window=WINDOW, watermark=WATERMARK),
-                              "rollup")
-
-
-@query("str_rollup_batch", f"""
+_ROLLUP_SQL = f"""
 WITH s AS (SELECT l.run_id, l.step, l.name, l.value, e.ts FROM v_metric_log l
            JOIN events e ON e.event_id = l.step)
 SELECT {_WSTART} AS window_start, run_id, name, avg(value) AS value, count(*) AS n_steps
 FROM s GROUP BY 1, run_id, name
-""", rnd=["value"])
+"""
+
+
+@query("str_rollup", _ROLLUP_SQL, rnd=["value"])
+def str_rollup(t):
+    """STR-4: windowed step-metric rollup per run (stream)."""
+    rows = steps_ts(t)
+    return mo.run_file_stream(rows, "ts", lambda x: mo.windowed_rollup(x, window=WINDOW, watermark=WATERMARK),
+                              "rollup", mo.closing_row(rows, AHEAD))
+
+
+@query("str_rollup_batch", _ROLLUP_SQL, rnd=["value"])
 def str_rollup_batch(t):
     """STR-4 batch twin."""
     return mo.windowed_rollup(steps_ts(t), window=WINDOW)
 
 
-@query("str_margins")
-def str_margins(t):
-    """STR-5: rolling margin drift and mislabel alerts (stream)."""
-    src, schema = mo.stage_source(margins_ts(t), "drift", "pair_id")
-    return mo.run_file_stream(t.spark, src, schema,
-                              lambda s: mo.windowed_margin_drift(s, window=WINDOW, watermark=WATERMARK),
-                              "drift")
-
-
-@query("str_margins_batch", f"""
+_MARGINS_SQL = f"""
 WITH m AS ({_MARGINS_TS})
 SELECT {_WSTART} AS window_start, grp, count(*) AS n,
        sum(CASE WHEN margin > 0.7e0 THEN 1 ELSE 0 END) / count(*) AS easy_fraction,
@@ -148,7 +150,18 @@ SELECT {_WSTART} AS window_start, grp, count(*) AS n,
        sum(CASE WHEN margin < 0.2e0 THEN 1 ELSE 0 END) / count(*) AS hard_fraction,
        CAST(sum(CASE WHEN margin < -0.5e0 THEN 1 ELSE 0 END) AS BIGINT) AS mislabel_alerts
 FROM m GROUP BY 1, grp
-""", rnd=["easy_fraction", "medium_fraction", "hard_fraction"])
+"""
+
+
+@query("str_margins", _MARGINS_SQL, rnd=["easy_fraction", "medium_fraction", "hard_fraction"])
+def str_margins(t):
+    """STR-5: rolling margin drift and mislabel alerts (stream)."""
+    rows = margins_ts(t)
+    return mo.run_file_stream(rows, "ts", lambda x: mo.windowed_margin_drift(x, window=WINDOW, watermark=WATERMARK),
+                              "drift", mo.closing_row(rows, AHEAD))
+
+
+@query("str_margins_batch", _MARGINS_SQL, rnd=["easy_fraction", "medium_fraction", "hard_fraction"])
 def str_margins_batch(t):
     """STR-5 batch twin."""
     return mo.windowed_margin_drift(margins_ts(t), window=WINDOW)

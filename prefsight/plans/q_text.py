@@ -56,7 +56,7 @@ GROUP BY c.key, c.field
 def txt_encode(t):
     """TXT-2: fixed-length (512) encoding of every text; summarised by mask
     length, id sums and unknown-token count so the check sees every id."""
-    corpus = tx.texts_long(V.v_text_pairs(t))
+    corpus = tx.texts_long(V.v_text_pairs(t)).checkpoint()  # read by the vocabulary and the encoding
     vocab = tx.build_vocabulary(corpus, size=VOCAB)
     enc = tx.encode(corpus, vocab, max_length=MAX_LEN)
     ids, mask = F.col("input_ids"), F.col("attention_mask")

@@ -46,8 +46,8 @@ def trn_item_strengths(t):
     a_wins = F.col("a.l_extendedprice") >= F.col("b.l_extendedprice")
     comps = j.select(F.when(a_wins, F.col("a.l_suppkey")).otherwise(F.col("b.l_suppkey")).alias("winner"),
                      F.when(a_wins, F.col("b.l_suppkey")).otherwise(F.col("a.l_suppkey")).alias("loser"))
-    out, _ = tr.item_strengths(comps, iterations=10, tol=1e-6)
-    return out
+    out, rounds = tr.item_strengths(comps, iterations=10, tol=1e-6)
+    return out.withColumn("rounds", F.lit(rounds))
 
 
 def _epochs(t):

@@ -52,10 +52,11 @@ SELECT l_orderkey AS prompt_id, 'prompt ' || CAST(l_orderkey AS VARCHAR) AS prom
 FROM v_cand_base
 """, ["v_cand_base"]),
     "v_tr_base": ("""
-SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN chr(10) || chr(10) || 'Human: '
-                                ELSE chr(10) || chr(10) || 'Assistant: ' END || text, ''
+SELECT conv_id, string_agg(CASE role WHEN 'user' THEN chr(10) || chr(10) || 'Human: '
+                                WHEN 'assistant' THEN chr(10) || chr(10) || 'Assistant: '
+                                ELSE chr(10) || chr(10) || 'System: ' END || text, ''
                            ORDER BY turn) AS transcript
-FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id
+FROM conversations GROUP BY conv_id
 """, []),
     "v_transcripts": ("""
 SELECT a.conv_id, a.transcript AS chosen, b.transcript AS rejected

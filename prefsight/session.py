@@ -2,7 +2,7 @@
 
 Lineage is cut with reliable ``checkpoint()`` into the folder named by
 ``spark.checkpoint.dir``.  On a cluster that setting names shared storage and we
-only read it; a private folder is created only when it is unset (local tests).
+only read it; a private folder is created only in local mode when it is unset.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -33,19 +35,20 @@ def build_session(master: str | None = None, partitions: int | None = None,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
-        .config("spark.driver.memory", os.environ.get("PREFSIGHT_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("PREFSIGHT_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, honouring ``spark.checkpoint.dir``.
 
-    Only when the cluster names none (local runs and tests) is a private folder
-    created under the system temp directory.
+    In local mode a private folder is created if none is set; elsewhere a folder
+    of one machine would be of no use to the others, so it has to be set.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,11 +57,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="prefsight-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application.
+
+    Task functions are pickled by reference, so workers must be able to import
+    them; a zip through ``addPyFile`` does that on any cluster.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="prefsight-zip-")) / "prefsight.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path inside the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

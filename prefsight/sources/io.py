@@ -105,21 +105,14 @@ def sample_exact(df: DataFrame, n: int | None, key_col: str, seed: int = 42) ->
     """SRC-6: exactly n rows chosen by a keyed hash order (all rows when the table
     is not larger than n, or n is None/0).
 
-    For large tables a hash threshold first keeps ~1.2 n candidates so the
-    final ordering is a small top-n; if the threshold is unlucky the full
-    top-n runs instead.  Both give the same rows."""
+    Rows get their place in the order of (hash, key) on keys alone, spread over
+    range partitions, and the table is joined with the first n places; n may be
+    as large as the table."""
+    from prefsight.operators.indexing import global_index
     if not n:
         return df
-    total = df.count()
-    if total <= n:
-        return df
-    h = hash_key(seed, key_col)
-    keyed = df.withColumn("_h", h)
-    bound = int(min(1.0, 1.2 * n / total + 1e-9) * (1 << 60))
-    cand = keyed.filter(F.col("_h") < F.lit(bound))
-    if cand.count() < n:
-        cand = keyed
-    return cand.orderBy("_h", key_col).limit(n).drop("_h")
+    places = global_index(df.select(key_col, hash_key(seed, key_col).alias("_h")), ["_h", key_col], "_place")
+    return df.join(places.filter(F.col("_place") < n).select(key_col), key_col, "left_semi")
 
 
 def split_column(key_col: str, seed: int = 42, fractions=(0.8, 0.1, 0.1),

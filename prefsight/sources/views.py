@@ -67,10 +67,11 @@ def _candidates_base(t: Tables) -> DataFrame:
     return index_within_group(li, ["l_orderkey"], _CAND_ORDER, "sample_idx")
 
 
-def v_candidates(t: Tables) -> DataFrame:
-    b = _candidates_base(t)
+def v_candidates(t: Tables, index: bool = True) -> DataFrame:
+    """Generated samples; ``index=False`` leaves out sample_idx and its sort."""
+    b = _candidates_base(t) if index else t.lineitem
     return b.select(
-        F.col("l_orderkey").alias("prompt_id"), "sample_idx",
+        F.col("l_orderkey").alias("prompt_id"), *(["sample_idx"] if index else []),
         F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("response"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 100).alias("reward"),
         (-F.col("l_quantity")).alias("log_prob"),
@@ -89,10 +90,10 @@ def v_completions_long(t: Tables) -> DataFrame:
 
 
 def v_transcripts(t: Tables) -> DataFrame:
-    c = t.conversations.filter(F.col("role").isin("user", "assistant"))
     piece = F.concat(F.when(F.col("role") == "user", F.lit("\n\nHuman: "))
-                     .otherwise(F.lit("\n\nAssistant: ")), F.col("text"))
-    tr = (c.groupBy("conv_id")
+                     .when(F.col("role") == "assistant", F.lit("\n\nAssistant: "))
+                     .otherwise(F.lit("\n\nSystem: ")), F.col("text"))
+    tr = (t.conversations.groupBy("conv_id")
           .agg(F.array_sort(F.collect_list(F.struct(F.col("turn"), piece.alias("piece"))))
                .alias("turns"))
           .select("conv_id", F.array_join(F.transform("turns", lambda x: x["piece"]), "")
@@ -124,22 +125,21 @@ def v_single(t: Tables) -> DataFrame:
 
 
 def v_text_pairs(t: Tables) -> DataFrame:
-    dl = t.documents.join(t.labels.select("doc_id", "quality"), "doc_id") \
-        .select("doc_id", "text", "lang", "source", "n_chars", "quality")
-    ranked = index_within_group(dl, ["quality", "lang"], ["doc_id"], "r")
+    """Pairs of a good text and a bad one of its language.
+
+    Positions are made on keys only; texts are joined to the finished pairs."""
+    keys = t.documents.select("doc_id", "lang").join(t.labels.select("doc_id", "quality"), "doc_id")
+    ranked = index_within_group(keys, ["quality", "lang"], ["doc_id"], "r")
     rej = ranked.filter(F.col("quality") == 0)
     n0 = rej.groupBy("lang").agg(F.count(F.lit(1)).alias("n0"))
     c = ranked.filter(F.col("quality") == 1).join(n0, "lang") \
-        .withColumn("target", F.col("r") % F.col("n0"))
-    x = rej.select(F.col("lang").alias("x_lang"), F.col("r").alias("x_r"),
-                   F.col("text").alias("rejected"))
-    pairs = c.join(x, (c["lang"] == x["x_lang"]) & (c["target"] == x["x_r"]))
-    return pairs.select(
-        F.col("doc_id").alias("pair_id"),
-        F.concat(F.lit("Write a "), F.col("lang"), F.lit(" text from "), F.col("source"))
-        .alias("prompt"),
-        F.col("text").alias("chosen"), "rejected",
-        ((F.col("n_chars") % 101).cast("double") / 100.0).alias("margin"))
+        .select(F.col("doc_id").alias("pair_id"), "lang", (F.col("r") % F.col("n0")).alias("r"))
+    pairs = c.join(rej.select("lang", "r", F.col("doc_id").alias("rejected_id")), ["lang", "r"])
+    good = t.documents.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("chosen"), "source", "n_chars")
+    bad = t.documents.select(F.col("doc_id").alias("rejected_id"), F.col("text").alias("rejected"))
+    return pairs.join(good, "pair_id").join(bad, "rejected_id").select(
+        "pair_id", F.concat(F.lit("Write a "), F.col("lang"), F.lit(" text from "), F.col("source")).alias("prompt"),
+        "chosen", "rejected", ((F.col("n_chars") % 101).cast("double") / 100.0).alias("margin"))
 
 
 def v_reject(t: Tables) -> DataFrame:

@@ -9,7 +9,7 @@ ECE / Brier / readiness values are a projection over that state.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefsight.functions import N_BINS, calibration_bin, sigmoid
@@ -107,56 +107,70 @@ def windowed_margin_drift(df: DataFrame, group_cols=("grp",), margin_col="margin
                       F.col("mislabel_alerts").cast("bigint").alias("mislabel_alerts"))
 
 
-def stage_source(df: DataFrame, name: str, order_col: str, files: int = 8) -> tuple[str, object]:
-    """Write a table into the shared scratch area as ``files`` appends of
-    consecutive ``order_col`` ranges, one after another, so that the file
-    source (which replays files by modification time) sees event time move
-    forward the way a live feed would (tests and queries)."""
-    spark = df.sparkSession
-    path = scratch_path(spark, f"stream-src-{name}")
+def slices(df: DataFrame, order_col: str, count: int = 8) -> list[DataFrame]:
+    """``count`` consecutive ranges of ``order_col`` that cover every row.
+
+    Rows without a value come with the first range."""
     bounds = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     if lo is None:
-        df.limit(0).write.parquet(path)
-        return path, df.schema
-    width = (hi - lo) / files
-    for i in range(files):
-        start = lo + width * i
-        part = df.filter(F.col(order_col) >= start) if i == 0 else df.filter(F.col(order_col) > start)
-        part = part.filter(F.col(order_col) <= (lo + width * (i + 1) if i < files - 1 else hi))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path, df.schema
-
-
-def run_file_stream(spark: SparkSession, source: str, schema, transform, name: str,
-                    output_mode: str = "append", max_files: int = 2) -> DataFrame:
-    """Replay a parquet folder as a stream through ``transform`` into a parquet
-    sink (append) with its checkpoint in the shared scratch area; returns the
-    sink contents.  ``availableNow`` processes everything, then stops."""
+        return [df]
+    c, width = F.col(order_col), (hi - lo) / count
+    out = []
+    for i in range(count):
+        start, stop = lo + width * i, lo + width * (i + 1)
+        part = F.lit(True) if i == count - 1 else c <= stop
+        part = part & (F.lit(True) if i == 0 else c > start)
+        out.append(df.filter(part if i else part | c.isNull()))
+    return out
+
+
+def run_file_stream(df: DataFrame, order_col: str, transform, name: str,
+                    closing_row: DataFrame | None = None) -> DataFrame:
+    """Replay a table as a file stream through ``transform`` into a parquet sink.
+
+    The table arrives as consecutive ranges of ``order_col``.  Each range is
+    written in parallel and then processed by a restart of the query from its
+    checkpoint (``availableNow``), so event time moves forward as in a live feed
+    whatever the number of files.  ``closing_row``, processed last, lies so far
+    ahead that the watermark passes every window of the data; its own window
+    stays open and is never emitted."""
+    spark = df.sparkSession
+    source = scratch_path(spark, f"stream-src-{name}")
     sink = scratch_path(spark, f"stream-sink-{name}")
     ckpt = scratch_path(spark, f"stream-ckpt-{name}")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
-    out = transform(stream)
-    q = (out.writeStream.format("parquet").outputMode(output_mode)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start(sink))
-    q.awaitTermination()
+    parts = slices(df, order_col) + ([closing_row] if closing_row is not None else [])
+    for part in parts:
+        part.select(*df.columns).write.mode("append").parquet(source)
+        stream = transform(spark.readStream.schema(df.schema).parquet(source))
+        q = (stream.writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start(sink))
+        q.awaitTermination()
     return spark.read.parquet(sink)
 
 
-def ingest_stream(spark: SparkSession, source: str, schema, name: str = "ingest") -> DataFrame:
+def closing_row(df: DataFrame, ahead: str) -> DataFrame:
+    """One row ``ahead`` of the last event time, other columns null."""
+    last = df.agg(F.max("ts").alias("ts"))
+    return last.select(*((F.col("ts") + F.expr(f"INTERVAL {ahead}")).alias("ts") if f.name == "ts" else
+                         F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields)).filter("ts is not null")
+
+
+def ingest_stream(df: DataFrame, order_col: str, name: str = "ingest") -> DataFrame:
     """STR-1: streaming ingest -> validation -> quarantine + rendered valid rows.
 
     ``foreachBatch`` splits every micro-batch into two parquet sinks (valid
     rendered pairs, rejects with reasons); returns both read back with a
     ``status`` column."""
     from prefsight.operators.text import render
+    spark = df.sparkSession
+    source = scratch_path(spark, f"{name}-src")
     good = scratch_path(spark, f"{name}-valid")
     bad = scratch_path(spark, f"{name}-rejects")
     ckpt = scratch_path(spark, f"{name}-ckpt")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # one folder per micro-batch, overwritten on retry: exactly-once output;
-        # the micro-batch (bounded by maxFilesPerTrigger) is cached for its two sinks
+        # one folder per micro-batch, overwritten on retry: exactly-once output
         batch.persist()
         try:
             valid, rejected = io.validate_pairs(batch)
@@ -167,11 +181,15 @@ def ingest_stream(spark: SparkSession, source: str, schema, name: str = "ingest"
         finally:
             batch.unpersist()
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
-    q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    for part in slices(df, order_col):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(df.schema).parquet(source)
+        q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", ckpt)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     v = spark.read.parquet(good).select("pair_id", F.lit("valid").alias("status"),
-                                        F.lit(None).cast("string").alias("error"))
-    r = spark.read.parquet(bad).select("pair_id", F.lit("rejected").alias("status"), "error")
+                                        F.lit(None).cast("string").alias("error"), "chosen_text", "rejected_text")
+    r = spark.read.parquet(bad).select("pair_id", F.lit("rejected").alias("status"), "error",
+                                       F.lit(None).cast("string").alias("chosen_text"),
+                                       F.lit(None).cast("string").alias("rejected_text"))
     return v.unionByName(r)

@@ -12,7 +12,6 @@ SF = os.environ.get("PREFSIGHT_TEST_SF", "/root/testdata/sf0.001")
 REG = load_all()
 WITH_SQL = sorted(n for n, s in REG.items() if s.sql is not None)
 ROWS_ONLY = sorted(n for n, s in REG.items() if s.sql is None)
-SLOW = {"lnd_topk_eigs", "trn_item_strengths", "cmp_grid"}
 
 
 @pytest.fixture(scope="module")
@@ -26,10 +25,10 @@ def test_matches_oracle(spark, con, name):
     assert r["status"] == "match", r
 
 
-@pytest.mark.parametrize("name", [n for n in ROWS_ONLY if n not in SLOW])
+@pytest.mark.parametrize("name", ROWS_ONLY)
 def test_rows_only_runs(spark, name):
     df = REG[name].run(spark, SF)
-    assert df.count() >= 0 and len(df.columns) > 0
+    assert df.count() > 0
 
 
 def test_entry(spark):
