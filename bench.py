@@ -5,7 +5,8 @@ Runs each query on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) with
 {"metric": "total_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
 
 Each query is materialised with the ``noop`` sink (full computation, nothing
-collected); one warm-up run, then the median of ``$BENCH_REPEATS`` (3) runs.
+collected); one warm-up run, then the median of ``$BENCH_REPEATS`` (3) runs, or of
+one run for a query whose warm-up took over ``SLOW_SEC``.
 """
 
 from __future__ import annotations
@@ -21,10 +22,14 @@ HEADLINE = [
     "evl_report", "evl_auc", "mrg_stats", "mrg_curriculum", "ens_predict", "ens_threshold",
     "pol_best_of_n", "pol_reward_stats", "cnv_best_worst", "cnv_transcript", "txt_vocab",
     "txt_encode", "act_select", "rdy_end_to_end", "rwd_margin", "lnd_gram", "lnd_trace",
-    "lnd_surface", "cmp_grid", "str_calibration_batch",
+    "lnd_surface", "cmp_grid", "str_calibration_batch", "lnd_topk_eigs", "trn_fit_bt",
+    "trn_item_strengths", "cmp_run", "act_diversity", "act_loop", "str_margins",
 ]
 
 
+SLOW_SEC = 10.0
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -44,8 +49,8 @@ def main() -> None:
             t0 = time.perf_counter()
             spec.run(spark, sf_dir).write.format("noop").mode("overwrite").save()
             return time.perf_counter() - t0
-        once()  # warm-up: JIT, file listing, Python workers
-        runs = [once() for _ in range(repeats)]
+        first = once()  # warm-up: JIT, file listing, Python workers
+        runs = [once() for _ in range(repeats if first <= SLOW_SEC else 1)]
         times[name] = round(statistics.median(runs), 3)
         print(f"# {name}: {times[name]}s", file=sys.stderr, flush=True)
     m = re.search(r"sf([0-9.]+)", sf_dir)
