@@ -170,7 +170,7 @@ def _block_links(table: pa.Table, plan: Plan) -> pa.Table:
             if i != j:
                 peer[max(i, j)] = min(i, j)
     got = np.flatnonzero(links)
-    return pa.table({"id": ids[got], "links": links[got], "peer": ids[[root(i) for i in got]].astype(np.int64)})
+    return pa.table({"sig": table["sig"].take(pa.array(got)), "id": ids[got], "links": links[got], "peer": ids[[root(i) for i in got]].astype(np.int64)})
 
 
 def vector_links(vectors: DataFrame, *, vec_id: str = "vec_id", label: str = "label", vector: str = "embedding",
@@ -206,13 +206,13 @@ def vector_links(vectors: DataFrame, *, vec_id: str = "vec_id", label: str = "la
     dealt = (members.join(shared, bucket).withColumn("b", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
              .select("sig", "band", "key", "b", F.least("b", "other").alias("lo"), F.greatest("b", "other").alias("hi")))
-    found = (coded.select("sig", "id", "times", "label", "dim", "vec", "code", "factor").join(dealt, "sig").drop("sig")
+    found = (coded.select("sig", "id", "times", "label", "dim", "vec", "code", "factor").join(dealt, "sig")
              .groupBy(*bucket, "lo", "hi").applyInArrow(lambda t: _block_links(t, plan),
-                                                        "id bigint, links bigint, peer bigint").checkpoint())
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+                                                        "sig binary, id bigint, links bigint, peer bigint").checkpoint())
+    links = found.groupBy("sig").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("id").alias("src"), F.col("peer").alias("dst")))
     about = (coded.select("sig", F.col("id").alias("rep"), "times")
-             .join(links, F.col("rep") == links["id"], "left").drop("id")
+             .join(links, "sig", "left")
              .join(comps, F.col("rep") == comps["node"], "left")
              .select("sig", "rep", "times", "links", F.coalesce("component", "rep").alias("component")))
     out = sigs.select("id", "sig").join(about, "sig", "left")
