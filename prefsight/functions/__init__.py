@@ -6,7 +6,6 @@ from prefsight.functions.core import (  # noqa: F401
     hash_key,
     lit_vector,
     py_strip,
-    r6,
     safe_div,
     sigmoid,
     softplus_neg,

@@ -1,10 +1,9 @@
-"""Column-level helpers.  Everything here builds JVM-side expressions so that
-callers stay inside whole-stage code generation."""
+"""Column-level helpers, all JVM-side expressions.  Scalar ones are compiled with
+their stage; the lambdas over arrays (``dot``, ``sq_norm``, ``vec_sub``) are evaluated
+element by element by Spark's array functions."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,12 +43,6 @@ def safe_div(num, den, default=None) -> Column:
     return F.when(den.isNull() | (den == 0), fallback).otherwise(num.cast("double") / den)
 
 
-def r6(c) -> Column:
-    """Round a double to 6 decimals (partition-dependent float sums differ in
-    the last bits; both the queries and the oracle SQL round)."""
-    return F.round(col_(c).cast("double"), 6)
-
-
 def py_strip(c) -> Column:
     """Python ``str.strip()`` with no arguments."""
     return F.regexp_replace(col_(c), _PY_STRIP_RE, "")
@@ -100,10 +93,6 @@ def lit_vector(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def any_of(conds) -> Column:
-    return reduce(lambda x, y: x | y, conds)
-
-
 def double_literal_sql(x: float) -> str:
     """DuckDB literal that parses to exactly the double ``x``."""
     if x == float("inf"):

@@ -182,32 +182,15 @@ def temperature_losses(df: DataFrame, grid, group_cols=(), margin_col="margin",
 
 
 def fit_temperature(df: DataFrame, group_cols=(), margin_col="margin", label_mode="chosen",
-                    grid=None, refine_rounds: int = 0) -> DataFrame:
-    """Best temperature per group by grid search (bounded to [0.05, 20]).
-
-    ``refine_rounds`` > 0 repeats the search on a finer grid around the best
-    point of a single-group input (driver loop over tiny results)."""
+                    grid=None) -> DataFrame:
+    """Best temperature per group by grid search (bounded to [0.05, 20])."""
     group_cols = list(group_cols)
     grid = list(grid or temperature_grid())
     losses = temperature_losses(df, grid, group_cols, margin_col, label_mode)
     best = losses.groupBy(*group_cols).agg(
         F.min_by(F.struct("temperature", "loss"), F.struct("loss", "temperature")).alias("b"))
-    out = best.select(*group_cols, F.col("b.temperature").alias("temperature"),
-                      F.col("b.loss").alias("loss"))
-    for _ in range(refine_rounds):
-        if group_cols:
-            break
-        t_best = out.first()["temperature"]
-        i = grid.index(t_best) if t_best in grid else 0
-        lo = grid[max(i - 1, 0)]
-        hi = grid[min(i + 1, len(grid) - 1)]
-        import numpy as np
-        grid = [float(x) for x in np.linspace(lo, hi, 21)]
-        losses = temperature_losses(df, grid, (), margin_col, label_mode)
-        b = losses.agg(F.min_by(F.struct("temperature", "loss"),
-                                F.struct("loss", "temperature")).alias("b"))
-        out = b.select(F.col("b.temperature").alias("temperature"), F.col("b.loss").alias("loss"))
-    return out
+    return best.select(*group_cols, F.col("b.temperature").alias("temperature"),
+                       F.col("b.loss").alias("loss"))
 
 
 def _neighbours(lo, hi, k, points):

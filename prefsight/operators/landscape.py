@@ -275,7 +275,3 @@ def surface_directions(w, seed_vector=None):
     u2 = s - (s @ u1) * u1
     u2 = u2 / max(np.linalg.norm(u2), 1e-10)
     return u1, u2
-
-
-def is_close(a: float, b: float, rel: float = 1e-6) -> bool:
-    return math.isclose(a, b, rel_tol=rel)

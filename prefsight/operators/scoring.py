@@ -75,19 +75,39 @@ def predict(df: DataFrame, margin_col: str = "margin") -> DataFrame:
     return df.withColumn("correct", F.col(margin_col) > 0)
 
 
-def absolute_reward(scored: DataFrame, prompt_cols, reward_col: str = "reward",
+def absolute_reward(scored: DataFrame, empty: DataFrame, prompt_cols, reward_col: str = "reward",
                     model_col: str = "model_id") -> DataFrame:
-    """RWD-4: reward against the empty response of the same prompt.
+    """RWD-4: r(prompt, response) - r(prompt, "").
 
-    For a linear model the empty response's features are modelled as the
-    prompt's mean feature vector, so the baseline is the prompt's mean reward
-    (linearity); it is a partial-aggregated groupBy joined back."""
+    ``empty`` has one scored row per prompt and model: the reward of the features of
+    the prompt with an empty response.  It is aggregated per prompt before the join,
+    so a hot prompt joins one row per model (AQE broadcasts or splits it); a prompt
+    without such a row has a null baseline."""
     keys = [*prompt_cols, model_col]
-    base = scored.groupBy(*keys).agg(F.avg(reward_col).alias("baseline"))
-    return scored.join(base, keys).withColumn(
+    base = empty.groupBy(*keys).agg(F.avg(reward_col).alias("baseline"))
+    return scored.join(base, keys, "left").withColumn(
         "absolute_reward", F.col(reward_col) - F.col("baseline"))
 
 
+def score_with(df: DataFrame, scorers: dict, feat_col: str, keep=(), out_col: str = "reward") -> DataFrame:
+    """Rewards of user scorers ``{model_id: function}``, one row per (input row, model).
+
+    A function takes a batch of features (n x d doubles) and returns n rewards; it
+    runs inside the tasks on Arrow batches, so any model that can be pickled fits."""
+    from prefsight.operators.linalg import batch_matrix
+    src = df.select(*keep, feat_col)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name != feat_col]
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = batch_matrix(pdf[feat_col])
+            for model_id, scorer in sorted(scorers.items()):
+                yield pdf[list(keep)].assign(model_id=model_id, **{out_col: scorer(x)})
+    return src.mapInPandas(run, ", ".join([*fields, "model_id int", f"{out_col} double"]))
+
+
 def bt_loss(df: DataFrame, group_cols=(), margin_col="margin") -> DataFrame:
     """RWD-5: mean Bradley-Terry loss -log sigmoid(margin), overflow-free."""
     return df.groupBy(*group_cols).agg(F.avg(softplus_neg(F.col(margin_col))).alias("loss"))

@@ -24,10 +24,18 @@ def _pred(t):
     return en.predict(V.v_scores(t), ["pair_id"], "margin", threshold=THRESHOLD)
 
 
-@query("ens_predict", _PRED, rnd=["mean_reward", "std_reward", "min_reward", "max_reward"])
+@query("ens_predict", f"""
+WITH p AS ({_PRED}),
+l AS (SELECT pair_id, string_agg(CAST(CAST(round(margin * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY model_id)
+             AS rewards_micro FROM v_scores GROUP BY pair_id)
+SELECT p.*, l.rewards_micro FROM p JOIN l ON p.pair_id = l.pair_id
+""", rnd=["mean_reward", "std_reward", "min_reward", "max_reward"])
 def ens_predict(t):
-    """ENS-1: per-pair ensemble mean, population std and uncertainty flag."""
-    return _pred(t)
+    """ENS-1: per-pair ensemble mean, population std, uncertainty flag and the
+    individual rewards by model (written in millionths)."""
+    p = en.predict(V.v_scores(t), ["pair_id"], "margin", threshold=THRESHOLD, with_list=True)
+    micro = F.transform("rewards", lambda r: F.round(r * 1000000).cast("bigint").cast("string"))
+    return p.withColumn("rewards_micro", F.array_join(micro, ",")).drop("rewards")
 
 
 @query("ens_disagreement", f"""

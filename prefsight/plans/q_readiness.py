@@ -40,6 +40,17 @@ def _score_sql(a: str, e: str, v: str, lam: str, m: str, d: str) -> str:
             f"{d_pen} AS disagreement_penalty, {verdict} AS verdict, {issues} AS issues")
 
 
+def _messages_sql(a: str, e: str, v: str, lam: str, m: str, d: str, verdict: str = "verdict") -> str:
+    """SQL twin of the recommendations, joined by line breaks."""
+    def said(text: str, value: str) -> str:
+        return f"printf('{text.replace(chr(39), chr(39) * 2)}', {value})"
+    parts = [verdict] + [f"CASE WHEN {when} THEN {said(rd.MESSAGES[k], value)} END" for k, when, value in (
+        ("accuracy", f"{a} < 0.7e0", f"{a} * 100"), ("calibration", f"{e} > 0.1e0", e), ("variance", f"{v} > 2.0e0", v),
+        ("sharpness", f"{lam} > 200", lam), ("margin", f"abs({m}) > 3.0e0", m), ("disagreement", f"{d} > 0.5e0", d))]
+    return ("array_to_string(list_filter([" + ", ".join(parts)
+            + "], lambda x: x IS NOT NULL), chr(10)) AS recommendations")
+
+
 def _runs_inputs(t):
     r = V.v_runs(t)
     return r.select("optimizer", "seed", F.col("final_val_accuracy").alias("accuracy"),
@@ -52,15 +63,19 @@ def _runs_inputs(t):
 @query("rdy_score", f"""
 WITH i AS (SELECT optimizer, seed, final_val_accuracy AS accuracy, calibration_ece AS ece,
                   final_val_loss * 4 AS reward_variance, top_eigenvalue, final_val_loss * 8 - 1 AS margin_mean,
-                  calibration_ece * 6 AS ensemble_disagreement FROM v_runs)
-SELECT optimizer, seed, {_score_sql('accuracy', 'ece', 'reward_variance', 'top_eigenvalue',
-                                    'margin_mean', 'ensemble_disagreement')} FROM i
+                  calibration_ece * 6 AS ensemble_disagreement FROM v_runs),
+s AS (SELECT *, {_score_sql('accuracy', 'ece', 'reward_variance', 'top_eigenvalue',
+                            'margin_mean', 'ensemble_disagreement')} FROM i)
+SELECT optimizer, seed, {", ".join(_OUT)}, verdict, issues,
+       {_messages_sql('accuracy', 'ece', 'reward_variance', 'top_eigenvalue', 'margin_mean', 'ensemble_disagreement')}
+FROM s
 """, rnd=_OUT)
 def rdy_score(t):
-    """RDY-1: composite readiness of every (optimizer, seed) run."""
+    """RDY-1: composite readiness of every (optimizer, seed) run with recommendations."""
     out = rd.readiness(_runs_inputs(t), "accuracy", "ece", "reward_variance", "top_eigenvalue",
-                       "margin_mean", "ensemble_disagreement", messages=False)
-    return out.select("optimizer", "seed", *_OUT, "verdict", "issues")
+                       "margin_mean", "ensemble_disagreement")
+    return out.select("optimizer", "seed", *_OUT, "verdict", "issues",
+                      F.array_join("recommendations", "\n").alias("recommendations"))
 
 
 _PIVOT_NAMES = [n for n, _ in V.METRIC_LOG_NAMES]

@@ -47,14 +47,17 @@ def rwd_predict(t):
 WITH s AS (SELECT e.vec_id, e.label, mm.model_id,
                   list_dot_product(CAST(e.embedding AS DOUBLE[]), {_W}) AS reward
            FROM embeddings e, {_MODEL_IDS_SQL}),
-b AS (SELECT label, model_id, avg(reward) AS baseline FROM s GROUP BY label, model_id)
+p AS (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label),
+b AS (SELECT p.label, mm.model_id, 0.5e0 * list_dot_product(CAST(p.embedding AS DOUBLE[]), {_W}) AS baseline
+      FROM p, {_MODEL_IDS_SQL})
 SELECT s.vec_id, s.label, s.model_id, s.reward, b.baseline, s.reward - b.baseline AS absolute_reward
 FROM s JOIN b ON s.label = b.label AND s.model_id = b.model_id
 """, rnd=["reward", "baseline", "absolute_reward"])
 def rwd_absolute(t):
-    """RWD-4: reward relative to the prompt's empty-response baseline (label = prompt)."""
+    """RWD-4: reward minus that of the prompt's empty response (label = prompt)."""
     scored = sc.score_all(t.embeddings, MODELS, "embedding", keep=["vec_id", "label"])
-    return sc.absolute_reward(scored, ["label"]).select(
+    empty = sc.score_all(V.v_empty_responses(t), MODELS, "embedding", keep=["label"])
+    return sc.absolute_reward(scored, empty, ["label"]).select(
         "vec_id", "label", "model_id", "reward", "baseline", "absolute_reward")
 
 

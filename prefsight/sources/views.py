@@ -154,6 +154,12 @@ def v_reject(t: Tables) -> DataFrame:
         F.when(k == 5, F.lit(None).cast("double")).otherwise(F.col("margin")).alias("margin"))
 
 
+def v_empty_responses(t: Tables) -> DataFrame:
+    """Features of each prompt with an empty response: half the prompt's first vector."""
+    first = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    return first.select("label", F.transform("embedding", lambda x: x.cast("double") * 0.5).alias("embedding"))
+
+
 def v_embeddings_ranked(t: Tables) -> DataFrame:
     return index_within_group(t.embeddings, ["label"], ["vec_id"], "r")
 

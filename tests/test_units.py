@@ -482,3 +482,19 @@ def test_checkpoint_folder_has_to_be_shared_off_local():
         sparkContext, conf = Context(), Conf()
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_user_scorers(spark):
+    from prefsight.operators import scoring as sc
+    df = spark.createDataFrame([(i, [float(i), 2.0]) for i in range(9)], "k long, f array<double>").repartition(3)
+    got = {(r["k"], r["model_id"]): r["reward"] for r in sc.score_with(
+        df, {1: lambda x: x.sum(axis=1), 2: lambda x: np.tanh(x[:, 0])}, "f", keep=["k"]).collect()}
+    assert got == {(i, m): pytest.approx(i + 2.0 if m == 1 else math.tanh(i)) for i in range(9) for m in (1, 2)}
+
+
+def test_absolute_reward_subtracts_the_empty_response(spark):
+    from prefsight.operators import scoring as sc
+    scored = spark.createDataFrame([("p", 1, 3.0), ("p", 1, 5.0), ("q", 1, 1.0)], "prompt string, model_id int, reward double")
+    empty = spark.createDataFrame([("p", 1, 2.0)], "prompt string, model_id int, reward double")
+    got = sorted((r["prompt"], r["absolute_reward"]) for r in sc.absolute_reward(scored, empty, ["prompt"]).collect())
+    assert got == [("p", 1.0), ("p", 3.0), ("q", None)]
