@@ -498,3 +498,19 @@ def test_absolute_reward_subtracts_the_empty_response(spark):
     empty = spark.createDataFrame([("p", 1, 2.0)], "prompt string, model_id int, reward double")
     got = sorted((r["prompt"], r["absolute_reward"]) for r in sc.absolute_reward(scored, empty, ["prompt"]).collect())
     assert got == [("p", 1.0), ("p", 3.0), ("q", None)]
+
+
+def test_nearest_distance_lsh_recall(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(400, 16))
+    X = np.concatenate([base, base + 0.1 * rng.normal(size=base.shape), base + 0.2 * rng.normal(size=base.shape)])
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(X)], "k long, v array<double>")
+    got = {r["k"]: r["nn_distance"] for r in ac.nearest_distance_lsh(df, "k", "v", bucket=32).collect()}
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(D, np.inf)
+    exact = D.min(axis=1)
+    assert all(got[i] is None or got[i] >= exact[i] - 1e-9 for i in range(len(X)))
+    assert np.mean([got[i] is not None and got[i] <= exact[i] + 1e-9 for i in range(len(X))]) >= 0.9
+    few = spark.createDataFrame([(1, [0.0]), (2, [3.0])], "k long, v array<double>")
+    assert {r["nn_distance"] for r in ac.nearest_distance_lsh(few, "k", "v").collect()} == {3.0}
+    assert ac.nearest_distance_lsh(few.limit(0), "k", "v").count() == 0
