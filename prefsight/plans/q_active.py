@@ -110,7 +110,25 @@ def act_diversity(t):
     return ac.nearest_distance(t.embeddings, "vec_id", "embedding")
 
 
-@query("act_greedy_diverse")
+def _greedy_sql(k: int) -> str:
+    """Greedy rounds unrolled: what is left with its distance, and the pick."""
+    from prefsight.plans.q_scoring import _MODEL_IDS_SQL, _W
+    ctes = [f"""
+r AS (SELECT e.vec_id, CAST(e.embedding AS DOUBLE[]) AS v, list_dot_product(CAST(e.embedding AS DOUBLE[]), {_W}) AS reward
+      FROM embeddings e, {_MODEL_IDS_SQL}),
+b0 AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, stddev_pop(reward) AS score, CAST(NULL AS DOUBLE) AS min_dist
+                    FROM r GROUP BY vec_id),
+k0 AS MATERIALIZED (SELECT * FROM b0 ORDER BY score DESC, vec_id LIMIT 1)"""]
+    for i in range(1, k):
+        ctes.append(f"""
+b{i} AS MATERIALIZED (SELECT b.vec_id, b.v, b.score, least(b.min_dist, list_distance(b.v, p.v)) AS min_dist
+                      FROM b{i - 1} b, k{i - 1} p WHERE b.vec_id <> p.vec_id),
+k{i} AS MATERIALIZED (SELECT * FROM b{i} ORDER BY score * min_dist DESC, score DESC, vec_id LIMIT 1)""")
+    return "WITH" + ",".join(ctes) + "\n" + "\nUNION ALL ".join(
+        f"SELECT CAST({i} AS INTEGER) AS round, vec_id, score, min_dist FROM k{i}" for i in range(k))
+
+
+@query("act_greedy_diverse", _greedy_sql(10), rnd=["score", "min_dist"])
 def act_greedy_diverse(t):
     """ACT-6: 10 embeddings chosen greedily by ensemble std x distance to the
     already chosen ones."""
