@@ -93,21 +93,35 @@ def noisy_or(score: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(group, weights=np.log1p(-np.minimum(score, 1 - 1e-12)), minlength=n))
 
 
-def select_features(text: np.ndarray, feature: np.ndarray, label: np.ndarray, n_features: int) -> np.ndarray:
+def _chunks(texts: list[bytes]):
+    """Slices of the texts of about a chunk's bytes."""
+    done = 0
+    while done < len(texts):
+        size, take = 0, done
+        while take < len(texts) and (take == done or size + len(texts[take]) < K.CHUNK_BYTES):
+            size, take = size + len(texts[take]) + 1, take + 1
+        yield done, texts[done:take]
+        done = take
+
+
+def select_features(texts: list[bytes], label: np.ndarray, n_features: int) -> np.ndarray:
     """Features whose rate differs most between the classes, by likelihood ratio.
 
-    ``text`` and ``feature`` are distinct pairs; a feature needs three texts.
+    A feature counts once a text and needs three texts.
     """
-    names, at = np.unique(feature, return_inverse=True)
-    n1 = max(1, int(label.sum()))
-    n0 = max(1, len(label) - n1)
-    pos = np.bincount(at, weights=label[text], minlength=len(names))
-    neg = np.bincount(at, minlength=len(names)) - pos
-    both, share = pos + neg, n1 / (n1 + n0)
-
-    def part(seen, expected):
+    names, pos, both = np.empty(0, np.uint64), np.empty(0), np.empty(0)
+    for start, part in _chunks(texts):
+        sentence, feature, text_of, _, _ = sentence_features(part)
+        t, f = _distinct(text_of[sentence] + start, feature)
+        all_names, at = np.unique(np.concatenate([names, f]), return_inverse=True)
+        pos = np.bincount(at, weights=np.concatenate([pos, label[t]]), minlength=len(all_names))
+        both = np.bincount(at, weights=np.concatenate([both, np.ones(len(t))]), minlength=len(all_names))
+        names = all_names
+    share = min(max(float(label.mean()), 1e-9), 1 - 1e-9) if len(label) else 0.5
+
+    def part_of(seen, expected):
         return seen * np.log(np.maximum(seen, 1e-300) / expected)
-    z = np.sqrt(np.maximum(0, 2 * (part(pos, both * share) + part(neg, both * (1 - share)))))
+    z = np.sqrt(np.maximum(0, 2 * (part_of(pos, both * share) + part_of(both - pos, both * (1 - share)))))
     z[both < 3] = 0
     best = np.argsort(-z, kind="stable")[:n_features]
     return np.sort(names[best[z[best] >= SIGNIFICANT]])
@@ -115,24 +129,19 @@ def select_features(text: np.ndarray, feature: np.ndarray, label: np.ndarray, n_
 
 def fit(texts: list[bytes], label: np.ndarray, weight: np.ndarray, n_features: int = N_FEATURES) -> Model:
     """Noisy-or likelihood by full-batch Adam; ``weight`` is each text's weight."""
-    parts, n_sentences, texts_of, done = [], 0, [], 0
-    while done < len(texts):
-        size, take = 0, done
-        while take < len(texts) and (take == done or size + len(texts[take]) < K.CHUNK_BYTES):
-            size, take = size + len(texts[take]) + 1, take + 1
-        s, f, t, _, _ = sentence_features(texts[done:take])
-        parts.append(_distinct(s + n_sentences, f))
-        texts_of.append(t + done)
-        n_sentences += len(t)
-        done = take
-    sentence = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
-    feature = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.uint64)
-    text_of = np.concatenate(texts_of) if texts_of else np.empty(0, np.int64)
-    names = select_features(*_distinct(text_of[sentence], feature), label, n_features)
+    names = select_features(texts, label, n_features)
     if not len(names):
         return Model()
-    pos, f = K.member(feature, names, K.member_bitmap(names))
-    s = sentence[pos]
+    bitmap, n_sentences = K.member_bitmap(names), 0
+    parts, texts_of = [], []
+    for start, part in _chunks(texts):
+        sentence, feature, text_of, _, _ = sentence_features(part)
+        pos, at = K.member(feature, names, bitmap)
+        parts.append(_distinct(sentence[pos] + n_sentences, at))
+        texts_of.append(text_of + start)
+        n_sentences += len(text_of)
+    s, f = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    text_of = np.concatenate(texts_of)
     theta = np.zeros(len(names) + 1)
     theta[-1] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
