@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     ensure_checkpoint_dir(edges.sparkSession)
     e = (edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
          .where("a is not null and b is not null and a <> b")
-         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint())
     state = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

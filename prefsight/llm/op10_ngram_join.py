@@ -5,7 +5,7 @@ are ordered by one global order of all shingles share a token in their first
 ``n - ceil(t n) + 1`` tokens; this holds for every order, so a candidate pair has
 to pass the filter of each of several orders before it is verified exactly.
 
-* ``ORDERS`` orders are keyed permutations of the shingles.  Rows of a *group*
+* ``BANDS * ROWS`` orders are keyed permutations of the shingles.  Rows of a *group*
   agree on the first token of ``ROWS`` orders at once; the pairs of a group have
   passed those filters and are verified in blocks.  This finds nearly all links,
   and large families of near copies become one component each.
@@ -16,13 +16,13 @@ to pass the filter of each of several orders before it is verified exactly.
   verified: every link not yet implied is found.
 
 Texts with equal sets are one node.  A block of a group emits a spanning forest of
-its links, not the links, so no node makes the pairs of a family.
+its links, not the links, so no node makes the pairs of a family; the remaining
+pairs are dealt into tiles, and a text is sent to a tile once.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -168,26 +168,32 @@ def _verify_group(table: pa.Table, size: int, percent: int) -> pa.Table:
                      "dst": pa.array([b for _, b in pairs], pa.int64())})
 
 
-def _verify_pairs(batches: Iterator[pa.RecordBatch], size: int, percent: int):
-    """Pairs that share a prefix token under every permuted order and are linked."""
-    for batch in batches:
-        left, right = ([t or b"" for t in batch.column(i).cast(pa.binary()).to_pylist()] for i in (2, 3))
-        ok = []
-        for i in range(len(left)):
-            a, b = _sets([left[i], right[i]], size)
-            small, large = sorted((len(a), len(b)))
-            if 100 * small < percent * large:
-                continue
-            for m in _MULTIPLIERS[:ROWS]:
-                pa_, pb = (np.partition(s * m, prefix_size(len(s), percent) - 1)[:prefix_size(len(s), percent)]
-                           for s in (a, b))
-                if not len(np.intersect1d(pa_, pb, assume_unique=True)):
-                    break
-            else:
-                if linked([a, b], percent)[0, 1]:
-                    ok.append(i)
-        picked = batch.take(pa.array(ok, pa.int64()))
-        yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1)], names=["src", "dst"])
+def _share_prefixes(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets share a prefix token under each of the permuted orders."""
+    for m in _MULTIPLIERS[:ROWS]:
+        x, y = (np.partition(s * m, k - 1)[:k] for s, k in ((s, prefix_size(len(s), percent)) for s in (a, b)))
+        if not len(np.intersect1d(x, y, assume_unique=True)):
+            return False
+    return True
+
+
+def _verify_tile(table: pa.Table, size: int, percent: int) -> pa.Table:
+    """Linked pairs of a tile: each row has a text and the partners to compare it with."""
+    ids = table["id"].to_pylist()
+    sets = _sets([t or b"" for t in table["text"].cast(pa.binary()).to_pylist()], size)
+    rows: dict[int, list[int]] = {}
+    for i, x in enumerate(ids):
+        rows.setdefault(x, []).append(i)
+    found = []
+    for i, partners in enumerate(table["partners"].to_pylist()):
+        for other in set(partners):
+            for j in rows.get(other, ()):
+                a, b = sets[i], sets[j]
+                if (100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) and _share_prefixes(a, b, percent)
+                        and linked([a, b], percent)[0, 1]):
+                    found.append((ids[i], other))
+    return pa.table({"src": pa.array([a for a, _ in found], pa.int64()),
+                     "dst": pa.array([b for _, b in found], pa.int64())})
 
 
 def _picked(rows: DataFrame, ids: DataFrame, on) -> DataFrame:
@@ -212,6 +218,26 @@ def _block_edges(docs: DataFrame, members: DataFrame, size: int, percent: int) -
             .applyInArrow(lambda t: _verify_group(t, size, percent), "src bigint, dst bigint"))
 
 
+def _pair_edges(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Verified pairs among candidates (src, dst).
+
+    Components of the candidate graph, dealt into blocks, make tiles; a text is
+    sent once to each tile in which it has a pair, not once per pair.
+    """
+    clusters = connected_components(pairs)
+    blocks = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    placed = (pairs.join(clusters, pairs["src"] == clusters["node"]).join(blocks, "component")
+              .withColumn("a", F.pmod(F.xxhash64("src"), F.col("nb"))).withColumn("b", F.pmod(F.xxhash64("dst"), F.col("nb")))
+              .select(F.col("component").alias("cluster"), F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"),
+                      "src", "dst"))
+    tile = ["cluster", "lo", "hi"]
+    members = (placed.select(*tile, F.col("src").alias("id"), F.col("dst").alias("partner"))
+               .union(placed.select(*tile, "dst", F.lit(None).cast("long")))
+               .groupBy(*tile, "id").agg(F.collect_set("partner").alias("partners")))  # within a block
+    rows = _picked(docs, members, "id").select(*tile, "id", "text", "partners")
+    return rows.groupBy(*tile).applyInArrow(lambda t: _verify_tile(t, size, percent), "src bigint, dst bigint")
+
+
 def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                      size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
@@ -281,12 +307,7 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node"))
                     & (F.col("x.comp") != F.col("y.comp")) & fits & apart)
              .select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")).distinct().checkpoint())
-    ends = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-    have = _picked(clean, ends, "id").checkpoint()
-    both = (pairs.join(have.select(F.col("id").alias("src"), F.col("text").alias("a")), "src")
-            .join(have.select(F.col("id").alias("dst"), F.col("text").alias("b")), "dst"))
-    rest = both.select("src", "dst", "a", "b").mapInArrow(
-        lambda it: _verify_pairs(it, size, percent), "src bigint, dst bigint")
+    rest = _pair_edges(clean, pairs, size, percent)
     comps = connected_components(edges.union(rest))
 
     out = sets.select("id", "n", "sig").join(reps.select("sig", "rep"), "sig", "left")
