@@ -28,7 +28,7 @@ def test_stages_keep_what_they_should(spark, sf):
 
 
 def test_stages_on_edge_cases(spark, sf, texts):
-    rows = [(i, t, "en", "s", 1) for i, t in texts[-14:]] + [(None, "no id here", "en", "s", 1), (None, "no id here", "en", "s", 1),
+    rows = [(i, t, "en", "s", 1) for i, t in texts[-15:]] + [(None, "no id here", "en", "s", 1), (None, "no id here", "en", "s", 1),
                                                               (1_000_004, "one two  THREE", "fr", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in P.STAGES[:3]:
