@@ -35,6 +35,7 @@ MISS = 0.002
 BOUND = 5.0
 BUCKET = 64
 BLOCK = 1024
+CELL_ROWS = 4096
 SEED = 4
 
 
@@ -115,62 +116,91 @@ def _code_rows(batches, plan: Plan):
             names=[*batch.schema.names, "dim", "code", "factor", "keys"])
 
 
-def near_pairs(x, signs, factors, rows, plan: Plan, bound: float = BOUND):
-    """Pairs (rows[i], j) whose cosine reaches the threshold, and how many were exact.
+class Estimates:
+    """Vectors of one dimension ready to be compared: rotated, and as weighted codes."""
 
-    ``x`` are unit vectors; the estimate of every pair comes from the codes.
-    """
-    d, k = x.shape[1], factors.shape[1]
-    turned = np.einsum("nd,kde->nke", x[rows], plan.rotations(d)).astype(np.float32)
-    weight = (np.where(signs, 1.0, -1.0) / (math.sqrt(d) * k * factors[:, :, None])).astype(np.float32)
-    estimate = turned.reshape(len(rows), -1) @ weight.reshape(len(x), -1).T
-    spread = np.maximum(1 - factors ** 2, 0) / factors ** 2 / max(1, d - 1)
-    error = bound * np.sqrt(spread.sum(axis=1)) / k + 1e-5
-    i, j = np.nonzero(estimate + error[None, :] >= plan.threshold)
-    near = np.empty(0, bool)
-    if len(i):
-        near = np.concatenate([np.einsum("nd,nd->n", x[rows[i[s:s + 65536]]], x[j[s:s + 65536]]) >= plan.threshold
-                               for s in range(0, len(i), 65536)])
-    return rows[i[near]], j[near], len(i)
-
-
-def _block_links(table: pa.Table, plan: Plan) -> pa.Table:
-    """Links inside a block, or between the two blocks of a pair of blocks."""
-    ids = table["id"].to_numpy()
-    times = table["times"].to_numpy()
-    side = table["b"].to_numpy()
-    band = table["band"][0].as_py()
-    x = _unit(np.stack([np.frombuffer(v) for v in table["vec"].to_pylist()]))
-    n, d = x.shape
-    factors = np.stack([np.frombuffer(f) for f in table["factor"].to_pylist()])
-    signs = np.unpackbits(np.stack([np.frombuffer(c, np.uint8) for c in table["code"].to_pylist()]), axis=1,
-                          count=factors.shape[1] * d).reshape(n, -1, d).astype(bool)
-    keys = plan.keys(signs)
-    lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
-    links, peer = np.zeros(n, np.int64), np.arange(n)
+    def __init__(self, x, signs, factors, plan: Plan, bound: float = BOUND):
+        d, k = x.shape[1], factors.shape[1]
+        self.x, self.threshold = x, plan.threshold
+        self.turned = np.einsum("nd,kde->nke", x, plan.rotations(d)).reshape(len(x), -1).astype(np.float32)
+        self.weight = (np.where(signs, 1.0, -1.0) / (math.sqrt(d) * k * factors[:, :, None])).reshape(
+            len(x), -1).astype(np.float32)
+        spread = np.maximum(1 - factors ** 2, 0) / factors ** 2 / max(1, d - 1)
+        self.error = bound * np.sqrt(spread.sum(axis=1)) / k + 1e-5
+
+    def near_pairs(self, left, right):
+        """Pairs of ``left`` and ``right`` whose cosine reaches the threshold, and how many were exact."""
+        estimate = self.turned[left] @ self.weight[right].T
+        i, j = np.nonzero(estimate + self.error[right][None, :] >= self.threshold)
+        a, b = left[i], right[j]
+        near = np.zeros(len(a), bool)
+        for s in range(0, len(a), 65536):
+            near[s:s + 65536] = np.einsum("nd,nd->n", self.x[a[s:s + 65536]], self.x[b[s:s + 65536]]) >= self.threshold
+        return a[near], b[near], len(i)
 
+
+def _bucket_links(est: Estimates, keys, band, left, right, links, peer, times):
+    """Adds the links between (or, if they are the same, among) rows of a bucket."""
     def root(i):
         while peer[i] != i:
             peer[i] = peer[peer[i]]
             i = peer[i]
         return i
-    mine = np.flatnonzero(side == lo)
-    for s in range(0, len(mine), 512):
-        a, b, _ = near_pairs(x, signs, factors, mine[s:s + 512], plan)
-        ok = (a < b) if lo == hi else (side[b] == hi)
-        a, b = a[ok], b[ok]
-        # An earlier band has counted the pairs that share a bucket there.
-        new = np.concatenate([~(keys[a[t:t + 65536], :band] == keys[b[t:t + 65536], :band]).any(axis=1)
-                              for t in range(0, len(a), 65536)]) if len(a) else np.empty(0, bool)
-        a, b = a[new], b[new]
-        np.add.at(links, a, times[b])
-        np.add.at(links, b, times[a])
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            i, j = root(i), root(j)
-            if i != j:
-                peer[max(i, j)] = min(i, j)
+    for s in range(0, len(left), 512):
+        a, b, _ = est.near_pairs(left[s:s + 512], right)
+        if left is right:
+            a, b = a[a < b], b[a < b]
+        for t in range(0, len(a), 65536):
+            p, q = a[t:t + 65536], b[t:t + 65536]
+            # An earlier band has counted the pairs that share a bucket there.
+            new = ~(keys[p, :band] == keys[q, :band]).any(axis=1)
+            p, q = p[new], q[new]
+            np.add.at(links, p, times[q])
+            np.add.at(links, q, times[p])
+            for i, j in zip(p.tolist(), q.tolist(), strict=True):
+                i, j = root(i), root(j)
+                if i != j:
+                    peer[max(i, j)] = min(i, j)
+
+
+def _cell_links(table: pa.Table, plan: Plan) -> pa.Table:
+    """Links of all buckets, or pairs of blocks of buckets, in a cell.
+
+    A row counts in one bucket; its links and a forest of them are returned.
+    """
+    ids, times, side, dims, bands, lo, hi, label, key = (
+        table[c].to_numpy() for c in ("id", "times", "b", "dim", "band", "lo", "hi", "label", "key"))
+    vecs, codes, factors = (table[c].to_pylist() for c in ("vec", "code", "factor"))
+    n = len(ids)
+    links, peer = np.zeros(n, np.int64), np.arange(n)
+    for d in np.unique(dims):
+        rows = np.flatnonzero(dims == d)
+        rows = rows[np.lexsort((hi[rows], lo[rows], key[rows], label[rows], bands[rows]))]
+        x = _unit(np.frombuffer(b"".join(vecs[i] for i in rows)).reshape(len(rows), d))
+        f = np.frombuffer(b"".join(factors[i] for i in rows)).reshape(len(rows), -1)
+        packed = np.frombuffer(b"".join(codes[i] for i in rows), np.uint8).reshape(len(rows), -1)
+        signs = np.unpackbits(packed, axis=1, count=f.shape[1] * d).reshape(len(rows), -1, d).astype(bool)
+        est, keys = Estimates(x, signs, f, plan), plan.keys(signs)
+        change = np.zeros(len(rows), bool)
+        for col in (hi, lo, key, label, bands):
+            change[1:] |= col[rows][1:] != col[rows][:-1]
+        starts = np.concatenate(([0], np.flatnonzero(change)))
+        mine, forest_of = np.zeros(len(rows), np.int64), np.arange(len(rows))
+        for s, e in zip(starts, np.append(starts[1:], len(rows)), strict=True):
+            at = np.arange(s, e)
+            first, last = lo[rows[s]], hi[rows[s]]
+            if first == last:
+                left = right = at
+            else:
+                left, right = at[side[rows[s:e]] == first], at[side[rows[s:e]] == last]
+            _bucket_links(est, keys, int(bands[rows[s]]), left, right, mine, forest_of, times[rows])
+        links[rows] = mine
+        peer[rows] = rows[forest_of]
     got = np.flatnonzero(links)
-    return pa.table({"sig": table["sig"].take(pa.array(got)), "id": ids[got], "links": links[got], "peer": ids[[root(i) for i in got]].astype(np.int64)})
+    ends = got.copy()
+    while (peer[ends] != ends).any():
+        ends = peer[ends]
+    return pa.table({"sig": table["sig"].take(pa.array(got)), "id": ids[got], "links": links[got], "peer": ids[ends]})
 
 
 def vector_links(vectors: DataFrame, *, vec_id: str = "vec_id", label: str = "label", vector: str = "embedding",
@@ -194,7 +224,8 @@ def vector_links(vectors: DataFrame, *, vec_id: str = "vec_id", label: str = "la
     classes = (sigs.where("sig is not null and id is not null").groupBy("sig")
                .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"), F.first("label").alias("label"),
                     F.first("vec").alias("vec")))
-    plan = Plan(vectors.count(), threshold, miss)
+    n = vectors.count()
+    plan = Plan(n, threshold, miss)
     coded = classes.mapInArrow(
         lambda it: _code_rows(it, plan),
         "sig binary, id bigint, times bigint, label bigint, vec binary, dim int, code binary, factor binary, "
@@ -206,8 +237,10 @@ def vector_links(vectors: DataFrame, *, vec_id: str = "vec_id", label: str = "la
     dealt = (members.join(shared, bucket).withColumn("b", F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
              .select("sig", "band", "key", "b", F.least("b", "other").alias("lo"), F.greatest("b", "other").alias("hi")))
+    # Buckets are small; a cell holds about CELL_ROWS rows of whole buckets.
+    cell = F.pmod(F.xxhash64(*bucket, "lo", "hi"), F.lit(max(1, math.ceil(n * plan.bands / CELL_ROWS))))
     found = (coded.select("sig", "id", "times", "label", "dim", "vec", "code", "factor").join(dealt, "sig")
-             .groupBy(*bucket, "lo", "hi").applyInArrow(lambda t: _block_links(t, plan),
+             .withColumn("cell", cell).groupBy("cell").applyInArrow(lambda t: _cell_links(t, plan),
                                                         "sig binary, id bigint, links bigint, peer bigint").checkpoint())
     links = found.groupBy("sig").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("id").alias("src"), F.col("peer").alias("dst")))

@@ -123,7 +123,7 @@ def test_estimate_is_unbiased_and_bounds_hold():
     far = ~np.eye(40, len(x), dtype=bool)
     assert abs(error[far].mean()) < 0.005
     assert (np.abs(error) <= bound[None, :] + 1e-9)[far].mean() > 0.999
-    a, b, exact = V.near_pairs(x, signs, factors, np.arange(40), plan)
+    a, b, exact = V.Estimates(x, signs, factors, plan).near_pairs(np.arange(40), np.arange(len(x)))
     want = {(i, j) for i, j in zip(*np.nonzero(true >= 0.93), strict=True)}
     assert {(int(i), int(j)) for i, j in zip(a, b, strict=True)} == want
     assert exact < 0.2 * true.size
