@@ -12,8 +12,9 @@ to pass the filter of each of several orders before it is verified exactly.
 * One order goes from rare to frequent shingles (frequencies of all texts, in a
   sketch of fixed size), so passages that many texts share come last.  Its whole
   prefixes are joined.  Only pairs in different components, that no group has
-  compared and that also share a prefix token under the permuted orders, are
-  verified: every link not yet implied is found.
+  compared, whose sizes, positions and histograms by hash allow a link, and that
+  also share a prefix token under the permuted orders, are verified: every link
+  not yet implied is found.
 
 Texts with equal sets are one node.  A block of a group emits a spanning forest of
 its links, not the links, so no node makes the pairs of a family; the remaining
@@ -39,6 +40,8 @@ BANDS = 6
 ROWS = 3
 SKETCH_BITS = 20
 BLOCK = 256
+#: Cells of a set's histogram by hash (a byte each).
+CELLS = 256
 #: Most rows (a few numbers each) broadcast to a scan; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -93,16 +96,18 @@ def frequency_levels(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
 def _signature_rows(batches, levels: np.ndarray, size: int, percent: int):
     shift = np.uint64(64 - SKETCH_BITS)
     for batch, texts in K.text_chunks(batches):
-        n, sig, bands, prefix, heavy = [], [], [], [], []
+        n, sig, bands, prefix, heavy, cells = [], [], [], [], [], []
         for s in _sets(texts, size):
             n.append(len(s))
             if not len(s):
-                for out in (sig, bands, prefix, heavy):
+                for out in (sig, bands, prefix, heavy, cells):
                     out.append(None)
                 continue
             sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             firsts = (s[None, :] * _MULTIPLIERS[:, None]).min(axis=1).reshape(BANDS, ROWS)
             bands.append([x[0] for x in (K.rolling(f, ROWS) for f in firsts)])
+            cells.append(np.minimum(np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255)
+                         .astype(np.uint8).tobytes())
             level = levels[(s >> shift).astype(np.int64)]
             first = np.argsort(level, kind="stable")[:prefix_size(len(s), percent)]
             prefix.append(s[first].view(np.int64))
@@ -111,8 +116,8 @@ def _signature_rows(batches, levels: np.ndarray, size: int, percent: int):
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()),
              pa.array(as_long, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64())),
-             pa.array(heavy, pa.int32())],
-            names=["id", "n", "sig", "bands", "prefix", "n_light"])
+             pa.array(heavy, pa.int32()), pa.array(cells, pa.binary())],
+            names=["id", "n", "sig", "bands", "prefix", "n_light", "cells"])
 
 
 # --- verification -----------------------------------------------------------
@@ -168,6 +173,22 @@ def _verify_group(table: pa.Table, size: int, percent: int) -> pa.Table:
                      "dst": pa.array([b for _, b in pairs], pa.int64())})
 
 
+def _close_cells(batches, percent: int):
+    """Pairs whose histograms differ by no more than those of linked sets can.
+
+    Each token in one set only changes one cell by one (cells stop at 255, which
+    lowers the difference), and linked sets have at most
+    ``(100 - percent) / (100 + percent)`` of both sizes of such tokens.
+    """
+    for batch in batches:
+        n = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(3).to_numpy(zero_copy_only=False)
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+                for i in (4, 5))
+        ok = (100 + percent) * np.abs(a - b).sum(axis=1, dtype=np.int64) <= (100 - percent) * n
+        kept = batch.filter(pa.array(ok))
+        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["src", "dst"])
+
+
 def _share_prefixes(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sets share a prefix token under each of the permuted orders."""
     for m in _MULTIPLIERS[:ROWS]:
@@ -255,11 +276,12 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(texts, size))
     sets = texts.mapInArrow(
         lambda it: _signature_rows(it, levels.value, size, percent),
-        "id bigint, n bigint, sig binary, bands array<bigint>, prefix array<bigint>, n_light int").checkpoint()
+        "id bigint, n bigint, sig binary, bands array<bigint>, prefix array<bigint>, n_light int, cells binary").checkpoint()
 
     # One row per distinct set; its least id stands for all its copies.
     reps = sets.where("sig is not null and id is not null").groupBy("sig").agg(
-        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")).checkpoint()
+        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+        F.first("cells").alias("cells")).checkpoint()
     nodes = reps.select(F.col("rep").alias("node"), "sig", "n", "bands")
     clean = texts.where("id is not null")
 
@@ -306,7 +328,12 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
         apart = apart & (F.col("x.bands")[k] != F.col("y.bands")[k])
     pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node"))
                     & (F.col("x.comp") != F.col("y.comp")) & fits & apart)
-             .select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")).distinct().checkpoint())
+             .select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")).distinct())
+    cells = reps.select("rep", "n", "cells")
+    both = (pairs.join(cells.select(F.col("rep").alias("src"), F.col("n").alias("n1"), F.col("cells").alias("c1")), "src")
+            .join(cells.select(F.col("rep").alias("dst"), F.col("n").alias("n2"), F.col("cells").alias("c2")), "dst"))
+    pairs = both.select("src", "dst", "n1", "n2", "c1", "c2").mapInArrow(
+        lambda it: _close_cells(it, percent), "src bigint, dst bigint").distinct().checkpoint()
     rest = _pair_edges(clean, pairs, size, percent)
     comps = connected_components(edges.union(rest))
 
