@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+BATCH_ROWS = 1000
 _M64 = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -136,6 +137,15 @@ def shingles_of(hashes: np.ndarray, size: int) -> np.ndarray:
     return rolling(hashes, min(size, len(hashes)))
 
 
+def small_batches(spark) -> None:
+    """Session setting for long texts: Arrow batches of at most BATCH_ROWS rows.
+
+    A task and its Python worker then hold a few megabytes of text at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
                 max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with their whole texts as UTF-8; null becomes empty."""
@@ -150,6 +160,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
             size += len(t) + 1
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+    pa.default_memory_pool().release_unused()  # workers are reused by later stages
 
 
 def member(values: np.ndarray, table: np.ndarray, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -272,6 +272,7 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     columns are not read.  No rows give no rows.
     """
     ensure_checkpoint_dir(docs.sparkSession)
+    K.small_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(texts, size))
     sets = texts.mapInArrow(

@@ -426,6 +426,7 @@ def lm_scores(docs: DataFrame, train: Column, *, keep: list[str], text: str = "t
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
+    K.small_batches(spark)
     keep = [c for c in keep if c not in _ADDED]
     body = F.col(text).cast("string")
     counts = Counts(docs.where(train).select(body.alias("text")), max_order, bits_per_event, max_filter_bytes)

@@ -219,6 +219,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, keep: list[str], text: str
     score 0.  Repeated rows score alike; no rows give no rows.  Other columns are
     not read; result columns replace columns of ``keep`` with their names.
     """
+    K.small_batches(docs.sparkSession)
     keep = [c for c in keep if c not in ("score", "predicted", "offending")]
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -305,6 +305,7 @@ def encode_pieces(docs: DataFrame, *, keep: list[str], key: str = "doc_id", text
     give no rows.  Other columns are not read; result columns replace columns of
     ``keep`` with their names.
     """
+    K.small_batches(docs.sparkSession)
     keep = [c for c in keep if c not in ("n_pieces", "piece_ids", "lossless")]
     rows = docs.select(*keep, F.xxhash64(F.col(key)).alias("__key"), F.col(text).cast("string").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model))

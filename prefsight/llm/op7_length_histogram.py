@@ -54,6 +54,7 @@ def _length_rows(batches: Iterator[pa.RecordBatch], ranks: bytes):
 
 def length_counts(docs: DataFrame, *, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(n_tokens, n_docs): texts by encoded length; a null or empty text has length 0."""
+    K.small_batches(docs.sparkSession)
     with open(vocabulary, "rb") as f:  # below a megabyte
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     return (docs.select(F.col(text).cast("string").alias("text"))

@@ -194,6 +194,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, keep: list[str] | No
     # collect_set holds the ids of one distinct window; nulls are left out.
     wins = wins.groupBy("win").agg(F.collect_set("item").alias("items"))
     ensure_checkpoint_dir(spark)
+    K.small_batches(spark)
     n_wins = wins.count()
     n_blocks = max(1, math.ceil(n_wins / block_windows))
     if n_blocks > 1:
