@@ -13,11 +13,11 @@ tokens that follow such histories and would still be seen there if they were lef
 out once, ``sum (c - 1) / sum c``, over all counts.  The lowest order is the count
 plus one over tokens plus types plus one.
 
-Bound of what is broadcast: the filter has ``bits_per_event`` for each event and at
-most ``max_filter_bytes``.  Orders above one keep n-grams seen twice or more (with
-``c - 1`` above, one sighting has no weight); if the events of a corpus need more
-than the bound, the count an n-gram needs is raised level by level, for all n-grams
-alike, and rarer ones back off.
+The filter has ``bits_per_event`` for each event and grows with the corpus.  One of
+at most ``max_filter_bytes`` is broadcast.  A larger one stays a table of segments:
+the distinct n-grams of each chunk of texts go to the task that has their segments
+(shards of neighbouring buckets), their levels come back to the chunk, and the same
+probabilities are mixed from them.  Orders above one keep n-grams seen twice or more.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,12 @@ from prefsight.session import ensure_checkpoint_dir
 MAX_ORDER = 2
 BITS_PER_EVENT = 12
 PROBES = 5
+#: The largest filter that is broadcast; a larger one is joined by shard.
 MAX_FILTER_BYTES = 48 << 20
+#: Bytes of texts whose distinct n-grams are looked up together in a joined filter.
+LOOKUP_BYTES = 4 << 20
+#: The least level in the filter, of words and of longer n-grams.
+LEAST_WORD, LEAST_NGRAM = 1, 2
 #: A token of at least 1 / HEAVY of all training tokens is broadcast: at most HEAVY tokens.
 HEAVY = 500_000
 #: Distinct n-grams a task gathers before it sends its sums on.
@@ -83,6 +89,11 @@ def _history_hash(words: list[np.ndarray]) -> np.ndarray:
     return K.mix(total)
 
 
+def _joint(order: int, bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One number for bucket and key; of a single word, the key alone is one."""
+    return key if order == 1 else key | (bucket.astype(np.uint64) << np.uint64(48))
+
+
 def ngram_keys(history: list[np.ndarray], tokens: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, key): the bucket and half of the 48-bit key come from the history."""
     if not history:
@@ -173,8 +184,8 @@ def _ngram_rows(batches, max_order: int, n_buckets: int):
             yield batch_of(n, rest)
 
 
-def _bucket_sums(table: pa.Table) -> pa.Table:
-    """Counts of one bucket: n-grams seen twice or more, and sums by level.
+def _bucket_sums(table: pa.Table, bits_per_event: int) -> pa.Table:
+    """Filter segment of one bucket, and sums by level.
 
     ``cells`` has, for each level of the history and of the n-gram, the number of
     types and of tokens; all continuations of a history are in its bucket.
@@ -187,11 +198,10 @@ def _bucket_sums(table: pa.Table) -> pa.Table:
     cell = np.repeat(level_of(total), np.diff(np.append(first, len(keys)))) * 1000 + level_of(counts)
     used, at, types = np.unique(cell, return_inverse=True, return_counts=True)
     tokens = np.bincount(at, weights=counts).astype(np.int64)
-    kept = counts >= 2
+    size, raw = segment(keys, counts, LEAST_NGRAM, bits_per_event)
     return pa.table({
         "order": table["order"][:1], "bucket": table["bucket"][:1],
-        "keys": pa.array([keys[kept].tobytes()], pa.binary()),
-        "counts": pa.array([counts[kept].tobytes()], pa.binary()),
+        "size": pa.array([size], pa.int64()), "bits": pa.array([raw], pa.binary()),
         "cells": pa.array([np.stack([used, types, tokens]).astype(np.int64).tobytes()], pa.binary())})
 
 
@@ -233,6 +243,7 @@ class LogFrequencyFilter:
 
     def __init__(self, segments, n_buckets: int, least: dict[int, int], mix_in: dict[int, np.ndarray],
                  tokens: int, types: int, texts: int):
+        """``segments`` are those of the whole corpus, of a shard, or none if levels are looked up elsewhere."""
         self.n_buckets, self.least, self.mix_in = n_buckets, least, mix_in
         self.tokens, self.types, self.texts = tokens, types, texts
         self.size = {n: np.full(n_buckets, 64, np.int64) for n in least}
@@ -256,33 +267,38 @@ class LogFrequencyFilter:
             ok = ok[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
         return ok
 
-    def levels(self, history: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
-        """Level of each n-gram's count, 0 if the filter does not have it."""
-        order = len(history) + 1
-        bucket, key = ngram_keys(history, tokens, self.n_buckets)
-        joint = key if order == 1 else key | (bucket.astype(np.uint64) << np.uint64(48))
-        _, first, back = np.unique(joint, return_index=True, return_inverse=True)
-        bucket, key = bucket[first], key[first]
-        out = np.zeros(len(first), np.int64)
-        alive = np.arange(len(first))
+    def levels_of(self, order: int, bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Level of the count of each n-gram given by bucket and key, 0 if the filter does not have it."""
+        out = np.zeros(len(key), np.int64)
+        alive = np.arange(len(key))
         level = self.least[order]
         while len(alive) and level <= len(LEVELS):
             alive = alive[self._has(order, bucket[alive], key[alive], level)]
             out[alive] = level
             level += 1
-        return out[back]
+        return out
+
+    def levels(self, history: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
+        """Level of each n-gram's count, 0 if the filter does not have it."""
+        bucket, key = ngram_keys(history, tokens, self.n_buckets)
+        _, first, back = np.unique(_joint(len(history) + 1, bucket, key), return_index=True, return_inverse=True)
+        return self.levels_of(len(history) + 1, bucket[first], key[first])[back]
 
     def log10_probability(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log10 of the smoothed probability of each token given those before it."""
         max_order = max(self.least)
         before = histories(tokens, bounds, max_order)
-        word = self.levels([], tokens)
+        return self.mixed(before, {n: self.levels(before[:n - 1], tokens) for n in range(1, max_order + 1)})
+
+    def mixed(self, before: list[np.ndarray], found: dict[int, np.ndarray]) -> np.ndarray:
+        """log10 of the probabilities, from the level of each token's n-gram of each order."""
+        word = found[1]
         p = (ESTIMATE[word] + 1) / (self.tokens + self.types + 1)
         start = int(level_of(np.array([self.texts]))[0])
         last = np.concatenate(([0], word[:-1]))  # level of the history, order by order
-        for n in range(2, max_order + 1):
+        for n in range(2, max(self.least) + 1):
             last = np.where(before[n - 2] == START, np.where(before[0] == START, start, last), last)
-            seen = self.levels(before[:n - 1], tokens)
+            seen = found[n]
             share = np.where(last > 0, self.mix_in[n][last], 0.0)
             ratio = np.minimum(1.0, ESTIMATE[seen] / np.maximum(ESTIMATE[last], 1.0))
             p = share * ratio + (1 - share) * p
@@ -290,8 +306,26 @@ class LogFrequencyFilter:
         return np.log10(p)
 
 
+def _mixing_shares(cells, least: dict[int, int]) -> dict[int, np.ndarray]:
+    """Weight of each order above one, by the level of the history."""
+    mix_in = {}
+    for n in least:
+        if n == 1:
+            continue
+        seen, total = np.zeros(len(LEVELS) + 1), np.zeros(len(LEVELS) + 1)
+        for r in cells:
+            if r["order"] == n:
+                total[r["hl"]] += r["tokens"]
+                if r["cl"] >= least[n]:
+                    seen[r["hl"]] += r["tokens"] - r["types"]
+        mix_in[n] = np.minimum(0.99, seen / np.maximum(total, 1))
+    return mix_in
+
+
 def _plan_levels(cells, unigram_cells, max_order: int, bits_per_event: int, max_bytes: int):
-    """Least level kept of each order, the same rule at every size, and mixing shares."""
+    """Least level kept of each order if a filter had to fit ``max_bytes``, and mixing shares.
+
+    Not used by ``lm_scores``, whose filter has no bound."""
     def events(rows, least):
         return sum(t * (c - least + 1) for c, t in rows if c >= least)
     by_order = {n: [(r["cl"], r["types"]) for r in cells if r["order"] == n] for n in range(2, max_order + 1)}
@@ -302,26 +336,7 @@ def _plan_levels(cells, unigram_cells, max_order: int, bits_per_event: int, max_
             least[1] += 1
         for n in by_order:
             least[n] += 1
-    mix_in = {}
-    for n in by_order:
-        seen, total = np.zeros(len(LEVELS) + 1), np.zeros(len(LEVELS) + 1)
-        for r in cells:
-            if r["order"] == n:
-                total[r["hl"]] += r["tokens"]
-                if r["cl"] >= least[n]:
-                    seen[r["hl"]] += r["tokens"] - r["types"]
-        mix_in[n] = np.minimum(0.99, seen / np.maximum(total, 1))
-    return least, mix_in
-
-
-def _segment_rows(batches, least: dict[int, int], bits_per_event: int):
-    for batch in batches:
-        for order, bucket, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            size, raw = segment(np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64),
-                                least[order], bits_per_event)
-            yield pa.RecordBatch.from_arrays([pa.array([order], pa.int32()), pa.array([bucket], pa.int32()),
-                                              pa.array([size], pa.int64()), pa.array([raw], pa.binary())],
-                                             names=["order", "bucket", "size", "bits"])
+    return least, _mixing_shares(cells, least)
 
 
 def _unigram_segment(table: pa.Table, least: int, bits_per_event: int) -> pa.Table:
@@ -339,7 +354,9 @@ def _with_bucket(batches, n_buckets: int):
 
 
 class Counts:
-    """Training counts: ``unigrams`` (h, c), totals and the filter."""
+    """Training counts: ``unigrams`` (h, c), totals and the filter.
+
+    ``segments`` is None if the filter is whole, else the table it stays in."""
 
     def __init__(self, texts: DataFrame, max_order: int = MAX_ORDER, bits_per_event: int = BITS_PER_EVENT,
                  max_filter_bytes: int = MAX_FILTER_BYTES):
@@ -355,7 +372,8 @@ class Counts:
         sums = (texts.mapInArrow(lambda it: _ngram_rows(it, max_order, nb),
                                  "order int, bucket int, keys binary, counts binary")
                 .groupBy("order", "bucket")
-                .applyInArrow(_bucket_sums, "order int, bucket int, keys binary, counts binary, cells binary")
+                .applyInArrow(lambda t: _bucket_sums(t, bits_per_event),
+                              "order int, bucket int, size bigint, bits binary, cells binary")
                 .checkpoint())
         cells = (sums.select("order", "cells")
                  .mapInArrow(_cell_rows, "order int, hl bigint, cl bigint, types bigint, tokens bigint")
@@ -364,29 +382,157 @@ class Counts:
         by_count = F.lit(0)
         for least in LEVELS:
             by_count = by_count + (F.col("c") >= int(least)).cast("int")
-        unigram_cells = [tuple(r) for r in self.unigrams.groupBy(by_count.alias("cl"))
-                         .agg(F.count(F.lit(1)).alias("types")).collect()]
-        least, mix_in = _plan_levels(cells, unigram_cells, max_order, bits_per_event, max_filter_bytes)
+        words = self.unigrams.agg(F.coalesce(F.sum(by_count), F.lit(0)).alias("events")).first()["events"]
+        least = {1: LEAST_WORD} | {n: LEAST_NGRAM for n in range(2, max_order + 1)}
 
         unigram_segments = (
             self.unigrams.mapInArrow(lambda it: _with_bucket(it, nb), "h bigint, c bigint, bucket bigint")
             .groupBy("bucket")
-            .applyInArrow(lambda t: _unigram_segment(t, least[1], bits_per_event),
+            .applyInArrow(lambda t: _unigram_segment(t, LEAST_WORD, bits_per_event),
                           "order int, bucket int, size bigint, bits binary"))
-        segments = sums.select("order", "bucket", "keys", "counts").mapInArrow(
-            lambda it: _segment_rows(it, least, bits_per_event), "order int, bucket int, size bigint, bits binary")
-        rows = [tuple(r) for r in unigram_segments.union(segments).collect()]  # at most max_filter_bytes
-        self.filter = LogFrequencyFilter(rows, nb, least, mix_in, self.tokens, self.types, n_texts)
+        segments = unigram_segments.union(sums.select("order", "bucket", "size", "bits"))
+        size = sums.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0)).alias("b")).first()["b"]
+        whole = size + words * bits_per_event // 8 <= max_filter_bytes
+        rows = [tuple(r) for r in segments.collect()] if whole else []  # at most max_filter_bytes
+        self.filter = LogFrequencyFilter(rows, nb, least, _mixing_shares(cells, least), self.tokens, self.types, n_texts)
+        self.segments = None if whole else segments
+
+
+# --- a filter that is joined --------------------------------------------------
+
+def _shard_size(n_buckets: int) -> int:
+    return min(8, max(1, n_buckets // 256))
+
+
+def _pack(texts: list[bytes]) -> tuple[int, bytes]:
+    raw = np.array([len(texts), *map(len, texts)], np.int64).tobytes() + b"".join(texts)
+    return len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(size: int, packed: bytes) -> list[bytes]:
+    raw = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    ends = 8 * (n + 1) + np.concatenate(([0], np.cumsum(np.frombuffer(raw, np.int64, n, 8))))
+    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _probes(history: list[np.ndarray], tokens: np.ndarray, n_buckets: int):
+    """Distinct n-grams in order of their shards, their shards, and the place of each token's."""
+    bucket, key = ngram_keys(history, tokens, n_buckets)
+    joint, first, back = np.unique(_joint(len(history) + 1, bucket, key), return_index=True, return_inverse=True)
+    shard = bucket[first] // _shard_size(n_buckets)
+    order = np.argsort(shard, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return joint[order], shard[order], place[back]
+
+
+def _probe_rows(batches, max_order: int, n_buckets: int):
+    for batch in batches:
+        for chunk, size, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            tokens, bounds = tokens_of(_unpack(size, packed))
+            before = histories(tokens, bounds, max_order)
+            for n in range(1, max_order + 1):
+                keys, shard, _ = _probes(before[:n - 1], tokens, n_buckets)
+                used, first = np.unique(shard, return_index=True)
+                ends = np.append(first[1:], len(keys))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(used.astype(np.int32)), pa.array(np.full(len(used), chunk, np.int64)),
+                     pa.array(np.full(len(used), n, np.int32)), pa.nulls(len(used), pa.int32()),
+                     pa.nulls(len(used), pa.int64()),
+                     pa.array([keys[a:b].view(np.uint16).reshape(-1, 4).T.tobytes()
+                               for a, b in zip(first, ends, strict=True)], pa.binary())],
+                    names=["shard", "chunk", "order", "bucket", "size", "data"])
+
+
+def _answer_rows(batches, lm: LogFrequencyFilter):
+    """Levels of the n-grams asked for; rows are sorted, a shard's segments (chunk -1) come first."""
+    at, segments, part = None, [], None
+    for batch in batches:
+        out = []
+        for shard, chunk, n, bucket, size, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if shard != at:
+                at, segments, part = shard, [], None
+            if chunk < 0:
+                segments.append((n, bucket, size, data))
+                continue
+            if part is None:
+                part = LogFrequencyFilter(segments, lm.n_buckets, lm.least, {}, 0, 0, 0)
+                segments = []
+            keys = np.ascontiguousarray(np.frombuffer(data, np.uint16).reshape(4, -1).T).view(np.uint64).ravel()
+            if n == 1:
+                found = part.levels_of(n, *ngram_keys([], keys, lm.n_buckets))
+            else:
+                found = part.levels_of(n, (keys >> np.uint64(48)).astype(np.int64), keys & np.uint64((1 << 48) - 1))
+            out.append((chunk, n, shard, found.astype(np.uint8).tobytes()))
+        if out:
+            chunks, orders, shards, found = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(chunks, pa.int64()), pa.array(orders, pa.int32()), pa.array(shards, pa.int32()),
+                 pa.nulls(len(out), pa.int64()), pa.array(found, pa.binary())],
+                names=["chunk", "order", "shard", "size", "data"])
+
+
+def _looked_up_rows(batches, lm: LogFrequencyFilter):
+    """Scores of the texts of each chunk; its texts (order 0) come first, then levels by order and shard."""
+    at, texts, found = None, [], {}
+
+    def scores():
+        tokens, bounds = tokens_of(texts)
+        before = histories(tokens, bounds, max(lm.least))
+        levels = {}
+        for n in lm.least:
+            place = _probes(before[:n - 1], tokens, lm.n_buckets)[2]
+            levels[n] = np.frombuffer(b"".join(found[n]), np.uint8).astype(np.int64)[place]
+        score = np.add.reduceat(lm.mixed(before, levels), bounds[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), at, np.int64)),
+                                           pa.array(np.arange(len(texts), dtype=np.int32)), pa.array(score)],
+                                          names=["__chunk", "__at", "score"])
+    for batch in batches:
+        for chunk, n, _, size, data in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if n == 0:
+                if at is not None:
+                    yield scores()
+                at, texts, found = chunk, _unpack(size, data), {k: [] for k in lm.least}
+            else:
+                found[n].append(data)
+    if at is not None:
+        yield scores()
+
+
+def _looked_up(chunks: DataFrame, counts: Counts, lm) -> DataFrame:
+    """(__chunk, __at, score) of the texts of ``chunks`` (chunk, size, data), from the segments."""
+    nb, max_order = counts.n_buckets, max(counts.filter.least)
+    probes = chunks.mapInArrow(lambda it: _probe_rows(it, max_order, nb),
+                               "shard int, chunk bigint, order int, bucket int, size bigint, data binary")
+    segments = counts.segments.select(
+        F.floor(F.col("bucket") / _shard_size(nb)).cast("int").alias("shard"), F.lit(-1).cast("long").alias("chunk"),
+        "order", "bucket", "size", F.col("bits").alias("data"))
+    answers = (segments.union(probes).repartition("shard").sortWithinPartitions("shard", "chunk")
+               .mapInArrow(lambda it: _answer_rows(it, lm.value[0]),
+                           "chunk bigint, order int, shard int, size bigint, data binary"))
+    texts = chunks.select("chunk", F.lit(0).alias("order"), F.lit(-1).alias("shard"), "size", "data")
+    return (texts.union(answers).repartition("chunk").sortWithinPartitions("chunk", "order", "shard")
+            .mapInArrow(lambda it: _looked_up_rows(it, lm.value[0]), "__chunk bigint, __at int, score double"))
 
 
 # --- scoring ----------------------------------------------------------------
 
-def _score_rows(batches, lm: LogFrequencyFilter, heavy: np.ndarray, heavy_count: np.ndarray, n_keep: int):
+def _score_rows(batches, lm: LogFrequencyFilter, heavy: np.ndarray, heavy_count: np.ndarray, n_keep: int, whole: bool):
+    """Rows with scores; if the filter is joined, chunks with their texts packed in the first row instead."""
     bitmap = K.member_bitmap(heavy)
-    for batch, texts in K.text_chunks(batches, "__text"):
+    chunk = (0 if whole else TaskContext.get().partitionId()) << 32
+    for batch, texts in K.text_chunks(batches, "__text", K.CHUNK_BYTES if whole else LOOKUP_BYTES):
         tokens, bounds = tokens_of(texts)
         n = np.diff(bounds)
-        score = np.add.reduceat(lm.log10_probability(tokens, bounds), bounds[:-1])
+        if whole:
+            score = [pa.array(np.add.reduceat(lm.log10_probability(tokens, bounds), bounds[:-1]))]
+        else:
+            size, packed = _pack(texts)
+            rest = [None] * (len(texts) - 1)
+            score = [pa.array(np.full(len(texts), chunk, np.int64)), pa.array(np.arange(len(texts), dtype=np.int32)),
+                     pa.array([size, *rest], pa.int64()), pa.array([packed, *rest], pa.binary())]
+            chunk += 1
         pos, at = K.member(tokens, heavy, bitmap)
         common = np.zeros(len(tokens))
         common[pos] = np.log10(heavy_count[at] + 1.0)
@@ -399,12 +545,14 @@ def _score_rows(batches, lm: LogFrequencyFilter, heavy: np.ndarray, heavy_count:
             rare.append(u.view(np.int64))
             times.append(c.astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in range(n_keep)), pa.array(n.astype(np.int64)), pa.array(score),
+            [*(batch.column(i) for i in range(n_keep)), pa.array(n.astype(np.int64)), *score,
              pa.array(np.add.reduceat(common, bounds[:-1])), pa.array(np.add.reduceat(known, bounds[:-1])),
              pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))],
-            names=[*batch.schema.names[:n_keep], "n_tokens", "score", "__sum", "__known", "__rare", "__times"])
+            names=[*batch.schema.names[:n_keep], "n_tokens", *(_SCORE if whole else _CHUNK), "__sum", "__known", "__rare", "__times"])
 
 
+_SCORE = {"score": "double"}
+_CHUNK = {"__chunk": "bigint", "__at": "int", "__size": "bigint", "__packed": "binary"}
 _ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -422,7 +570,8 @@ def lm_scores(docs: DataFrame, train: Column, *, keep: list[str], text: str = "t
     are not learnt from.  Repeated rows count and are returned each time.  With no
     training rows every token has probability 1 / (0 + 0 + 1).  No rows give no
     rows.  Other columns are not read; result columns replace columns of ``keep``
-    with their names.
+    with their names.  A filter of over ``max_filter_bytes`` is not broadcast but
+    joined with the n-grams of the texts; the scores are the same.
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
@@ -436,11 +585,13 @@ def lm_scores(docs: DataFrame, train: Column, *, keep: list[str], text: str = "t
     order = np.argsort(h)
     shared = spark.sparkContext.broadcast((counts.filter, h[order], c[order]))
 
+    whole = counts.segments is None
     rows = docs.select(*keep, body.alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]),
-                        "n_tokens bigint, score double, __sum double, __known bigint",
+                        "n_tokens bigint", *(f"{k} {t}" for k, t in (_SCORE if whole else _CHUNK).items()),
+                        "__sum double, __known bigint",
                         "__rare array<bigint>, __times array<int>"])
-    scored = (rows.mapInArrow(lambda it: _score_rows(it, *shared.value, len(keep)), schema)
+    scored = (rows.mapInArrow(lambda it: _score_rows(it, *shared.value, len(keep), whole), schema)
               .withColumn("__row", F.monotonically_increasing_id()).checkpoint())
     rare = (scored.select("__row", F.explode(F.arrays_zip("__rare", "__times")).alias("t"))
             .select("__row", F.col("t.__rare").alias("h"), F.col("t.__times").alias("times")))
@@ -448,6 +599,10 @@ def lm_scores(docs: DataFrame, train: Column, *, keep: list[str], text: str = "t
     sums = joined.groupBy("__row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("__more"),
                                        F.sum("times").alias("__also"))
     out = scored.drop("__rare", "__times").join(sums, "__row", "left")
+    if not whole:
+        chunks = scored.where("__packed is not null").select(
+            F.col("__chunk").alias("chunk"), F.col("__size").alias("size"), F.col("__packed").alias("data"))
+        out = out.drop("__size", "__packed").join(_looked_up(chunks, counts, shared), ["__chunk", "__at"])
     floor = math.log10(counts.tokens + counts.types + 1)
     return out.select(
         *keep, "n_tokens", (F.col("__known") + F.coalesce("__also", F.lit(0))).alias("n_known"),

@@ -85,6 +85,17 @@ def test_filter_size_is_bounded():
     assert least[2] == 2
 
 
+def test_joined_filter_gives_the_scores_of_a_broadcast_one(docs):
+    """A filter over the bound loses nothing: it is looked up by shard."""
+    def scores(bound):
+        rows = L.lm_scores(docs, F.col("doc_id") % 5 != 0, keep=["doc_id"], max_order=3, max_filter_bytes=bound).collect()
+        return sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in rows)
+    whole, joined = scores(1 << 40), scores(0)
+    assert len(whole) == len(joined) == docs.count()
+    for a, b in zip(whole, joined, strict=True):
+        assert a == pytest.approx(b, rel=1e-9)
+
+
 def test_lm_empty_and_untrained(empty, docs):
     assert L.lm_scores(empty, F.lit(True), keep=["doc_id"]).count() == 0
     rows = L.lm_scores(docs.limit(3), F.lit(False), keep=["doc_id"]).collect()
