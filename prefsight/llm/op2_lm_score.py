@@ -17,7 +17,9 @@ The filter has ``bits_per_event`` for each event and grows with the corpus.  One
 at most ``max_filter_bytes`` is broadcast.  A larger one stays a table of segments:
 the distinct n-grams of each chunk of texts go to the task that has their segments
 (shards of neighbouring buckets), their levels come back to the chunk, and the same
-probabilities are mixed from them.  Orders above one keep n-grams seen twice or more.
+probabilities are mixed from them.  N-grams of every count are in it: ``a`` is the
+weight of a history, and each of its continuations, also one seen once, gets its
+share ``c/c(h)`` of it.
 """
 
 from __future__ import annotations
@@ -34,18 +36,18 @@ from pyspark.sql import functions as F
 from prefsight.llm import kernels as K
 from prefsight.session import ensure_checkpoint_dir
 
-MAX_ORDER = 2
+MAX_ORDER = 3
 BITS_PER_EVENT = 12
 PROBES = 5
 #: The largest filter that is broadcast; a larger one is joined by shard.
 MAX_FILTER_BYTES = 48 << 20
 #: Bytes of texts whose distinct n-grams are looked up together in a joined filter.
 LOOKUP_BYTES = 4 << 20
-#: The least level in the filter, of words and of longer n-grams.
-LEAST_WORD, LEAST_NGRAM = 1, 2
+#: The least level in the filter, of words and of longer n-grams: all counts.
+LEAST_WORD, LEAST_NGRAM = 1, 1
 #: A token of at least 1 / HEAVY of all training tokens is broadcast: at most HEAVY tokens.
 HEAVY = 500_000
-#: Distinct n-grams a task gathers before it sends its sums on.
+#: Distinct n-grams of all orders a task gathers before it sends its sums on.
 FLUSH = 3_000_000
 TOKENS_PER_BUCKET = 500_000
 
@@ -114,19 +116,19 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 class _Gather:
-    """Sums of a task, handed on when FLUSH distinct keys are held."""
+    """Sums of a task, handed on when ``limit`` distinct keys are held."""
 
-    def __init__(self):
-        self.parts, self.held, self.limit = [], 0, FLUSH
+    def __init__(self, limit: int = FLUSH):
+        self.parts, self.held, self.limit = [], 0, limit
 
     def add(self, keys: np.ndarray):
         u, c = np.unique(keys, return_counts=True)
         self.parts.append((u, c.astype(np.int64)))
         self.held += len(u)
-        if self.held > 2 * FLUSH:
+        if self.held > 2 * self.limit:
             self.parts = [_summed(self.parts)]
             self.held = len(self.parts[0][0])
-            if self.held > FLUSH:
+            if self.held > self.limit:
                 return self.take()
         return None
 
@@ -159,7 +161,7 @@ def _from_planes(raw: bytes) -> np.ndarray:
 
 
 def _ngram_rows(batches, max_order: int, n_buckets: int):
-    gathers = {n: _Gather() for n in range(2, max_order + 1)}
+    gathers = {n: _Gather(FLUSH // (max_order - 1)) for n in range(2, max_order + 1)}
 
     def batch_of(order, sums):
         keys, counts = sums

@@ -85,6 +85,35 @@ def test_filter_size_is_bounded():
     assert least[2] == 2
 
 
+def test_probabilities_after_a_history_sum_to_about_one(spark):
+    """Orders two and three: no mass is lost by n-grams seen once."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.4, 30).clip(1, 400)) for _ in range(300)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    for order in (2, L.MAX_ORDER):
+        lm = L.Counts(frame, order, 24).filter
+        sums = []
+        for t in texts[:60]:
+            history = " ".join(t.split()[:order - 1])
+            toks, bounds = L.tokens_of([f"{history} {w}".encode() for w in vocabulary] + [history.encode()])
+            p = 10 ** lm.log10_probability(toks, bounds)
+            last = np.append(bounds[1:-1] - 2, bounds[-1] - 1)  # the word after the history, or the end
+            sums.append(p[last].sum())
+        assert np.mean(sums) == pytest.approx(1, abs=0.05)
+        assert 0.75 < min(sums) and max(sums) < 1.25
+
+
+def test_ngrams_seen_once_are_in_the_filter(spark):
+    assert L.MAX_ORDER >= 3
+    texts = ["a b c d", "a x c y", "e f g h"]
+    lm = L.Counts(spark.createDataFrame([(t,) for t in texts], "text string")).filter
+    toks, bounds = L.tokens_of([t.encode() for t in texts])
+    before = L.histories(toks, bounds, 3)
+    for n in (2, 3):
+        assert (lm.levels(before[:n - 1], toks) >= 1).all()
+
+
 def test_joined_filter_gives_the_scores_of_a_broadcast_one(docs):
     """A filter over the bound loses nothing: it is looked up by shard."""
     def scores(bound):
