@@ -7,8 +7,8 @@ with a Gaussian, so that a short heading between paragraphs counts as they do;
 the smoothed ratios of text and punctuation are fused by their product, and
 paths above the threshold (a share of the spread of the scores) are content.
 
-The content paths then select nodes: the container that holds most of their text
-is the article, and its nodes are kept in page order unless they lie in a part
+The content paths then select nodes: the smallest container that holds all their
+blocks is the article, and its nodes are kept in page order unless they lie in a part
 that is no article text by its element (navigation, header and footer, aside,
 form, script, ...) or by a name in its class, id or role (advert, menu, cookie
 notice, comments, ...).
@@ -173,24 +173,28 @@ def path_scores(found: list[Block], sigma: float = 1.0) -> np.ndarray:
     return np.sqrt(smooth(chars) * (1 + smooth(marks)))
 
 
-def _container(kept: list[Block], content: np.ndarray) -> int:
-    """Number of the element that holds the text of the content paths.
+def _containers(kept: list[Block], content: np.ndarray) -> set[int]:
+    """Numbers of the elements that hold the text of the content paths, all of it.
 
-    The innermost <article> or <main> with half of it; without one, the innermost
-    element that is no paragraph, list or the like and has nine tenths of it.
+    The smallest element that is no paragraph, list or the like and holds every content
+    block; in an <article>, the outermost one around it; else the innermost <main>
+    around it.  If it lies in neither but all content does, the outermost <article>
+    and <main> parts with content.
     """
-    weight: dict[int, int] = {}
     names: dict[int, str] = {}
-    total = 0
-    for b, c in zip(kept, content, strict=True):
+    for b in kept:
         names.update(zip(b.ancestors, ["", *b.path.split("/")], strict=False))
-        if c:
-            total += len(b.text)
-            for a in b.ancestors:
-                weight[a] = weight.get(a, 0) + len(b.text)
+    found = [b.ancestors for b, c in zip(kept, content, strict=True) if c]
+    common = set(found[0]).intersection(*found)
     # Elements are numbered as they open: an inner one has the larger number.
-    marked = [a for a, w in weight.items() if names[a] in ("article", "main") and 2 * w >= total]
-    return max(marked or [a for a, w in weight.items() if names[a] not in LEAVES and 10 * w >= 9 * total])
+    if articles := [a for a in common if names[a] == "article"]:
+        return {min(articles)}
+    if mains := [a for a in common if names[a] == "main"]:
+        return {max(mains)}
+    parts = [next((a for a in of if names[a] in ("article", "main")), None) for of in found]
+    if None not in parts:
+        return set(parts)
+    return {max(a for a in common if names[a] not in LEAVES)}
 
 
 def extract(page: str) -> str:
@@ -203,12 +207,11 @@ def extract(page: str) -> str:
     spread = score.std()
     threshold = min(score.mean(), score.max() / 2) if spread else 0.0
     content = score >= max(threshold, 0.2 * spread)
-    article = _container(kept, content)
-    inside = [article in b.ancestors for b in kept]
-    first = inside.index(True)
-    while first and kept[first - 1].path.rpartition("/")[2] in HEADINGS:  # its heading may stand before it
-        first -= 1
-        inside[first] = True
+    containers = _containers(kept, content)
+    inside = [not containers.isdisjoint(b.ancestors) for b in kept]
+    for i in range(len(kept) - 2, -1, -1):  # its heading may stand before it
+        if inside[i + 1] and kept[i].path.rpartition("/")[2] in HEADINGS:
+            inside[i] = True
     return " ".join(b.text for b, i in zip(kept, inside, strict=True) if i)
 
 

@@ -177,6 +177,24 @@ def test_article_text():
     assert X.extract("<article><p>one.</p><p>" + "long, " * 500 + "</p></article>") == "one. " + ("long, " * 500).strip()
 
 
+def test_article_text_of_several_parts_is_whole():
+    def said(name, n):
+        return " ".join(f"{name} number {i}, with some words, and more of them." for i in range(n))
+
+    for first, second in ((6, 4), (4, 6), (30, 2)):  # paragraphs of each part
+        want = " ".join([said("one", 5)] * first + [said("two", 5)] * second)
+        a, b = f"<p>{said('one', 5)}</p>" * first, f"<p>{said('two', 5)}</p>" * second
+        for page in (f"<main><article>{a}</article><article>{b}</article></main>",  # split
+                     f"<article>{a}</article><ul><li><a href=/>Home</a></ul><article>{b}</article>",
+                     f"<main>{a}<article>{b}</article></main>",
+                     f"<article>{a}<article>{b}</article></article>",  # nested
+                     f"<article>{a}</article><div>{b}</div>",
+                     f"<div>{a}</div><div>{b}</div>",  # unmarked
+                     f"<div><div>{a}</div><section><div>{b}</div></section></div>"):
+            text = X.extract(f"<html><body><nav>x</nav>{page}<footer>y</footer></body></html>")
+            assert text.replace(" Home", "") == want and ("Home" not in text or "<ul>" in page)
+
+
 def test_path_scores_favour_paragraphs():
     found = X.blocks(PAGE)
     score = dict(zip([b.text for b in found], X.path_scores(found), strict=True))
