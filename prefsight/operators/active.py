@@ -160,8 +160,9 @@ def nearest_distance_lsh(items: DataFrame, key_col: str, vec_col: str, tables: i
     with n * tables * bucket instead of n squared.  The distance is never below the
     exact one and equals it for items whose neighbour shares a bucket (recall
     0.9 or more on clustered data, see the tests; more tables raise it).  A bucket of
-    over ``block_size`` items is dealt into blocks by the hash of the key; an item
-    alone in all its buckets has a null distance.  ``nearest_distance`` is exact."""
+    over ``block_size`` items is dealt into blocks by the hash of the key and every
+    pair of its blocks is compared, so the work in one dense bucket grows with the
+    square of its items; an item alone in all its buckets has a null distance.  ``nearest_distance`` is exact."""
     import numpy as np
     import pandas as pd
 
@@ -186,20 +187,33 @@ def nearest_distance_lsh(items: DataFrame, key_col: str, vec_col: str, tables: i
             yield pdf.assign(codes=list(code))
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"].to_numpy()])
-        keys = pdf["key"].to_numpy()
-        sq = (x * x).sum(axis=1)
-        d2 = np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0.0)
-        d2[keys[:, None] == keys[None, :]] = np.inf
-        at = d2.argmin(axis=1)
-        exact = ((x - x[at]) ** 2).sum(axis=1)
-        return pd.DataFrame({"key": keys, "d2": np.where(np.isinf(d2.min(axis=1)), np.inf, exact)})
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        a = pdf[pdf["blk"] == lo]
+        b = pdf[pdf["blk"] == hi] if hi != lo else a
+        if not len(a) or not len(b):  # an empty block has no pairs
+            return pd.DataFrame({"key": pd.Series([], dtype="int64"), "d2": pd.Series([], dtype="float64")})
+        xa, xb = (np.stack([np.asarray(v, dtype=np.float64) for v in p["vec"].to_numpy()]) for p in (a, b))
+        ka, kb = a["key"].to_numpy(), b["key"].to_numpy()
+        d2 = np.maximum((xa * xa).sum(axis=1)[:, None] + (xb * xb).sum(axis=1)[None, :] - 2 * xa @ xb.T, 0.0)
+        d2[ka[:, None] == kb[None, :]] = np.inf
+
+        def least(keys, d2, x, y):
+            at = d2.argmin(axis=1)
+            exact = ((x - y[at]) ** 2).sum(axis=1)
+            return pd.DataFrame({"key": keys, "d2": np.where(np.isinf(d2.min(axis=1)), np.inf, exact)})
+        out = [least(ka, d2, xa, xb)]
+        if hi != lo:
+            out.append(least(kb, d2.T, xb, xa))
+        return pd.concat(out)
 
     coded = src.mapInPandas(hashed, "key long, vec array<double>, codes array<long>")
     rows = coded.select("key", "vec", F.posexplode("codes").alias("tab", "code"))
     blocks = rows.groupBy("tab", "code").agg(F.ceil(F.count(F.lit(1)) / block_size).cast("long").alias("nb"))
-    dealt = rows.join(blocks, ["tab", "code"]).withColumn("blk", F.pmod(hash_key(seed, "key"), F.col("nb")))
-    best = (dealt.groupBy("tab", "code", "blk").applyInPandas(nearest, "key long, d2 double")
+    dealt = (rows.join(blocks, ["tab", "code"]).withColumn("blk", F.pmod(hash_key(seed, "key"), F.col("nb")))
+             .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))))
+    pairs = dealt.select("tab", "code", "key", "vec", "blk", F.least("blk", "o").alias("lo"),
+                         F.greatest("blk", "o").alias("hi"))
+    best = (pairs.groupBy("tab", "code", "lo", "hi").applyInPandas(nearest, "key long, d2 double")
             .groupBy("key").agg(F.min("d2").alias("d2")))
     return best.select(F.col("key").alias(key_col),
                        F.when(F.col("d2") == float("inf"), F.lit(None)).otherwise(F.sqrt("d2")).alias("nn_distance"))

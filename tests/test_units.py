@@ -514,3 +514,17 @@ def test_nearest_distance_lsh_recall(spark):
     few = spark.createDataFrame([(1, [0.0]), (2, [3.0])], "k long, v array<double>")
     assert {r["nn_distance"] for r in ac.nearest_distance_lsh(few, "k", "v").collect()} == {3.0}
     assert ac.nearest_distance_lsh(few.limit(0), "k", "v").count() == 0
+
+
+def test_nearest_distance_lsh_in_a_dense_group(spark):
+    """A bucket over block_size: pairs of different blocks are compared too."""
+    rng = np.random.default_rng(11)
+    X = np.concatenate([rng.normal(size=(300, 16)), 4 + 0.01 * rng.normal(size=(300, 16))])
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(X)], "k long, v array<double>")
+    got = {r["k"]: r["nn_distance"]
+           for r in ac.nearest_distance_lsh(df, "k", "v", tables=8, bucket=64, block_size=64).collect()}
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(D, np.inf)
+    exact = D.min(axis=1)[300:]
+    assert len(got) == len(X)
+    assert np.mean([got[300 + i] <= exact[i] + 1e-9 for i in range(300)]) >= 0.99
