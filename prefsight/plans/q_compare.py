@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from prefsight.operators import compare as cp
@@ -23,12 +24,36 @@ SEEDS = [0, 1, 2]
 @query("cmp_grid")
 def cmp_grid(t):
     """CMP-1: 5 optimizers x 3 seeds trained together (one pass per step for
-    all 15 runs); final loss / accuracy of each run."""
-    states = tr.fit_many(V.v_pairs_feat(t), [(o, s) for o in OPTIMIZERS for s in SEEDS], DIM,
-                         steps=20, lr=0.05, warmup=2)
-    rows = [(s.optimizer, s.seed, s.final_loss, s.final_accuracy, len(s.log)) for s in states if not s.failed]
-    return t.spark.createDataFrame(rows, "optimizer string, seed int, final_train_loss double, "
+    all 15 runs); final loss / accuracy, held-out evaluation and spectrum of each run.
+
+    The pairs are split 80 / 20 as in CMP-2; a pass scores the held-out pairs with
+    all weight vectors, and each run has one pass for its curvature."""
+    parts = io.split(V.v_pairs_feat(t), "pair_id", fractions=(0.8, 0.2, 0.0)).checkpoint()
+    train, val = parts.filter("split = 'train'"), parts.filter("split = 'validation'")
+    states = tr.fit_many(train, [(o, s) for o in OPTIMIZERS for s in SEEDS], DIM, steps=20, lr=0.05, warmup=2)
+    states = [s for s in states if not s.failed]
+    rows = [(i, s.optimizer, s.seed, s.final_loss, s.final_accuracy, len(s.log)) for i, s in enumerate(states)]
+    runs = t.spark.createDataFrame(rows, "run long, optimizer string, seed int, final_train_loss double, "
                                          "final_train_accuracy double, steps int")
+    eigenvalues = []
+    if states:
+        cur = ls.Curvature(train, states[0].w)
+        try:
+            for i, s in enumerate(states):
+                cur.w = np.asarray(s.w, dtype=np.float64)
+                eigenvalues += [(i, float(v)) for v in cur.eigenvalues_full()]
+        finally:
+            cur.unpersist()
+    spectrum = t.spark.createDataFrame(eigenvalues, "run long, eigenvalue double")
+    spec = ls.spectrum_summary(spectrum, ["run"], dim=DIM)
+    margins = sc.pair_margins(val, sc.LinearModels({i: list(s.w) for i, s in enumerate(states)}))
+    evaluation = ev.calibration_report(margins.withColumn("run", F.col("model_id").cast("long")), ["run"])
+    return runs.join(evaluation, "run", "left").join(spec, "run", "left").select(
+        "optimizer", "seed", "final_train_loss", "final_train_accuracy", "steps",
+        F.col("n").alias("n_validation"), F.col("accuracy").alias("final_val_accuracy"),
+        F.col("loss").alias("final_val_loss"), F.col("ece").alias("calibration_ece"),
+        F.col("brier").alias("calibration_brier"), "top_eigenvalue", F.col("trace").alias("trace_estimate"),
+        "condition_number", "effective_rank", "sharpness_score", "flatness_index", "is_full")
 
 
 @query("cmp_run")

@@ -528,3 +528,20 @@ def test_nearest_distance_lsh_in_a_dense_group(spark):
     exact = D.min(axis=1)[300:]
     assert len(got) == len(X)
     assert np.mean([got[300 + i] <= exact[i] + 1e-9 for i in range(300)]) >= 0.99
+
+
+def test_comparison_grid_evaluates_every_run(spark):
+    """CMP-1: held-out evaluation and spectrum of all 15 runs; adamw 0 is the run of CMP-2."""
+    from prefsight.plans.registry import load_all
+    reg = load_all()
+    sf = "/root/testdata/sf0.001"
+    rows = {(r["optimizer"], r["seed"]): r.asDict() for r in reg["cmp_grid"].run(spark, sf).collect()}
+    assert len(rows) == 15
+    one = reg["cmp_run"].run(spark, sf).first().asDict()
+    for r in rows.values():
+        assert r["n_validation"] == one["n_validation"] and r["is_full"]
+        assert 0 <= r["final_val_accuracy"] <= 1 and r["top_eigenvalue"] > 0
+    assert len({r["final_val_loss"] for r in rows.values()}) == 15
+    for name in ("final_train_loss", "final_val_accuracy", "final_val_loss", "calibration_ece", "top_eigenvalue",
+                 "trace_estimate", "condition_number", "effective_rank"):
+        assert rows["adamw", 0][name] == pytest.approx(one[name], rel=1e-6)
