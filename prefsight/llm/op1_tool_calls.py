@@ -28,6 +28,8 @@ from prefsight.session import ensure_checkpoint_dir
 
 #: Schemas are broadcast up to this many characters in all; beyond, they are joined.
 BROADCAST_CHARS = 8 << 20
+#: Rounds of topological levels between checkpoints.
+LEVEL_ROUNDS = 8
 
 
 # --- canonical JSON ---------------------------------------------------------
@@ -168,7 +170,9 @@ def _records(batches: Iterator[pa.RecordBatch]):
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of the nodes that can be ordered; roots have level 0.
 
-    ``edges`` (conv_id, call_id, ref) say that a call comes after ``ref``.
+    ``edges`` (conv_id, call_id, ref) say that a call comes after ``ref``.  A round
+    resolves one level; the levels are checkpointed every LEVEL_ROUNDS rounds, so the
+    plan of a long chain does not grow with it.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
     key = ["conv_id", "call_id"]
@@ -182,6 +186,8 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         frontier = (pending.select(*key).distinct().join(left, key, "left_anti")
                     .join(nodes.select(*key), key, "left_semi").checkpoint())
         levels = levels.union(frontier.withColumn("level", F.lit(level)))
+        if level % LEVEL_ROUNDS == 0:
+            levels = levels.checkpoint()
         pending = left
     return levels
 

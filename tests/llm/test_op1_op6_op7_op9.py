@@ -65,6 +65,18 @@ def test_link_calls(spark):
     assert link(spark, [], []) == []
 
 
+def test_levels_of_a_long_chain(spark):
+    """Chains, a cycle and an unknown reference; the plan stays small however long a chain is."""
+    n = C.LEVEL_ROUNDS + 3
+    ids = [(1, f"c{k}") for k in range(n)] + [(2, "x"), (2, "y"), (2, "z")]
+    after = [(1, f"c{k}", f"c{k - 1}") for k in range(1, n)] + [(2, "x", "y"), (2, "y", "x"), (2, "z", "none")]
+    levels = C.topological_levels(spark.createDataFrame(ids, "conv_id long, call_id string"),
+                                  spark.createDataFrame(after, "conv_id long, call_id string, ref string"))
+    assert sorted(tuple(r) for r in levels.collect()) == sorted((1, f"c{k}", k) for k in range(n))
+    assert levels._jdf.queryExecution().optimizedPlan().toString().count("checkpoint") <= C.LEVEL_ROUNDS
+    assert levels._jdf.queryExecution().optimizedPlan().toString().count("RDD") <= C.LEVEL_ROUNDS
+
+
 def test_conversation_calls_brute_force(spark, sf):
     turns = [r.asDict() for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()]
     rows = Q.run("op1_tool_calls", spark, sf).collect()
