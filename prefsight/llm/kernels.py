@@ -23,6 +23,10 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 SPACE_WORDS = "space"
 #: Words are runs of 0-9, a-z (after lower-casing A-Z) and every byte from 0x80.
 ALNUM_WORDS = "alnum"
+#: As SPACE_WORDS, but A-Z stay as they are.
+EXACT_WORDS = "exact"
+#: As SPACE_WORDS, and the bytes .,;:!? separate too.
+PIECE_WORDS = "piece"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,6 +56,9 @@ _RANDOM = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
 _VALUE = _RANDOM[_lower(np.arange(256))]
 _IS_WORD = {SPACE_WORDS: np.ones(256, bool), ALNUM_WORDS: np.zeros(256, bool)}
 _IS_WORD[SPACE_WORDS][[9, 10, 11, 12, 13, 32]] = False
+_IS_WORD[EXACT_WORDS] = _IS_WORD[SPACE_WORDS]
+_IS_WORD[PIECE_WORDS] = _IS_WORD[SPACE_WORDS].copy()
+_IS_WORD[PIECE_WORDS][list(b".,;:!?")] = False
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _IS_WORD[ALNUM_WORDS][_a:_b] = True
 
@@ -93,7 +100,8 @@ def word_spans(texts: list[bytes], kind: str, prefixes: tuple[int, ...] = ()):
     power, inverse = _power_tables(n)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_VALUE[buf] * power[:n], out=sums[1:])
+    value = _RANDOM if kind == EXACT_WORDS else _VALUE
+    np.cumsum(value[buf] * power[:n], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])

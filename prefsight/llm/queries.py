@@ -22,6 +22,7 @@ from prefsight.llm.op7_length_histogram import length_counts, suffix_sums
 from prefsight.llm.op8_decontaminate import decontaminate
 from prefsight.llm.op9_tag_path import extract_pages
 from prefsight.llm.op10_ngram_join import ngram_components
+from prefsight.llm.op11_period_runs import period_runs, repeat_tails
 from prefsight.session import ensure_checkpoint_dir
 
 
@@ -81,10 +82,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs(repeat_tails(table(spark, sf_dir, "documents")), keep=["doc_id"]).drop("runs", "n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_tool_calls, op2_lm_score, op3_redirect_filter, op4_rotation_codes, op5_toxicity, op6_merge_dropout, op7_length_histogram,
                                     op8_decontaminate, op9_tag_path,
-                                    op10_ngram_join)
+                                    op10_ngram_join, op11_period_runs)
 }
 
 #: Words of operator 8 of a text column, as SQL.
