@@ -23,6 +23,7 @@ from prefsight.llm.op8_decontaminate import decontaminate
 from prefsight.llm.op9_tag_path import extract_pages
 from prefsight.llm.op10_ngram_join import ngram_components
 from prefsight.llm.op11_period_runs import period_runs, repeat_tails
+from prefsight.llm.op13_collocations import collocations
 from prefsight.session import ensure_checkpoint_dir
 
 
@@ -86,10 +87,14 @@ def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_runs(repeat_tails(table(spark, sf_dir, "documents")), keep=["doc_id"]).drop("runs", "n_words")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_tool_calls, op2_lm_score, op3_redirect_filter, op4_rotation_codes, op5_toxicity, op6_merge_dropout, op7_length_histogram,
                                     op8_decontaminate, op9_tag_path,
-                                    op10_ngram_join, op11_period_runs)
+                                    op10_ngram_join, op11_period_runs, op13_collocations)
 }
 
 #: Words of operator 8 of a text column, as SQL.
@@ -228,6 +233,39 @@ SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles,
 FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
 
+SQL["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS p FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, size, list_slice(w, s, s + size - 1) AS g
+  FROM (SELECT lang, w, size, unnest(generate_series(1, len(w) - size + 1)) AS s
+        FROM words, (VALUES (1), (2), (3), (4), (5)) t(size) WHERE len(w) >= size)),
+counts AS (SELECT lang, size, g, count(*) AS f FROM grams GROUP BY lang, size, g HAVING count(*) >= 100),
+cuts AS (
+  SELECT c.lang, c.size, c.g, c.f AS a, x.f AS l, y.f AS r, t.n, k,
+         CAST((1000::HUGEINT * c.f * t.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM counts WHERE size > 1) c
+  JOIN counts x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, k)
+  JOIN counts y ON y.lang = c.lang AND y.g = list_slice(c.g, k + 1, c.size)
+  JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, list_slice(g, s, s + m - 1) AS g, max(f) AS f
+  FROM (SELECT *, unnest(generate_series(1, size - m + 1)) AS s
+        FROM (SELECT *, unnest(generate_series(2, size - 1)) AS m FROM counts WHERE size > 2))
+  GROUP BY 1, 2),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.g = b.g
+  WHERE i.f IS NULL OR 100 * i.f < 100 * b.a),
+ranked AS (
+  SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (
+    PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
