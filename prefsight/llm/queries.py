@@ -23,6 +23,7 @@ from prefsight.llm.op8_decontaminate import decontaminate
 from prefsight.llm.op9_tag_path import extract_pages
 from prefsight.llm.op10_ngram_join import ngram_components
 from prefsight.llm.op11_period_runs import period_runs, repeat_tails
+from prefsight.llm.op12_repeated_spans import repeated_spans
 from prefsight.llm.op13_collocations import collocations
 from prefsight.session import ensure_checkpoint_dir
 
@@ -87,6 +88,10 @@ def op11_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_runs(repeat_tails(table(spark, sf_dir, "documents")), keep=["doc_id"]).drop("runs", "n_words")
 
 
+def op12_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -94,7 +99,8 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_tool_calls, op2_lm_score, op3_redirect_filter, op4_rotation_codes, op5_toxicity, op6_merge_dropout, op7_length_histogram,
                                     op8_decontaminate, op9_tag_path,
-                                    op10_ngram_join, op11_period_runs, op13_collocations)
+                                    op10_ngram_join, op11_period_runs, op12_repeated_spans,
+                                    op13_collocations)
 }
 
 #: Words of operator 8 of a text column, as SQL.
@@ -233,6 +239,26 @@ SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles,
 FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
 
+SQL["op12_repeated_spans"] = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, s, list_slice(w, s, s + 49) AS win
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS s FROM docs WHERE len(w) >= 50)),
+firsts AS (SELECT win, min(doc_id) AS first FROM windows GROUP BY win),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(s, s + 49)) AS pos
+  FROM windows JOIN firsts USING (win) WHERE first < doc_id),
+removed AS (SELECT doc_id, count(*) AS n, list(pos) AS places FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, string_agg(word, ' ' ORDER BY pos) AS text
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS pos FROM docs) d
+  ANTI JOIN gone g ON g.doc_id = d.doc_id AND g.pos = d.pos GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN removed r ON r.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
 SQL["op13_collocations"] = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(translate(coalesce(text, ''),
