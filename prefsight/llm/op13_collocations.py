@@ -8,16 +8,18 @@ all frequent, as no phrase occurs more often than a part of it.  What is frequen
 to the next pass as a Bloom filter, which lets pass a few that are not, never drops one
 that is, and has at most ``MAX_BITS`` bits whatever the corpus.
 
-The last pass points each fingerprint that may be frequent to its first occurrence in a
-chunk, compares the words of every other occurrence with it (another phrase of the same
-fingerprint is counted by its text), and sends the phrase once per task.  So phrases
-that are not frequent are never written out but for the filters' false positives, and
-the sums by text are exact: a collision of fingerprints can only let a phrase through
-to a sum that rejects it.
+Each row also carries a pointer to an occurrence: the bin (of 256) of its text, of which
+the least is kept.  The last pass compares the words of all occurrences of a chunk that
+may be frequent with the first of their fingerprint, and materialises a phrase only in
+the texts its pointer names.  A fingerprint with two phrases is recounted by text; two
+phrases with one 64-bit fingerprint that never meet in a chunk or under the pointers
+would stay one.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,11 +32,13 @@ MIN_COUNT = 100
 LONGEST = 5
 TOP = 2000
 BITS_PER_KEY = 16
+#: Bits for each pointer, whose false positives are phrases written out in vain.
+BITS_PER_POINTER = 64
 MAX_BITS = 1 << 28
 #: Fingerprints that a task gathers before it sums and sends them.
-GATHER = 1 << 21
+GATHER = 1 << 22
 #: Phrases that a task keeps with their counts before it sends them.
-HELD_PHRASES = 200_000
+HELD_PHRASES = 100_000
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -56,6 +60,7 @@ class Chunk:
         names = {x: K.word_hashes([x.encode().hex().encode()], K.EXACT_WORDS)[0] for x in set(langs)}
         seed = np.array([names[x][0] if len(names[x]) else 0 for x in langs], np.uint64)
         self.seed = seed[self.row] if n else np.empty(0, np.uint64)
+        self.bin = np.array([zlib.crc32(t) & 255 for t in texts], np.uint8)
         self._made: dict[int, np.ndarray] = {}
         self._hits: dict[int, np.ndarray] = {}
 
@@ -97,9 +102,14 @@ def may_hold(bloom: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ok
 
 
-def bloom_filter(keys: DataFrame) -> np.ndarray:
+def pointed(values: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """One value for a fingerprint and the bin of a text."""
+    return values ^ K.mix(bins.astype(np.uint64) + np.uint64(1))
+
+
+def bloom_filter(keys: DataFrame, bits_per_key: int = BITS_PER_KEY) -> np.ndarray:
     """Filter over the column ``fp``, put together from 64-bit words that tasks OR."""
-    need = max(1, keys.count()) * BITS_PER_KEY
+    need = max(1, keys.count()) * bits_per_key
     bits = min(MAX_BITS, 1 << max(10, (need - 1).bit_length()))
     probe = [F.expr(f"shiftrightunsigned(fp, {s}) & {bits - 1}L") for s in (0, 32)]
     words = (keys.select(F.explode(F.array(*probe)).alias("p")).groupBy(F.expr("shiftright(p, 6)").alias("w"))
@@ -114,17 +124,29 @@ def _chunks(batches):
         yield Chunk(texts, batch.column(batch.schema.get_field_index("lang")).to_pylist())
 
 
-def _summed(parts: list[np.ndarray]) -> pa.RecordBatch:
-    fp, count = np.unique(np.concatenate(parts), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(count.astype(np.int64))], names=["fp", "c"])
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    fp, bins = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(fp)
+    fp = fp[order]
+    first = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(fp[first].view(np.int64)), pa.array(np.diff(np.append(first, len(fp)))),
+         pa.array(np.minimum.reduceat(bins[order], first).astype(np.int16))], names=["fp", "c", "bin"])
+
+
+def _pointed_rows(batches):
+    for batch in batches:
+        values = pointed(batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["fp"])
 
 
 def _count_rows(batches, sizes: tuple[int, ...], filters: dict[int, np.ndarray]):
     parts, held = [], 0
     for chunk in _chunks(batches):
         for n in sizes:
-            parts.append(chunk.fingerprints(n)[chunk.candidates(n, filters)])
-            held += len(parts[-1])
+            at = chunk.candidates(n, filters)
+            parts.append((chunk.fingerprints(n)[at], chunk.bin[chunk.row[at]]))
+            held += len(at)
         if held >= GATHER:
             yield _summed(parts)
             parts, held = [], 0
@@ -132,64 +154,83 @@ def _count_rows(batches, sizes: tuple[int, ...], filters: dict[int, np.ndarray])
         yield _summed(parts)
 
 
-def _phrase_counts(chunk: Chunk, filters: dict[int, np.ndarray], longest: int):
-    """(lang, size, phrase, occurrences) of what may be frequent in a chunk."""
-    lower = chunk.buf.tobytes().lower()
+def _occurrences(chunk: Chunk, filters: dict[int, np.ndarray], longest: int, only: np.ndarray | None = None):
+    """Places that may hold a frequent phrase, for each size: (size, places, pointers, counts, shared, stray).
+
+    ``pointers`` are the first places of the distinct fingerprints, ``counts`` how often
+    their words occur; ``stray`` are places with the fingerprint of a pointer, a ``shared``
+    one, but other words.
+    """
     names: dict[bytes, int] = {}
-    words = [lower[a:b] for a, b in zip(chunk.starts.tolist(), chunk.ends.tolist())]
-    ids = np.array([names.setdefault(w, len(names)) for w in words], np.int64)
+    lower = chunk.buf.tobytes().lower()
+    ids = np.array([names.setdefault(lower[a:b], len(names)) for a, b in zip(chunk.starts.tolist(), chunk.ends.tolist())],
+                   np.int64)
+    lang = np.unique(np.array(chunk.langs), return_inverse=True)[1][chunk.row] if len(chunk) else ids
     for n in range(1, longest + 1):
-        key = min(n, 3)
         at = chunk.candidates(n, filters)
         fp = chunk.fingerprints(n)[at]
-        ok = may_hold(filters[key], fp)
+        ok = may_hold(filters[min(n, 3)] if only is None else only, fp)
         at, fp = at[ok], fp[ok]
-        _, first, which, counts = np.unique(fp, return_index=True, return_inverse=True, return_counts=True)
-        pointer = at[first]  # each fingerprint's first occurrence
-        same = chunk.row[at] == chunk.row[pointer[which]]
-        if not same.all():
-            lang = np.unique(np.array(chunk.langs), return_inverse=True)[1]
-            same = lang[chunk.row[at]] == lang[chunk.row[pointer[which]]]
+        _, first, which = np.unique(fp, return_index=True, return_inverse=True)
+        pointer = at[first]
+        same = lang[at] == lang[pointer[which]]
         for k in range(n):
             same &= ids[at + k] == ids[pointer[which] + k]
-        if not same.all():  # another phrase with this fingerprint: counted by its own text
-            counts = counts - np.bincount(which[~same], minlength=len(counts))
-            pointer, counts = np.concatenate((pointer, at[~same])), np.concatenate((counts, np.ones(int((~same).sum()), np.int64)))
-        rows = chunk.row[pointer].tolist()
-        for p, c, r in zip(pointer.tolist(), counts.tolist(), rows):
-            yield chunk.langs[r], n, b" ".join(words[p:p + n]), c
+        shared = np.bincount(which[~same], minlength=len(pointer)) > 0
+        yield n, at, pointer, np.bincount(which[same], minlength=len(pointer)), shared, at[~same]
+
+
+def _phrase(chunk: Chunk, place: int, n: int) -> bytes:
+    return b" ".join(chunk.buf[chunk.starts[i]:chunk.ends[i]].tobytes() for i in range(place, place + n)).lower()
+
 
+def _phrase_rows(batches, filters: dict[int, np.ndarray], pointers: np.ndarray | None, longest: int,
+                 only: np.ndarray | None = None):
+    """Phrases of the texts that pointers name, once a task, and the words of each lang (size 0).
 
-def _phrase_rows(batches, filters: dict[int, np.ndarray], longest: int):
+    Without ``pointers``, all phrases in the filter ``only`` with their counts.
+    """
     held: dict[tuple, int] = {}
 
     def batch():
         keys = list(held)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
-             pa.array([k[2] for k in keys], pa.binary()).cast(pa.string()), pa.array([held[k] for k in keys], pa.int64())],
-            names=["lang", "size", "phrase", "c"])
+        columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int32(), pa.binary()))]
+        return pa.RecordBatch.from_arrays([*columns[:3], columns[3].cast(pa.string()), pa.array(list(held.values()), pa.int64())],
+                                          names=["fp", "lang", "size", "phrase", "c"])
+
+    def add(fp: int, lang: str, n: int, phrase: bytes, c: int):
+        held[fp, lang, n, phrase] = held.get((fp, lang, n, phrase), 0) + c
 
     for chunk in _chunks(batches):
-        totals = np.bincount(chunk.row, minlength=len(chunk.langs)).tolist()
-        for lang, c in zip(chunk.langs, totals):
-            held[lang, 0, b""] = held.get((lang, 0, b""), 0) + c
-        for lang, n, phrase, c in _phrase_counts(chunk, filters, longest):
-            held[lang, n, phrase] = held.get((lang, n, phrase), 0) + c
+        if pointers is not None:
+            for lang, c in zip(chunk.langs, np.bincount(chunk.row, minlength=len(chunk.langs)).tolist()):
+                add(0, lang, 0, b"", c)
+        for n, at, first, counts, shared, stray in _occurrences(chunk, filters, longest, only):
+            values = chunk.fingerprints(n)
+            if pointers is not None:
+                at = at[may_hold(pointers, pointed(values[at], chunk.bin[chunk.row[at]]))]
+                first = np.concatenate((first[shared], at[np.unique(values[at], return_index=True)[1]]))
+                counts = np.zeros(len(first), np.int64)
+            for places, c in ((first, counts), (stray, np.ones(len(stray), np.int64))):
+                fps, rows = values[places].view(np.int64).tolist(), chunk.row[places].tolist()
+                for p, v, r, x in zip(places.tolist(), fps, rows, c.tolist()):
+                    add(v, chunk.langs[r], n, _phrase(chunk, p, n), x)
         if len(held) >= HELD_PHRASES:
             yield batch()
-            held = {}
+            held.clear()
     if held:
         yield batch()
 
 
+_PHRASES = "fp bigint, lang string, size int, phrase string, c bigint"
+
+
 def frequent_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT,
                      longest: int = LONGEST) -> DataFrame:
     """(lang, size, phrase, f): all phrases of 1 to ``longest`` words that occur ``min_count`` times or more.
 
     f counts all occurrences within pieces, overlaps included, per lang.  The row of
-    size 0 has the number of all words of its lang.  The result is a table in the
-    shared folder.
+    size 0 has the number of all words of its lang.
     """
     if longest < 3:
         raise ValueError("phrases of up to three words or more")
@@ -199,17 +240,32 @@ def frequent_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     rows = docs.select(docs[text].cast("string").alias("text"),
                        F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"))
     filters: dict[int, np.ndarray] = {}
+    often = []
     for key, sizes in ((1, (1,)), (2, (2,)), (3, tuple(range(3, longest + 1)))):
         sent = spark.sparkContext.broadcast(dict(filters))
-        counted = rows.mapInArrow(lambda it, sizes=sizes, sent=sent: _count_rows(it, sizes, sent.value), "fp bigint, c bigint")
-        often = counted.groupBy("fp").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count).select("fp").checkpoint()
-        filters[key] = bloom_filter(often)
-    sent = spark.sparkContext.broadcast(filters)
+        counted = rows.mapInArrow(lambda it, sizes=sizes, sent=sent: _count_rows(it, sizes, sent.value),
+                                  "fp bigint, c bigint, bin smallint")
+        often.append(counted.groupBy("fp").agg(F.sum("c").alias("f"), F.min("bin").alias("bin"))
+                     .where(F.col("f") >= min_count).checkpoint())
+        filters[key] = bloom_filter(often[-1])
+    found = often[0].union(often[1]).union(often[2])
+    mixed = found.mapInArrow(_pointed_rows, "fp bigint")
+    sent = spark.sparkContext.broadcast((filters, bloom_filter(mixed, BITS_PER_POINTER)))
     path = scratch_path(spark, "phrases")
-    found = rows.mapInArrow(lambda it: _phrase_rows(it, sent.value, longest), "lang string, size int, phrase string, c bigint")
-    (found.groupBy("lang", "size", "phrase").agg(F.sum("c").alias("f"))
-     .where(F.col("f") >= F.when(F.col("size") == 0, 1).otherwise(min_count)).write.parquet(path))
-    return spark.read.parquet(path)
+    (rows.mapInArrow(lambda it: _phrase_rows(it, *sent.value, longest), _PHRASES)
+     .groupBy("fp", "lang", "size", "phrase").agg(F.sum("c").alias("c")).write.parquet(path))
+    phrases = spark.read.parquet(path)
+    totals = phrases.where("size = 0").select("lang", "size", "phrase", F.col("c").alias("f"))
+    counted = phrases.where("size > 0").join(found, "fp")
+    shared = counted.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp").checkpoint()
+    if shared.isEmpty():
+        return counted.select("lang", "size", "phrase", "f").union(totals)
+    again = spark.sparkContext.broadcast(bloom_filter(shared))
+    parts = spark.sparkContext.broadcast(filters)
+    recounted = (rows.mapInArrow(lambda it: _phrase_rows(it, parts.value, None, longest, again.value), _PHRASES)
+                 .join(shared, "fp", "left_semi").groupBy("lang", "size", "phrase").agg(F.sum("c").alias("f"))
+                 .where(F.col("f") >= min_count))
+    return (counted.join(shared, "fp", "left_anti").select("lang", "size", "phrase", "f").union(recounted).union(totals))
 
 
 def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT,

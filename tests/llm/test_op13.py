@@ -61,19 +61,42 @@ def test_brute_force(spark, rows, min_count, top, longest):
     assert got(C.collocations(docs, min_count=min_count, top=top, longest=longest)) == brute(rows, min_count, longest, top)
 
 
-def test_small_chunks_filters_and_colliding_fingerprints(spark, rows, monkeypatch):
-    want = brute(rows, 4)
+def test_fingerprints_that_collide(spark, rows, monkeypatch):
     texts, langs = [(t or "").encode() for t, _ in rows], [x or "und" for _, x in rows]
     everything = {k: np.full(16, 2**64 - 1, np.uint64) for k in (1, 2, 3)}
-    plain = Counter()
-    for lang, n, p, c in C._phrase_counts(C.Chunk(texts, langs), everything, 5):
-        plain[lang, n, p] += c
+
+    def counts():
+        out = Counter()
+        chunk = C.Chunk(texts, langs)
+        for n, at, first, c, _, stray in C._occurrences(chunk, everything, 5):
+            for places, k in ((first, c), (stray, np.ones(len(stray), int))):
+                for p, x in zip(places.tolist(), k.tolist()):
+                    out[chunk.langs[chunk.row[p]], n, C._phrase(chunk, p, n)] += x
+        return out
+    plain = counts()
     monkeypatch.setattr(C.Chunk, "fingerprints", lambda self, n: np.zeros(max(0, len(self) - n + 1), np.uint64))
-    same = Counter()
-    for lang, n, p, c in C._phrase_counts(C.Chunk(texts, langs), everything, 5):
-        same[lang, n, p] += c
-    assert same == plain and len(plain) > 1000
-    assert all(plain[x[0], len(x[2].split(" ")), x[2].encode()] == x[3] for x in want)
+    assert counts() == plain and len(plain) > 1000
+    for lang, _, p, a, *_ in brute(rows, 4):
+        assert plain[lang, len(p.split(" ")), p.encode()] == a
+
+
+def test_recount_by_text(spark, rows, monkeypatch):
+    """Fingerprints of eight bits: nearly all collide, the counts stay exact."""
+    real = C.K.keyed
+    monkeypatch.setattr(C.K, "keyed", lambda x, n: real(real(x, n) & np.uint64(255), n))
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)  # one chunk sees every collision
+
+    def crowded(f):
+        def run(it, *args):
+            C.K.keyed = lambda x, n: real(real(x, n) & np.uint64(255), n)
+            try:
+                yield from f(it, *args)
+            finally:
+                C.K.keyed = real
+        return run
+    monkeypatch.setattr(C, "_count_rows", crowded(C._count_rows))
+    monkeypatch.setattr(C, "_phrase_rows", crowded(C._phrase_rows))
+    assert got(C.collocations(docs, min_count=5)) == brute(rows, 5)
 
 
 def test_filters_drop_nothing(spark):
