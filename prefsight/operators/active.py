@@ -108,7 +108,8 @@ def nearest_distance(items: DataFrame, key_col: str, vec_col: str,
                      block_size: int = 2048) -> DataFrame:
     """ACT-5: exact Euclidean distance from every item to its nearest other item.
 
-    The work is quadratic: for large sets use ``nearest_distance_lsh``.  Items are
+    The work is quadratic: for large sets use ``neighbours.nearest_distance_exact`` (pivot
+    partitions) or ``nearest_distance_lsh``.  Items are
     hashed into B blocks of about ``block_size``; every block
     pair (a <= b) is one ``applyInPandas`` group holding at most two blocks,
     which computes its distance block with numpy and emits only per-item
@@ -173,8 +174,7 @@ def nearest_distance_lsh(items: DataFrame, key_col: str, vec_col: str, tables: i
     src = items.select(F.col(key_col).cast("long").alias("key"), F.col(vec_col).alias("vec"))
     first = src.first()
     dim = len(first["vec"]) if first else 0
-    centre = (np.array([src.agg(*[F.avg(F.col("vec")[i]) for i in range(dim)]).first()[i] for i in range(dim)])
-              if dim else np.zeros(0))
+    centre = np.array(src.agg(*[F.avg(F.col("vec")[i]) for i in range(dim)]).first()) if dim else np.zeros(0)
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
 
     def hashed(batches):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prefsight.operators import active as ac
+from prefsight.operators import neighbours as nb
 from prefsight.plans import sql_fn as S
 from prefsight.plans.registry import query
 from prefsight.plans.sql_views import linear_weights_sql
@@ -97,19 +98,29 @@ def act_loop(t):
         "round", "pair_id", "acquisition_score", "chosen")
 
 
-@query("act_diversity", """
+_NEAREST_SQL = """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT a.vec_id, min(sqrt(list_sum(list_transform(range(1, len(a.v) + 1),
                                                   lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))))
        AS nn_distance
 FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY a.vec_id
-""", rnd=["nn_distance"])
+"""
+
+
+@query("act_diversity", _NEAREST_SQL, rnd=["nn_distance"])
 def act_diversity(t):
     """ACT-5: distance of every embedding to its nearest other embedding
     (exact, blocked; the oracle is the brute-force self join)."""
     return ac.nearest_distance(t.embeddings, "vec_id", "embedding")
 
 
+@query("act_nearest", _NEAREST_SQL, rnd=["nn_distance"])
+def act_nearest(t):
+    """ACT-5 at scale: the same distances from pivot partitions; a vector is compared
+    only with the rings that the triangle inequality leaves."""
+    return nb.nearest_distance_exact(t.embeddings, "vec_id", "embedding")
+
+
 def _greedy_sql(k: int) -> str:
     """Greedy rounds unrolled: what is left with its distance, and the pick."""
     from prefsight.plans.q_scoring import _MODEL_IDS_SQL, _W

@@ -42,9 +42,10 @@ def _score_sql(a: str, e: str, v: str, lam: str, m: str, d: str) -> str:
 
 def _messages_sql(a: str, e: str, v: str, lam: str, m: str, d: str, verdict: str = "verdict") -> str:
     """SQL twin of the recommendations, joined by line breaks."""
-    def said(text: str, value: str) -> str:
-        return f"printf('{text.replace(chr(39), chr(39) * 2)}', {value})"
-    parts = [verdict] + [f"CASE WHEN {when} THEN {said(rd.MESSAGES[k], value)} END" for k, when, value in (
+    def said(code: str, value: str) -> str:
+        text, scale = rd.MESSAGES[code].replace(chr(39), chr(39) * 2), f"1e{rd.message_digits(code)}"
+        return f"printf('{text}', floor(({value}) * {scale} + 0.5e0) / {scale})"
+    parts = [verdict] + [f"CASE WHEN {when} THEN {said(k, value)} END" for k, when, value in (
         ("accuracy", f"{a} < 0.7e0", f"{a} * 100"), ("calibration", f"{e} > 0.1e0", e), ("variance", f"{v} > 2.0e0", v),
         ("sharpness", f"{lam} > 200", lam), ("margin", f"abs({m}) > 3.0e0", m), ("disagreement", f"{d} > 0.5e0", d))]
     return ("array_to_string(list_filter([" + ", ".join(parts)
