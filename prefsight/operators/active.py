@@ -104,6 +104,42 @@ def active_loop(pool: DataFrame, score_fn: Callable[[DataFrame], DataFrame],
     return reduce(DataFrame.unionByName, new), hist, reduce(DataFrame.unionByName, chosen)
 
 
+class LinearLearner:
+    """ACT-9: a linear reward model that learns from what a loop has labelled.
+
+    ``scores`` is the score function of a round: expected model change (ACT-3) under the
+    current weights, rounded so that float noise cannot reorder ties.  ``retrain`` refits
+    on all labelled pairs, starting from the current weights, and the next round is
+    scored by the result.  ``features`` has (key, d); a pair labelled 1 counts as d, any
+    other label as -d (B preferred).  ``history`` has the weights after each round."""
+
+    def __init__(self, features: DataFrame, labels: DataFrame, weights, key_col: str = "pair_id",
+                 diff_col: str = "d", optimizer: str = "adamw", steps: int = 10, lr: float = 0.1, digits: int = 9):
+        self.features = features.select(key_col, F.col(diff_col).alias("d"))
+        self.labels, self.key_col = labels.select(key_col, "label"), key_col
+        self.optimizer, self.steps, self.lr, self.digits = optimizer, steps, lr, digits
+        self.weights = [float(x) for x in weights]
+        self.history = [self.weights]
+
+    def scores(self, pool: DataFrame) -> DataFrame:
+        """(key, score) of the pairs of the pool."""
+        rows = self.features.join(pool.select(self.key_col), self.key_col, "left_semi")
+        found = model_change_scores(rows, self.weights, [self.key_col])
+        return found.withColumn("score", F.round("score", self.digits))
+
+    def retrain(self, labelled: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        """Refit on the labelled pairs from the current weights."""
+        from prefsight.operators.train import fit_many
+        signed = (self.features.join(labelled.select(self.key_col), self.key_col).join(self.labels, self.key_col)
+                  .select(F.when(F.col("label") == 1, F.col("d")).otherwise(F.transform("d", lambda x: -x)).alias("d")))
+        state = fit_many(signed, [(self.optimizer, 0)], len(self.weights), steps=self.steps, lr=self.lr, warmup=0,
+                         start=[self.weights])[0]
+        if not state.failed:
+            self.weights = [float(x) for x in state.w]
+        self.history.append(self.weights)
+        return self.scores
+
+
 def nearest_distance(items: DataFrame, key_col: str, vec_col: str,
                      block_size: int = 2048) -> DataFrame:
     """ACT-5: exact Euclidean distance from every item to its nearest other item.

@@ -23,11 +23,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefsight.functions import dot, lit_vector
-from prefsight.operators.linalg import partial_sums, sigmoid_np
+from prefsight.operators.linalg import MAX_RESULT_ENTRIES, partial_sums, sigmoid_np
 
 MAX_DIM_FULL = 2048
 
 
+class _Lanczos:
+    """One block Lanczos run that is fed the images of its ``fresh`` vectors."""
+
+    def __init__(self, dim: int, k: int, block: int | None, tol: float, seed: int):
+        b = min(dim, block or k + 3)
+        self.dim, self.k, self.tol = dim, k, tol
+        self.fresh, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, b)))
+        self.basis, self.image = np.empty((dim, 0)), np.empty((dim, 0))
+        self.values: np.ndarray | None = None
+        self.done = False
+
+    def take(self, image: np.ndarray) -> None:
+        """Add the images of the fresh vectors; settle, or find the next ones."""
+        self.basis, self.image = np.hstack([self.basis, self.fresh]), np.hstack([self.image, image])
+        small = self.basis.T @ self.image
+        values, self._ritz = np.linalg.eigh((small + small.T) / 2)
+        top, last = values[::-1][:self.k], self.values
+        scale = max(abs(top[0]), 1e-300)
+        settled = last is not None and len(last) == len(top) == self.k and np.all(np.abs(top - last) <= self.tol * scale)
+        self.values = top
+        if settled or self.basis.shape[1] >= self.dim:
+            self.done = True
+            return
+        rest = image
+        for _twice in range(2):
+            rest = rest - self.basis @ (self.basis.T @ rest)
+        q, r = np.linalg.qr(rest)
+        self.fresh = q[:, np.abs(np.diag(r)) > 1e-12 * scale][:, :self.dim - self.basis.shape[1]]
+        self.done = not self.fresh.shape[1]
+
+    def vectors(self) -> np.ndarray:
+        return self.basis @ self._ritz[:, ::-1][:, :self.k]
+
+
 class Curvature:
     """Curvature passes of the Bradley-Terry loss at weights ``w``.
 
@@ -48,10 +82,6 @@ class Curvature:
     def unpersist(self):
         self.df.unpersist()
 
-    def _weights(self, X):
-        p = sigmoid_np(X @ self.w)
-        return p * (1.0 - p)
-
     def gramian(self) -> np.ndarray:
         """LND-1: the full Hessian, one pass (refuses d > 2048)."""
         if self.dim > MAX_DIM_FULL:
@@ -88,28 +118,12 @@ class Curvature:
         All vectors of a block share one ``hvp`` pass; the basis is kept
         orthogonal on the driver (d x passes*block doubles).  Stops when the k
         Ritz values have settled to ``tol`` or the basis spans the space."""
-        b = min(self.dim, block or k + 3)
-        fresh, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((self.dim, b)))
-        basis, image = np.empty((self.dim, 0)), np.empty((self.dim, 0))
-        last = None
+        state = _Lanczos(self.dim, k, block, tol, seed)
         for _ in range(max_passes):
-            basis, image = np.hstack([basis, fresh]), np.hstack([image, self.hvp(fresh)])
-            small = basis.T @ image
-            values, vectors = np.linalg.eigh((small + small.T) / 2)
-            top = values[::-1][:k]
-            settled = last is not None and len(last) == len(top) == k and np.all(
-                np.abs(top - last) <= tol * max(abs(top[0]), 1e-300))
-            last = top
-            if settled or basis.shape[1] >= self.dim:
-                break
-            rest = image[:, -fresh.shape[1]:]
-            for _twice in range(2):
-                rest = rest - basis @ (basis.T @ rest)
-            q, r = np.linalg.qr(rest)
-            fresh = q[:, np.abs(np.diag(r)) > 1e-12 * max(abs(top[0]), 1e-300)][:, :self.dim - basis.shape[1]]
-            if not fresh.shape[1]:
+            state.take(self.hvp(state.fresh))
+            if state.done:
                 break
-        return last, basis @ vectors[:, ::-1][:, :k]
+        return state.values, state.vectors()
 
     def top_eigenvalues(self, k: int, seed: int = 0) -> list[float]:
         """LND-3: top-k eigenvalues from Hessian-vector products."""
@@ -141,6 +155,71 @@ class Curvature:
         return float(per_probe.mean())
 
 
+class ManyCurvature:
+    """Curvature of the Bradley-Terry loss at many weight vectors (M x d).
+
+    A pass over the pairs serves all models: their Gramians, or their products with
+    one block of vectors each.  A pass whose sums would not fit the driver's bound is
+    split by models, so any number of models is served.  Pairs are cached as in
+    ``Curvature``."""
+
+    def __init__(self, pairs: DataFrame, weights, diff_col: str = "d"):
+        self.weights = np.atleast_2d(np.asarray(weights, dtype=np.float64))
+        self.df = pairs.select(F.col(diff_col).alias("d")).persist(StorageLevel.MEMORY_AND_DISK)
+        self.n = self.df.count()
+        self.passes = 0
+
+    def unpersist(self):
+        self.df.unpersist()
+
+    def _sums(self, which: np.ndarray, shape: tuple[int, ...], per_model) -> np.ndarray:
+        """Means over the pairs of ``per_model(X, s, model)`` for the listed models."""
+        step = max(1, MAX_RESULT_ENTRIES // max(1, math.prod(shape)))
+        parts = [np.empty((0, *shape))]
+        for first in range(0, len(which), step):
+            models = which[first:first + step]
+            W = self.weights[models]
+
+            def fn(X, _, models=models, W=W):
+                p = sigmoid_np(X @ W.T)
+                s = p * (1.0 - p)
+                return np.stack([per_model(X, s[:, i], m) for i, m in enumerate(models)])
+            self.passes += 1
+            parts.append(partial_sums(self.df, "d", (len(models), *shape), fn) / max(self.n, 1))
+        return np.concatenate(parts)
+
+    def gramians(self) -> np.ndarray:
+        """The Hessians of all models (M x d x d)."""
+        dim = self.weights.shape[1]
+        return self._sums(np.arange(len(self.weights)), (dim, dim), lambda X, s, _: X.T @ (s[:, None] * X))
+
+    def spectra(self) -> np.ndarray:
+        """All eigenvalues of every model's Hessian, descending (M x d)."""
+        return np.linalg.eigvalsh(self.gramians())[:, ::-1]
+
+    def hvp(self, V: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """H_m @ V[i] for the listed models and their blocks (len(which) x d x b)."""
+        place = {int(m): i for i, m in enumerate(which)}
+        return self._sums(which, V.shape[1:], lambda X, s, m: X.T @ (s[:, None] * (X @ V[place[int(m)]])))
+
+    def top_eigenvalues(self, k: int, max_passes: int = 60, tol: float = 1e-10, seed: int = 0) -> np.ndarray:
+        """Top-k eigenvalues of every model (M x k), block Lanczos runs in step.
+
+        Each pass multiplies the blocks of all models that have not settled."""
+        runs = [_Lanczos(self.weights.shape[1], k, None, tol, seed) for _ in self.weights]
+        for _ in range(max_passes):
+            which = np.array([m for m, r in enumerate(runs) if not r.done], dtype=np.int64)
+            if not len(which):
+                break
+            width = max(runs[m].fresh.shape[1] for m in which)
+            V = np.zeros((len(which), self.weights.shape[1], width))
+            for i, m in enumerate(which):
+                V[i, :, :runs[m].fresh.shape[1]] = runs[m].fresh
+            for m, image in zip(which, self.hvp(V, which)):
+                runs[m].take(image[:, :runs[m].fresh.shape[1]])
+        return np.array([r.values for r in runs])
+
+
 def trace_exact(pairs: DataFrame, w, diff_col: str = "d") -> DataFrame:
     """Exact trace mean[p(1-p) |d|^2] as one aggregate (oracle-checkable)."""
     m = dot(lit_vector(w), diff_col)

@@ -99,13 +99,16 @@ def _clip(g: np.ndarray, max_norm: float = GRAD_CLIP) -> np.ndarray:
 
 def fit_many(pairs: DataFrame, runs, dim: int, diff_col: str = "d", steps: int = 50,
              lr: float = 0.05, warmup: int = 5, batch_fraction: float | None = None,
-             init_scale: float = 0.01, rules: dict | None = None) -> list[RunState]:
+             init_scale: float = 0.01, rules: dict | None = None, start=None) -> list[RunState]:
     """Train every (optimizer, seed) in ``runs`` with shared passes.
 
     Each step: weights of all M runs go to the tasks inside the closure (M x d,
     bounded), each batch yields the M loss sums, correct counts and gradients
     -(1 - sigmoid(m)) d, and the partitions are added by ``partial_sums``.
 
+    ``start`` has the weights that each run starts from (a warm start); without it
+    they are drawn by the run's seed.
+
     ``rules`` adds update rules by name: ``rule(state, gradient, rate)`` changes
     ``state.w`` in place (``state.m``, ``state.v`` and ``state.t`` are its memory).
     The log has the loss, accuracy and gradient norm (before clipping) at the
@@ -118,9 +121,9 @@ def fit_many(pairs: DataFrame, runs, dim: int, diff_col: str = "d", steps: int =
     df = pairs.select(F.col(diff_col).alias("d")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         states = []
-        for opt, seed in runs:
-            rng = np.random.default_rng(seed)
-            states.append(RunState(opt, seed, rng.standard_normal(dim) * init_scale))
+        for i, (opt, seed) in enumerate(runs):
+            drawn = np.random.default_rng(seed).standard_normal(dim) * init_scale
+            states.append(RunState(opt, seed, drawn if start is None else np.array(start[i], dtype=np.float64)))
         M = len(states)
         for step in range(steps + 1):
             W = np.stack([s.w for s in states])

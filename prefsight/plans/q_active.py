@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prefsight.functions import dot, lit_vector
 from prefsight.operators import active as ac
 from prefsight.operators import neighbours as nb
 from prefsight.plans import sql_fn as S
+from prefsight.plans import sql_numeric as N
 from prefsight.plans.registry import query
 from prefsight.plans.sql_views import linear_weights_sql
 from prefsight.sources import views as V
@@ -98,6 +100,49 @@ def act_loop(t):
         "round", "pair_id", "acquisition_score", "chosen")
 
 
+_ROUNDS, _PICKS, _STEPS, _RATE = 3, 60, 5, 0.1
+
+
+def _retrained_sql() -> str:
+    """Rounds unrolled: scores by the weights so far, the picks, and the refit on all picks."""
+    truth = f"list_dot_product(d, {linear_weights_sql('2')}) > 0"
+    ctes = [f"""
+pool AS MATERIALIZED (SELECT pair_id, d, CASE WHEN {truth} THEN 1 ELSE 0 END AS label,
+                             list_dot_product(d, d) AS d2 FROM v_pairs_feat),
+r0_weights AS (SELECT 0 AS run, {linear_weights_sql('1')} AS w),
+picked0 AS (SELECT pair_id, d, label, 0 AS round, 0.0e0 AS score FROM pool LIMIT 0)"""]
+    for r in range(_ROUNDS):
+        ctes.append(f"""
+scored{r} AS (SELECT pair_id, d, label, round(pr * (1 - pr) * d2, 9) AS score FROM (
+    SELECT p.*, {S.sigmoid('list_dot_product(p.d, w.w)')} AS pr FROM pool p, r{r}_weights w
+    WHERE p.pair_id NOT IN (SELECT pair_id FROM picked{r}))),
+picked{r + 1} AS MATERIALIZED (SELECT * FROM picked{r} UNION ALL (
+    SELECT pair_id, d, label, {r} AS round, score FROM scored{r} ORDER BY score DESC, pair_id LIMIT {_PICKS})),
+signed{r + 1} AS MATERIALIZED (SELECT CASE WHEN label = 1 THEN d ELSE list_transform(d, lambda x: -x) END AS d FROM picked{r + 1}),{
+    N.training_ctes(f"signed{r + 1}", [("adamw", 0)], V.FEATURE_DIM, _STEPS, _RATE, 0, f"r{r}_weights", f"r{r + 1}_")}""")
+    return f"""WITH{",".join(ctes)}
+SELECT CAST(round AS INTEGER) AS round, pair_id, score AS acquisition_score,
+       CASE WHEN label = 1 THEN 'first of ' ELSE 'second of ' END || CAST(pair_id AS VARCHAR) AS chosen FROM picked{_ROUNDS}"""
+
+
+@query("act_loop_retrained", _retrained_sql(), rnd=["acquisition_score"])
+def act_loop_retrained(t):
+    """ACT-9 with retraining: three rounds that pick 60 pairs by expected model change,
+    learn their labels and refit from the current weights; a round is scored by the
+    model the round before left.  Labels are the preferences of linear model 2."""
+    feats = V.v_pairs_feat(t).checkpoint()
+    truth = dot(lit_vector(V.linear_weights(2)), "d") > 0
+    key = F.col("pair_id").cast("string")
+    pool = feats.select("pair_id", F.concat(F.lit("pair "), key).alias("prompt"),
+                        F.concat(F.lit("first of "), key).alias("response_a"),
+                        F.concat(F.lit("second of "), key).alias("response_b"))
+    labels = feats.select("pair_id", F.when(truth, 1).otherwise(0).alias("label"))
+    learner = ac.LinearLearner(feats, labels, V.linear_weights(1), steps=_STEPS, lr=_RATE)
+    labelled, _, chosen = ac.active_loop(pool, learner.scores, labels, rounds=_ROUNDS, k=_PICKS, retrain_fn=learner.retrain)
+    return chosen.join(labelled.select("pair_id", "chosen"), "pair_id").select(
+        "round", "pair_id", "acquisition_score", "chosen")
+
+
 _NEAREST_SQL = """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT a.vec_id, min(sqrt(list_sum(list_transform(range(1, len(a.v) + 1),

@@ -6,9 +6,14 @@ from pyspark.sql import functions as F
 
 from prefsight.operators import ensemble as en
 from prefsight.operators import evaluate as ev
+from prefsight.operators import landscape as ls
 from prefsight.operators import readiness as rd
+from prefsight.operators import scoring as sc
 from prefsight.plans import sql_fn as S
+from prefsight.plans import sql_numeric as N
+from prefsight.plans.q_scoring import _MODEL_IDS_SQL, MODELS
 from prefsight.plans.registry import query
+from prefsight.plans.sql_views import linear_weights_sql
 from prefsight.sources import views as V
 
 _OUT = ["overall_score", "accuracy_score", "calibration_score", "stability_score",
@@ -103,19 +108,21 @@ def rdy_from_metrics(t):
 
 
 @query("rdy_end_to_end", f"""
-WITH p AS (SELECT pair_id, stddev_pop(margin) AS sd FROM v_scores GROUP BY pair_id),
+WITH w AS (SELECT mm.model_id AS run, {linear_weights_sql("mm.model_id")} AS w FROM {_MODEL_IDS_SQL}),{
+    N.gram_cte("gram", "v_pairs_feat", "w", V.FEATURE_DIM)},{N.dominant_cte("top", "gram", "gram", 30)},
+sc AS MATERIALIZED (SELECT pair_id, run AS model_id, list_dot_product(d, w) AS margin FROM v_pairs_feat, w),
+p AS (SELECT pair_id, stddev_pop(margin) AS sd FROM sc GROUP BY pair_id),
 d AS (SELECT avg(sd) AS dis FROM p),
-cal AS (SELECT model_id, margin, {S.sigmoid('margin')} AS pr FROM v_scores),
+cal AS (SELECT model_id, margin, {S.sigmoid('margin')} AS pr FROM sc),
 cb AS (SELECT *, {S.bin_case('pr')} AS bin FROM cal),
 pb AS (SELECT model_id, bin, count(*) AS c, avg(pr) - 1.0e0 AS gap FROM cb WHERE bin IS NOT NULL
        GROUP BY model_id, bin),
 m AS (SELECT model_id, count(*) AS n, avg(CASE WHEN margin > 0 THEN 1.0e0 ELSE 0.0e0 END) AS accuracy,
-             var_pop(margin) AS reward_variance, avg(margin) AS margin_mean,
-             avg(pr * (1 - pr) * margin * margin) AS top_eigenvalue FROM cb GROUP BY model_id),
-e AS (SELECT m.model_id, m.accuracy, m.reward_variance, m.margin_mean, m.top_eigenvalue,
+             var_pop(margin) AS reward_variance, avg(margin) AS margin_mean FROM cb GROUP BY model_id),
+e AS (SELECT m.model_id, m.accuracy, m.reward_variance, m.margin_mean, t.value AS top_eigenvalue,
              coalesce(sum(abs(pb.gap) * pb.c), 0) / m.n AS ece
-      FROM m LEFT JOIN pb ON pb.model_id = m.model_id
-      GROUP BY m.model_id, m.n, m.accuracy, m.reward_variance, m.margin_mean, m.top_eigenvalue)
+      FROM m JOIN top t ON t.run = m.model_id LEFT JOIN pb ON pb.model_id = m.model_id
+      GROUP BY m.model_id, m.n, m.accuracy, m.reward_variance, m.margin_mean, t.value)
 SELECT e.model_id, e.accuracy, e.ece, e.reward_variance, e.top_eigenvalue, e.margin_mean,
        d.dis AS ensemble_disagreement,
        {_score_sql('e.accuracy', 'e.ece', 'e.reward_variance', 'e.top_eigenvalue', 'e.margin_mean',
@@ -124,20 +131,23 @@ FROM e, d
 """, rnd=["accuracy", "ece", "reward_variance", "top_eigenvalue", "margin_mean",
           "ensemble_disagreement", *_OUT])
 def rdy_end_to_end(t):
-    """RDY-3: readiness per model computed from the data: accuracy and ECE
-    (EVL), margin variance and mean, 1-D curvature mean p(1-p)m^2 (LND) and
-    ensemble disagreement (ENS-2)."""
-    s = V.v_scores(t)
+    """RDY-3: readiness of every linear model computed from the pairs: accuracy and ECE
+    (EVL), margin variance and mean, ensemble disagreement (ENS-2) and the top eigenvalue
+    of its Hessian (LND-3), all models sharing each curvature pass."""
+    pairs = V.v_pairs_feat(t).checkpoint()
+    s = sc.pair_margins(pairs, MODELS)
     cal = ev.calibration_report(s, ["model_id"])
-    p = F.col("p_")
-    extra = (s.withColumn("p_", 1.0 / (1.0 + F.exp(-F.col("margin"))))
-             .groupBy("model_id").agg(F.var_pop("margin").alias("reward_variance"),
-                                      F.avg("margin").alias("margin_mean"),
-                                      F.avg(p * (1 - p) * F.col("margin") * F.col("margin"))
-                                      .alias("top_eigenvalue")))
+    about = s.groupBy("model_id").agg(F.var_pop("margin").alias("reward_variance"), F.avg("margin").alias("margin_mean"))
+    ids = sorted(MODELS.weights)
+    cur = ls.ManyCurvature(pairs, [MODELS.weights[i] for i in ids])
+    try:
+        tops = cur.top_eigenvalues(1)
+    finally:
+        cur.unpersist()
+    top = t.spark.createDataFrame([(i, float(v[0])) for i, v in zip(ids, tops)], "model_id int, top_eigenvalue double")
     dis = en.disagreement(en.predict(s, ["pair_id"], "margin")).select(
         F.col("mean_disagreement").alias("ensemble_disagreement"), F.lit(0).alias("_k"))
-    base = (cal.select("model_id", "accuracy", "ece").join(extra, "model_id")
+    base = (cal.select("model_id", "accuracy", "ece").join(about, "model_id").join(top, "model_id")
             .withColumn("_k", F.lit(0)).join(F.broadcast(dis), "_k").drop("_k"))
     out = rd.readiness(base, "accuracy", "ece", "reward_variance", "top_eigenvalue",
                        "margin_mean", "ensemble_disagreement", messages=False)
