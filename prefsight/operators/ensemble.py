@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefsight.operators.indexing import global_index
+from prefsight.operators.selection import order_statistics
 
 DEFAULT_UNCERTAINTY_THRESHOLD = 0.5
 
@@ -45,13 +45,14 @@ def detect_ood(pred: DataFrame) -> DataFrame:
 def calibrate_threshold(pred: DataFrame, item_col: str, target_ood_rate: float = 0.1):
     """ENS-4: the std at 0-based sorted position int(n * (1 - rate)).
 
-    Positions come from a range-partitioned global index; only the count and
-    one row reach the result.  Rate 0 clamps to the last element."""
+    The place is found by counting passes; nothing is sorted, and ``item_col`` is not
+    read, as equal values need no order.  Rate 0 clamps to the last element."""
     n = pred.count()
     if n == 0:
         raise ValueError("cannot calibrate a threshold on an empty table")
     k = min(int(n * (1 - target_ood_rate)), n - 1)
-    ranked = global_index(pred.select(item_col, "std_reward"), ["std_reward", item_col], "pos")
-    return ranked.filter(F.col("pos") == k).select(
-        F.lit(n).cast("bigint").alias("n"), F.lit(k).cast("bigint").alias("position"),
-        F.col("std_reward").alias("threshold"))
+    spark = pred.sparkSession
+    place = spark.createDataFrame([(0, k)], "_all int, place long")
+    found = order_statistics(pred.select(F.lit(0).alias("_all"), "std_reward"), ["_all"], "std_reward", place)
+    return found.select(F.lit(n).cast("bigint").alias("n"), F.col("place").alias("position"),
+                        F.col("value").alias("threshold"))

@@ -1,9 +1,8 @@
 """Margin analysis and curriculum sampling (MRG-*).
 
 Percentiles are exact (numpy's linear interpolation) but never hold a group's
-values in one buffer: each group is numbered by a range-partitioned position
-(``index_within_group``) and only the two order statistics around each
-quantile are joined back.
+values in one buffer and sort nothing: the two order statistics around each quantile
+come from counting passes (``selection.order_statistics``).
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from prefsight.functions import hash_key
 from prefsight.operators.indexing import index_within_group
+from prefsight.operators.selection import FEW_PLACES, order_statistics
 
 # Difficulty thresholds and curriculum weights of the reference.
 EASY_THRESHOLD = 0.7
@@ -35,35 +35,27 @@ def difficulty(m: Column, easy=EASY_THRESHOLD, hard=HARD_THRESHOLD) -> Column:
             .otherwise(F.lit("medium")))
 
 
-#: Groups whose quantile places are broadcast; beyond, the join shuffles.
-MAX_BROADCAST_GROUPS = 50_000
-
-
-def exact_quantiles(df: DataFrame, group_cols, value_col: str, key_col: str,
+def exact_quantiles(df: DataFrame, group_cols, value_col: str, key_col: str | None = None,
                     qs=(0.25, 0.5, 0.75), names=None) -> DataFrame:
-    """numpy.percentile (linear) per group without per-group value buffers."""
+    """numpy.percentile (linear) per group: the two order statistics around each quantile.
+
+    Equal values need no order among them, so ``key_col`` is not read."""
     group_cols = list(group_cols)
     names = names or [f"p{int(round(q * 100))}" for q in qs]
-    pos = index_within_group(df.select(*group_cols, value_col, key_col), group_cols,
-                             [value_col, key_col], "_pos")
-    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
-    few_groups = sizes.count() <= MAX_BROADCAST_GROUPS
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    few = sizes.limit(FEW_PLACES + 1).collect()
+    if len(few) <= FEW_PLACES:
+        sizes = df.sparkSession.createDataFrame(few, sizes.schema)
     # per group and quantile: lower index floor(q*(n-1)) and fraction
-    targets = sizes.select(*group_cols, F.inline(F.array(*[
-        F.struct(F.lit(i).alias("_qi"),
-                 F.floor(F.lit(float(q)) * (F.col("_n") - 1)).cast("bigint").alias("_lo"),
-                 (F.lit(float(q)) * (F.col("_n") - 1)
-                  - F.floor(F.lit(float(q)) * (F.col("_n") - 1))).alias("_frac"))
-        for i, q in enumerate(qs)])))
-    # Each target asks for two places; the table of positions is met by the small
-    # table of places (2 per group and quantile) and only those rows go on.
-    places = targets.select(*group_cols, "_qi", "_frac", F.inline(F.array(
-        F.struct(F.col("_lo").alias("_pos"), F.lit(0).alias("_side")),
-        F.struct((F.col("_lo") + 1).alias("_pos"), F.lit(1).alias("_side")))))
-    hits = pos.join(F.broadcast(places) if few_groups else places, [*group_cols, "_pos"])
-    picked = hits.groupBy(*group_cols, "_qi", "_frac").agg(
-        F.max(F.when(F.col("_side") == 0, F.col(value_col))).alias("_vlo"),
-        F.max(F.when(F.col("_side") == 1, F.col(value_col))).alias("_vhi"))
+    at = [F.lit(float(q)) * (F.col("_n") - 1) for q in qs]
+    targets = sizes.select(*group_cols, F.col("_n"), F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_qi"), F.floor(x).cast("bigint").alias("_lo"), (x - F.floor(x)).alias("_frac"))
+        for i, x in enumerate(at)])))
+    places = targets.select(*group_cols, F.explode(F.array("_lo", F.col("_lo") + 1)).alias("place"))
+    found = order_statistics(df, group_cols, value_col, places)
+    low = found.select(*group_cols, F.col("place").alias("_lo"), F.col("value").alias("_vlo"))
+    high = found.select(*group_cols, (F.col("place") - 1).alias("_lo"), F.col("value").alias("_vhi"))
+    picked = targets.join(low, [*group_cols, "_lo"]).join(high, [*group_cols, "_lo"], "left")
     val = F.when(F.col("_vhi").isNull(), F.col("_vlo")).otherwise(
         F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
     return picked.groupBy(*group_cols).agg(*[

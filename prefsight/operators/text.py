@@ -108,7 +108,7 @@ def length_profile(df: DataFrame, key_col="pair_id", fields=("prompt", "chosen",
         F.count(F.lit(1)).alias("count"), F.avg("length").alias("mean"),
         F.stddev_samp("length").alias("std"), F.min("length").alias("min"),
         F.max("length").alias("max"))
-    q = exact_quantiles(long, ["field"], "length", "key")
+    q = exact_quantiles(long, ["field"], "length")
     return basic.join(q, "field").select("field", "count", "mean", "std", "min", "p25", "p50",
                                          "p75", "max")
 
