@@ -11,15 +11,19 @@ DEFAULT_UNCERTAINTY_THRESHOLD = 0.5
 
 
 def predict(scores: DataFrame, item_cols, reward_col="reward", model_col="model_id",
-            threshold: float = DEFAULT_UNCERTAINTY_THRESHOLD, with_list: bool = False):
+            threshold: float = DEFAULT_UNCERTAINTY_THRESHOLD, with_list: bool = False, models=None):
     """ENS-1: per item mean, population std and a strict ``std > threshold`` flag.
 
-    The per-item reward list (bounded by the number of models) is optional."""
+    The per-item reward list in the order of the models is optional.  With the ids of
+    the ``models`` it is made of one hash-aggregated column each (one reward per item
+    and model); without them it is collected."""
     r = F.col(reward_col)
     aggs = [F.avg(r).alias("mean_reward"), F.stddev_pop(r).alias("std_reward"),
             F.count(F.lit(1)).alias("n_models"), F.min(r).alias("min_reward"),
             F.max(r).alias("max_reward")]
-    if with_list:
+    if with_list and models is not None:
+        aggs.append(F.array_compact(F.array(*[F.max(F.when(F.col(model_col) == m, r)) for m in sorted(models)])).alias("rewards"))
+    elif with_list:
         aggs.append(F.transform(F.array_sort(F.collect_list(F.struct(model_col, reward_col))),
                                 lambda s: s[reward_col]).alias("rewards"))
     out = scores.groupBy(*item_cols).agg(*aggs)

@@ -33,7 +33,8 @@ SELECT p.*, l.rewards_micro FROM p JOIN l ON p.pair_id = l.pair_id
 def ens_predict(t):
     """ENS-1: per-pair ensemble mean, population std, uncertainty flag and the
     individual rewards by model (written in millionths)."""
-    p = en.predict(V.v_scores(t), ["pair_id"], "margin", threshold=THRESHOLD, with_list=True)
+    p = en.predict(V.v_scores(t), ["pair_id"], "margin", threshold=THRESHOLD, with_list=True,
+                   models=[m[0] for m in V.SCORE_MODELS])
     micro = F.transform("rewards", lambda r: F.round(r * 1000000).cast("bigint").cast("string"))
     return p.withColumn("rewards_micro", F.array_join(micro, ",")).drop("rewards")
 

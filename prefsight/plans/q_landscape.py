@@ -9,6 +9,8 @@ from prefsight.operators import landscape as ls
 from prefsight.plans import sql_fn as S
 from prefsight.plans.registry import query
 from prefsight.plans.sql_views import linear_weights_sql
+from prefsight.session import scratch_path
+from prefsight.sources import io
 from prefsight.sources import views as V
 
 W1 = V.linear_weights(1)
@@ -134,6 +136,21 @@ def lnd_spectrum_summary(t):
     return ls.spectrum_summary(V.v_spectrum(t))
 
 
+@query("lnd_store", """
+SELECT run_id, idx, eigenvalue, max(eigenvalue) OVER (PARTITION BY run_id) AS top_eigenvalue FROM v_spectrum
+""", rnd=["eigenvalue", "top_eigenvalue"])
+def lnd_store(t):
+    """SRC-12: spectra written as CSV and their summary as JSON lines, both read back."""
+    folder = scratch_path(t.spark, "spectra")
+    spectrum = V.v_spectrum(t)
+    values = io.write_dataset(spectrum.select("run_id", "idx", "eigenvalue"), folder, "spectrum", "all", fmt="csv")
+    report = io.write_dataset(ls.spectrum_summary(spectrum), folder, "report", "all", fmt="json")
+    schema = spectrum.select("run_id", "idx", "eigenvalue").schema
+    read = t.spark.read.schema(schema).options(**io.CSV_OPTIONS).csv(values)
+    tops = t.spark.read.json(report).select("run_id", "top_eigenvalue")
+    return read.join(tops, "run_id").select("run_id", "idx", "eigenvalue", "top_eigenvalue")
+
+
 @query("lnd_explained", """
 WITH c AS (SELECT run_id, idx, eigenvalue,
                   sum(eigenvalue) OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)

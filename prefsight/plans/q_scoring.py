@@ -24,6 +24,21 @@ def rwd_score(t):
     return sc.score_all(t.embeddings, MODELS, "embedding", keep=["vec_id"])
 
 
+@query("rwd_score_with", f"""
+SELECT e.vec_id, mm.model_id, tanh(list_dot_product(CAST(e.embedding AS DOUBLE[]), {_W})) AS reward
+FROM embeddings e, {_MODEL_IDS_SQL}
+""", rnd=["reward"])
+def rwd_score_with(t):
+    """Scorers of the user's own: Python functions of a batch of features,
+    here a bounded reward of each linear model."""
+    import numpy as np
+
+    def bounded(w):
+        return lambda x: np.tanh(x @ np.asarray(w))
+    scorers = {m: bounded(w) for m, w in MODELS.weights.items()}
+    return sc.score_with(t.embeddings, scorers, "embedding", keep=["vec_id"])
+
+
 @query("rwd_margin", f"""
 SELECT p.pair_id, mm.model_id, list_dot_product(p.d, {_W}) AS margin
 FROM v_pairs_feat p, {_MODEL_IDS_SQL}

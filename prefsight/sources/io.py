@@ -225,11 +225,24 @@ def demo_pairs(keys: DataFrame, key_col: str, seed: int = 42) -> DataFrame:
                        good.alias("chosen"), bad.alias("rejected"))
 
 
-def write_results(runs: DataFrame, path: str, mode: str = "append") -> str:
-    """SRC-11: results store, one folder per optimizer (appending run rows)."""
-    runs.write.mode(mode).partitionBy("optimizer").parquet(path)
+#: What names one run in the results store.
+RUN_KEYS = ("optimizer", "seed")
+
+
+def write_results(runs: DataFrame, path: str, mode: str = "upsert") -> str:
+    """SRC-11: results store with one folder per run (optimizer, seed).
+
+    Writing a run again replaces its folder and leaves the others (dynamic partition
+    overwrite), so a comparison can be rerun or resumed; ``mode="append"`` adds rows."""
+    if mode == "upsert":
+        writer = runs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        writer = runs.write.mode(mode)
+    writer.partitionBy(*RUN_KEYS).parquet(path)
     return path
 
 
 def load_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """All runs of a store; the seed is an integer, the optimizer a string."""
+    runs = spark.read.parquet(path)
+    return runs.withColumn("optimizer", F.col("optimizer").cast("string")).withColumn("seed", F.col("seed").cast("int"))
