@@ -25,14 +25,33 @@ from prefsight.llm.queries import table, toxicity_held_out
 from prefsight.session import ensure_checkpoint_dir, scratch_path
 
 
+def _set_aside(docs: DataFrame, results: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns that have names of results renamed, and their new names."""
+    names = {c: f"__input_{i}" for i, c in enumerate(docs.columns) if c in results}
+    return docs.withColumnsRenamed(names) if names else docs, names
+
+
+def _restored(rows: DataFrame, docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of ``docs``, with those set aside under their own names again."""
+    return rows.select(*(F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold of rejection."""
+    """Documents whose toxicity score is below the threshold of rejection, with all their columns.
+
+    A null or empty text scores 0 and stays; rows that repeat another are judged alike;
+    no rows give no rows.  Columns named like a score keep their values."""
     model = train_toxicity(docs, table(spark, sf_dir, "labels"), ~toxicity_held_out())
-    return score_toxicity(docs, model, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    rows, names = _set_aside(docs, ("score", "predicted", "offending"))
+    return _restored(score_toxicity(rows, model, keep=rows.columns).where("predicted = 0"), docs, names)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of Jaccard 0.8 or more connect."""
+    """One document of each group that links of Jaccard 0.8 or more connect, with all its columns.
+
+    The least id of a group stays.  A null id or a text without words is in no group and
+    stays; of rows that repeat an id the first in the order of their columns stays; no
+    rows give no rows.  Columns of any other name are only carried."""
     ensure_checkpoint_dir(spark)
     found = ngram_components(docs).where("doc_id is not null").groupBy("doc_id").agg(
         F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")).checkpoint()
@@ -52,15 +71,24 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
-    rows = docs.withColumn("__body", F.col("text"))
+    """Documents without a benchmark window, with all their columns.
+
+    A null or empty text has no window and stays; repeated rows are judged alike; no
+    rows give no rows.  Columns named like a count keep their values."""
+    rows, names = _set_aside(docs, ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
+    rows = rows.withColumn("__body", F.col("text"))
     checked = decontaminate(rows, table(spark, sf_dir, "benchmark"), keep=[c for c in rows.columns if c != "text"])
-    return checked.where("not contaminated").withColumnRenamed("__body", "text").select(*docs.columns)
+    return _restored(checked.where("not contaminated").withColumnRenamed("__body", "text"), docs, names)
 
 
 def merge_dropout(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns with the pieces of the text."""
-    return encode_pieces(docs, keep=docs.columns)
+    """All columns with n_pieces, piece_ids and lossless of the text.
+
+    A null or empty text has no pieces; repeated rows get the same ones; no rows give no
+    rows.  A column with the name of a result is returned as ``<name>_input``."""
+    results = ("n_pieces", "piece_ids", "lossless")
+    rows = docs.withColumnsRenamed({c: f"{c}_input" for c in docs.columns if c in results})
+    return encode_pieces(rows, keep=rows.columns)
 
 
 STAGES = [("toxicity", toxicity), ("ngram_join", ngram_join), ("decontaminate", decontamination),
