@@ -38,3 +38,16 @@ def test_stages_on_edge_cases(spark, sf, texts):
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
     assert docs.where(F.col("doc_id") == 1_000_004).first()["lang"] == "en"
+
+
+def test_stages_keep_columns_named_like_results(spark, sf):
+    names = ["score", "predicted", "offending", "n_words", "n_hit", "n_items", "items_sha256", "contaminated",
+             "component_id", "n_shingles"]
+    body = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, body, *["mine"] * len(names), 5), (2, "other words here", *["yours"] * len(names), 6), (3, None, *[None] * len(names), 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names) + ", n_pieces int")
+    for _, stage in P.STAGES[:3]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(rows)
+    last = P.STAGES[3][1](spark, docs, sf)
+    assert {r["doc_id"]: (r["n_pieces_input"], r["score"]) for r in last.collect()} == {1: (5, "mine"), 2: (6, "yours"), 3: (7, None)}
