@@ -2,8 +2,8 @@
 
 Every n-gram of a chunk of texts gets its fingerprint from one prefix polynomial over
 the hashes of the words: a difference of two prefix sums times a negative power of the
-base.  Three passes aggregate (fingerprint, count) rows, summed within a task before
-the shuffle: words, pairs of frequent words, and three to five words whose pairs are
+base.  Three passes aggregate fingerprints and counts, summed within a task and packed
+by ranges of fingerprints before the shuffle: words, pairs of frequent words, and three to five words whose pairs are
 all frequent, as no phrase occurs more often than a part of it.  What is frequent goes
 to the next pass as a Bloom filter, which lets pass a few that are not, never drops one
 that is, and has at most ``MAX_BITS`` bits whatever the corpus.
@@ -37,6 +37,8 @@ BITS_PER_POINTER = 64
 MAX_BITS = 1 << 28
 #: Fingerprints that a task gathers before it sums and sends them.
 GATHER = 1 << 22
+#: Bytes of text for each range of fingerprints that a task sums.
+RANGE_BYTES = 1 << 23
 #: Phrases that a task keeps with their counts before it sends them.
 HELD_PHRASES = 100_000
 
@@ -124,23 +126,45 @@ def _chunks(batches):
         yield Chunk(texts, batch.column(batch.schema.get_field_index("lang")).to_pylist())
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    fp, bins = (np.concatenate(x) for x in zip(*parts))
+def _totals(fp: np.ndarray, counts: np.ndarray | None, bins: np.ndarray):
+    """Distinct fingerprints in order, with the sums of their counts and their least bins."""
     order = np.argsort(fp)
     fp = fp[order]
     first = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
+    total = np.diff(np.append(first, len(fp))) if counts is None else np.add.reduceat(counts[order], first)
+    return fp[first], total, np.minimum.reduceat(bins[order], first)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of the values, all first ones first: of sorted values, the leading ones compress well."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _from_planes(data: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]], bits: int) -> pa.RecordBatch:
+    """One row for each range of fingerprints (their leading ``bits`` bits)."""
+    fp, counts, bins = _totals(np.concatenate([p[0] for p in parts]), None, np.concatenate([p[1] for p in parts]))
+    edges = np.flatnonzero(np.diff(fp >> np.uint64(64 - bits))) + 1
+    pieces = list(zip(*(np.split(x, edges) for x in (fp, counts.astype(np.uint32), bins))))
     return pa.RecordBatch.from_arrays(
-        [pa.array(fp[first].view(np.int64)), pa.array(np.diff(np.append(first, len(fp)))),
-         pa.array(np.minimum.reduceat(bins[order], first).astype(np.int16))], names=["fp", "c", "bin"])
+        [pa.array([int(f[0] >> np.uint64(64 - bits)) for f, _, _ in pieces], pa.int64()),
+         *(pa.array([_planes(p[i]) for p in pieces], pa.binary()) for i in range(3))], names=["part", "fps", "counts", "bins"])
 
 
-def _pointed_rows(batches):
-    for batch in batches:
-        values = pointed(batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["fp"])
+def _often(table: pa.Table, min_count: int) -> pa.Table:
+    """The fingerprints of one range that occur often enough."""
+    fp, counts, bins = (np.concatenate([_from_planes(x, kind) for x in table[c].to_pylist()])
+                        for c, kind in (("fps", np.uint64), ("counts", np.uint32), ("bins", np.uint8)))
+    fp, total, least = _totals(fp, counts.astype(np.int64), bins)
+    ok = total >= min_count
+    return pa.table({"fp": fp[ok].view(np.int64), "f": total[ok], "bin": least[ok].astype(np.int16)})
 
 
-def _count_rows(batches, sizes: tuple[int, ...], filters: dict[int, np.ndarray]):
+def _count_rows(batches, sizes: tuple[int, ...], filters: dict[int, np.ndarray], bits: int):
     parts, held = [], 0
     for chunk in _chunks(batches):
         for n in sizes:
@@ -148,10 +172,16 @@ def _count_rows(batches, sizes: tuple[int, ...], filters: dict[int, np.ndarray])
             parts.append((chunk.fingerprints(n)[at], chunk.bin[chunk.row[at]]))
             held += len(at)
         if held >= GATHER:
-            yield _summed(parts)
+            yield _summed(parts, bits)
             parts, held = [], 0
     if held:
-        yield _summed(parts)
+        yield _summed(parts, bits)
+
+
+def _pointed_rows(batches):
+    for batch in batches:
+        values = pointed(batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["fp"])
 
 
 def _occurrences(chunk: Chunk, filters: dict[int, np.ndarray], longest: int, only: np.ndarray | None = None):
@@ -239,14 +269,17 @@ def frequent_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     K.small_batches(spark)
     rows = docs.select(docs[text].cast("string").alias("text"),
                        F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"))
+    # Ranges of fingerprints, so many that one has a few megabytes at any size of the corpus.
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(6, (size // RANGE_BYTES).bit_length())
     filters: dict[int, np.ndarray] = {}
     often = []
     for key, sizes in ((1, (1,)), (2, (2,)), (3, tuple(range(3, longest + 1)))):
         sent = spark.sparkContext.broadcast(dict(filters))
-        counted = rows.mapInArrow(lambda it, sizes=sizes, sent=sent: _count_rows(it, sizes, sent.value),
-                                  "fp bigint, c bigint, bin smallint")
-        often.append(counted.groupBy("fp").agg(F.sum("c").alias("f"), F.min("bin").alias("bin"))
-                     .where(F.col("f") >= min_count).checkpoint())
+        often.append(rows.mapInArrow(lambda it, sizes=sizes, sent=sent: _count_rows(it, sizes, sent.value, bits),
+                                     "part bigint, fps binary, counts binary, bins binary")
+                     .groupBy("part").applyInArrow(lambda t: _often(t, min_count), "fp bigint, f bigint, bin smallint")
+                     .checkpoint())
         filters[key] = bloom_filter(often[-1])
     found = often[0].union(often[1]).union(often[2])
     mixed = found.mapInArrow(_pointed_rows, "fp bigint")
