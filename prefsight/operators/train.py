@@ -226,12 +226,12 @@ def item_strengths(comparisons: DataFrame, winner_col="winner", loser_col="loser
         new = (raw.withColumn("_k", F.lit(0)).join(F.broadcast(mean_log), "_k")
                .select("item", F.exp(F.log("t") - F.col("ml")).alias("theta")))
         new = new.checkpoint(eager=True)
-        delta = (new.join(theta.withColumnRenamed("theta", "old"), "item")
-                 .agg(F.max(F.abs(F.log("theta") - F.log("old"))).alias("d")).first()["d"])
-        theta = new
-        rounds = r + 1
-        if delta is not None and delta < tol:
-            break
+        old, theta, rounds = theta, new, r + 1
+        if tol > 0:  # without a tolerance no round can stop the loop
+            delta = (new.join(old.withColumnRenamed("theta", "old"), "item")
+                     .agg(F.max(F.abs(F.log("theta") - F.log("old"))).alias("d")).first()["d"])
+            if delta is not None and delta < tol:
+                break
     out = theta.join(items, "item").select("item", F.col("theta").alias("strength"),
                                            F.log("theta").alias("log_strength"), "wins", "games")
     return out, rounds
