@@ -32,7 +32,7 @@ LONG = 64
 _SPACE = 0x2581
 _NONE = np.int32(2**31 - 1)
 #: Small enough for the arrays of a chunk to stay in the cache.
-_CHUNK = 1 << 17
+_CHUNK = 1 << 16
 
 
 class Pieces:
@@ -118,11 +118,13 @@ class Encoder:
         rank, merged = self.p.lookup(left, right)
         if self.limit:
             live = np.flatnonzero(rank != _NONE)
-            h = K.keyed(key[live] ^ (start[live].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), self.seed)
-            h = K.mix(h ^ (middle[live].astype(np.uint64) << np.uint64(32)) ^ end[live].astype(np.uint64))
-            rank[live[h < self.limit]] = _NONE
+            rank[live[self._skipped(key[live], start[live], middle[live], end[live])]] = _NONE
         return rank, merged
 
+    def _skipped(self, key, start, middle, end):
+        h = K.keyed(key ^ (start.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), self.seed)
+        return K.mix(h ^ (middle.astype(np.uint64) << np.uint64(32)) ^ end.astype(np.uint64)) < self.limit
+
     def encode(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """Piece ids of each text; ``keys`` tells texts apart for the dropout."""
         lengths = np.array([len(t) + (len(t) > 0) for t in texts], np.int64)
@@ -144,53 +146,61 @@ class Encoder:
         alive = np.ones(len(code), bool)
 
         long = np.flatnonzero(word_len > LONG)
-        short = np.repeat(word_len <= LONG, word_len)
-        self._merge_short(np.flatnonzero(short), symbol, place, text_of, key, alive, begins)
+        short = np.flatnonzero(word_len <= LONG)
+        self._merge_short(word_at[short], word_len[short], symbol, place, key[text_of], alive)
         for w in long:
             a, b = word_at[w], word_at[w] + word_len[w]
             self._merge_long(a, b, symbol, place, key[text_of[a]], alive)
         return self._ids(np.flatnonzero(alive), symbol, code, bounds)
 
-    def _merge_short(self, at, symbol, place, text_of, key, alive, begins):
-        """One merge per word and round, of all words that still have one."""
-        sym = symbol[at]
-        word = np.cumsum(begins[at]) - 1
-        def ranks(i):
-            """Candidates of symbols i and i + 1 of the same word."""
-            rank, merged = np.full(len(i), _NONE, np.int32), np.zeros(len(i), np.int32)
-            ok = np.flatnonzero((i >= 0) & (i + 1 < len(at)))
-            ok = ok[word[i[ok]] == word[i[ok] + 1]]
-            j = i[ok]
-            after = np.minimum(j + 2, len(at) - 1)
-            same = (j + 2 < len(at)) & (word[after] == word[j])
-            end = np.where(same, place[at[after]], 1 << 31)
-            rank[ok], merged[ok] = self._candidates(sym[j], sym[j + 1], key[text_of[at[j]]],
-                                                    place[at[j]], place[at[j + 1]], end)
-            return rank, merged
-        rank, merged = ranks(np.arange(len(at)))
-        while len(at):
-            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            least = np.minimum.reduceat(rank, first)
-            size = np.diff(np.append(first, len(at)))
-            going = least != _NONE
-            if not going.all():  # finished words leave
-                done = ~np.repeat(going, size)
-                symbol[at[done]] = sym[done]
-                keep = ~done
-                at, sym, word, rank, merged = at[keep], sym[keep], word[keep], rank[keep], merged[keep]
-                least, size = least[going], size[going]
-                if not len(at):
-                    return
-            best = np.flatnonzero(rank == np.repeat(least, size))
-            best = best[np.concatenate(([True], word[best[1:]] != word[best[:-1]]))]
-            sym[best] = merged[best]
-            alive[at[best + 1]] = False
-            keep = np.ones(len(at), bool)
-            keep[best + 1] = False
-            new = best - np.arange(len(best))
-            at, sym, word, rank, merged = at[keep], sym[keep], word[keep], rank[keep], merged[keep]
-            touched = np.concatenate((new, new[new > 0] - 1))
-            rank[touched], merged[touched] = ranks(touched)
+    def _merge_short(self, start, size, symbol, place, key, alive):
+        """One merge per word and round, of all words that still have one.
+
+        Symbols stay at the place of their first character and are linked; only the
+        scores, rank and offset in one number, are scanned for each word's least.
+        The index after the last character stands for the end of any word.
+        """
+        n, shift, none = len(symbol), LONG.bit_length() - 1, int(_NONE)
+        sym, where = np.append(symbol, -1), np.append(place, 1 << 31)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[start + size - 1] = after[n] = before[start] = n
+        merged = np.zeros(n + 1, np.int32)
+
+        def scores(i, offset):
+            """Scores of the candidates of symbols ``i`` and those after them."""
+            j = after[i]
+            rank, merged[i] = self.p.lookup(sym[i], sym[j])
+            ok = np.flatnonzero(rank != _NONE)
+            if self.limit:
+                x, y = i[ok], j[ok]
+                ok = ok[~self._skipped(key[x], where[x], where[y], where[after[y]])]
+            out = np.full(len(i), none, np.int64)
+            out[ok] = (rank[ok].astype(np.int64) << shift) | offset[ok]
+            return out
+        local = np.cumsum(size) - size
+        offset = np.arange(int(size.sum())) - np.repeat(local, size)
+        score = scores(offset + np.repeat(start, size), offset)
+        while len(start):
+            least = np.minimum.reduceat(score, local)
+            going = np.flatnonzero(least != none)
+            if 4 * len(going) < 3 * len(start):  # finished words leave
+                score = score[np.repeat(least != none, size)]
+                start, size, least = start[going], size[going], least[going]
+                local, going = np.cumsum(size) - size, np.arange(len(going))
+            if not len(going):
+                break
+            base, to_local = start[going], local[going] - start[going]
+            i = base + (least[going] & (LONG - 1))
+            j = after[i]
+            k = after[j]
+            sym[i], alive[j], after[i], before[k] = merged[i], False, k, i
+            score[j + to_local] = none
+            left = before[i]
+            has = np.flatnonzero(left < n)
+            new = np.concatenate((i, left[has]))
+            score[np.concatenate((i + to_local, left[has] + to_local[has]))] = scores(
+                new, new - np.concatenate((base, base[has])))
+        symbol[:] = sym[:n]
 
     def _merge_long(self, a, b, symbol, place, key, alive):
         """The agenda of one long word."""
