@@ -42,15 +42,28 @@ SKETCH_BITS = 20
 BLOCK = 256
 #: Cells of a set's histogram by hash (a byte each).
 CELLS = 256
-#: Most rows (a few numbers each) broadcast to a scan; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Most shingles of a block: some megabytes of texts and their hashes in a task.
+BLOCK_SHINGLES = 100_000
+#: Most bytes broadcast to a scan of the texts; beyond, the join shuffles.
+BROADCAST_BYTES = 16 << 20
+#: Bytes a broadcast row takes beside its lists.
+_ROW_BYTES = 64
+#: Most rows of ids alone that are broadcast.
+BROADCAST_ROWS = BROADCAST_BYTES // _ROW_BYTES
 
 _MULTIPLIERS = K.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def _sets(texts: list[bytes], size: int) -> list[np.ndarray]:
-    hashes, bounds = K.word_hashes(texts, K.SPACE_WORDS)
-    return [np.unique(K.shingles_of(hashes[bounds[i]:bounds[i + 1]], size)) for i in range(len(texts))]
+    """The set of each text; about a megabyte of texts is hashed at a time."""
+    sets, start, held = [], 0, 0
+    for end in range(1, len(texts) + 1):
+        held += len(texts[end - 1]) + 1
+        if end == len(texts) or held + len(texts[end]) > K.CHUNK_BYTES:
+            hashes, bounds = K.word_hashes(texts[start:end], K.SPACE_WORDS)
+            sets += [np.unique(K.shingles_of(hashes[a:b], size)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            start, held = end, 0
+    return sets
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -217,19 +230,34 @@ def _verify_tile(table: pa.Table, size: int, percent: int) -> pa.Table:
                      "dst": pa.array([b for _, b in found], pa.int64())})
 
 
-def _picked(rows: DataFrame, ids: DataFrame, on) -> DataFrame:
-    """``rows`` joined with slim ``ids``, which are broadcast if they are few."""
+def _picked(rows: DataFrame, ids: DataFrame, on, entries: str = "0") -> DataFrame:
+    """``rows`` joined with slim ``ids``, which are broadcast if they have few bytes.
+
+    ``entries`` gives the number of list entries of a row of ``ids``.  Of more bytes,
+    only the distinct ids are broadcast if they fit, to turn other rows away first.
+    """
     ids = ids.checkpoint()
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on)
+    size = ids.agg(F.coalesce(F.sum(_ROW_BYTES + 8 * F.expr(entries)), F.lit(0)).alias("b"),
+                   F.count(F.lit(1)).alias("n")).first()
+    if size["b"] <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(ids), on)
+    if size["n"] <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")  # few texts are shuffled
+    return rows.join(ids, on)
+
+
+def _blocks(by: str, n: str):
+    """Number of blocks of a group: of at most BLOCK texts and BLOCK_SHINGLES shingles on average."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(n) / BLOCK_SHINGLES)).cast("int").alias(by)
 
 
 def _block_edges(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Verified edges inside groups; ``members`` has (band, key, node).
+    """Verified edges inside groups; ``members`` has (band, key, node, n).
 
-    A group of more than BLOCK rows is dealt into blocks, and each pair of blocks
-    is a task's group of its own.
+    A group of more than a block of texts or shingles is dealt into blocks, and each
+    pair of blocks is a task's group of its own.
     """
-    blocks = members.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    blocks = members.groupBy("band", "key").agg(_blocks("nb", "n"))
     dealt = (members.join(blocks, ["band", "key"])
              .withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -239,14 +267,14 @@ def _block_edges(docs: DataFrame, members: DataFrame, size: int, percent: int) -
             .applyInArrow(lambda t: _verify_group(t, size, percent), "src bigint, dst bigint"))
 
 
-def _pair_edges(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Verified pairs among candidates (src, dst).
+def _pair_edges(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Verified pairs among candidates (src, dst); ``sizes`` has (node, n).
 
     Components of the candidate graph, dealt into blocks, make tiles; a text is
     sent once to each tile in which it has a pair, not once per pair.
     """
     clusters = connected_components(pairs)
-    blocks = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"))
+    blocks = clusters.join(sizes, "node").groupBy("component").agg(_blocks("nb", "n"))
     placed = (pairs.join(clusters, pairs["src"] == clusters["node"]).join(blocks, "component")
               .withColumn("a", F.pmod(F.xxhash64("src"), F.col("nb"))).withColumn("b", F.pmod(F.xxhash64("dst"), F.col("nb")))
               .select(F.col("component").alias("cluster"), F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"),
@@ -255,7 +283,7 @@ def _pair_edges(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> D
     members = (placed.select(*tile, F.col("src").alias("id"), F.col("dst").alias("partner"))
                .union(placed.select(*tile, "dst", F.lit(None).cast("long")))
                .groupBy(*tile, "id").agg(F.collect_set("partner").alias("partners")))  # within a block
-    rows = _picked(docs, members, "id").select(*tile, "id", "text", "partners")
+    rows = _picked(docs, members, "id", "size(partners)").select(*tile, "id", "text", "partners")
     return rows.groupBy(*tile).applyInArrow(lambda t: _verify_tile(t, size, percent), "src bigint, dst bigint")
 
 
@@ -287,7 +315,7 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     clean = texts.where("id is not null")
 
     def groups(first: int, last: int) -> DataFrame:
-        return nodes.select("node", F.posexplode("bands").alias("band", "key")).where(
+        return nodes.select("node", "n", F.posexplode("bands").alias("band", "key")).where(
             f"band between {first} and {last}")
 
     g = groups(0, 0)
@@ -302,7 +330,7 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
     g = labelled(groups(1, BANDS - 1), edges)
     split = g.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
-    members = g.join(split, ["band", "key"], "left_semi").select("band", "key", "node")
+    members = g.join(split, ["band", "key"], "left_semi").select("band", "key", "node", "n")
     edges = edges.union(_block_edges(clean, members, size, percent)).checkpoint()
 
     # Whole prefixes under the order by rarity.  A token of level 0 has a bounded
@@ -335,7 +363,7 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
             .join(cells.select(F.col("rep").alias("dst"), F.col("n").alias("n2"), F.col("cells").alias("c2")), "dst"))
     pairs = both.select("src", "dst", "n1", "n2", "c1", "c2").mapInArrow(
         lambda it: _close_cells(it, percent), "src bigint, dst bigint").distinct().checkpoint()
-    rest = _pair_edges(clean, pairs, size, percent)
+    rest = _pair_edges(clean, pairs, reps.select(F.col("rep").alias("node"), "n"), size, percent)
     comps = connected_components(edges.union(rest))
 
     out = sets.select("id", "n", "sig").join(reps.select("sig", "rep"), "sig", "left")

@@ -113,9 +113,13 @@ def test_join_brute_force(spark, docs):
     assert got == brute10(rows)
 
 
-def test_join_of_a_family_near_the_threshold(spark, monkeypatch):
+@pytest.mark.parametrize("shingles,rows_sent", [(100_000, 10**6), (2000, 500), (2000, 0)])
+def test_join_of_a_family_near_the_threshold(spark, monkeypatch, shingles, rows_sent):
     """Hundreds of variants around 0.8, in several blocks, with a passage in all others."""
     monkeypatch.setattr(J, "BLOCK", 40)
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(J, "BROADCAST_ROWS", rows_sent)
+    monkeypatch.setattr(J, "BROADCAST_BYTES", rows_sent // 50)
     rng = random.Random(8)
     base = [f"b{rng.randrange(9999)}" for _ in range(120)]
     passage = " ".join(f"p{i}" for i in range(25))
