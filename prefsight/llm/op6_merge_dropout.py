@@ -160,7 +160,7 @@ class Encoder:
         scores, rank and offset in one number, are scanned for each word's least.
         The index after the last character stands for the end of any word.
         """
-        n, shift, none = len(symbol), LONG.bit_length() - 1, int(_NONE)
+        n, shift, none = len(symbol), LONG.bit_length(), int(_NONE)
         sym, where = np.append(symbol, -1), np.append(place, 1 << 31)
         after, before = np.arange(1, n + 2), np.arange(-1, n)
         after[start + size - 1] = after[n] = before[start] = n
@@ -190,7 +190,7 @@ class Encoder:
             if not len(going):
                 break
             base, to_local = start[going], local[going] - start[going]
-            i = base + (least[going] & (LONG - 1))
+            i = base + (least[going] & ((1 << shift) - 1))
             j = after[i]
             k = after[j]
             sym[i], alive[j], after[i], before[k] = merged[i], False, k, i
