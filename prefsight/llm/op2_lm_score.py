@@ -7,19 +7,20 @@ n-grams cost most events and there are no pointers or keys to store.  The filter
 is built in segments, one per (order, bucket of the history), by the tasks that
 sum the counts, and is broadcast to the workers that score texts.
 
-A probability mixes the orders: ``P(w|h) = a(h) c(h w)/c(h) + (1 - a(h)) P(w|h')``
-with c from probes.  ``a`` depends on the level of c(h): the share of training
-tokens that follow such histories and would still be seen there if they were left
-out once, ``sum (c - 1) / sum c``, over all counts.  The lowest order is the count
-plus one over tokens plus types plus one.
+A probability mixes the orders, with one sighting of each n-gram taken off:
+``P(w|h) = a(h) (c(h w) - 1)/d(h) + (1 - a(h)) P(w|h')``, where ``d(h)`` is the sum
+of ``c(h w) - 1`` over the words seen after h.  So the weights after a history sum
+to one, and an n-gram seen once has none of its own, at every size of the corpus:
+the filter holds ``c - 1`` of the others, and ``d(h)`` of their histories, all from
+probes.  ``a`` depends on the level of d(h): the share ``sum (c - 1) / sum c`` over
+all training tokens that follow such histories.  The lowest order is the count plus
+one over tokens plus types plus one.
 
 The filter has ``bits_per_event`` for each event and grows with the corpus.  One of
 at most ``max_filter_bytes`` is broadcast.  A larger one stays a table of segments:
 the distinct n-grams of each chunk of texts go to the task that has their segments
 (shards of neighbouring buckets), their levels come back to the chunk, and the same
-probabilities are mixed from them.  N-grams of every count are in it: ``a`` is the
-weight of a history, and each of its continuations, also one seen once, gets its
-share ``c/c(h)`` of it.
+probabilities are mixed from them.
 """
 
 from __future__ import annotations
@@ -40,10 +41,10 @@ MAX_ORDER = 3
 BITS_PER_EVENT = 12
 PROBES = 5
 #: The largest filter that is broadcast; a larger one is joined by shard.
-MAX_FILTER_BYTES = 48 << 20
+MAX_FILTER_BYTES = 160 << 20
 #: Bytes of texts whose distinct n-grams are looked up together in a joined filter.
 LOOKUP_BYTES = 4 << 20
-#: The least level in the filter, of words and of longer n-grams: all counts.
+#: The least level in the filter, of words and of longer n-grams: all (discounted) counts.
 LEAST_WORD, LEAST_NGRAM = 1, 1
 #: A token of at least 1 / HEAVY of all training tokens is broadcast: at most HEAVY tokens.
 HEAVY = 500_000
@@ -105,6 +106,19 @@ def ngram_keys(history: list[np.ndarray], tokens: np.ndarray, n_buckets: int) ->
     return ((h & np.uint64(0xFFFFFFFF)) % np.uint64(n_buckets)).astype(np.int64), key
 
 
+def _history_key(history: np.ndarray) -> np.ndarray:
+    """Key of a history itself, from the upper half of its n-grams' keys."""
+    return K.mix((history << np.uint64(8)) | np.uint64(0xA5)) >> np.uint64(16)
+
+
+def probe_keys(history: list[np.ndarray], tokens: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, key) of each token's n-gram and then, of longer ones, of each token's history."""
+    bucket, key = ngram_keys(history, tokens, n_buckets)
+    if not history:
+        return bucket, key
+    return np.concatenate((bucket, bucket)), np.concatenate((key, _history_key(key >> np.uint64(24))))
+
+
 # --- sums -------------------------------------------------------------------
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -189,18 +203,19 @@ def _ngram_rows(batches, max_order: int, n_buckets: int):
 def _bucket_sums(table: pa.Table, bits_per_event: int) -> pa.Table:
     """Filter segment of one bucket, and sums by level.
 
-    ``cells`` has, for each level of the history and of the n-gram, the number of
+    ``cells`` has, for each level of the history's discounted sum, the number of
     types and of tokens; all continuations of a history are in its bucket.
     """
     keys, counts = _summed([(_from_planes(k), np.frombuffer(c, np.uint32).astype(np.int64))
                             for k, c in zip(table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True)])
     history = keys >> np.uint64(24)
     first = np.flatnonzero(np.concatenate(([True], history[1:] != history[:-1])))
-    total = np.add.reduceat(counts, first)
-    cell = np.repeat(level_of(total), np.diff(np.append(first, len(keys)))) * 1000 + level_of(counts)
-    used, at, types = np.unique(cell, return_inverse=True, return_counts=True)
-    tokens = np.bincount(at, weights=counts).astype(np.int64)
-    size, raw = segment(keys, counts, LEAST_NGRAM, bits_per_event)
+    types, tokens = np.diff(np.append(first, len(keys))), np.add.reduceat(counts, first)
+    left = tokens - types
+    used, at = np.unique(level_of(left), return_inverse=True)
+    types, tokens = (np.bincount(at, weights=x).astype(np.int64) for x in (types, tokens))
+    size, raw = segment(np.concatenate((keys, _history_key(history[first]))), np.concatenate((counts - 1, left)),
+                        LEAST_NGRAM, bits_per_event)
     return pa.table({
         "order": table["order"][:1], "bucket": table["bucket"][:1],
         "size": pa.array([size], pa.int64()), "bits": pa.array([raw], pa.binary()),
@@ -212,8 +227,8 @@ def _cell_rows(batches):
         for order, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             used, types, tokens = np.frombuffer(raw, np.int64).reshape(3, -1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(used), order, np.int32)), pa.array(used // 1000), pa.array(used % 1000),
-                 pa.array(types), pa.array(tokens)], names=["order", "hl", "cl", "types", "tokens"])
+                [pa.array(np.full(len(used), order, np.int32)), pa.array(used), pa.array(types), pa.array(tokens)],
+                names=["order", "hl", "types", "tokens"])
 
 
 # --- the filter -------------------------------------------------------------
@@ -244,10 +259,10 @@ class LogFrequencyFilter:
     """Quantised counts of n-grams, read by repeated membership probes."""
 
     def __init__(self, segments, n_buckets: int, least: dict[int, int], mix_in: dict[int, np.ndarray],
-                 tokens: int, types: int, texts: int):
+                 tokens: int, types: int):
         """``segments`` are those of the whole corpus, of a shard, or none if levels are looked up elsewhere."""
         self.n_buckets, self.least, self.mix_in = n_buckets, least, mix_in
-        self.tokens, self.types, self.texts = tokens, types, texts
+        self.tokens, self.types = tokens, types
         self.size = {n: np.full(n_buckets, 64, np.int64) for n in least}
         self.offset = {n: np.zeros(n_buckets, np.int64) for n in least}
         parts, at = [bytes(8)], 8
@@ -281,8 +296,8 @@ class LogFrequencyFilter:
         return out
 
     def levels(self, history: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
-        """Level of each n-gram's count, 0 if the filter does not have it."""
-        bucket, key = ngram_keys(history, tokens, self.n_buckets)
+        """Levels of the ``probe_keys``, 0 where the filter does not have them."""
+        bucket, key = probe_keys(history, tokens, self.n_buckets)
         _, first, back = np.unique(_joint(len(history) + 1, bucket, key), return_index=True, return_inverse=True)
         return self.levels_of(len(history) + 1, bucket[first], key[first])[back]
 
@@ -290,26 +305,21 @@ class LogFrequencyFilter:
         """log10 of the smoothed probability of each token given those before it."""
         max_order = max(self.least)
         before = histories(tokens, bounds, max_order)
-        return self.mixed(before, {n: self.levels(before[:n - 1], tokens) for n in range(1, max_order + 1)})
-
-    def mixed(self, before: list[np.ndarray], found: dict[int, np.ndarray]) -> np.ndarray:
-        """log10 of the probabilities, from the level of each token's n-gram of each order."""
-        word = found[1]
-        p = (ESTIMATE[word] + 1) / (self.tokens + self.types + 1)
-        start = int(level_of(np.array([self.texts]))[0])
-        last = np.concatenate(([0], word[:-1]))  # level of the history, order by order
+        return self.mixed({n: self.levels(before[:n - 1], tokens) for n in range(1, max_order + 1)})
+
+    def mixed(self, found: dict[int, np.ndarray]) -> np.ndarray:
+        """log10 of the probabilities, from the levels of the ``probe_keys`` of each order."""
+        p = (ESTIMATE[found[1]] + 1) / (self.tokens + self.types + 1)
         for n in range(2, max(self.least) + 1):
-            last = np.where(before[n - 2] == START, np.where(before[0] == START, start, last), last)
-            seen = found[n]
-            share = np.where(last > 0, self.mix_in[n][last], 0.0)
-            ratio = np.minimum(1.0, ESTIMATE[seen] / np.maximum(ESTIMATE[last], 1.0))
+            seen, history = found[n].reshape(2, -1)
+            share = self.mix_in[n][history]  # 0 of a history without repeats
+            ratio = np.minimum(1.0, ESTIMATE[seen] / np.maximum(ESTIMATE[history], 1.0))
             p = share * ratio + (1 - share) * p
-            last = np.concatenate(([0], seen[:-1]))
         return np.log10(p)
 
 
 def _mixing_shares(cells, least: dict[int, int]) -> dict[int, np.ndarray]:
-    """Weight of each order above one, by the level of the history."""
+    """Weight of each order above one, by the level of the history's discounted sum."""
     mix_in = {}
     for n in least:
         if n == 1:
@@ -318,29 +328,11 @@ def _mixing_shares(cells, least: dict[int, int]) -> dict[int, np.ndarray]:
         for r in cells:
             if r["order"] == n:
                 total[r["hl"]] += r["tokens"]
-                if r["cl"] >= least[n]:
-                    seen[r["hl"]] += r["tokens"] - r["types"]
+                seen[r["hl"]] += r["tokens"] - r["types"]
         mix_in[n] = np.minimum(0.99, seen / np.maximum(total, 1))
     return mix_in
 
 
-def _plan_levels(cells, unigram_cells, max_order: int, bits_per_event: int, max_bytes: int):
-    """Least level kept of each order if a filter had to fit ``max_bytes``, and mixing shares.
-
-    Not used by ``lm_scores``, whose filter has no bound."""
-    def events(rows, least):
-        return sum(t * (c - least + 1) for c, t in rows if c >= least)
-    by_order = {n: [(r["cl"], r["types"]) for r in cells if r["order"] == n] for n in range(2, max_order + 1)}
-    least = {1: 1} | {n: 2 for n in by_order}
-    room = max_bytes * 8 // bits_per_event
-    while events(unigram_cells, least[1]) + sum(events(r, least[n]) for n, r in by_order.items()) > room:
-        if all(not events(r, least[n]) for n, r in by_order.items()):
-            least[1] += 1
-        for n in by_order:
-            least[n] += 1
-    return least, _mixing_shares(cells, least)
-
-
 def _unigram_segment(table: pa.Table, least: int, bits_per_event: int) -> pa.Table:
     keys = table["h"].to_numpy().view(np.uint64)
     size, raw = segment(keys, table["c"].to_numpy(), least, bits_per_event)
@@ -365,10 +357,8 @@ class Counts:
         texts = texts.select("text")
         self.unigrams = (texts.mapInArrow(_unigram_rows, "h bigint, c bigint")
                          .groupBy("h").agg(F.sum("c").alias("c")).checkpoint())
-        total = self.unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"),
-                                  F.coalesce(F.max(F.when(F.col("h") == int(END.astype(np.int64)), F.col("c"))),
-                                             F.lit(0)).alias("t")).first()
-        self.tokens, self.types, n_texts = total["n"], total["v"], total["t"]
+        total = self.unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+        self.tokens, self.types = total["n"], total["v"]
         nb = self.n_buckets = min(65536, max(16, math.ceil(self.tokens / TOKENS_PER_BUCKET)))
 
         sums = (texts.mapInArrow(lambda it: _ngram_rows(it, max_order, nb),
@@ -378,9 +368,9 @@ class Counts:
                               "order int, bucket int, size bigint, bits binary, cells binary")
                 .checkpoint())
         cells = (sums.select("order", "cells")
-                 .mapInArrow(_cell_rows, "order int, hl bigint, cl bigint, types bigint, tokens bigint")
-                 .groupBy("order", "hl", "cl").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"))
-                 .collect())  # at most levels x levels rows an order
+                 .mapInArrow(_cell_rows, "order int, hl bigint, types bigint, tokens bigint")
+                 .groupBy("order", "hl").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"))
+                 .collect())  # at most one row a level and order
         by_count = F.lit(0)
         for least in LEVELS:
             by_count = by_count + (F.col("c") >= int(least)).cast("int")
@@ -396,7 +386,7 @@ class Counts:
         size = sums.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0)).alias("b")).first()["b"]
         whole = size + words * bits_per_event // 8 <= max_filter_bytes
         rows = [tuple(r) for r in segments.collect()] if whole else []  # at most max_filter_bytes
-        self.filter = LogFrequencyFilter(rows, nb, least, _mixing_shares(cells, least), self.tokens, self.types, n_texts)
+        self.filter = LogFrequencyFilter(rows, nb, least, _mixing_shares(cells, least), self.tokens, self.types)
         self.segments = None if whole else segments
 
 
@@ -419,8 +409,8 @@ def _unpack(size: int, packed: bytes) -> list[bytes]:
 
 
 def _probes(history: list[np.ndarray], tokens: np.ndarray, n_buckets: int):
-    """Distinct n-grams in order of their shards, their shards, and the place of each token's."""
-    bucket, key = ngram_keys(history, tokens, n_buckets)
+    """Distinct ``probe_keys`` in order of their shards, their shards, and the place of each."""
+    bucket, key = probe_keys(history, tokens, n_buckets)
     joint, first, back = np.unique(_joint(len(history) + 1, bucket, key), return_index=True, return_inverse=True)
     shard = bucket[first] // _shard_size(n_buckets)
     order = np.argsort(shard, kind="stable")
@@ -459,7 +449,7 @@ def _answer_rows(batches, lm: LogFrequencyFilter):
                 segments.append((n, bucket, size, data))
                 continue
             if part is None:
-                part = LogFrequencyFilter(segments, lm.n_buckets, lm.least, {}, 0, 0, 0)
+                part = LogFrequencyFilter(segments, lm.n_buckets, lm.least, {}, 0, 0)
                 segments = []
             keys = np.ascontiguousarray(np.frombuffer(data, np.uint16).reshape(4, -1).T).view(np.uint64).ravel()
             if n == 1:
@@ -486,7 +476,7 @@ def _looked_up_rows(batches, lm: LogFrequencyFilter):
         for n in lm.least:
             place = _probes(before[:n - 1], tokens, lm.n_buckets)[2]
             levels[n] = np.frombuffer(b"".join(found[n]), np.uint8).astype(np.int64)[place]
-        score = np.add.reduceat(lm.mixed(before, levels), bounds[:-1])
+        score = np.add.reduceat(lm.mixed(levels), bounds[:-1])
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), at, np.int64)),
                                            pa.array(np.arange(len(texts), dtype=np.int32)), pa.array(score)],
                                           names=["__chunk", "__at", "score"])

@@ -50,7 +50,7 @@ def test_filter_holds_quantised_counts():
     keys = rng.integers(0, 2**63, 4000, dtype=np.uint64)
     counts = rng.zipf(1.5, 4000).clip(1, 10**6)
     size, raw = L.segment(keys, counts, 1, 12)
-    lm = L.LogFrequencyFilter([(1, 0, size, raw)], 1, {1: 1}, {}, 10, 10, 1)
+    lm = L.LogFrequencyFilter([(1, 0, size, raw)], 1, {1: 1}, {}, 10, 10)
     assert len(lm) == len(raw) + 8
     got = lm.levels([], keys)
     want = L.level_of(counts)
@@ -70,21 +70,11 @@ def test_probabilities_sum_to_about_one():
             sums[int(w)] = sums.get(int(w), 0) + 1
     keys, counts = np.array(list(sums), np.uint64), np.array(list(sums.values()))
     size, raw = L.segment(keys, counts, 1, 24)
-    lm = L.LogFrequencyFilter([(1, 0, size, raw)], 1, {1: 1}, {}, int(counts.sum()), len(counts), len(texts))
+    lm = L.LogFrequencyFilter([(1, 0, size, raw)], 1, {1: 1}, {}, int(counts.sum()), len(counts))
     p = 10 ** lm.log10_probability(keys, np.array([0, len(keys)]))
     assert p.sum() == pytest.approx(1, abs=0.05)
 
 
-def test_filter_size_is_bounded():
-    cells = [{"order": 2, "hl": 3, "cl": c, "types": 10**6 // c**2, "tokens": 10**6} for c in range(1, 20)]
-    for limit in (10**5, 10**6, 10**8):
-        least, mix_in = L._plan_levels(cells, [(1, 10**4), (2, 100)], 2, 12, limit)
-        events = sum(r["types"] * (r["cl"] - least[2] + 1) for r in cells if r["cl"] >= least[2])
-        assert (events + 10**4) * 12 <= limit * 8 * 1.5 or least[1] > 1
-        assert (mix_in[2] <= 0.99).all()
-    assert least[2] == 2
-
-
 def test_probabilities_after_a_history_sum_to_about_one(spark):
     """Orders two and three: no mass is lost by n-grams seen once."""
     rng = np.random.default_rng(4)
@@ -104,14 +94,54 @@ def test_probabilities_after_a_history_sum_to_about_one(spark):
         assert 0.75 < min(sums) and max(sums) < 1.25
 
 
-def test_ngrams_seen_once_are_in_the_filter(spark):
-    assert L.MAX_ORDER >= 3
-    texts = ["a b c d", "a x c y", "e f g h"]
-    lm = L.Counts(spark.createDataFrame([(t,) for t in texts], "text string")).filter
-    toks, bounds = L.tokens_of([t.encode() for t in texts])
-    before = L.histories(toks, bounds, 3)
+def test_scores_brute_force(spark, docs):
+    """The discounted model from exact counts, rounded to levels; a filter of few false hits."""
+    assert L.MAX_ORDER == 3
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    learnt = [tokens(t) for i, t in rows if i is not None and i % 3 != 0]
+    counts, types, left = Counter(), Counter(), Counter()
+
+    def ngrams(ts, n):
+        padded = [None] * (n - 1) + ts
+        return [tuple(padded[i:i + n]) for i in range(len(ts))]
+    for ts in learnt:
+        for n in (1, 2, 3):
+            counts.update(ngrams(ts, n))
+    for g, c in counts.items():
+        if len(g) > 1:
+            types[g[:-1]] += 1
+            left[g[:-1]] += c - 1
+    total, words = sum(map(len, learnt)), sum(len(g) == 1 for g in counts)
+
+    def estimate(c):
+        return L.ESTIMATE[L.level_of(np.array([c]))[0]]
+    share = {}
     for n in (2, 3):
-        assert (lm.levels(before[:n - 1], toks) >= 1).all()
+        seen, all_of = Counter(), Counter()
+        for h, t in types.items():
+            if len(h) == n - 1:
+                level = int(L.level_of(np.array([left[h]]))[0])
+                seen[level] += left[h]
+                all_of[level] += left[h] + t
+        share[n] = {level: min(0.99, seen[level] / all_of[level]) for level in all_of}
+
+    def score(ts):
+        out = 0.0
+        grams = {n: ngrams(ts, n) for n in (1, 2, 3)}
+        for i in range(len(ts)):
+            p = (estimate(counts[grams[1][i]]) + 1) / (total + words + 1)
+            for n in (2, 3):
+                g = grams[n][i]
+                d = left[g[:-1]]
+                a = share[n][int(L.level_of(np.array([d]))[0])] if d else 0.0
+                p = a * min(1.0, estimate(max(0, counts[g] - 1)) / max(estimate(d), 1.0)) + (1 - a) * p
+            out += math.log10(p)
+        return out
+    train = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
+    got = L.lm_scores(docs, train, keep=["doc_id", "text"], bits_per_event=48).collect()
+    assert len(got) == len(rows)
+    for r in got[:150]:
+        assert r["score"] == pytest.approx(score(tokens(r["text"])), rel=2e-3, abs=1e-3)
 
 
 def test_joined_filter_gives_the_scores_of_a_broadcast_one(docs):
