@@ -207,6 +207,31 @@ def test_article_text_of_several_parts_is_whole():
             assert text.replace(" Home", "") == want and ("Home" not in text or "<ul>" in page)
 
 
+def test_names_drop_containers_and_not_paragraphs_of_the_article():
+    long = "A sentence with some words, and more of them, number {}. " * 3
+    for name in ("social", "search-results", "alert-box", "overlay", "comment", "modal", "teaser", "notice"):
+        body = [long.format(*[i] * 3).strip() for i in range(6)]
+        for holder in ("article", "main", "div"):
+            inner = "".join(f'<p class="{name}">{t}</p>' if i in (2, 5) else f"<p>{t}</p>" for i, t in enumerate(body))
+            page = (f'<body><nav>x</nav><{holder}><h1>Title</h1>{inner}<p class="advert">Buy now</p>'
+                    f'<div class="{name}"><p>{long}</p></div></{holder}></body>')
+            assert X.extract(page) == " ".join(["Title", *body]), (name, holder)
+        assert X.extract(f'<article><p class="{name}">{body[0]}</p></article>') == body[0]
+
+
+def test_plain_link_lists_beside_paragraphs_go():
+    paragraphs = [f"Paragraph {i} of the text, with some words, and more of them." for i in range(5)]
+    body = "".join(f"<p>{t}</p>" for t in paragraphs)
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Part {i}</a>" for i in range(5)) + "</ul>"
+    rows = "<div>" + "".join(f"<div><a href=/{i}>Part {i}</a></div>" for i in range(5)) + "</div>"
+    for extra in (menu, rows):
+        assert X.extract(f"<body>{extra}{body}</body>") == X.extract(f"<body>{body}{extra}</body>") == " ".join(paragraphs)
+    points = "<ul><li>one <a href=/1>a</a> point<li>two</ul>"  # short, and not links alone
+    assert X.extract(f"<body>{body}{points}{body}</body>") == " ".join([*paragraphs, "one a point two", *paragraphs])
+    assert X.extract(f"<body>{body}<p><a href=/x>All a link</a></p></body>") == " ".join([*paragraphs, "All a link"])
+    assert "Part 3" in X.extract(f"<article>{body}{menu}</article>")  # an article's own list
+
+
 def test_path_scores_favour_paragraphs():
     found = X.blocks(PAGE)
     score = dict(zip([b.text for b in found], X.path_scores(found), strict=True))
