@@ -19,8 +19,11 @@ one over tokens plus types plus one.
 The filter has ``bits_per_event`` for each event and grows with the corpus.  One of
 at most ``max_filter_bytes`` is broadcast.  A larger one stays a table of segments:
 the distinct n-grams of each chunk of texts go to the task that has their segments
-(shards of neighbouring buckets), their levels come back to the chunk, and the same
-probabilities are mixed from them.
+(shards of neighbouring buckets) as the gaps of their sorted codes, their levels come
+back to the chunk, and the same probabilities are mixed from them.
+
+False hits are lowered by sub-sequence bounds: an n-gram's level is at most that of its
+last n - 1 words, a history's at most that of the history as an n-gram.
 """
 
 from __future__ import annotations
@@ -39,9 +42,8 @@ from prefsight.session import ensure_checkpoint_dir
 
 MAX_ORDER = 3
 BITS_PER_EVENT = 12
-PROBES = 5
 #: The largest filter that is broadcast; a larger one is joined by shard.
-MAX_FILTER_BYTES = 160 << 20
+MAX_FILTER_BYTES = 16 << 20
 #: Bytes of texts whose distinct n-grams are looked up together in a joined filter.
 LOOKUP_BYTES = 4 << 20
 #: The least level in the filter, of words and of longer n-grams: all (discounted) counts.
@@ -59,6 +61,13 @@ ESTIMATE = np.concatenate(([0.0], (LEVELS + np.append(LEVELS[1:] - 1, LEVELS[-1]
 
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 START = np.uint64(0x57A2757A2757A275)
+#: Bits of an n-gram's code in its bucket's segment; two share one far less often than a probe errs.
+CODE_BITS = 32
+
+
+def probes_of(bits_per_event: int) -> int:
+    """Probes of an event that err least often: ln 2 for each of its bits."""
+    return max(1, round(bits_per_event * math.log(2)))
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -92,9 +101,19 @@ def _history_hash(words: list[np.ndarray]) -> np.ndarray:
     return K.mix(total)
 
 
-def _joint(order: int, bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """One number for bucket and key; of a single word, the key alone is one."""
-    return key if order == 1 else key | (bucket.astype(np.uint64) << np.uint64(48))
+def _code(key: np.ndarray) -> np.ndarray:
+    """What the segment of a bucket knows of a key."""
+    return K.mix(key ^ np.uint64(0x3C6EF372FE94F82B)) >> np.uint64(64 - CODE_BITS)
+
+
+def _joint(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One number for the bucket and the code of a key, in order of the buckets."""
+    return (bucket.astype(np.uint64) << np.uint64(CODE_BITS)) | _code(key)
+
+
+def _parted(joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and code of each ``_joint``."""
+    return (joint >> np.uint64(CODE_BITS)).astype(np.int64), joint & np.uint64((1 << CODE_BITS) - 1)
 
 
 def ngram_keys(history: list[np.ndarray], tokens: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,14 +262,14 @@ def segment(keys: np.ndarray, counts: np.ndarray, least: int, bits_per_event: in
     """Filter bits of one bucket; levels ``least`` ... q of each n-gram are put in."""
     q = level_of(counts)
     kept = q >= least
-    keys, q = keys[kept], q[kept]
+    keys, q = _code(keys[kept]), q[kept]
     fan = q - least + 1
     events = int(fan.sum())
     size = max(64, -(-events * bits_per_event // 8) * 8)
     bits = np.zeros(size, bool)
     level = np.arange(events) - np.repeat(np.cumsum(fan) - fan, fan) + least
     each = np.repeat(keys, fan)
-    for i in range(PROBES):
+    for i in range(probes_of(bits_per_event)):
         bits[_positions(each, level, np.array([size]), i).astype(np.int64)] = True
     return size, np.packbits(bits, bitorder="little").tobytes()
 
@@ -259,10 +278,10 @@ class LogFrequencyFilter:
     """Quantised counts of n-grams, read by repeated membership probes."""
 
     def __init__(self, segments, n_buckets: int, least: dict[int, int], mix_in: dict[int, np.ndarray],
-                 tokens: int, types: int):
+                 tokens: int, types: int, probes: int = probes_of(BITS_PER_EVENT)):
         """``segments`` are those of the whole corpus, of a shard, or none if levels are looked up elsewhere."""
         self.n_buckets, self.least, self.mix_in = n_buckets, least, mix_in
-        self.tokens, self.types = tokens, types
+        self.tokens, self.types, self.probes = tokens, types, probes
         self.size = {n: np.full(n_buckets, 64, np.int64) for n in least}
         self.offset = {n: np.zeros(n_buckets, np.int64) for n in least}
         parts, at = [bytes(8)], 8
@@ -278,40 +297,48 @@ class LogFrequencyFilter:
     def _has(self, order: int, bucket: np.ndarray, key: np.ndarray, level: int) -> np.ndarray:
         ok = np.arange(len(key))
         levels = np.array([level])
-        for i in range(PROBES):
+        for i in range(self.probes):
             size, offset = self.size[order][bucket[ok]], self.offset[order][bucket[ok]]
             at = offset + _positions(key[ok], levels, size, i).astype(np.int64)
             ok = ok[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
         return ok
 
-    def levels_of(self, order: int, bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Level of the count of each n-gram given by bucket and key, 0 if the filter does not have it."""
-        out = np.zeros(len(key), np.int64)
-        alive = np.arange(len(key))
+    def levels_of(self, order: int, joint: np.ndarray) -> np.ndarray:
+        """Level of the count of each n-gram given by bucket and code, 0 if the filter does not have it."""
+        out = np.zeros(len(joint), np.int64)
+        alive = np.arange(len(joint))
+        bucket, code = _parted(joint)
         level = self.least[order]
         while len(alive) and level <= len(LEVELS):
-            alive = alive[self._has(order, bucket[alive], key[alive], level)]
+            alive = alive[self._has(order, bucket[alive], code[alive], level)]
             out[alive] = level
             level += 1
         return out
 
     def levels(self, history: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
         """Levels of the ``probe_keys``, 0 where the filter does not have them."""
-        bucket, key = probe_keys(history, tokens, self.n_buckets)
-        _, first, back = np.unique(_joint(len(history) + 1, bucket, key), return_index=True, return_inverse=True)
-        return self.levels_of(len(history) + 1, bucket[first], key[first])[back]
+        joint, back = _probes(history, tokens, self.n_buckets)
+        return self.levels_of(len(history) + 1, joint)[back]
 
     def log10_probability(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log10 of the smoothed probability of each token given those before it."""
         max_order = max(self.least)
         before = histories(tokens, bounds, max_order)
-        return self.mixed({n: self.levels(before[:n - 1], tokens) for n in range(1, max_order + 1)})
+        return self.mixed({n: self.levels(before[:n - 1], tokens) for n in range(1, max_order + 1)}, bounds)
+
+    def mixed(self, found: dict[int, np.ndarray], bounds: np.ndarray) -> np.ndarray:
+        """log10 of the probabilities, from the levels of the ``probe_keys`` of each order.
 
-    def mixed(self, found: dict[int, np.ndarray]) -> np.ndarray:
-        """log10 of the probabilities, from the levels of the ``probe_keys`` of each order."""
-        p = (ESTIMATE[found[1]] + 1) / (self.tokens + self.types + 1)
+        No n-gram is more frequent than its last words, and the discounted sum of a history
+        no larger than its own count; hits beyond these are false ones and are lowered."""
+        shorter = found[1]
+        p = (ESTIMATE[shorter] + 1) / (self.tokens + self.types + 1)
         for n in range(2, max(self.least) + 1):
             seen, history = found[n].reshape(2, -1)
+            own = np.concatenate(([0], shorter[:-1]))  # level of the history itself
+            own[bounds[:-1]] = len(LEVELS)  # START is not counted
+            history, seen = np.minimum(history, own), np.minimum(seen, shorter)
+            shorter = seen
             share = self.mix_in[n][history]  # 0 of a history without repeats
             ratio = np.minimum(1.0, ESTIMATE[seen] / np.maximum(ESTIMATE[history], 1.0))
             p = share * ratio + (1 - share) * p
@@ -386,14 +413,16 @@ class Counts:
         size = sums.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0)).alias("b")).first()["b"]
         whole = size + words * bits_per_event // 8 <= max_filter_bytes
         rows = [tuple(r) for r in segments.collect()] if whole else []  # at most max_filter_bytes
-        self.filter = LogFrequencyFilter(rows, nb, least, _mixing_shares(cells, least), self.tokens, self.types)
+        self.filter = LogFrequencyFilter(rows, nb, least, _mixing_shares(cells, least), self.tokens, self.types,
+                                         probes_of(bits_per_event))
         self.segments = None if whole else segments
 
 
 # --- a filter that is joined --------------------------------------------------
 
 def _shard_size(n_buckets: int) -> int:
-    return min(8, max(1, n_buckets // 256))
+    """Buckets of a shard: at most 64, so that gaps take five bytes and segments a few MB."""
+    return min(64, max(1, n_buckets // 256))
 
 
 def _pack(texts: list[bytes]) -> tuple[int, bytes]:
@@ -408,15 +437,26 @@ def _unpack(size: int, packed: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _probes(history: list[np.ndarray], tokens: np.ndarray, n_buckets: int):
-    """Distinct ``probe_keys`` in order of their shards, their shards, and the place of each."""
-    bucket, key = probe_keys(history, tokens, n_buckets)
-    joint, first, back = np.unique(_joint(len(history) + 1, bucket, key), return_index=True, return_inverse=True)
-    shard = bucket[first] // _shard_size(n_buckets)
-    order = np.argsort(shard, kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return joint[order], shard[order], place[back]
+def _probes(history: list[np.ndarray], tokens: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``probe_keys`` as sorted bucket and code, and the place of each."""
+    return np.unique(_joint(*probe_keys(history, tokens, n_buckets)), return_inverse=True)
+
+
+def _packed_gaps(joint: np.ndarray, start: int) -> bytes:
+    """Sorted numbers of a shard as the gaps between them, byte by byte: the upper bytes compress."""
+    gaps = np.diff(joint, prepend=np.uint64(start))
+    return pa.compress(gaps.view(np.uint8).reshape(-1, 8).T[:5].tobytes(), codec="zstd", asbytes=True)
+
+
+def _from_gaps(n: int, packed: bytes, start: int) -> np.ndarray:
+    planes = np.zeros((n, 8), np.uint8)
+    raw = pa.decompress(packed, decompressed_size=5 * n, codec="zstd", asbytes=True)
+    planes[:, :5] = np.frombuffer(raw, np.uint8).reshape(5, n).T
+    return np.cumsum(planes.view(np.uint64).ravel(), dtype=np.uint64) + np.uint64(start)
+
+
+def _shard_start(shard: int, n_buckets: int) -> int:
+    return (shard * _shard_size(n_buckets)) << CODE_BITS
 
 
 def _probe_rows(batches, max_order: int, n_buckets: int):
@@ -425,15 +465,15 @@ def _probe_rows(batches, max_order: int, n_buckets: int):
             tokens, bounds = tokens_of(_unpack(size, packed))
             before = histories(tokens, bounds, max_order)
             for n in range(1, max_order + 1):
-                keys, shard, _ = _probes(before[:n - 1], tokens, n_buckets)
-                used, first = np.unique(shard, return_index=True)
-                ends = np.append(first[1:], len(keys))
+                joint, _ = _probes(before[:n - 1], tokens, n_buckets)
+                used, first = np.unique(_parted(joint)[0] // _shard_size(n_buckets), return_index=True)
+                ends = np.append(first[1:], len(joint))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(used.astype(np.int32)), pa.array(np.full(len(used), chunk, np.int64)),
                      pa.array(np.full(len(used), n, np.int32)), pa.nulls(len(used), pa.int32()),
-                     pa.nulls(len(used), pa.int64()),
-                     pa.array([keys[a:b].view(np.uint16).reshape(-1, 4).T.tobytes()
-                               for a, b in zip(first, ends, strict=True)], pa.binary())],
+                     pa.array(ends - first, pa.int64()),
+                     pa.array([_packed_gaps(joint[a:b], _shard_start(int(shard), n_buckets))
+                               for shard, a, b in zip(used, first, ends, strict=True)], pa.binary())],
                     names=["shard", "chunk", "order", "bucket", "size", "data"])
 
 
@@ -449,19 +489,15 @@ def _answer_rows(batches, lm: LogFrequencyFilter):
                 segments.append((n, bucket, size, data))
                 continue
             if part is None:
-                part = LogFrequencyFilter(segments, lm.n_buckets, lm.least, {}, 0, 0)
+                part = LogFrequencyFilter(segments, lm.n_buckets, lm.least, {}, 0, 0, lm.probes)
                 segments = []
-            keys = np.ascontiguousarray(np.frombuffer(data, np.uint16).reshape(4, -1).T).view(np.uint64).ravel()
-            if n == 1:
-                found = part.levels_of(n, *ngram_keys([], keys, lm.n_buckets))
-            else:
-                found = part.levels_of(n, (keys >> np.uint64(48)).astype(np.int64), keys & np.uint64((1 << 48) - 1))
-            out.append((chunk, n, shard, found.astype(np.uint8).tobytes()))
+            found = part.levels_of(n, _from_gaps(size, data, _shard_start(shard, lm.n_buckets))).astype(np.uint8)
+            out.append((chunk, n, shard, size, pa.compress(found.tobytes(), codec="zstd", asbytes=True)))
         if out:
-            chunks, orders, shards, found = zip(*out, strict=True)
+            chunks, orders, shards, sizes, found = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(chunks, pa.int64()), pa.array(orders, pa.int32()), pa.array(shards, pa.int32()),
-                 pa.nulls(len(out), pa.int64()), pa.array(found, pa.binary())],
+                 pa.array(sizes, pa.int64()), pa.array(found, pa.binary())],
                 names=["chunk", "order", "shard", "size", "data"])
 
 
@@ -474,9 +510,9 @@ def _looked_up_rows(batches, lm: LogFrequencyFilter):
         before = histories(tokens, bounds, max(lm.least))
         levels = {}
         for n in lm.least:
-            place = _probes(before[:n - 1], tokens, lm.n_buckets)[2]
+            place = _probes(before[:n - 1], tokens, lm.n_buckets)[1]
             levels[n] = np.frombuffer(b"".join(found[n]), np.uint8).astype(np.int64)[place]
-        score = np.add.reduceat(lm.mixed(levels), bounds[:-1])
+        score = np.add.reduceat(lm.mixed(levels, bounds), bounds[:-1])
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), at, np.int64)),
                                            pa.array(np.arange(len(texts), dtype=np.int32)), pa.array(score)],
                                           names=["__chunk", "__at", "score"])
@@ -487,7 +523,7 @@ def _looked_up_rows(batches, lm: LogFrequencyFilter):
                     yield scores()
                 at, texts, found = chunk, _unpack(size, data), {k: [] for k in lm.least}
             else:
-                found[n].append(data)
+                found[n].append(pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True))
     if at is not None:
         yield scores()
 
