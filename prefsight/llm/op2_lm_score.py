@@ -130,14 +130,6 @@ def _history_key(history: np.ndarray) -> np.ndarray:
     return K.mix((history << np.uint64(8)) | np.uint64(0xA5)) >> np.uint64(16)
 
 
-def probe_keys(history: list[np.ndarray], tokens: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, key) of each token's n-gram and then, of longer ones, of each token's history."""
-    bucket, key = ngram_keys(history, tokens, n_buckets)
-    if not history:
-        return bucket, key
-    return np.concatenate((bucket, bucket)), np.concatenate((key, _history_key(key >> np.uint64(24))))
-
-
 # --- sums -------------------------------------------------------------------
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -316,7 +308,7 @@ class LogFrequencyFilter:
         return out
 
     def levels(self, history: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
-        """Levels of the ``probe_keys``, 0 where the filter does not have them."""
+        """Levels of the ``_probes``, 0 where the filter does not have them."""
         joint, back = _probes(history, tokens, self.n_buckets)
         return self.levels_of(len(history) + 1, joint)[back]
 
@@ -327,7 +319,7 @@ class LogFrequencyFilter:
         return self.mixed({n: self.levels(before[:n - 1], tokens) for n in range(1, max_order + 1)}, bounds)
 
     def mixed(self, found: dict[int, np.ndarray], bounds: np.ndarray) -> np.ndarray:
-        """log10 of the probabilities, from the levels of the ``probe_keys`` of each order.
+        """log10 of the probabilities, from the levels of the ``_probes`` of each order.
 
         No n-gram is more frequent than its last words, and the discounted sum of a history
         no larger than its own count; hits beyond these are false ones and are lowered."""
@@ -418,6 +410,14 @@ class Counts:
         self.segments = None if whole else segments
 
 
+def _release(spark) -> None:
+    """Let Spark's cleaner delete the shuffle files of stages whose results are checkpointed.
+
+    It does so when the driver has collected their references, which small plans alone
+    seldom make it do."""
+    spark.sparkContext._jvm.System.gc()
+
+
 # --- a filter that is joined --------------------------------------------------
 
 def _shard_size(n_buckets: int) -> int:
@@ -438,8 +438,22 @@ def _unpack(size: int, packed: bytes) -> list[bytes]:
 
 
 def _probes(history: list[np.ndarray], tokens: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ``probe_keys`` as sorted bucket and code, and the place of each."""
-    return np.unique(_joint(*probe_keys(history, tokens, n_buckets)), return_inverse=True)
+    """Sorted ``_joint`` of the distinct n-grams and, of longer ones, histories; the place of each
+    token's n-gram and then of each token's history."""
+    if history:
+        bucket, key = ngram_keys(history, tokens, n_buckets)
+        grams, back = np.unique((bucket.astype(np.uint64) << np.uint64(48)) | key, return_inverse=True)
+        bucket, key = grams >> np.uint64(48), grams & np.uint64((1 << 48) - 1)
+        new = np.concatenate(([True], grams[1:] >> np.uint64(24) != grams[:-1] >> np.uint64(24)))[:len(grams)]
+        joint = np.concatenate((_joint(bucket, key), _joint(bucket[new], _history_key(key[new] >> np.uint64(24)))))
+        back = np.concatenate((back, (len(grams) + np.cumsum(new) - 1)[back]))
+    else:
+        words, back = np.unique(tokens, return_inverse=True)
+        joint = _joint(*ngram_keys([], words, n_buckets))
+    order = np.argsort(joint)
+    place = np.empty(len(joint), np.int64)
+    place[order] = np.arange(len(joint))
+    return joint[order], place[back]
 
 
 def _packed_gaps(joint: np.ndarray, start: int) -> bytes:
@@ -609,6 +623,7 @@ def lm_scores(docs: DataFrame, train: Column, *, keep: list[str], text: str = "t
     counts = Counts(docs.where(train).select(body.alias("text")), max_order, bits_per_event, max_filter_bytes)
     frequent = (counts.unigrams.where(F.col("c") * HEAVY >= counts.tokens).toArrow()  # at most HEAVY rows
                 if counts.tokens else pa.table({"h": pa.array([], pa.int64()), "c": pa.array([], pa.int64())}))
+    _release(spark)
     h, c = frequent["h"].to_numpy().view(np.uint64), frequent["c"].to_numpy()
     order = np.argsort(h)
     shared = spark.sparkContext.broadcast((counts.filter, h[order], c[order]))
