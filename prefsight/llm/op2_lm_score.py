@@ -410,14 +410,6 @@ class Counts:
         self.segments = None if whole else segments
 
 
-def _release(spark) -> None:
-    """Let Spark's cleaner delete the shuffle files of stages whose results are checkpointed.
-
-    It does so when the driver has collected their references, which small plans alone
-    seldom make it do."""
-    spark.sparkContext._jvm.System.gc()
-
-
 # --- a filter that is joined --------------------------------------------------
 
 def _shard_size(n_buckets: int) -> int:
@@ -623,7 +615,6 @@ def lm_scores(docs: DataFrame, train: Column, *, keep: list[str], text: str = "t
     counts = Counts(docs.where(train).select(body.alias("text")), max_order, bits_per_event, max_filter_bytes)
     frequent = (counts.unigrams.where(F.col("c") * HEAVY >= counts.tokens).toArrow()  # at most HEAVY rows
                 if counts.tokens else pa.table({"h": pa.array([], pa.int64()), "c": pa.array([], pa.int64())}))
-    _release(spark)
     h, c = frequent["h"].to_numpy().view(np.uint64), frequent["c"].to_numpy()
     order = np.argsort(h)
     shared = spark.sparkContext.broadcast((counts.filter, h[order], c[order]))
