@@ -4,6 +4,7 @@ from prefsight.functions.core import (  # noqa: F401
     calibration_bin,
     dot,
     hash_key,
+    ieee_div,
     lit_vector,
     py_strip,
     safe_div,

@@ -43,6 +43,14 @@ def safe_div(num, den, default=None) -> Column:
     return F.when(den.isNull() | (den == 0), fallback).otherwise(num.cast("double") / den)
 
 
+def ieee_div(num, den) -> Column:
+    """num / den of doubles as IEEE 754 and the DuckDB twins have it: over zero infinite, 0 / 0 NaN.
+
+    ANSI mode raises on division by zero."""
+    num, den = col_(num), col_(den)
+    return F.when(den == 0, num * F.pow(den, F.lit(-1.0))).otherwise(F.try_divide(num, den))
+
+
 def py_strip(c) -> Column:
     """Python ``str.strip()`` with no arguments."""
     return F.regexp_replace(col_(c), _PY_STRIP_RE, "")

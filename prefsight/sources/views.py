@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from prefsight.functions import vec_sub
+from prefsight.functions import ieee_div, vec_sub
 from prefsight.operators.indexing import index_within_group
 from prefsight.sources.tables import Tables
 
@@ -200,7 +200,8 @@ def _optimizer_col(c: str):
 
 
 def v_runs(t: Tables) -> DataFrame:
-    """One row per (optimizer, seed) with the run-result fields of a comparison."""
+    """One row per (optimizer, seed) with the run-result fields of a comparison;
+    a run whose least, total or greatest value is 0 has an infinite or NaN ratio."""
     e = t.events.select(_optimizer_col("event_type").alias("optimizer"),
                         (F.col("user_id") % 3).alias("seed"), "value")
     v = F.col("value")
@@ -209,9 +210,9 @@ def v_runs(t: Tables) -> DataFrame:
         (F.avg(v) / 97.0).alias("final_val_loss"),
         (F.stddev_pop(v) / 499.0).alias("calibration_ece"),
         F.max(v).alias("top_eigenvalue"),
-        (F.max(v) / F.min(v)).alias("condition_number"),
-        (F.max(v) / F.sum(v)).alias("sharpness_score"),
-        (F.lit(1.0) / F.max(v)).alias("flatness_index"),
+        ieee_div(F.max(v), F.min(v)).alias("condition_number"),
+        ieee_div(F.max(v), F.sum(v)).alias("sharpness_score"),
+        ieee_div(F.lit(1.0), F.max(v)).alias("flatness_index"),
         F.sum(v).alias("trace_estimate"),
         F.count(F.lit(1)).cast("double").alias("training_time_seconds"),
         (F.avg(v) / 97.0).alias("rl_readiness_score")))
