@@ -34,6 +34,14 @@ MAX_PIVOTS = 1024
 RING_SIZE = 1024
 #: Vectors sent to one copy of a ring.
 QUERY_ROWS = 4096
+#: Distances that a task holds in one array, whatever the pivots, the rows of a batch or of a ring.
+BLOCK_ENTRIES = 1 << 19
+
+
+def _blocks(rows: int, width: int):
+    """Slices of ``rows`` rows whose distances to ``width`` vectors fit into one array."""
+    step = max(1, BLOCK_ENTRIES // max(1, width))
+    return (slice(i, min(i + step, rows)) for i in range(0, rows, step))
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -48,10 +56,12 @@ def _nearest(a: np.ndarray, b: np.ndarray, same: bool = False) -> np.ndarray:
     """Distance of each row of a to the nearest row of b (of the others, if a is b)."""
     if not len(b) or (same and len(b) < 2):
         return np.full(len(a), np.inf)
-    d = _distances(a, b)
-    if same:
-        np.fill_diagonal(d, np.inf)
-    at = d.argmin(axis=1)
+    at = np.empty(len(a), dtype=np.int64)
+    for part in _blocks(len(a), len(b)):
+        d = _distances(a[part], b)
+        if same:
+            np.fill_diagonal(d[:, part], np.inf)
+        at[part] = d.argmin(axis=1)
     return np.sqrt(((a - b[at]) ** 2).sum(axis=1))
 
 
@@ -88,9 +98,7 @@ def nearest_distance_exact(items: DataFrame, key_col: str, vec_col: str, *, pivo
 
     def place(batches):
         p = sent.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (batch.iloc[part] for batch in batches for part in _blocks(len(batch), len(p))):
             x = batch_matrix(pdf["vec"])
             d = _distances(x, p)
             cell = d.argmin(axis=1)
@@ -123,9 +131,7 @@ def nearest_distance_exact(items: DataFrame, key_col: str, vec_col: str, *, pivo
         p = sent.value
         near, far = extents.value
         between = _distances(p, p)
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (batch.iloc[part] for batch in batches for part in _blocks(len(batch), len(p))):
             x, u, own = batch_matrix(pdf["vec"]), pdf["u"].to_numpy(), pdf["cell"].to_numpy()
             d = _distances(x, p)
             room = _slack(u)[:, None]
