@@ -20,7 +20,9 @@ The filter has ``bits_per_event`` for each event and grows with the corpus.  One
 at most ``max_filter_bytes`` is broadcast.  A larger one stays a table of segments:
 the distinct n-grams of each chunk of texts go to the task that has their segments
 (shards of neighbouring buckets) as the gaps of their sorted codes, their levels come
-back to the chunk, and the same probabilities are mixed from them.
+back to the chunk, and the same probabilities are mixed from them.  This goes in rounds
+of chunks, and the shuffles of each finished step are removed, so that the disk holds
+those of one at a time.
 
 False hits are lowered by sub-sequence bounds: an n-gram's level is at most that of its
 last n - 1 words, a history's at most that of the history as an n-gram.
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefsight.llm import kernels as K
-from prefsight.session import ensure_checkpoint_dir
+from prefsight.session import checkpointed, ensure_checkpoint_dir
 
 MAX_ORDER = 3
 BITS_PER_EVENT = 12
@@ -46,6 +49,10 @@ BITS_PER_EVENT = 12
 MAX_FILTER_BYTES = 16 << 20
 #: Bytes of texts whose distinct n-grams are looked up together in a joined filter.
 LOOKUP_BYTES = 4 << 20
+#: N-grams of chunks that a task probes at once in the segments of a shard.
+ASKED = 2_000_000
+#: A joined filter is asked in so many rounds of chunks, so that the disk holds the n-grams of one at a time.
+ROUNDS = 4
 #: The least level in the filter, of words and of longer n-grams: all (discounted) counts.
 LEAST_WORD, LEAST_NGRAM = 1, 1
 #: A token of at least 1 / HEAVY of all training tokens is broadcast: at most HEAVY tokens.
@@ -244,10 +251,15 @@ def _cell_rows(batches):
 
 # --- the filter -------------------------------------------------------------
 
-def _positions(keys: np.ndarray, level: np.ndarray, size: np.ndarray, i: int) -> np.ndarray:
+def _event_hashes(keys: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the places of all probes of the events (key, level) come from."""
     a = K.mix(keys ^ (level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    b = (a >> np.uint64(17)) * np.uint64(0xC2B2AE3D27D4EB4F) | np.uint64(1)
-    return (((a + np.uint64(i) * b) >> np.uint64(32)) * size.astype(np.uint64)) >> np.uint64(32)
+    return a, (a >> np.uint64(17)) * np.uint64(0xC2B2AE3D27D4EB4F) | np.uint64(1)
+
+
+def _place(a: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Place in a segment of ``size`` bits; ``a`` grows by the second hash from probe to probe."""
+    return (((a >> np.uint64(32)) * size) >> np.uint64(32)).astype(np.int64)
 
 
 def segment(keys: np.ndarray, counts: np.ndarray, least: int, bits_per_event: int) -> tuple[int, bytes]:
@@ -261,8 +273,10 @@ def segment(keys: np.ndarray, counts: np.ndarray, least: int, bits_per_event: in
     bits = np.zeros(size, bool)
     level = np.arange(events) - np.repeat(np.cumsum(fan) - fan, fan) + least
     each = np.repeat(keys, fan)
-    for i in range(probes_of(bits_per_event)):
-        bits[_positions(each, level, np.array([size]), i).astype(np.int64)] = True
+    a, b = _event_hashes(each, level)
+    for _ in range(probes_of(bits_per_event)):
+        bits[_place(a, np.uint64(size))] = True
+        a += b
     return size, np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -287,12 +301,14 @@ class LogFrequencyFilter:
         return len(self.bits)
 
     def _has(self, order: int, bucket: np.ndarray, key: np.ndarray, level: int) -> np.ndarray:
+        a, b = _event_hashes(key, np.array([level]))
+        size, offset = self.size[order][bucket].astype(np.uint64), self.offset[order][bucket]
         ok = np.arange(len(key))
-        levels = np.array([level])
-        for i in range(self.probes):
-            size, offset = self.size[order][bucket[ok]], self.offset[order][bucket[ok]]
-            at = offset + _positions(key[ok], levels, size, i).astype(np.int64)
-            ok = ok[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        for _ in range(self.probes):
+            at = offset + _place(a, size)
+            hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            ok, a, b, size, offset = ok[hit], a[hit], b[hit], size[hit], offset[hit]
+            a += b
         return ok
 
     def levels_of(self, order: int, joint: np.ndarray) -> np.ndarray:
@@ -375,17 +391,17 @@ class Counts:
                  max_filter_bytes: int = MAX_FILTER_BYTES):
         texts = texts.select("text")
         self.unigrams = (texts.mapInArrow(_unigram_rows, "h bigint, c bigint")
-                         .groupBy("h").agg(F.sum("c").alias("c")).checkpoint())
+                         .groupBy("h").agg(F.sum("c").alias("c")))
+        self.unigrams = checkpointed(self.unigrams)
         total = self.unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.tokens, self.types = total["n"], total["v"]
         nb = self.n_buckets = min(65536, max(16, math.ceil(self.tokens / TOKENS_PER_BUCKET)))
 
-        sums = (texts.mapInArrow(lambda it: _ngram_rows(it, max_order, nb),
-                                 "order int, bucket int, keys binary, counts binary")
-                .groupBy("order", "bucket")
-                .applyInArrow(lambda t: _bucket_sums(t, bits_per_event),
-                              "order int, bucket int, size bigint, bits binary, cells binary")
-                .checkpoint())
+        sums = checkpointed(
+            texts.mapInArrow(lambda it: _ngram_rows(it, max_order, nb), "order int, bucket int, keys binary, counts binary")
+            .groupBy("order", "bucket")
+            .applyInArrow(lambda t: _bucket_sums(t, bits_per_event),
+                          "order int, bucket int, size bigint, bits binary, cells binary"))
         cells = (sums.select("order", "cells")
                  .mapInArrow(_cell_rows, "order int, hl bigint, types bigint, tokens bigint")
                  .groupBy("order", "hl").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"))
@@ -401,7 +417,7 @@ class Counts:
             .groupBy("bucket")
             .applyInArrow(lambda t: _unigram_segment(t, LEAST_WORD, bits_per_event),
                           "order int, bucket int, size bigint, bits binary"))
-        segments = unigram_segments.union(sums.select("order", "bucket", "size", "bits"))
+        segments = checkpointed(unigram_segments).union(sums.select("order", "bucket", "size", "bits"))
         size = sums.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0)).alias("b")).first()["b"]
         whole = size + words * bits_per_event // 8 <= max_filter_bytes
         rows = [tuple(r) for r in segments.collect()] if whole else []  # at most max_filter_bytes
@@ -484,11 +500,31 @@ def _probe_rows(batches, max_order: int, n_buckets: int):
 
 
 def _answer_rows(batches, lm: LogFrequencyFilter):
-    """Levels of the n-grams asked for; rows are sorted, a shard's segments (chunk -1) come first."""
-    at, segments, part = None, [], None
-    for batch in batches:
+    """Levels of the n-grams asked for; rows are sorted, a shard's segments (chunk -1) come first.
+
+    Up to ``ASKED`` n-grams of a shard are gathered, and one that many chunks ask for is probed once."""
+    at, segments, part, asked, held = None, [], None, {}, 0
+
+    def answers():
         out = []
+        for n, parts in asked.items():
+            joint, back = np.unique(np.concatenate([j for _, j in parts]), return_inverse=True)
+            found, a = part.levels_of(n, joint).astype(np.uint8)[back], 0
+            for chunk, j in parts:
+                out.append((chunk, n, at, len(j), pa.compress(found[a:a + len(j)].tobytes(), codec="zstd", asbytes=True)))
+                a += len(j)
+        asked.clear()
+        chunks, orders, shards, sizes, found = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(chunks, pa.int64()), pa.array(orders, pa.int32()), pa.array(shards, pa.int32()),
+             pa.array(sizes, pa.int64()), pa.array(found, pa.binary())],
+            names=["chunk", "order", "shard", "size", "data"])
+    for batch in batches:
         for shard, chunk, n, bucket, size, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            if shard != at or held > ASKED:
+                if asked:
+                    yield answers()
+                held = 0
             if shard != at:
                 at, segments, part = shard, [], None
             if chunk < 0:
@@ -497,14 +533,10 @@ def _answer_rows(batches, lm: LogFrequencyFilter):
             if part is None:
                 part = LogFrequencyFilter(segments, lm.n_buckets, lm.least, {}, 0, 0, lm.probes)
                 segments = []
-            found = part.levels_of(n, _from_gaps(size, data, _shard_start(shard, lm.n_buckets))).astype(np.uint8)
-            out.append((chunk, n, shard, size, pa.compress(found.tobytes(), codec="zstd", asbytes=True)))
-        if out:
-            chunks, orders, shards, sizes, found = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(chunks, pa.int64()), pa.array(orders, pa.int32()), pa.array(shards, pa.int32()),
-                 pa.array(sizes, pa.int64()), pa.array(found, pa.binary())],
-                names=["chunk", "order", "shard", "size", "data"])
+            asked.setdefault(n, []).append((chunk, _from_gaps(size, data, _shard_start(shard, lm.n_buckets))))
+            held += size
+    if asked:
+        yield answers()
 
 
 def _looked_up_rows(batches, lm: LogFrequencyFilter):
@@ -534,6 +566,13 @@ def _looked_up_rows(batches, lm: LogFrequencyFilter):
         yield scores()
 
 
+def _all_looked_up(chunks: DataFrame, counts: Counts, lm) -> DataFrame:
+    """(__chunk, __at, score) of the texts of all ``chunks``, in rounds whose shuffles go before the next."""
+    turn = F.pmod(F.xxhash64("chunk"), F.lit(ROUNDS))
+    parts = [checkpointed(_looked_up(chunks.where(turn == i), counts, lm)) for i in range(ROUNDS)]
+    return reduce(DataFrame.union, parts)
+
+
 def _looked_up(chunks: DataFrame, counts: Counts, lm) -> DataFrame:
     """(__chunk, __at, score) of the texts of ``chunks`` (chunk, size, data), from the segments."""
     nb, max_order = counts.n_buckets, max(counts.filter.least)
@@ -632,11 +671,11 @@ def lm_scores(docs: DataFrame, train: Column, *, keep: list[str], text: str = "t
     joined = rare.join(counts.unigrams.where(F.col("c") * HEAVY < counts.tokens), "h")
     sums = joined.groupBy("__row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("__more"),
                                        F.sum("times").alias("__also"))
-    out = scored.drop("__rare", "__times").join(sums, "__row", "left")
+    out = scored.drop("__rare", "__times").join(sums if whole else checkpointed(sums), "__row", "left")
     if not whole:
         chunks = scored.where("__packed is not null").select(
             F.col("__chunk").alias("chunk"), F.col("__size").alias("size"), F.col("__packed").alias("data"))
-        out = out.drop("__size", "__packed").join(_looked_up(chunks, counts, shared), ["__chunk", "__at"])
+        out = out.drop("__size", "__packed").join(_all_looked_up(chunks, counts, shared), ["__chunk", "__at"])
     floor = math.log10(counts.tokens + counts.types + 1)
     return out.select(
         *keep, "n_tokens", (F.col("__known") + F.coalesce("__also", F.lit(0))).alias("n_known"),

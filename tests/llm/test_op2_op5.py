@@ -1,9 +1,11 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,6 +157,45 @@ def test_joined_filter_gives_the_scores_of_a_broadcast_one(docs):
         assert a == pytest.approx(b, rel=1e-9)
 
 
+def test_shuffles_of_finished_steps_are_removed(spark, docs):
+    """op2 stopped on disk: the shuffles of the counts and of all n-grams asked for stayed to the end."""
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+
+    def shuffled():
+        files = env.blockManager().diskBlockManager().getAllFiles()
+        names = {files.apply(i).getName() for i in range(files.size())}
+        return {x for x in names if x.startswith("shuffle_") and x.endswith(".data")}
+    before = shuffled()
+    scores = L.lm_scores(docs, F.col("doc_id") % 5 != 0, keep=["doc_id"], max_filter_bytes=0)
+    for _ in range(50):  # files go in the background
+        if shuffled() <= before:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= before  # the plan that is left has yet to run
+    assert scores.count() == docs.count()
+
+
+def test_what_many_chunks_ask_for_is_probed_once(monkeypatch):
+    joint = np.sort(np.random.default_rng(3).integers(0, 1 << L.CODE_BITS, 500, dtype=np.uint64))
+    size, bits = L.segment(joint[:250], np.arange(1, 251), 1, 12)  # raw keys: only what is asked counts here
+    asked, levels_of = [], L.LogFrequencyFilter.levels_of
+
+    def seen(self, order, joint):
+        asked.append(len(joint))
+        return levels_of(self, order, joint)
+    monkeypatch.setattr(L.LogFrequencyFilter, "levels_of", seen)
+    lm = L.LogFrequencyFilter([], 1, {1: 1}, {}, 10, 10)
+    rows = [(0, -1, 1, 0, size, bits)] + [(0, c, 1, None, 500, L._packed_gaps(joint, 0)) for c in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)],
+                                       names=["shard", "chunk", "order", "bucket", "size", "data"])
+    out = pa.Table.from_batches(list(L._answer_rows([batch], lm))).to_pylist()
+    assert asked == [500]
+    assert [r["chunk"] for r in out] == list(range(20)) and len({r["data"] for r in out}) == 1
+    part = L.LogFrequencyFilter([(1, 0, size, bits)], 1, {1: 1}, {}, 10, 10)
+    want = levels_of(part, 1, joint).astype(np.uint8).tobytes()
+    assert pa.decompress(out[0]["data"], decompressed_size=500, codec="zstd", asbytes=True) == want
+
+
 def test_lm_empty_and_untrained(empty, docs):
     assert L.lm_scores(empty, F.lit(True), keep=["doc_id"]).count() == 0
     rows = L.lm_scores(docs.limit(3), F.lit(False), keep=["doc_id"]).collect()
