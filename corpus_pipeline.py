@@ -22,7 +22,7 @@ from prefsight.llm.op6_merge_dropout import encode_pieces
 from prefsight.llm.op8_decontaminate import decontaminate
 from prefsight.llm.op10_ngram_join import BROADCAST_ROWS, ngram_components
 from prefsight.llm.queries import table, toxicity_held_out
-from prefsight.session import ensure_checkpoint_dir, scratch_path
+from prefsight.session import checkpointed, ensure_checkpoint_dir, scratch_path
 
 
 def _set_aside(docs: DataFrame, results: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
@@ -53,8 +53,8 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays; of rows that repeat an id the first in the order of their columns stays; no
     rows give no rows.  Columns of any other name are only carried."""
     ensure_checkpoint_dir(spark)
-    found = ngram_components(docs).where("doc_id is not null").groupBy("doc_id").agg(
-        F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")).checkpoint()
+    found = checkpointed(ngram_components(docs).where("doc_id is not null").groupBy("doc_id").agg(
+        F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
 
     def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
         small = ids.count() <= BROADCAST_ROWS

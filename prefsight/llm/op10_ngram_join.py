@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from prefsight.llm import kernels as K
 from prefsight.llm.components import connected_components
-from prefsight.session import ensure_checkpoint_dir
+from prefsight.session import checkpointed, ensure_checkpoint_dir, shuffles_removed
 
 SHINGLE = 5
 PERCENT = 80
@@ -94,8 +94,9 @@ def frequency_levels(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
     Counts of all texts; the sketch (2**SKETCH_BITS counters) bounds what tasks
     send and what is broadcast, whatever the corpus.
     """
-    rows = (docs.select("text").mapInArrow(lambda it: _sketch_rows(it, size), "block bigint, counts binary")
-            .groupBy("block").applyInArrow(_sum_sketch, "block bigint, counts binary").collect())
+    with shuffles_removed(docs.sparkSession):
+        rows = (docs.select("text").mapInArrow(lambda it: _sketch_rows(it, size), "block bigint, counts binary")
+                .groupBy("block").applyInArrow(_sum_sketch, "block bigint, counts binary").collect())
     counts = np.zeros((64, (1 << SKETCH_BITS) // 64), np.int64)
     for r in rows:
         counts[r["block"]] = np.frombuffer(r["counts"], np.int64)
@@ -236,9 +237,10 @@ def _picked(rows: DataFrame, ids: DataFrame, on, entries: str = "0") -> DataFram
     ``entries`` gives the number of list entries of a row of ``ids``.  Of more bytes,
     only the distinct ids are broadcast if they fit, to turn other rows away first.
     """
-    ids = ids.checkpoint()
-    size = ids.agg(F.coalesce(F.sum(_ROW_BYTES + 8 * F.expr(entries)), F.lit(0)).alias("b"),
-                   F.count(F.lit(1)).alias("n")).first()
+    ids = checkpointed(ids)
+    with shuffles_removed(ids.sparkSession):
+        size = ids.agg(F.coalesce(F.sum(_ROW_BYTES + 8 * F.expr(entries)), F.lit(0)).alias("b"),
+                       F.count(F.lit(1)).alias("n")).first()
     if size["b"] <= BROADCAST_BYTES:
         return rows.join(F.broadcast(ids), on)
     if size["n"] <= BROADCAST_ROWS:
@@ -308,9 +310,9 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
         "id bigint, n bigint, sig binary, bands array<bigint>, prefix array<bigint>, n_light int, cells binary").checkpoint()
 
     # One row per distinct set; its least id stands for all its copies.
-    reps = sets.where("sig is not null and id is not null").groupBy("sig").agg(
+    reps = checkpointed(sets.where("sig is not null and id is not null").groupBy("sig").agg(
         F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"),
-        F.first("cells").alias("cells")).checkpoint()
+        F.first("cells").alias("cells")))
     nodes = reps.select(F.col("rep").alias("node"), "sig", "n", "bands")
     clean = texts.where("id is not null")
 
@@ -321,7 +323,7 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     g = groups(0, 0)
     members = g.join(g.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"),
                      ["band", "key"], "left_semi")
-    edges = _block_edges(clean, members, size, percent).checkpoint()
+    edges = checkpointed(_block_edges(clean, members, size, percent))
 
     def labelled(df: DataFrame, found: DataFrame) -> DataFrame:
         comps = connected_components(found)
@@ -331,11 +333,11 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     g = labelled(groups(1, BANDS - 1), edges)
     split = g.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
     members = g.join(split, ["band", "key"], "left_semi").select("band", "key", "node", "n")
-    edges = edges.union(_block_edges(clean, members, size, percent)).checkpoint()
+    edges = checkpointed(edges.union(_block_edges(clean, members, size, percent)))
 
     # Whole prefixes under the order by rarity.  A token of level 0 has a bounded
     # number of rows; others are aggregated before they are joined.
-    marked = labelled(nodes, edges).checkpoint()
+    marked = checkpointed(labelled(nodes, edges))
     whole = _picked(sets.select("id", "sig", "prefix", "n_light"),
                     marked.select("sig", F.col("node").alias("id"), "comp"), ["sig", "id"])
     entries = whole.select(F.posexplode("prefix").alias("pos", "token"), F.col("id").alias("node"), "comp", "n_light")
@@ -361,8 +363,8 @@ def ngram_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     cells = reps.select("rep", "n", "cells")
     both = (pairs.join(cells.select(F.col("rep").alias("src"), F.col("n").alias("n1"), F.col("cells").alias("c1")), "src")
             .join(cells.select(F.col("rep").alias("dst"), F.col("n").alias("n2"), F.col("cells").alias("c2")), "dst"))
-    pairs = both.select("src", "dst", "n1", "n2", "c1", "c2").mapInArrow(
-        lambda it: _close_cells(it, percent), "src bigint, dst bigint").distinct().checkpoint()
+    pairs = checkpointed(both.select("src", "dst", "n1", "n2", "c1", "c2").mapInArrow(
+        lambda it: _close_cells(it, percent), "src bigint, dst bigint").distinct())
     rest = _pair_edges(clean, pairs, reps.select(F.col("rep").alias("node"), "n"), size, percent)
     comps = connected_components(edges.union(rest))
 

@@ -11,6 +11,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,14 +94,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/prefsight-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()``, whose shuffle files are removed once it is written.
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of each plan that is made and run in the block go when it has run.
 
     Otherwise they stay until the driver happens to collect its garbage."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    conf, key = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, None)
     conf.set(key, "true")
     try:
-        return df.select("*").checkpoint()  # a plan made while the setting holds
+        yield
     finally:
         conf.unset(key) if before is None else conf.set(key, before)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()``, whose shuffle files are removed once it is written."""
+    with shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint()  # a plan made while the setting holds
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to a fresh shared path and reread; its shuffle files are removed then."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with shuffles_removed(spark):
+        df.select("*").write.parquet(path)
+    return spark.read.parquet(path)
