@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefsight.llm import kernels as K
-from prefsight.session import ensure_checkpoint_dir, scratch_path
+from prefsight.session import ensure_checkpoint_dir, shuffles_removed, stored
 
 MIN_WORDS = 50
 #: Words of a run whose hash can be an anchor.
@@ -315,14 +315,9 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     body = docs[text].cast("string")
     rows = docs.select(docs[doc_id].cast("long").alias("doc"), F.xxhash64(body).alias("mark"), body.alias("text"))
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, f"spans-{name}")
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
     profiles = stored(rows.mapInArrow(
         lambda it: _profile_rows(it, min_words, gram),
-        "doc bigint, mark bigint, n_words bigint, digest string, anchors array<bigint>"), "profiles")
+        "doc bigint, mark bigint, n_words bigint, digest string, anchors array<bigint>"), "spans-profiles")
     # Copies of a whole text repeat wholly and are nobody's first holder.
     whole = profiles.where("doc is not null and size(anchors) > 0").select("doc", "mark", "digest", "anchors").dropDuplicates(
         ["doc", "mark"])
@@ -330,21 +325,24 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     single = whole.join(firsts, "digest").where("doc = first_doc").select("doc", "mark", "anchors")
     anchors = single.select("doc", "mark", F.explode("anchors").alias("anchor"))
     shared = anchors.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("anchor")
-    marked = anchors.join(shared, "anchor").groupBy("doc", "mark").agg(F.collect_list("anchor").alias("shared"))
+    # Stored on its own, so that the shuffles of the anchors are gone before texts are shuffled.
+    marked = stored(anchors.join(shared, "anchor").groupBy("doc", "mark").agg(F.collect_list("anchor").alias("shared")),
+                    "spans-marked")
     spans = stored(rows.join(marked, ["doc", "mark"]).select("doc", "mark", "shared", "text").mapInArrow(
-        lambda it: _span_rows(it, min_words, gram), _SPAN).dropDuplicates(["doc", "mark", "start"]), "spans")
+        lambda it: _span_rows(it, min_words, gram), _SPAN).dropDuplicates(["doc", "mark", "start"]), "spans-spans")
 
     windows = spans.mapInArrow(lambda it: _window_rows(it, min_words),
                                "window bigint, doc bigint, mark bigint, start bigint, at int")
     owner = F.min(F.struct("doc", "mark", "start", "at")).alias("owner")
     owned = stored(windows.groupBy("window").agg(owner, F.max("doc").alias("most")).where("owner.doc < most")
-                   .select("window", "owner.*"), "owned")
+                   .select("window", "owner.*"), "spans-owned")
     key = ["doc", "mark", "start"]
     by_span = owned.groupBy(*key).agg(F.collect_list("at").alias("owned"))
     passages = stored(spans.join(by_span, key).select(*key, "owned", "text").mapInArrow(
         lambda it: _passage_rows(it, min_words),
-        "doc bigint, mark bigint, start bigint, piece bigint, n bigint, text string"), "passages")
-    total = passages.agg(F.sum("n")).first()[0] or 0
+        "doc bigint, mark bigint, start bigint, piece bigint, n bigint, text string"), "spans-passages")
+    with shuffles_removed(spark):
+        total = passages.agg(F.sum("n")).first()[0] or 0
     n_shards = max(1, -(-total // shard_words))
 
     def shard(piece):
@@ -354,14 +352,15 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     homes = owned.select("window", F.col("doc").alias("first_doc"), shard(F.floor(F.col("at") / PIECE)))
     routed = (windows.join(homes, "window").where("doc > first_doc").select("shard", *key).distinct()
               .join(spans, key)).select("shard", *key, "n", "text")
-    routed = stored(routed, "routed")
+    routed = stored(routed, "spans-routed")
     copies = routed.groupBy("shard").agg(F.ceil(F.sum("n") / stream_words).alias("copies"))
     streams = routed.join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64(*key), F.col("copies")))
     dealt = shards.join(copies, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     found = (dealt.select("shard", "copy", "doc", "text").groupBy("shard", "copy")
              .cogroup(streams.select("shard", "copy", *key, "text").groupBy("shard", "copy"))
              .applyInArrow(lambda a, b: _stream(a, b, min_words), "doc bigint, mark bigint, first bigint, last bigint"))
-    gone = found.distinct().groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    gone = stored(found.distinct().groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "last")).alias("spans")),
+                  "spans-gone")
     cut = (rows.join(gone, ["doc", "mark"]).select("doc", "mark", "spans", "text").mapInArrow(_cut_rows, _CUT)
            .dropDuplicates(["doc", "mark"]))
     if not with_text:

@@ -4,6 +4,7 @@ import time
 
 import pytest
 
+from prefsight.llm import op12_repeated_spans as S
 from prefsight.llm.components import connected_components
 from prefsight.llm.op10_ngram_join import ngram_components
 
@@ -48,3 +49,10 @@ def test_ngram_components(spark, near_copies):
     assert not left
     for _ in range(2):
         assert all(r["component_id"] == r["doc_id"] % 100 for r in out.collect())
+
+
+def test_repeated_spans(spark, near_copies):
+    out, left = left_by(spark, lambda: S.repeated_spans(near_copies))
+    assert not left
+    for _ in range(2):
+        assert {r["doc_id"]: r["n_removed"] for r in out.collect()} == {i: 119 * (i >= 100) for i in [*range(20), *range(100, 120)]}
