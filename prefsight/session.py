@@ -121,3 +121,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     with shuffles_removed(spark):
         df.select("*").write.parquet(path)
     return spark.read.parquet(path)
+
+
+def discarded(df: DataFrame) -> None:
+    """Removes the files of a table that ``stored`` wrote and no later plan reads."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(conf).delete(path, True)
