@@ -140,6 +140,54 @@ def _candidates(pdf: pd.DataFrame, pivots: np.ndarray, between: np.ndarray, part
     return out
 
 
+class _Screen:
+    """Single-precision products of the rows of x and of y that tell which rows of x may have a nearer one in y.
+
+    The bound on their rounding, 2^-23 for each of the products of a row and some more, is on the side of telling too
+    many rows; distances are never taken from here."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, entries: int):
+        centre = y.mean(axis=0)
+        x, y = x - centre, y - centre
+        self.scale = max(np.abs(x).max(), np.abs(y).max()) or 1.0
+        x, y = x / self.scale, y / self.scale
+        xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        # Their product is half the squared distance less half of xx.
+        self.x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+        self.y = np.hstack([-y, 0.5 * yy[:, None]]).astype(np.float32)
+        self.over = (x.shape[1] + 8) * 2.0 ** -23 * (np.sqrt(xx * yy.max()) + yy.max()) - 0.5 * xx + 1e-30
+        self.held = np.empty(entries, dtype=np.float32)
+
+    def may_be_nearer(self, rows: np.ndarray, ring: slice, best: np.ndarray) -> np.ndarray:
+        """Whether each of ``rows`` may be nearer than ``best`` to one of the rows of y in ``ring``."""
+        y = self.y[ring]
+        d = np.matmul(self.x[rows], y.T, out=self.held[:len(rows) * len(y)].reshape(len(rows), len(y)))
+        least = d[np.arange(len(rows)), d.argmin(axis=1)]
+        return least <= 0.5 * (best / self.scale) ** 2 + self.over[rows]
+
+
+def _against(a: pd.DataFrame, b: pd.DataFrame, pivots: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """The bounds of the rows of a after a comparison with those rings of b, each in one piece, that may hold a nearer one."""
+    b = b.sort_values(["cell", "ring"], ignore_index=True)
+    x, y, best = batch_matrix(a["vec"]), batch_matrix(b["vec"]), a["u"].to_numpy(copy=True)
+    cell, ring, r = (a[c].to_numpy() for c in ("cell", "ring", "r"))
+    rings = [(*key, slice(at[0], at[-1] + 1), b["r"].to_numpy()[at].min(), b["r"].to_numpy()[at].max())
+             for key, at in b.groupby(["cell", "ring"]).indices.items()]
+    cells = np.unique(b["cell"].to_numpy())
+    width = max(len(cells), *(at.stop - at.start for _, _, at, _, _ in rings))
+    screen = _Screen(x, y, max(BLOCK_ENTRIES, width))
+    for part in _blocks(len(x), width):
+        d = dict(zip(cells, _distances(x[part], pivots[cells]).T))
+        for c, k, at, near, far in rings:
+            ok = _may_hold(d[c], near, far, best[part], r[part], between[cell[part], c])
+            rows = part.start + np.nonzero(ok & ((cell[part] != c) | (ring[part] != k)))[0]
+            if len(rows):
+                rows = rows[screen.may_be_nearer(rows, at, best[rows])]
+            if len(rows):
+                best[rows] = np.minimum(best[rows], _nearest(x[rows], y[at]))
+    return best
+
+
 def _turns(asked: dict[int, int], held: dict[int, int], query_rows: int, most: int) -> Iterator[dict[int, int]]:
     """Blocks that take their turn together with the copies of each: a copy for ``query_rows`` vectors, and ``most``
     rows sent in a turn, or one block."""
@@ -172,21 +220,7 @@ def _compared(queries: DataFrame, bounded: DataFrame, sent, parts: pd.DataFrame,
     def across(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": pd.Series([], dtype="int64"), "u": pd.Series([], dtype="float64")})
-        p, between = sent.value
-        x, y, best = batch_matrix(a["vec"]), batch_matrix(b["vec"]), a["u"].to_numpy(copy=True)
-        cell, ring, r = (a[c].to_numpy() for c in ("cell", "ring", "r"))
-        rings = [(c, k, np.sort(at), b["r"].to_numpy()[at]) for (c, k), at in b.groupby(["cell", "ring"]).indices.items()]
-        cells = np.unique([c for c, *_ in rings])
-        rings = [(c, k, y[at], d.min(), d.max()) for c, k, at, d in rings]
-        for part in _blocks(len(x), max(len(cells), *(len(z) for _, _, z, _, _ in rings))):
-            d = dict(zip(cells, _distances(x[part], p[cells]).T))
-            for c, k, z, near, far in rings:
-                ok = _may_hold(d[c], near, far, best[part], r[part], between[cell[part], c])
-                ok &= (cell[part] != c) | (ring[part] != k)
-                rows = part.start + np.nonzero(ok)[0]
-                if len(rows):
-                    best[rows] = np.minimum(best[rows], _nearest(x[rows], z))
-        return pd.DataFrame({"id": a["id"], "u": best})
+        return pd.DataFrame({"id": a["id"], "u": _against(a, b, *sent.value)})
 
     copies = F.broadcast(spark.createDataFrame(list(turn.items()), "block int, n long"))  # one row per block
     tasks = 4 * sum(turn.values())  # so many that few have two copies
