@@ -41,13 +41,16 @@ from prefsight.session import checkpointed, discarded, ensure_checkpoint_dir, sh
 
 MAX_PIVOTS = 1024
 RING_SIZE = 1024
-#: Vectors of a block, and vectors sent to one copy of a block.
+#: Vectors of a block, and vectors sent to one copy of a block; fewer if they have more numbers than that.
 BLOCK_ROWS = 1 << 15
+BLOCK_VALUES = 1 << 21
 #: Fewer in a block if there are not so many vectors, so that there are tasks enough.
 LEAST_BLOCKS = 8
 #: Vectors sent in one turn: so many times all vectors, or WAVE_ROWS if that is more.
 WAVE_COPIES = 4
 WAVE_ROWS = 1 << 20
+#: Tasks of a turn; more copies of blocks are one after the other.
+MAX_TASKS = 4096
 #: Distances that a task holds in one array, whatever the pivots, the rows of a batch or of a ring.
 BLOCK_ENTRIES = 1 << 19
 
@@ -188,6 +191,11 @@ def _against(a: pd.DataFrame, b: pd.DataFrame, pivots: np.ndarray, between: np.n
     return best
 
 
+def _block_rows(n: int, dim: int, ring_size: int) -> int:
+    """Vectors of a block, of ``n`` of ``dim`` numbers; a ring is never split."""
+    return max(1, min(BLOCK_ROWS, BLOCK_VALUES // max(1, dim), max(ring_size, -(-n // LEAST_BLOCKS))))
+
+
 def _turns(asked: dict[int, int], held: dict[int, int], query_rows: int, most: int) -> Iterator[dict[int, int]]:
     """Blocks that take their turn together with the copies of each: a copy for ``query_rows`` vectors, and ``most``
     rows sent in a turn, or one block."""
@@ -223,7 +231,7 @@ def _compared(queries: DataFrame, bounded: DataFrame, sent, parts: pd.DataFrame,
         return pd.DataFrame({"id": a["id"], "u": _against(a, b, *sent.value)})
 
     copies = F.broadcast(spark.createDataFrame(list(turn.items()), "block int, n long"))  # one row per block
-    tasks = 4 * sum(turn.values())  # so many that few have two copies
+    tasks = min(4 * sum(turn.values()), MAX_TASKS)  # so many that few have two copies
     key = ["block", "copy"]
     schema = T.StructType([*queries.schema, T.StructField("block", T.IntegerType())])
     asked = (queries.mapInPandas(asks, schema).join(copies, "block")
@@ -241,10 +249,11 @@ def nearest_distance_exact(items: DataFrame, key_col: str, vec_col: str, *, pivo
     """(key, nn_distance): exact Euclidean distance to the nearest other item.
 
     ``pivots`` defaults to the square root of the number of vectors, at most
-    ``MAX_PIVOTS``; ``block_rows`` and ``query_rows`` to ``BLOCK_ROWS``, or a
-    ``LEAST_BLOCKS``-th of the vectors.  Items with equal vectors have distance 0 and are
-    one vector in the search, so a group of copies costs one row.  A null vector, and an
-    item that is alone, has a null distance.  Vectors have one length and finite components."""
+    ``MAX_PIVOTS``; ``block_rows`` and ``query_rows`` to ``BLOCK_ROWS``, a
+    ``LEAST_BLOCKS``-th of the vectors or ``BLOCK_VALUES`` numbers, whichever is least.
+    Items with equal vectors have distance 0 and are one vector in the search, so a group
+    of copies costs one row.  A null vector, and an item that is alone, has a null
+    distance.  Vectors have one length and finite components."""
     spark = items.sparkSession
     ensure_checkpoint_dir(spark)
     of = items.schema[vec_col].dataType
@@ -273,8 +282,8 @@ def nearest_distance_exact(items: DataFrame, key_col: str, vec_col: str, *, pivo
 
     placed = checkpointed(distinct.mapInPandas(place, "id long, cell int, r double, u double"))
     members = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most MAX_PIVOTS rows
-    size = max(1, block_rows or min(BLOCK_ROWS, max(ring_size, -(-n // LEAST_BLOCKS))))
-    asked_rows = max(1, query_rows or size)
+    size = block_rows or _block_rows(n, chosen.shape[1], ring_size)
+    asked_rows = query_rows or size
     starts, start = np.zeros(len(chosen), dtype=np.int64), 0
     for c in _chain(sent.value[1]):
         starts[c], start = start, start + members.get(c, 0)
